@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,11 +45,15 @@ class Memo(dict):
         return value
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder of ``spark.checkpoint.dir``.
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as a table in the shared checkpoint folder and read it back.
 
-    The folder is read from the session; one is set only where it is unset (local tests)."""
+    For results that are read more than once: unlike ``checkpoint()`` it doesn't compute its input twice, and
+    unlike a cache it survives lost executors."""
     spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/acreflow-checkpoints")
-    return df.checkpoint()
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/acreflow-checkpoints")
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

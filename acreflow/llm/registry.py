@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("q_bpe",)
+MODULES = ("q_bpe", "q_mixing", "q_quality", "q_secrets", "q_simhash")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
