@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from acreflow.llm.common import slices, stored, strings
 from acreflow.llm.stars import components
 
-#: Fingerprints that a shard holds on average, before those copied over its boundaries.
-SHARD = 16_384
+#: Fingerprints that a shard holds. Each level of the upper tree copies about a third of what it splits, while the
+#: tree within a shard copies in memory only: so shards are large, and no deeper than memory and parallel work ask.
+SHARD = 65_536
 #: Fingerprints, chosen by hash, on which the upper tree is fitted: its splits get even, its links stay exact.
 SAMPLE = 8_192
 #: Fingerprints below which all pairs are compared.
