@@ -110,11 +110,15 @@ def membership(labelled: DataFrame, tiled: DataFrame, units: DataFrame) -> DataF
     return whole.unionByName(parts) if parts is not None else whole
 
 
-def segmented(support: DataFrame, width: int, least_patch: int = 50, most_field: int = 3333, side: int = 47, least_unit: int = 55, most_unit: int = 5555, weight: str = "w") -> dict[str, DataFrame]:
-    """Components to ranked units: {labelled, fields, tiles, units}."""
-    labelled = sieve(components(support, width), least_patch)
+def units_of(labelled: DataFrame, most_field: int, side: int, least_unit: int, most_unit: int, weight: str = "w") -> dict[str, DataFrame]:
+    """Fields, tiles and ranked units of labelled cells: {labelled, fields, tiles, pseudo_units, units}."""
     table = fields(labelled, weight)
     small, _ = split_by_size(table, most_field)
     cut = tiles(labelled, most_field, side)
     parts = tile_units(cut, weight)
     return {"labelled": labelled, "fields": table, "tiles": cut, "pseudo_units": parts, "units": ranked_units(small, parts, least_unit, most_unit)}
+
+
+def segmented(support: DataFrame, width: int, least_patch: int = 50, most_field: int = 3333, side: int = 47, least_unit: int = 55, most_unit: int = 5555, weight: str = "w") -> dict[str, DataFrame]:
+    """Components to ranked units."""
+    return units_of(sieve(components(support, width), least_patch), most_field, side, least_unit, most_unit, weight)

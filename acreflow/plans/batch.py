@@ -1,7 +1,7 @@
 """Whole runs: weights and disaggregation of all counties and years as one plan each.
 
-What doesn't depend on beta (segments, selection, zones) is planned once and joined with the betas afterwards. Rules
-that skip a county and year become a table with reasons, never an abort."""
+What doesn't depend on beta (segments, selection, zones) is made once, settled as a table, and joined with the betas
+afterwards. Rules that skip a county and year become a table with reasons, never an abort."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from acreflow.functions.columns import is_finite
 from acreflow.operators import allocate, cropmask, geo, segment, selection, weights, zones
 from acreflow.schemas import require_columns, require_positive
+from acreflow.sources.tables import settled
 
 KEYS = ("county_id", "yr")
 
@@ -81,49 +82,52 @@ def weights_batch(pixels: DataFrame, stats: DataFrame, options: WeightOptions =
     planted = "planted_cells" if "planted_cells" in stats.columns else "harvested_cells"
     targets = stats.join(out, list(KEYS), "left_anti").select(*KEYS, "harvested_cells", F.col(planted).alias("planted_cells"))
     cells, decisions = cropmask.masks(targets, pixels, options.code, options.lower, options.upper, first=options.first)
+    decisions = settled(decisions)
     mask = cells.where("chosen").select(*KEYS, "cx", "cy")
-    inside = pixels.join(mask, [*KEYS, "cx", "cy"])
-    chosen = weights.eligibility(inside, targets, buffer=options.buffer)
+    inside = settled(pixels.join(mask, [*KEYS, "cx", "cy"]).select(*KEYS, "cx", "cy", "ndvi", "et"))
+    chosen = settled(weights.eligibility(inside, targets, buffer=options.buffer))
     q = pixels.groupBy(*KEYS).agg(*[F.round(F.percentile(c, F.lit(options.screen_level)), weights.DECIMALS).alias(f"q_{c}") for c in ("ndvi", "et")])
+    q = settled(q)
     fit = weights.eligible(inside, chosen).join(q, list(KEYS)).where((F.col("ndvi") > F.col("q_ndvi")) & (F.col("et") > F.col("q_et")))
     surface = weights.surface(fit.select(*KEYS, "cx", "cy", "ndvi", "et"), options.a_et, options.a_ndvi, F.col("yr") <= 1999 if options.first == 2008 else None)
     return {
-        "weights": surface, "mask": mask, "decisions": decisions, "eligibility": chosen, "skipped": out,
+        "weights": surface, "mask": inside.select(*KEYS, "cx", "cy"), "decisions": decisions, "eligibility": chosen, "skipped": out,
         "diagnostics": weights.diagnostics(decisions, chosen, q, targets, options.cell_ha),
     }
 
 
 def county_units(support: DataFrame, stats: DataFrame, options: DisaggOptions, weight: str = "w") -> dict[str, DataFrame]:
     """The beta-free part: segments, harvest prefix, pruning, centres and zones of units."""
-    parts = segment.segmented(support, options.width, options.least_patch, options.most_field, options.side, options.least_unit, options.most_unit, weight)
+    labelled = settled(segment.sieve(segment.components(support, options.width), options.least_patch))
+    parts = segment.units_of(labelled, options.most_field, options.side, options.least_unit, options.most_unit, weight)
     units = parts["units"].join(stats.select(*KEYS, "harvested_cells", "yield_kg_ha"), list(KEYS))
     harvest = selection.harvest_prefix(units)
-    pruned = selection.prune(harvest, options.keep_weight, options.min_units)
+    pruned = settled(selection.prune(harvest, options.keep_weight, options.min_units))
     members = segment.membership(parts["labelled"], parts["tiles"], parts["pseudo_units"])
     x, y = (F.col("cx") + 0.5) * options.cell_m, (F.col("cy") + 0.5) * options.cell_m
     centres = geo.unit_centres(members.join(pruned.select(*KEYS, "unit_id"), [*KEYS, "unit_id"], "left_semi"), [*KEYS, "unit_id"], x, y)
     placed = pruned.join(centres, [*KEYS, "unit_id"])
-    return parts | {"harvest": harvest, "pruned": pruned, "placed": zones.zoned(placed, options.cluster_dist_m)}
+    return parts | {"harvest": harvest, "pruned": pruned, "placed": settled(zones.zoned(placed, options.cluster_dist_m))}
 
 
 def disagg_batch(support: DataFrame, stats: DataFrame, options: DisaggOptions = DisaggOptions()) -> dict[str, DataFrame]:
     """{units, check, zones, merged, qa, skipped, ...} for all counties, years and betas.
 
-    support: weight cells (county_id, yr, cx, cy, w). The zoned units are cached for the betas' sake."""
+    support: weight cells (county_id, yr, cx, cy, w)."""
     require_columns(support, [*KEYS, "cx", "cy", "w"], "weights")
     require_positive(cluster_dist_m=options.cluster_dist_m, cell_ha=options.cell_ha)
     out = skipped(stats, stats, support)
-    stats = stats.join(out, list(KEYS), "left_anti")
+    stats = settled(stats.join(out, list(KEYS), "left_anti"))
     parts = county_units(support, stats, options)
     spark = support.sparkSession
     betas = F.broadcast(spark.createDataFrame([(float(b),) for b in options.betas], "beta double"))  # a handful
     rows = parts["placed"].withColumns({"area_ha": F.col("area_cells") * F.lit(options.cell_ha), "county_area_ha": F.col("harvested_cells") * F.lit(options.cell_ha), "county_yield": F.col("yield_kg_ha").cast("double")}).drop("yield_kg_ha")
     capped = allocate.with_caps(rows.crossJoin(betas), F.lit(options.crop))
-    units = allocate.allocate(capped, min_frac=options.min_frac, max_frac=options.max_frac)
+    units = settled(allocate.allocate(capped, min_frac=options.min_frac, max_frac=options.max_frac))
     group = (*KEYS, "beta")
     zone = zones.aggregate(units, group)
     floors = units.groupBy(*group).agg(zones.dynamic_floor(F.first("county_yield")).alias("floor"))
-    zone = geo.zone_degrees(zone).join(floors, list(group))
+    zone = settled(geo.zone_degrees(zone).join(floors, list(group)))
     merged = geo.zone_degrees(zones.merged_floors(zone, options.keep_floor, group))
     check = allocate.check(units, group)
     qa = zones.floor_counts(zone, group).withColumnsRenamed({"n_floor": "floor_before", "n_zones": "zones_before"}).join(

@@ -482,10 +482,10 @@ def nearest_target(spark, sf_dir):
 
 
 @query(_with(PX, ST, _PLAIN, _PREFIX, _PRUNE, _allocated_sql("pn", _BETAS), _RANKED, _MERGE,
-    "SELECT county_id, yr, beta, cluster_id, round(area, 4) cluster_area_ha, round(prod, 2) cluster_prod_kg, round(zy, 5) cluster_yield_kg_ha, n_units, n_merged n_units_merged FROM mg"))
+    "SELECT county_id, yr, beta, cluster_id, round(area, 4) cluster_area_ha, round(prod, 4) cluster_prod_kg, round(zy, 5) cluster_yield_kg_ha, n_units, n_merged n_units_merged FROM mg"))
 def floor_merge(spark, sf_dir):
     out = zones.merged_floors(_rankable(_zones(spark, sf_dir))).select(*KEYS, "beta", "cluster_id", "cluster_area_ha", "cluster_prod_kg", "cluster_yield_kg_ha", "n_units", "n_units_merged")
-    return _round(_round(_round(out, "cluster_area_ha", digits=4), "cluster_prod_kg", digits=2), "cluster_yield_kg_ha", digits=5)
+    return _round(_round(out, "cluster_area_ha", "cluster_prod_kg", digits=4), "cluster_yield_kg_ha", digits=5)
 
 
 @query(_with(PX, ST, _PLAIN, _PREFIX, _PRUNE, _allocated_sql("pn", _BETAS), _ZONES, "SELECT county_id, yr, beta, count(*) FILTER (round(zy, 6) <= round(fl, 6) + 1e-6) n_floor, count(*) n_zones FROM zn GROUP BY 1, 2, 3"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sqlite3
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -106,3 +107,17 @@ def read_cache(spark: SparkSession, path: str, kind: str) -> DataFrame:
 def not_cached(targets: DataFrame, cached: DataFrame, keys: tuple[str, ...] = ("county", "year")) -> DataFrame:
     """Targets without a cached raster."""
     return targets.join(cached.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Writes a result that several others read, once, as a table in the shared checkpoint folder, and reads it back.
+
+    Plans stay small, nothing is computed twice, and lost executors take nothing with them. The folder is the session's
+    spark.checkpoint.dir; one is set only where it is unset."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/acreflow-checkpoints")
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
