@@ -17,6 +17,7 @@ empty result; clashing column names of the input don't matter, the rows travel i
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -116,3 +117,55 @@ def repeated(df: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of ``df`` as often as it is taken."""
     mixed = mix(df, **options).where("copies > 0")
     return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+
+
+# Several constraints at once -------------------------------------------------------------------------------------
+
+#: Constraints (targets of all families together) up to which the dual's Newton system is solved on the driver.
+CONSTRAINTS = 2_000
+
+
+def balance(cells: DataFrame, targets: dict[str, dict[str, float]], size: str = "size", tolerance: float = 1e-9, rounds: int = 60) -> dict[str, dict[str, float]]:
+    """Multipliers lambda by family and value, such that rates exp(sum of a cell's lambdas) meet every token target.
+
+    cells: sums of ``size`` for combinations of the families' columns; targets: family column to value to tokens, all
+    families with one total. Each Newton iteration sums gradient and Hessian over the cells in Spark (a block for each
+    pair of families) and solves the bounded system on the driver, halving the step until the dual rises.
+    Values without a target keep lambda 0; targets must be positive and their cells non-empty."""
+    names = [(f, v) for f, each in targets.items() for v in each]
+    if len(names) > CONSTRAINTS:
+        raise ValueError(f"{len(names)} constraints are more than {CONSTRAINTS}")
+    place = {name: i for i, name in enumerate(names)}
+    wanted = np.array([targets[f][v] for f, v in names])
+    x = np.zeros(len(names))
+
+    def rated(x: np.ndarray) -> DataFrame:
+        total = F.lit(0.0)
+        for f, each in targets.items():
+            known = F.create_map(*[y for v in each for y in (F.lit(v), F.lit(float(x[place[f, v]])))])
+            total = total + F.coalesce(F.try_element_at(known, F.col(f)), F.lit(0.0))
+        return cells.withColumn("_tokens", F.col(size) * F.exp(total))
+
+    def dual(x: np.ndarray) -> float:
+        return float(wanted @ x) - float(rated(x).agg(F.sum("_tokens")).first()[0] or 0.0)
+
+    now = dual(x)
+    for _ in range(rounds):
+        tokens, hessian, gradient = rated(x), np.zeros((len(x), len(x))), wanted.copy()
+        families = list(targets)
+        for i, f in enumerate(families):
+            for g in families[i:]:
+                for r in tokens.groupBy(F.col(f).alias("f"), F.col(g).alias("g")).agg(F.sum("_tokens").alias("t")).collect():
+                    if (f, r.f) in place and (g, r.g) in place:
+                        a, b = place[f, r.f], place[g, r.g]
+                        hessian[a, b] = hessian[b, a] = r.t
+                        if f == g:
+                            gradient[a] -= r.t
+        if np.abs(gradient).max() <= tolerance * max(1.0, np.abs(wanted).max()):
+            break
+        step = np.linalg.lstsq(hessian, gradient, rcond=1e-12)[0]  # families share a total, so one direction is free
+        step *= min(1.0, 3.0 / max(np.abs(step).max(), 1e-12))
+        while (then := dual(x + step)) < now - 1e-9 * abs(now) and np.abs(step).max() > 1e-12:
+            step /= 2
+        x, now = x + step, then
+    return {f: {v: float(x[place[f, v]]) for v in each} for f, each in targets.items()}

@@ -228,3 +228,15 @@ def test_pipeline_against_its_parts(spark, tmp_path):
     want = Counter((x.doc_id, hashlib.sha256(x.text.encode()).hexdigest()) for x in mixed.collect())
     got = Counter((x.doc_id, x.decoded_sha256) for x in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert got == want and q_bpe.coded(mixed).count() == sum(want.values())
+
+
+def test_two_families_balance_together(spark):
+    cells = [("a", "en", 100.0), ("a", "de", 50.0), ("b", "en", 30.0), ("b", "de", 70.0), ("c", "en", 10.0)]
+    df = spark.createDataFrame(cells, "source string, lang string, size double")
+    targets = {"source": {"a": 60.0, "b": 120.0, "c": 20.0}, "lang": {"en": 130.0, "de": 70.0}}
+    x = mixing.balance(df, targets)
+    rates = {(s, g): n * math.exp(x["source"][s] + x["lang"][g]) for s, g, n in cells}
+    for s, want in targets["source"].items():
+        assert sum(v for k, v in rates.items() if k[0] == s) == pytest.approx(want, rel=1e-6)
+    for g, want in targets["lang"].items():
+        assert sum(v for k, v in rates.items() if k[1] == g) == pytest.approx(want, rel=1e-6)
