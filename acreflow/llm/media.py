@@ -247,7 +247,9 @@ def read_back(media: Store, key: str = "doc_id") -> DataFrame:
     waiting = media.packs.mapInArrow(open_, f"key {media.key_type}, medium binary")
     parts = stored(media.packs.mapInArrow(pieces, "medium binary, place int, digest binary, data binary"))
     fetched = parts.where("digest is not null").select("medium", "place", "digest").distinct().join(media.shared, "digest").select("medium", "place", "data")
-    own = parts.where("digest is null").groupBy("medium", "place").agg(F.first("data").alias("data"))
-    built = own.unionByName(fetched).groupBy("medium").applyInArrow(assembled, f"medium binary, {FEATURES_SQL}")
+    # Tasks may tell the same manifest; an unshared chunk occurs once, so its medium is told once, and it moves once.
+    lists = parts.where("place = -1").groupBy("medium", "place").agg(F.first("data").alias("data"))
+    own = parts.where("digest is null and place >= 0").select("medium", "place", "data")
+    built = lists.unionByName(own).unionByName(fetched).groupBy("medium").applyInArrow(assembled, f"medium binary, {FEATURES_SQL}")
     joined = waiting.join(built, "medium").drop("medium")
     return whole.unionByName(joined).withColumnRenamed("key", key)
