@@ -122,3 +122,16 @@ def units_of(labelled: DataFrame, most_field: int, side: int, least_unit: int, m
 def segmented(support: DataFrame, width: int, least_patch: int = 50, most_field: int = 3333, side: int = 47, least_unit: int = 55, most_unit: int = 5555, weight: str = "w") -> dict[str, DataFrame]:
     """Components to ranked units."""
     return units_of(sieve(components(support, width), least_patch), most_field, side, least_unit, most_unit, weight)
+
+
+def area_report(support: DataFrame, labelled: DataFrame, table: DataFrame, parts: DataFrame, units: DataFrame, cell_ha: float) -> DataFrame:
+    """(county_id, yr, areas in ha): support, components after the sieve, fields, tiles and ranked units, as one
+    grouping over stacked sums, so that nothing is joined."""
+    stage = lambda df, name, n: df.groupBy(*KEYS).agg(n.alias("cells")).select(*KEYS, F.lit(name).alias("stage"), "cells")
+    names = ("support", "components", "fields", "tiles", "units")
+    sums = [F.count("*"), F.count("*"), F.sum("area_cells"), F.sum("area_cells"), F.sum("area_cells")]
+    stacked = [stage(df, n, s) for df, n, s in zip((support, labelled, table, parts, units), names, sums, strict=True)]
+    every = stacked[0]
+    for x in stacked[1:]:
+        every = every.unionByName(x)
+    return every.groupBy(*KEYS).agg(*[(F.coalesce(F.sum(F.when(F.col("stage") == n, F.col("cells"))), F.lit(0)) * F.lit(cell_ha)).alias(f"{n}_ha") for n in names])

@@ -163,6 +163,14 @@ def empty_season_zero(spark, sf_dir):
     return _round(composite.on_grid(some, s, ["pixel"]), "ndvi")
 
 
+@query(_with(SC, "SELECT pixel, count(*) n_scenes, round(max(value), 6) top FROM sc WHERE pixel IN (SELECT user_id FROM events WHERE event_type = 'purchase') AND pixel % 3 = 0 AND ts >= TIMESTAMP '2024-01-10' GROUP BY pixel"))
+def scenes_in_area(spark, sf_dir):
+    s = X.scenes(spark, sf_dir)
+    area = s.where("kind = 'purchase' and pixel % 3 = 0").select("pixel")
+    inside = composite.in_area(composite.in_season(s, "2024-01-10", "2024-12-31"), area, ["pixel"])
+    return _round(inside.groupBy("pixel").agg(F.count("*").alias("n_scenes"), F.max("value").alias("top")), "top")
+
+
 @query("SELECT * FROM (VALUES ('LANDSAT', 30), ('MODIS', 250), ('SENTINEL2', 10)) t(sensor, scale_m)")
 def sensor_scales(spark, sf_dir):
     return spark.createDataFrame([(composite.sensor_name(s), composite.SCALES[composite.sensor_name(s)]) for s in ("Landsat", "MODIS", "Sentinel-2")], "sensor string, scale_m int")
@@ -339,6 +347,15 @@ def all_units_ranked(spark, sf_dir):
     return _round(_segmented(spark, sf_dir)["units"], "w_density", digits=9)
 
 
+@query(_with(PX, _SUPPORT, _LABELS, _UNITS, """SELECT p.county_id, p.yr, round(a * 0.09e0, 6) support_ha, round(coalesce(b, 0) * 0.09e0, 6) components_ha, round(coalesce(c, 0) * 0.09e0, 6) fields_ha, round(coalesce(d, 0) * 0.09e0, 6) tiles_ha, round(coalesce(e, 0) * 0.09e0, 6) units_ha
+  FROM (SELECT county_id, yr, count(*) a FROM sp GROUP BY 1, 2) p LEFT JOIN (SELECT county_id, yr, count(*) b FROM sv GROUP BY 1, 2) q USING (county_id, yr) LEFT JOIN (SELECT county_id, yr, sum(area_cells) c FROM fd GROUP BY 1, 2) r USING (county_id, yr)
+  LEFT JOIN (SELECT county_id, yr, sum(area_cells) d FROM tu GROUP BY 1, 2) t USING (county_id, yr) LEFT JOIN (SELECT county_id, yr, sum(area_cells) e FROM un GROUP BY 1, 2) v USING (county_id, yr)""", recursive=True))
+def segment_areas(spark, sf_dir):
+    support, parts = _support(spark, sf_dir), _segmented(spark, sf_dir)
+    out = segment.area_report(support, parts["labelled"], parts["fields"], parts["pseudo_units"], parts["units"], X.CELL_HA)
+    return _round(out, *(f"{n}_ha" for n in ("support", "components", "fields", "tiles", "units")))
+
+
 # Selection ------------------------------------------------------------------------------------------------------
 
 _PLAIN = "u AS (SELECT county_id, yr, CAST(cx AS VARCHAR) unit_id, count(*) a, CAST(sum(q) AS BIGINT) w FROM px GROUP BY 1, 2, 3)"
