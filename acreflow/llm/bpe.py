@@ -25,7 +25,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from acreflow.llm.common import Memo, slices, strings
+from acreflow.llm.common import Memo, bounded, slices, strings
 
 #: Resolved pre-tokens that a Python worker remembers between batches.
 MEMO_ENTRIES = 300_000
@@ -187,7 +187,7 @@ def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: st
     """(key, n_tokens long, ids binary): ids as little-endian unsigned 32-bit integers, of every row's whole text.
 
     A narrow operator: one pass, no shuffle; a row's memory is its text and ids."""
-    codec = _shared(df, path, pattern)
+    codec = _shared(bounded(df), path, pattern)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec.value
@@ -202,7 +202,7 @@ def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: st
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """All columns, and the bytes of the ids in ``ids`` (as ``encode`` writes them; null: empty) in ``out``."""
-    codec = _shared(df, path, pattern)
+    codec = _shared(bounded(df), path, pattern)
     at, names = df.columns.index(ids), df.columns
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

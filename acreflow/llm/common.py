@@ -16,6 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded(df: DataFrame, size: str = "8m") -> DataFrame:
+    """``df``, its session's Arrow batches cut to ``size`` of rows: where Python operators stand in a row, each holds
+    one batch in the JVM and one in its worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return df
+
+
 def slices(batch: pa.RecordBatch, column: int, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Row slices of ``batch`` that hold about ``limit`` bytes in ``column``; one row at least."""
     n = batch.num_rows
