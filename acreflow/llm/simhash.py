@@ -206,6 +206,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
 
 
 def one_of_each(df: DataFrame, **options) -> DataFrame:
-    """The rows of ``df`` that stand for their near-duplicate components: those with the least doc_id."""
-    kept = near_duplicates(df, **options).where("doc_id = component_id").select("doc_id")
-    return df.join(kept, "doc_id", "left_semi").select(df.columns)
+    """The rows of ``df`` that stand for their near-duplicate components: those with the least doc_id.
+
+    Rows without an id stay; rows that share the least id stay together. What goes is joined away, the smaller set."""
+    gone = near_duplicates(df, **options).where("doc_id != component_id").select("doc_id").distinct()
+    return df.join(gone, "doc_id", "left_anti").select(df.columns)

@@ -124,3 +124,5 @@ def test_operator_against_brute_force(spark):
     kept = simhash.one_of_each(df.select("doc_id", "text")).count()
     assert kept in (len(set(roots)), len(set(roots)) + 1)  # the repeated row with one id stays repeated
     assert simhash.near_duplicates(df.limit(0)).count() == 0
+    with_null = df.select("doc_id", "text").union(spark.createDataFrame([(None, rows[0][1])], "doc_id long, text string"))
+    assert simhash.one_of_each(with_null).where("doc_id is null").count() == 1
