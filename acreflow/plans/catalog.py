@@ -265,9 +265,14 @@ s AS (SELECT county_id, yr, cx, cy, CASE WHEN NOT d > c THEN 0.01e0 + (et - a) /
 _SINGLE = batch.WeightOptions(lower=0.6, upper=2.0, buffer=0.05, first=_FIRST)
 
 
+def _rasters(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Derived once, as the tables that a run would read."""
+    return tables.settled(X.pixels(spark, sf_dir)), tables.settled(X.stats(spark, sf_dir))
+
+
 @query(_with(*_WEIGHTS, "SELECT county_id, yr, cx, cy, round(weight, 8) weight, round(weight / sum(weight) OVER (PARTITION BY county_id, yr), 8) w_norm FROM s"))
 def weight_surface(spark, sf_dir):
-    out = batch.weights_batch(X.pixels(spark, sf_dir), X.stats(spark, sf_dir), _SINGLE)["weights"]
+    out = batch.weights_batch(*_rasters(spark, sf_dir), _SINGLE)["weights"]
     return _round(out.select(*KEYS, *CELL, "weight", "w_norm"), "weight", "w_norm", digits=8)
 
 
@@ -276,7 +281,7 @@ def weight_surface(spark, sf_dir):
   round(CASE kind WHEN 'exact' THEN e WHEN 'union' THEN u ELSE b END / CAST(planted AS DOUBLE), 9) mask_over_harvest, round(eligible_cells / CAST(planted AS DOUBLE), 9) eligible_over_harvest, threshold ndvi_threshold, qn q_ndvi, qe q_et
   FROM kd LEFT JOIN el ON el.county_id = kd.county_id AND el.yr = kd.yr LEFT JOIN q ON q.county_id = kd.county_id AND q.yr = kd.yr WHERE (kd.county_id, kd.yr) IN (SELECT county_id, yr FROM px)"""))
 def weight_diagnostics(spark, sf_dir):
-    out = batch.weights_batch(X.pixels(spark, sf_dir), X.stats(spark, sf_dir), _SINGLE)["diagnostics"]
+    out = batch.weights_batch(*_rasters(spark, sf_dir), _SINGLE)["diagnostics"]
     return _round(_round(out, "harvest_area_ha", "mask_area_ha", "eligible_area_ha"), "mask_over_harvest", "eligible_over_harvest", digits=9)
 
 
