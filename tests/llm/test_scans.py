@@ -176,6 +176,14 @@ def test_licenses():
     assert [(text[a:b], m.license) for a, b, m in s.scan(text)] == [("Released under the MIT License.", "MIT")] * 2
 
 
+@pytest.mark.parametrize("name", ["MIT", "CC-BY-4.0", "CC-BY-NC-4.0", "Unlicense"])
+def test_licenses_in_long_lines(name):
+    s, r = licenses.Scanner(), random.Random(8)
+    prose = lambda n: " ".join("".join(r.choice("abcdefghiklmnoprstuvw") for _ in range(r.randint(2, 9))) for _ in range(n // 6))
+    for _ in range(10):
+        assert s.match(f"{prose(10_000)}. {licenses.TEMPLATES[name][0][0]} {prose(10_000)}").license == name
+
+
 def test_license_operator(spark):
     df = spark.createDataFrame([(1, None), (2, "Licensed under CC BY 4.0."), (3, "licence unknown")], "doc_id long, text string")
     got = {r.doc_id: [b.license for b in r.blocks] for r in licenses.scan(df).collect()}
