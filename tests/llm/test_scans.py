@@ -184,6 +184,28 @@ def test_licenses_in_long_lines(name):
         assert s.match(f"{prose(10_000)}. {licenses.TEMPLATES[name][0][0]} {prose(10_000)}").license == name
 
 
+def test_wrapped_tagged_and_several_licenses():
+    s = licenses.Scanner()
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights"""
+    bsd = """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions
+ * are met:"""
+    moz = "# This Source Code Form is subject to the terms of the\n# Mozilla Public\n# License, v. 2.0."
+    cc = "// This work is licensed under a Creative\n// Commons Attribution 4.0 International License."
+    for text, name in ((mit, "MIT"), (bsd, "BSD-3-Clause"), (moz, "MPL-2.0"), (cc, "CC-BY-4.0")):
+        assert [(a, b, m.license) for a, b, m in s.scan(f"x\n\n{text}\n\ny")] == [(3, 3 + len(text), name)]
+    of = lambda text: [m and m.license for _, _, m in s.scan(text)]
+    assert of("# SPDX-License-Identifier: MIT") == ["MIT"]
+    assert of("/* SPDX-License-Identifier: (GPL-2.0-or-later OR Apache-2.0) */\nint x;") == ["Apache-2.0", "GPL-2.0"]
+    assert of("SPDX-License-Identifier: Zlib") == [None]
+    assert of("Released under the MIT License or the Apache License, Version 2.0.") == ["Apache-2.0", "MIT"]
+    assert of("Licensed under CC BY 4.0 for text that we wrote and licensed under CC BY-SA 4.0.") == ["CC-BY-4.0", "CC-BY-SA-4.0"]
+    assert of("This work is licensed under the GNU Lesser General Public License, version 3.") == ["LGPL-3.0"]
+    assert of("Released under the\n\nMIT License.") == [None]
+
+
 def test_license_operator(spark):
     df = spark.createDataFrame([(1, None), (2, "Licensed under CC BY 4.0."), (3, "licence unknown")], "doc_id long, text string")
     got = {r.doc_id: [b.license for b in r.blocks] for r in licenses.scan(df).collect()}
