@@ -2,9 +2,11 @@
 
 The tagger is trained here, in numpy, from labelled spans of seeded examples: the kinds as they are written and as
 they are veiled (spelled-out or bracketed separators, no plus sign, dotted groups). Texts are cut into overlapping
-windows; a window is decoded on its own, spans that touch an inner edge are left to the neighbour, and what remains
-is reconciled over the whole text: the set of spans without overlaps that weighs most. Decoding is constrained: a
-span holds a digit or an at sign (plain or bracketed); so windows without one decode to nothing and aren't run.
+windows. A window is decoded on its own, without spans that touch an inner edge; a run of overlapping windows is
+decoded as a whole too, each place by the window in which it lies deepest, so a span may be of any length, and a run
+grows while a span touches its inner edge. All that is found is reconciled over the whole text: the set of spans
+without overlaps that weighs most. Decoding is constrained: a span holds a digit or an at sign (plain or bracketed);
+so runs start from windows with one.
 
 Defined results: offsets count code points, ends are exclusive; a null text is an empty one; base spans always
 stay, and added ones never overlap them; repeated rows stay; other columns of the input are not read.
@@ -230,29 +232,91 @@ def reconcile(found: dict[Span, float]) -> list[Span]:
     return out[::-1]
 
 
+def _runs(starts: list[int]) -> list[tuple[int, ...]]:
+    """Window starts in order, as runs of overlapping windows."""
+    out: list[list[int]] = []
+    for at in starts:
+        if out and at - out[-1][-1] < WINDOW:
+            out[-1].append(at)
+        else:
+            out.append([at])
+    return [tuple(x) for x in out]
+
+
+def _decoded(tagger: Tagger, texts: list[str], runs: list[tuple[int, tuple[int, ...]]], rows: int) -> Iterator[tuple[int, tuple[int, ...], dict[Span, float], bool, bool]]:
+    """(text number, run, weighed spans, whether a span touches the run's inner edge before and behind)."""
+
+    def spans(i: int, path: np.ndarray, e: np.ndarray, start: int) -> tuple[dict[Span, float], bool, bool]:
+        size, found, before, behind = len(texts[i]), {}, False, False
+        for kind, a, b in _spans_of(path):
+            b = min(b, size - start)
+            if a >= b:
+                continue
+            edges = a == 0 and start > 0, b == len(e) and start + b < size
+            before, behind = before or edges[0], behind or edges[1]
+            if not any(edges):
+                found[KINDS[kind], start + a, start + b] = float((e[a:b, 1 + 2 * kind : 3 + 2 * kind].max(-1) - e[a:b, 0]).sum())
+        return found, before, behind
+
+    at = 0
+    while at < len(runs):
+        group = [runs[at]]
+        while at + len(group) < len(runs) and sum(len(run) for _, run in group) < rows:
+            group.append(runs[at + len(group)])
+        at += len(group)
+        windows = [(j, start) for j, (_, run) in enumerate(group) for start in run]
+        stitched = [np.empty((min(run[-1] + WINDOW, len(texts[i])) - run[0], tagger.tags), np.float32) for i, run in group]
+        ends = [[(x + WINDOW + y) // 2 for x, y in zip(run, run[1:], strict=False)] + [run[-1] + WINDOW] for _, run in group]
+        place: list[int] = [0] * len(group)
+        found: list[dict[Span, float]] = [{} for _ in group]
+        for first in range(0, len(windows), rows):
+            part = windows[first : first + rows]
+            x = np.zeros((len(part), WINDOW), np.int64)
+            for j, (g, start) in enumerate(part):
+                own = encode(texts[group[g][0]][start : start + WINDOW])
+                x[j, : len(own)] = own
+            emissions = tagger.emissions(x)
+            for j, path in enumerate(tagger.decode(emissions)):
+                g, start = part[j]
+                i, run = group[g]
+                low, high = (ends[g][place[g] - 1] if place[g] else start), min(ends[g][place[g]], len(texts[i]))
+                stitched[g][low - run[0] : high - run[0]] = emissions[j, low - start : high - start]
+                place[g] += 1
+                if path.any():
+                    for span, weight in spans(i, path, emissions[j], start)[0].items():
+                        found[g][span] = max(weight, found[g].get(span, 0.0))
+        for g, path in enumerate(tagger.decode_runs(stitched)):
+            i, run = group[g]
+            whole, before, behind = spans(i, path, stitched[g], run[0])
+            for span, weight in whole.items():
+                found[g][span] = max(weight, found[g].get(span, 0.0))
+            yield i, run, found[g], before, behind
+
+
 def added_spans(tagger: Tagger, texts: list[str], base: list[list[Span]], rows: int = 1024) -> list[list[Span]]:
     """What the tagger adds to each text."""
-    at = [(i, start) for i, text in enumerate(texts) for start in _cued(text)]
+    starts = {i: at for i, text in enumerate(texts) if (at := _cued(text))}
+    known: dict[int, dict[tuple[int, ...], dict[Span, float]]] = {i: {} for i in starts}
+    open_ = [(i, run) for i, at in starts.items() for run in _runs(at)]
+    while open_:
+        more: dict[int, set[int]] = {}
+        for i, run, spans, before, behind in _decoded(tagger, texts, open_, rows):
+            known[i][run] = spans
+            last = max(0, len(texts[i]) - WINDOW)
+            # A run that a span leaves doubles on that side.
+            reach = STRIDE * len(run)
+            if before:
+                more.setdefault(i, set()).update(range(max(0, -(-(run[0] - reach) // STRIDE) * STRIDE), run[0], STRIDE))
+            if behind:
+                more.setdefault(i, set()).update(min(x, last) for x in range(run[-1] + STRIDE, run[-1] + reach + STRIDE, STRIDE))
+        open_ = []
+        for i, new in more.items():
+            starts[i] = sorted(new.union(starts[i]))
+            open_ += [(i, run) for run in _runs(starts[i]) if run not in known[i]]
     found: list[dict[Span, float]] = [{} for _ in texts]
-    for first in range(0, len(at), rows):
-        part = at[first : first + rows]
-        x = np.zeros((len(part), WINDOW), np.int64)
-        for j, (i, start) in enumerate(part):
-            own = encode(texts[i][start : start + WINDOW])
-            x[j, : len(own)] = own
-        emissions = tagger.emissions(x)
-        for j, path in enumerate(tagger.decode(emissions)):
-            if not path.any():
-                continue
-            i, start = part[j]
-            size = len(texts[i])
-            for kind, a, b in _spans_of(path):
-                b = min(b, size - start)
-                if a >= b or (a == 0 and start > 0) or (b == WINDOW and start + WINDOW < size):
-                    continue
-                weight = float((emissions[j, a:b, 1 + 2 * kind : 3 + 2 * kind].max(-1) - emissions[j, a:b, 0]).sum())
-                span = (KINDS[kind], start + a, start + b)
-                found[i][span] = max(weight, found[i].get(span, 0.0))
+    for i, at in starts.items():
+        for run in _runs(at):
+            found[i] |= known[i][run]
     out = []
     for text, own, spans in zip(texts, base, found, strict=True):
         own = sorted((a, b) for _, a, b in own)

@@ -6,6 +6,8 @@ import numpy as np
 
 PAD, WIDE_LETTER, WIDE_OTHER, BLANK = 0, 97, 98, 99
 SYMBOLS = 100
+#: Places of a long run that are decoded together.
+BLOCK = 64
 _TABLE = np.zeros(128, np.int64)
 _TABLE[32:127] = np.arange(1, 96)
 _TABLE[[9, 10, 11, 12, 13]] = BLANK
@@ -138,3 +140,54 @@ class Tagger:
         for t in range(length - 1, 0, -1):
             path[:, t - 1] = np.take_along_axis(back[t], path[:, t, None].astype(np.intp), 1)[:, 0]
         return path
+
+    def decode_runs(self, runs: list[np.ndarray]) -> list[np.ndarray]:
+        """Best tag paths of emissions (length, tags) of different lengths."""
+        out: list[np.ndarray] = [np.empty(0, np.int8)] * len(runs)
+        short: dict[int, list[int]] = {}
+        for i, e in enumerate(runs):
+            if len(e) > 4 * BLOCK:
+                out[i] = self.decode_long(e)
+            else:
+                short.setdefault(len(e), []).append(i)
+        for at in short.values():
+            for first in range(0, len(at), 1024):
+                part = at[first : first + 1024]
+                for i, path in zip(part, self.decode(np.stack([runs[i] for i in part])), strict=True):
+                    out[i] = path
+        return out
+
+    def decode_long(self, e: np.ndarray) -> np.ndarray:
+        """The best path of one long run: blocks are solved together for every tag before them, then joined."""
+        tr, k = self.p["t"], e.shape[1]
+        n = -(-(len(e) - 1) // BLOCK)
+        steps = np.zeros((n * BLOCK, k), e.dtype)
+        steps[: len(e) - 1] = e[1:]
+        steps = steps.reshape(n, BLOCK, k)
+        idle = BLOCK * n - (len(e) - 1)  # places past the end, in the last block
+        most = np.full((n, k, k), -1e30, np.float32)  # by block, tag before it and its last tag
+        most[:, np.arange(k), np.arange(k)] = 0
+        for first in range(0, n, 2048):
+            own = most[first : first + 2048]
+            for t in range(BLOCK):
+                live = len(own) - (first + len(own) == n and t >= BLOCK - idle)
+                own[:live] = (own[:live, :, :, None] + tr).max(2) + steps[first : first + live, t, None, :]
+        score, came = e[0].astype(np.float64), np.empty((n, k), np.intp)
+        for i in range(n):
+            both = score[:, None] + most[i]
+            came[i], score = both.argmax(0), both.max(0)
+        tags = np.empty(n + 1, np.intp)  # at block ends
+        tags[n] = score.argmax()
+        for i in range(n - 1, -1, -1):
+            tags[i] = came[i, tags[i + 1]]
+        now, back = np.where(np.arange(k) == tags[:-1, None], 0, -1e30).astype(np.float32), np.empty((BLOCK, n, k), np.int8)
+        for t in range(BLOCK):
+            live = n - (t >= BLOCK - idle)
+            both = now[:live, :, None] + tr
+            back[t, :live], back[t, live:] = both.argmax(1), np.arange(k)
+            now[:live] = both.max(1) + steps[:live, t]
+        path = np.empty((n, BLOCK + 1), np.int8)
+        path[:, BLOCK] = tags[1:]
+        for t in range(BLOCK - 1, -1, -1):
+            path[:, t] = np.take_along_axis(back[t], path[:, t + 1, None].astype(np.intp), 1)[:, 0]
+        return np.concatenate([tags[:1].astype(np.int8), path[:, 1:].reshape(-1)])[: len(e)]

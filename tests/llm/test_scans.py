@@ -119,6 +119,44 @@ def test_added_spans_are_clear_of_base_ones_and_of_clean_texts(tagger):
     assert pii.added_spans(tagger, [text], [pii.base_spans(text)]) == [[]]
 
 
+class ByClass(Tagger):
+    """Tags letters, digits and some marks by what they are: everything but blanks and low lines is in a span."""
+
+    def __init__(self, kind):
+        super().__init__(1 + 2 * len(pii.KINDS))
+        self.kind = pii.KINDS.index(kind)
+
+    def emissions(self, x):
+        import numpy as np
+
+        e = np.zeros((*x.shape, self.tags), np.float32)
+        e[..., 2 + 2 * self.kind] = np.where((x == 0) | np.isin(x, encode(" _")), -1.0, 1.0)
+        return e
+
+
+@pytest.mark.parametrize("kind, form", [
+    ("ip", "2001:0db8:85a3:1234:5678:8a2e:0370:7334"),
+    ("email", "maximiliane.von.hohenstein(at)post.rechenzentrum.example.com"),
+    ("email", "a" * 300 + "(at)" + "b" * 900 + ".example.com"),
+])
+def test_added_spans_of_any_length_at_any_place(kind, form):
+    tagger = ByClass(kind)
+    for at in range(500, 500 + 2 * pii.WINDOW):
+        text = "_ " * (at // 2) + " " * (at % 2) + form + " _" * 500
+        assert pii.added_spans(tagger, [text, "_", form], [[], [], []]) == [[(kind, at, at + len(form))], [], [(kind, 0, len(form))]]
+
+
+def test_long_runs_decode_as_short_ones():
+    import numpy as np
+
+    t, r = Tagger(5, hidden=2), np.random.default_rng(3)
+    t.p["t"] = r.normal(size=(5, 5)).astype(np.float32)
+    for n in (2, 64, 65, 66, 128, 129, 300, 641):
+        e = r.normal(size=(n, 5)).astype(np.float32)
+        assert t.decode_long(e).tolist() == t.decode(e[None])[0].tolist(), n
+        assert t.decode_runs([e[:7], e])[1].tolist() == t.decode(e[None])[0].tolist()
+
+
 def test_windows_cover_each_cue():
     text = "x" * 500 + "@" + "y" * 130 + "7"
     starts = pii._cued(text)
