@@ -3,7 +3,7 @@
 Strong forms stand alone: assigned passwords and tokens, long access identifiers, long hexadecimal runs. Weak
 candidates (short identifiers, assigned client ids, random-looking strings, endpoints) are only parts of a
 credential. Each part opens an interval around itself, clipped to its scope (text between blank lines); identifiers,
-secrets and endpoints are joined where a part lies in another's interval, and a weak one is reported only if its
+secrets and endpoints, however long, are joined where a part begins or ends in another's interval or spans it, and a weak one is reported only if its
 complement co-occurs: a secret with an identifier or an endpoint, an identifier with a secret, an endpoint with both.
 
 Defined results: offsets count code points, ends are exclusive; a null text is an empty one without spans; spans
@@ -18,6 +18,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,7 +29,7 @@ from acreflow.llm.common import slices, strings
 BASE = ("assign", "access", "hex")
 WEAK = ("ident", "secret", "endpoint")
 KINDS = BASE + WEAK
-#: Code points around a part within which its complement counts.
+#: Code points around a part within which its complement must reach.
 REACH = 240
 
 _ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -38,7 +39,7 @@ _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 _IDENT = re.compile(r"""\b(?:AKIA|ASIA)[A-Z0-9]{6,}|(?i:\b(?:access|client|user|account|app|tenant|key)(?:[_-]?key)?[_-]?(?:id|name))["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{4,})""", re.ASCII)
 _ENDPOINT = re.compile(r"""[a-z][a-z0-9+]{1,9}://[^\s"'<>]{4,}|(?i:\b(?:endpoint|host|hostname|server|url))["']?\x20*[:=]\x20*["']?([A-Za-z0-9.:/_-]{4,})""", re.ASCII)
-_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_-])")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_-])")
 _BLANK = re.compile(r"\n[\x20\t\r]*\n")
 
 
@@ -91,13 +92,14 @@ def linked_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
     scopes = [0, *(m.end() for m in _BLANK.finditer(text)), len(text) + 1]
 
     def joined(spans: list, others: list[tuple[int, int]]) -> list:
-        """Those of ``spans`` in whose interval, clipped to the scope, one of ``others`` lies."""
+        """Those of ``spans`` whose interval, clipped to the scope, one of ``others`` reaches."""
         starts, out = [a for a, _ in others], []
+        ends = list(accumulate((b for _, b in others), max))
         for kind, a, b in spans:
             scope = bisect_left(scopes, a + 1)
             low, high = max(a - REACH, scopes[scope - 1]), min(b + REACH, scopes[scope])
-            i = bisect_left(starts, low)
-            if i < len(others) and others[i][1] <= high:
+            i = bisect_left(starts, high)  # others that begin before the interval's end
+            if i and ends[i - 1] > low:
                 out.append((kind, a, b))
         return out
 

@@ -195,6 +195,17 @@ def test_weak_parts_need_their_complement():
     assert secrets.scan_text("see https://db.example.com/x client_id=svc-report-01")[1] == []
 
 
+@pytest.mark.parametrize("n", [100, 128, 129, 200, 350, 5000])
+def test_long_weak_secrets_are_linked(n):
+    r = random.Random(n)
+    token = "a1" + "".join(r.choice("ABCDEFGHabcdefgh0123456789") for _ in range(n - 2))
+    for text in (f"client_id = svc-report-01\nhere {token} it is", f"here {token} it is\nclient_id = svc-report-01"):
+        ident, at = text.index("client_id"), text.index(token)
+        assert secrets.scan_text(text)[1] == sorted([("ident", ident, ident + 25), ("secret", at, at + n)], key=lambda s: s[1])
+    text = f"client_id = svc-report-01 password={token}"
+    assert secrets.scan_text(text) == ([("assign", 26, 35 + n)], [("ident", 0, 25)])
+
+
 def test_redaction(spark):
     rows = [(1, None, 1), (2, "plain", 5), (3, "a password=abcdefgh12 b", 23), (4, 'token = "' + "ab" * 20 + '" end', 0)]
     out = {r.doc_id: r.text for r in secrets.redact(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()}
