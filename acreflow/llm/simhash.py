@@ -206,8 +206,18 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
 
 
 def one_of_each(df: DataFrame, **options) -> DataFrame:
-    """The rows of ``df`` that stand for their near-duplicate components: those with the least doc_id.
-
-    Rows without an id stay; rows that share the least id stay together. What goes is joined away, the smaller set."""
-    gone = near_duplicates(df, **options).where("doc_id != component_id").select("doc_id").distinct()
-    return df.join(gone, "doc_id", "left_anti").select(df.columns)
+    """The rows of ``df`` that stand for their near-duplicate components: one with the least doc_id, and one of those
+    without an id, if there are any.
+
+    Rows are told apart by a number that they get when they are stored, so neither repeated nor missing ids matter.
+    What goes is joined away, the smaller set."""
+    rows = stored(df.withColumn("_row", F.monotonically_increasing_id()))
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("_row").alias("row")).alias("_key")
+    found = near_duplicates(rows.select(key, options.get("text", "text")), key="_key", **options).select("_key", "component_id")
+    # Rows with an id come first in a component; those without one have a least one of their own.
+    named = found.where("not _key.no_id and _key != component_id")
+    bare = found.where("_key.no_id")
+    least = bare.groupBy("component_id").agg(F.min("_key").alias("_least"))
+    bare = bare.join(least, "component_id").where("_key != _least")
+    gone = named.union(bare.select("_key", "component_id")).select("_key.row")
+    return rows.join(gone, rows._row == gone.row, "left_anti").select(df.columns)

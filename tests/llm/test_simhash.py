@@ -126,3 +126,10 @@ def test_operator_against_brute_force(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
     with_null = df.select("doc_id", "text").union(spark.createDataFrame([(None, rows[0][1])], "doc_id long, text string"))
     assert simhash.one_of_each(with_null).where("doc_id is null").count() == 1
+
+
+def test_one_row_of_each_component_stays(spark):
+    a, b, c = ("one text of several words " * 3, "quite another thing that stands here alone", "a third one with yet other words in it")
+    rows = [(5, a, 0), (9, a, 1), (9, b, 2), (7, c, 3), (7, c, 4), (None, "no id " + b, 5), (None, "no id " + b, 6), (None, a, 7), (None, a, 8)]
+    kept = sorted((x.n, x.doc_id, x.text) for x in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect())
+    assert [(x, t) for _, x, t in kept] == [(5, a), (9, b), (7, c), (None, "no id " + b), (None, a)]
