@@ -8,18 +8,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ("county_id", "yr")
-#: Units of a county and year up to which a full distance matrix is made (800 MB of doubles at 10,000).
+#: Units within reach of each other up to which a full distance matrix is made (800 MB of doubles at 10,000).
 MOST_UNITS = 10_000
 
 
+def _within_reach(x: np.ndarray, y: np.ndarray, height: float) -> list[np.ndarray]:
+    """Single-linkage components at ``height``, as ascending places: units of different ones never share a zone."""
+    rest, found = np.arange(len(x)), []
+    while len(rest):
+        group, frontier, rest = [rest[:1]], rest[:1].tolist(), rest[1:]
+        while frontier and len(rest):
+            i = frontier.pop()
+            near = np.hypot(x[rest] - x[i], y[rest] - y[i]) <= height
+            group.append(rest[near])
+            frontier += rest[near].tolist()
+            rest = rest[~near]
+        found.append(np.sort(np.concatenate(group)))
+    return found
+
+
 def complete_linkage(x: np.ndarray, y: np.ndarray, height: float) -> np.ndarray:
     """Zone numbers from 1, by first appearance: clusters merged while their largest distance is at most ``height``.
 
     Nearest-neighbour chains on the matrix of largest distances: O(n²) time and memory. Complete linkage is
-    reducible, so the chain's merges, taken by height, are those of the greedy order. Ties go to the lower index."""
+    reducible, so the chain's merges, taken by height, are those of the greedy order. Ties go to the lower index.
+    Above MOST_UNITS the components within reach are clustered on their own, with the same zones; only one component
+    above it is refused."""
     n = len(x)
     if n > MOST_UNITS:
-        raise ValueError(f"{n} units are too many for one distance matrix")
+        parts = _within_reach(x, y, height)
+        if (most := max(map(len, parts))) > MOST_UNITS:
+            raise ValueError(f"{most} units within reach of each other are too many for one distance matrix")
+        low = np.empty(n, np.int64)  # the first unit of each one's zone
+        for at in parts:
+            zone = complete_linkage(x[at], y[at], height)
+            _, first = np.unique(zone, return_index=True)
+            low[at] = at[first[zone - 1]]
+        return np.unique(low, return_inverse=True)[1] + 1
     d = np.hypot(x[:, None] - x[None, :], y[:, None] - y[None, :])
     np.fill_diagonal(d, np.inf)
     alive, parent = np.ones(n, bool), np.arange(n)

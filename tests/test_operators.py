@@ -146,6 +146,15 @@ def test_complete_linkage_equals_the_greedy_order(h):
         zones.complete_linkage(np.zeros(zones.MOST_UNITS + 1), np.zeros(zones.MOST_UNITS + 1), h)
 
 
+@pytest.mark.parametrize("h", [0.0, 3.0, 8.0])
+def test_units_above_the_matrix_are_clustered_by_components(h, monkeypatch):
+    r = np.random.default_rng(9)
+    x, y = np.round(r.random(120) * 100), np.round(r.random(120) * 100)
+    whole = zones.complete_linkage(x, y, h)
+    monkeypatch.setattr(zones, "MOST_UNITS", 100)
+    assert zones.complete_linkage(x, y, h).tolist() == whole.tolist() == greedy_linkage(x, y, h)
+
+
 def zone_rows(spark, rows):
     data = [(1, 2000, 1.0, i, x, 0.0, a, a * y, n, y, 100.0) for i, (x, a, y, n) in enumerate(rows)]
     return spark.createDataFrame(data, "county_id int, yr int, beta double, cluster_id long, x double, y double, cluster_area_ha double, cluster_prod_kg double, n_units long, cluster_yield_kg_ha double, floor double")
