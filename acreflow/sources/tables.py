@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sqlite3
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -109,15 +110,46 @@ def not_cached(targets: DataFrame, cached: DataFrame, keys: tuple[str, ...] = ("
     return targets.join(cached.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Writes a result that several others read, once, as a table in the shared checkpoint folder, and reads it back.
+# Results that are read more than once: tables in the shared folder
 
-    Plans stay small, nothing is computed twice, and lost executors take nothing with them. The folder is the session's
-    spark.checkpoint.dir; one is set only where it is unset."""
-    spark = df.sparkSession
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir. Where it is unset, a local session gets a folder of its own; a cluster gets
+    an error, since a folder of one machine is lost to the others."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/acreflow-checkpoints")
-    path = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="acreflow-")
+        sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def _file_system(spark: SparkSession, path: str):
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), there
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Writes a result that is read several times, once, as a table in the shared folder, and reads it back.
+
+    Plans stay small, nothing is computed twice, and lost executors take nothing with them. The table goes with
+    ``dropped``, or else when the session ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    system, there = _file_system(spark, path)
+    system.deleteOnExit(there)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Deletes the tables of ``frames``, which ``settled`` returned and nothing reads any more."""
+    for df in frames:
+        system, there = _file_system(df.sparkSession, df._settled_at)
+        system.delete(there, True)
+        system.cancelDeleteOnExit(there)
