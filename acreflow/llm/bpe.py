@@ -13,6 +13,7 @@ The vocabulary (some 50k entries) is sent once to each executor; its size doesn'
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import re
 from array import array
@@ -25,7 +26,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from acreflow.llm.common import Memo, bounded, slices, strings
+from acreflow.llm.common import Memo, slices, strings
 
 #: Resolved pre-tokens that a Python worker remembers between batches.
 MEMO_ENTRIES = 300_000
@@ -187,7 +188,7 @@ def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: st
     """(key, n_tokens long, ids binary): ids as little-endian unsigned 32-bit integers, of every row's whole text.
 
     A narrow operator: one pass, no shuffle; a row's memory is its text and ids."""
-    codec = _shared(bounded(df), path, pattern)
+    codec = _shared(df, path, pattern)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec.value
@@ -201,8 +202,10 @@ def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: st
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """All columns, and the bytes of the ids in ``ids`` (as ``encode`` writes them; null: empty) in ``out``."""
-    codec = _shared(bounded(df), path, pattern)
+    """All columns, and the bytes of the ids in ``ids`` (as ``encode`` writes them; null: empty) in ``out``,
+    which replaces a column of that name."""
+    codec = _shared(df, path, pattern)
+    df = df.drop(out) if out != ids else df
     at, names = df.columns.index(ids), df.columns
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,3 +216,24 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(raw, pa.binary())], [*names, out])
 
     return df.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + f", `{out}` binary")
+
+
+def coded(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_tokens long, ids_sha256, decoded_sha256): every row's text encoded, and its ids decoded again, in one
+    pass; neither ids nor bytes leave the worker."""
+    codec = _shared(df, path, pattern)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec.value
+        for batch in it:
+            for part in slices(batch, 1):
+                sizes, coded, decoded = [], [], []
+                for x in strings(part, 1):
+                    ids = own.encode(x)
+                    sizes.append(len(ids))
+                    coded.append(hashlib.sha256(_little(ids)).hexdigest())
+                    decoded.append(hashlib.sha256(own.decode(ids)).hexdigest())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    rows = df.select(df[key].alias("key"), df[text].alias("text"))
+    return rows.mapInArrow(run, f"key {dict(rows.dtypes)['key']}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)

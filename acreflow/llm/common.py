@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from acreflow.sources.tables import dropped, settled
+
+__all__ = ["BATCH_BYTES", "Memo", "batches_of", "dropped", "settled", "slices", "strings", "table"]
+
 #: Arrow batches are cut to about this many bytes of text before Python objects are made of them.
 BATCH_BYTES = 4 << 20
 
@@ -16,11 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded(df: DataFrame, size: str = "8m") -> DataFrame:
-    """``df``, its session's Arrow batches cut to ``size`` of rows: where Python operators stand in a row, each holds
-    one batch in the JVM and one in its worker."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
-    return df
+@contextmanager
+def batches_of(spark: SparkSession, size: str = "4m") -> Iterator[None]:
+    """For jobs started within: Arrow batches to Python of at most ``size``. The session's own setting returns."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def slices(batch: pa.RecordBatch, column: int, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
@@ -50,17 +59,3 @@ class Memo(dict):
             self.clear()
         self[key] = value
         return value
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as a table in the shared checkpoint folder and read it back.
-
-    For results that are read more than once: unlike ``checkpoint()`` it doesn't compute its input twice, and
-    unlike a cache it survives lost executors."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/acreflow-checkpoints")
-    path = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

@@ -1,15 +1,18 @@
 """Media payloads in content-defined chunks, deduplicated by digest, rebuilt from ordered chunk lists and verified.
 
 A rolling gear hash over the last 32 bytes cuts each payload; a manifest lists its chunks' lengths and SHA-256
-digests in order. Digests are counted by a Spark grouping. Chunks that occur once stay with their documents: each
-task packs them, compressed, beside the manifests that need them. Chunks that occur more than once are stored once,
-under their digest, and joined back to the manifests that name them. Which chunks are shared is told to the tasks by
-a bit table of fixed size: a false hit only sends a single chunk the longer way, so the table needs no growth.
-Reading back is local for documents without shared chunks; of the others each distinct manifest is assembled once,
-in a group of its own (one payload), and every document with that manifest takes the result.
-
-Every chunk read back is checked against its digest. Defined results: a null text is an empty payload (padding
-only); equal texts have equal values; repeated rows stay; other columns of the input are not read.
+digests in order. Documents are packed, about a MB of text each; a pack stages each of its distinct chunks once.
+Digests that several packs hold are found by a grouping of digests, joined back to the packs that hold them, and the
+first of these packs owns the chunk: the store keeps every distinct chunk once, compressed, either among a pack's own
+data or as a shared chunk of its owner. Reading back is local for documents without shared chunks of other packs;
+the other packs fetch theirs, each once, by a join on the digest. Nothing is broadcast, and no size changes the way.
+
+Every chunk read back is checked against its digest. media_bytes and media_sha256 are taken over what is read back of
+a medium: its chunk list, then its chunks in order.
+
+Defined results: a null text is an empty payload (padding only); equal texts have equal values; repeated rows stay;
+null and repeated keys are kept as they are; other columns of the input are not read; a text beyond a pack's size is a
+pack of its own. Memory is a few packs, one text at least.
 """
 
 from __future__ import annotations
@@ -17,21 +20,23 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acreflow.llm.common import slices, stored, strings
+from acreflow.llm.common import batches_of, dropped, settled, slices, strings
 
 UNIT, PAD = 576, 255
 LEAST, MOST, MASK_BITS = 256, 8192, 10
-#: Bits of the table of shared digests.
-TABLE_BITS = 1 << 26
+#: Bytes of text of a pack, about.
+PACK_BYTES = 1 << 20
 _MAGIC = b"GCL1"
 _GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 1) for b in range(256)], np.uint32)
 
@@ -112,144 +117,119 @@ def features(manifest: bytes, chunks: list[bytes]) -> dict:
     }
 
 
-FEATURES_SQL = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 _FEATURES = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
+FEATURES_SQL = ", ".join(f"{name} {'long' if kind == pa.int64() else 'string'}" for name, kind in _FEATURES)
+_BLOBS = pa.list_(pa.binary())
 
 
-def _columns(rows: list[dict]) -> list[pa.Array]:
-    return [pa.array([r[n] for r in rows], t) for n, t in _FEATURES]
+def _told(keys: pa.Array, rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([keys, *(pa.array([r[n] for r in rows], t) for n, t in _FEATURES)], ["key", *(n for n, _ in _FEATURES)])
 
 
-def _places(digests: list[bytes]) -> np.ndarray:
-    """Three bits of the table for each digest."""
-    return np.frombuffer(b"".join(d[:12] for d in digests), ">u4").reshape(-1, 3) % TABLE_BITS
+def _split(raw: bytes, lengths: Iterable[int]) -> list[bytes]:
+    ends = [0, *accumulate(lengths)]
+    return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
-def _table_of(digests: DataFrame) -> np.ndarray:
-    """The bit table of digests: words made by a grouping, at most TABLE_BITS / 64 of them, whatever the input."""
-    word = lambda i: F.conv(F.hex(F.substring("digest", 1 + 4 * i, 4)), 16, 10).cast("long") % TABLE_BITS
-    bits = digests.select(F.explode(F.array(*map(word, range(3)))).alias("bit"))
-    words = bits.groupBy(F.shiftright("bit", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")).alias("mask"))
-    table = np.zeros(TABLE_BITS // 64, np.int64)
-    for r in words.toLocalIterator():
-        table[r.word] = r.mask
-    return table.view(np.uint64)
+def _lists(values: list, kind: pa.DataType) -> pa.Array:
+    """One list in one row."""
+    return pa.array([values], pa.list_(kind))
 
 
-def _hit(table: np.ndarray, digests: list[bytes]) -> list[bool]:
-    p = _places(digests).astype(np.uint64)
-    return ((table[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1)).all(1).tolist()
+def _staged(rows: DataFrame, pack_bytes: int) -> DataFrame:
+    """(pack, keys, manifests, digests, lengths, data): data holds the pack's distinct chunks, in the order of digests."""
 
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze, pack = zstandard.ZstdCompressor(level=6), TaskContext.get().partitionId() << 33
+        for batch in it:
+            for part in slices(batch, 1, pack_bytes):
+                made = chunked(strings(part, 1))
+                once = {d: x for _, named in made for d, x in named}
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([pack], pa.int64()), _lists(part.column(0).to_pylist(), part.column(0).type), _lists([m for m, _ in made], pa.binary()), _lists(list(once), pa.binary()),
+                    _lists(list(map(len, once.values())), pa.int32()), pa.array([squeeze.compress(b"".join(once.values()))], pa.binary()),
+                ], ["pack", "keys", "manifests", "digests", "lengths", "data"])
+                pack += 1
 
-class Store:
-    """The stored chunks of one table of texts.
-
-    packs: (keys, manifests, data), data the unshared chunks of those manifests in order, compressed together.
-    shared: (digest, data), each shared chunk once."""
+    return rows.mapInArrow(run, f"pack long, keys array<{dict(rows.dtypes)['key']}>, manifests array<binary>, digests array<binary>, lengths array<int>, data binary")
 
-    def __init__(self, packs: DataFrame, shared: DataFrame, table, key_type: str):
-        self.packs, self.shared, self.table, self.key_type = packs, shared, table, key_type
 
+def store(df: DataFrame, key: str = "doc_id", text: str = "text", pack_bytes: int = PACK_BYTES) -> DataFrame:
+    """The stored chunks of a table of texts, a row a pack:
 
-def store(df: DataFrame, key: str = "doc_id", text: str = "text") -> Store:
-    """Chunks and stores the texts: one pass for the digests, one for the chunks."""
+    keys, manifests, data: of documents whose chunks are all in the pack, and these chunks, compressed together;
+    open_keys, open_manifests: of documents that need another pack's chunks; wanted: these chunks' digests;
+    own, own_data: shared chunks that the pack owns, each compressed; data holds the other chunks of open documents too.
+    digests, lengths: the chunks in data, in order."""
     rows = df.select(df[key].alias("key"), df[text].alias("text"))
     key_type = dict(rows.dtypes)["key"]
-
-    def digests(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    with batches_of(df.sparkSession):
+        staged = settled(_staged(rows, pack_bytes))
+    held = staged.select("pack", F.explode("digests").alias("digest"))
+    shared = held.groupBy("digest").agg(F.min("pack").alias("owner"), F.count("*").alias("n")).where("n > 1").select("digest", "owner")
+    marks = held.join(shared, "digest").groupBy("pack").agg(F.collect_list(F.struct("digest", (F.col("owner") == F.col("pack")).alias("own"))).alias("marks"))
+
+    def settle(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=6)
         for batch in it:
-            for part in slices(batch, 1):
-                yield pa.RecordBatch.from_arrays([pa.array([d for _, named in chunked(strings(part, 1)) for d, _ in named], pa.binary())], ["digest"])
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                pack, keys, manifests, digests, lengths, data, marks = (c[0].as_py() for c in row.columns)
+                own = {x["digest"]: x["own"] for x in marks or ()}
+                away = {d for d, mine in own.items() if not mine}
+                opened = [any(d in away for _, d in read_manifest(m)[2]) for m in manifests] if away else [False] * len(keys)
+                of = lambda values, want, kind, opened=opened: _lists([v for v, o in zip(values, opened, strict=True) if o == want], kind)
+                key_kind = row.column(1).type.value_type
+                if own:
+                    chunks = dict(zip(digests, _split(zstandard.decompress(data), lengths), strict=True))
+                    alone = {d: x for d, x in chunks.items() if d not in own}
+                    digests, lengths, data = list(alone), list(map(len, alone.values())), squeeze.compress(b"".join(alone.values()))
+                mine = [d for d, mine in own.items() if mine]
+                yield pa.RecordBatch.from_arrays([
+                    row.column(0), of(keys, False, key_kind), of(manifests, False, pa.binary()), of(keys, True, key_kind), of(manifests, True, pa.binary()), _lists(digests, pa.binary()), _lists(lengths, pa.int32()),
+                    pa.array([data], pa.binary()), _lists(mine, pa.binary()), _lists([squeeze.compress(chunks[d]) for d in mine], pa.binary()), _lists(sorted(away), pa.binary()),
+                ], ["pack", "keys", "manifests", "open_keys", "open_manifests", "digests", "lengths", "data", "own", "own_data", "wanted"])
+
+    blobs = ", ".join(f"{c} array<binary>" for c in ("own", "own_data", "wanted"))
+    schema = f"pack long, keys array<{key_type}>, manifests array<binary>, open_keys array<{key_type}>, open_manifests array<binary>, digests array<binary>, lengths array<int>, data binary, {blobs}"
+    with batches_of(df.sparkSession):
+        out = settled(staged.join(marks, "pack", "left").mapInArrow(settle, schema))
+    dropped(staged)
+    return out
 
-    counts = rows.mapInArrow(digests, "digest binary").groupBy("digest").count()
-    table = df.sparkSession.sparkContext.broadcast(_table_of(counts.where("count > 1")))
 
-    def packed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze, seen = zstandard.ZstdCompressor(level=3), set()
-        for batch in it:
-            for part in slices(batch, 1):
-                made = chunked(strings(part, 1))
-                every = [x for _, named in made for x in named]
-                hits = _hit(table.value, [d for d, _ in every])
-                alone = b"".join(x for (_, x), hit in zip(every, hits, strict=True) if not hit)
-                if len(seen) > 500_000:
-                    seen.clear()
-                fresh = {d: x for (d, x), hit in zip(every, hits, strict=True) if hit and d not in seen}
-                seen.update(fresh)
-                keys, manifests = pa.array([part.column(0).to_pylist()], pa.list_(part.column(0).type)), pa.array([[m for m, _ in made]], pa.list_(pa.binary()))
-                yield pa.RecordBatch.from_arrays([keys, manifests, pa.array([squeeze.compress(alone)], pa.binary()), pa.nulls(1, pa.binary())], ["keys", "manifests", "data", "digest"])
-                if fresh:
-                    n = len(fresh)
-                    yield pa.RecordBatch.from_arrays([pa.nulls(n, keys.type), pa.nulls(n, manifests.type), pa.array([squeeze.compress(x) for x in fresh.values()], pa.binary()), pa.array(fresh, pa.binary())], ["keys", "manifests", "data", "digest"])
-
-    written = stored(rows.mapInArrow(packed, f"keys array<{key_type}>, manifests array<binary>, data binary, digest binary"))
-    shared = stored(written.where("digest is not null").groupBy("digest").agg(F.first("data").alias("data")))
-    return Store(written.where("digest is null").select("keys", "manifests", "data"), shared, table, key_type)
-
-
-def _opened(packs: pa.RecordBatch, table: np.ndarray):
-    """(key, manifest, [chunk, or None where shared]) of each document of pack rows."""
-    for keys, manifests, data in zip(*(packs.column(i).to_pylist() for i in range(3)), strict=True):
-        raw, at = zstandard.decompress(data), 0
-        named = [read_manifest(m)[2] for m in manifests]
-        hits = iter(_hit(table, [d for each in named for _, d in each]))
-        for key, manifest, each in zip(keys, manifests, named, strict=True):
-            chunks = []
-            for length, _ in each:
-                if next(hits):
-                    chunks.append(None)
-                else:
-                    chunks.append(raw[at : at + length])
-                    at += length
-            yield key, manifest, chunks
-
-
-def read_back(media: Store, key: str = "doc_id") -> DataFrame:
+def read_back(packs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, features) of every stored document, from the stored bytes."""
-    table = media.table
+    key_type = dict(packs.dtypes)["keys"][6:-1]
+    schema = f"key {key_type}, {FEATURES_SQL}"
+    here = ["digests", "lengths", "data", "own", "own_data"]
 
-    def closed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for i in range(batch.num_rows):
-                own = [(k, features(m, c)) for k, m, c in _opened(batch.slice(i, 1), table.value) if None not in c]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], batch.schema.field(0).type.value_type), *_columns([f for _, f in own])], ["key", *(n for n, _ in _FEATURES)])
+    def chunks_of(digests: list, lengths: list, data: bytes, own: list, own_data: list) -> dict[bytes, bytes]:
+        found = dict(zip(digests, _split(zstandard.decompress(data), lengths), strict=True))
+        return found | dict(zip(own, map(zstandard.decompress, own_data), strict=True))
 
-    def open_(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for i in range(batch.num_rows):
-                own = [(k, m) for k, m, c in _opened(batch.slice(i, 1), table.value) if None in c]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], batch.schema.field(0).type.value_type), pa.array([hashlib.sha256(m).digest()[:16] for _, m in own], pa.binary())], ["key", "medium"])
+    def rebuilt(keys: pa.Array, manifests: list[bytes], chunks: dict[bytes, bytes]) -> pa.RecordBatch:
+        known: dict[bytes, dict] = {}
+        for m in manifests:
+            if m not in known:
+                known[m] = features(m, [chunks[d] for _, d in read_manifest(m)[2]])
+        return _told(keys, [known[m] for m in manifests])
 
-    def pieces(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of media with shared chunks: the manifest (place -1), and each place's chunk or the digest to fetch."""
-        squeeze, seen = zstandard.ZstdCompressor(level=3), set()
+    def closed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for i in range(batch.num_rows):
-                out = []
-                for _, m, chunks in _opened(batch.slice(i, 1), table.value):
-                    medium = hashlib.sha256(m).digest()[:16]
-                    if None not in chunks or medium in seen:
-                        continue
-                    if len(seen) > 500_000:
-                        seen.clear()
-                    seen.add(medium)
-                    out.append((medium, -1, None, squeeze.compress(m)))
-                    out += [(medium, j, None if x is not None else d, squeeze.compress(x) if x is not None else None) for j, ((_, d), x) in enumerate(zip(read_manifest(m)[2], chunks, strict=True))]
-                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate((pa.binary(), pa.int32(), pa.binary(), pa.binary()))], ["medium", "place", "digest", "data"])
-
-    def assembled(group: pa.Table) -> pa.Table:
-        found = dict(zip(group.column("place").to_pylist(), group.column("data").to_pylist(), strict=True))
-        manifest = zstandard.decompress(found.pop(-1))
-        told = features(manifest, [zstandard.decompress(found[j]) for j in range(len(found))])
-        return pa.Table.from_arrays([pa.array([group.column("medium")[0].as_py()], pa.binary()), *_columns([told])], ["medium", *(n for n, _ in _FEATURES)])
-
-    whole = media.packs.mapInArrow(closed, f"key {media.key_type}, {FEATURES_SQL}")
-    waiting = media.packs.mapInArrow(open_, f"key {media.key_type}, medium binary")
-    parts = stored(media.packs.mapInArrow(pieces, "medium binary, place int, digest binary, data binary"))
-    fetched = parts.where("digest is not null").select("medium", "place", "digest").distinct().join(media.shared, "digest").select("medium", "place", "data")
-    # Tasks may tell the same manifest; an unshared chunk occurs once, so its medium is told once, and it moves once.
-    lists = parts.where("place = -1").groupBy("medium", "place").agg(F.first("data").alias("data"))
-    own = parts.where("digest is null and place >= 0").select("medium", "place", "data")
-    built = lists.unionByName(own).unionByName(fetched).groupBy("medium").applyInArrow(assembled, f"medium binary, {FEATURES_SQL}")
-    joined = waiting.join(built, "medium").drop("medium")
+                row = batch.slice(i, 1)
+                yield rebuilt(row.column(0).flatten(), row.column(1)[0].as_py(), chunks_of(*(row.column(j)[0].as_py() for j in range(2, 7))))
+
+    def opened(group: pa.Table, fetched: pa.Table) -> pa.Table:
+        chunks = chunks_of(*(group.column(c)[0].as_py() for c in here))
+        chunks |= zip(fetched.column("digest").to_pylist(), map(zstandard.decompress, fetched.column("chunk").to_pylist()), strict=True)
+        return pa.Table.from_batches([rebuilt(group.column("open_keys").combine_chunks().flatten(), group.column("open_manifests")[0].as_py(), chunks)])
+
+    whole = packs.where(F.size("keys") > 0).select("keys", "manifests", *here).mapInArrow(closed, schema)
+    wanted = packs.select("pack", F.explode("wanted").alias("digest"))
+    shared = packs.select(F.explode(F.arrays_zip("own", "own_data")).alias("x")).select(F.col("x.own").alias("digest"), F.col("x.own_data").alias("chunk"))
+    fetched = wanted.join(shared, "digest").select(F.col("pack").alias("asking"), "digest", "chunk")
+    waiting = packs.where(F.size("open_keys") > 0).select("pack", "open_keys", "open_manifests", *here)
+    joined = waiting.groupBy("pack").cogroup(fetched.groupBy("asking")).applyInArrow(opened, schema)
     return whole.unionByName(joined).withColumnRenamed("key", key)

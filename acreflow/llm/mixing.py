@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from acreflow.llm.common import stored
+from acreflow.llm.common import settled
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Hash buckets of a length class.
@@ -45,12 +45,12 @@ def _source_key(source: Column) -> Column:
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0) -> DataFrame:
     """(sk, source_size, target) from rows (source, sk, size). Ranks by range partitions, totals as scalars."""
     sums = sizes.groupBy("source", "sk").agg(F.sum("size").alias("source_size"))
-    ranged = stored(sums.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()))
+    ranged = settled(sums.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()))
     before = ranged.groupBy("part").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     place = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last()))
     rank = ranged.withColumn("place", place).join(before.select("part", "before"), "part").withColumn("rank", F.col("before") + F.col("place") - 1)
     weight = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("rank") % len(weights) + 1).cast("int"))
-    ranked = stored(rank.select("sk", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(most))).alias("cap")))
+    ranked = settled(rank.select("sk", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(most))).alias("cap")))
     level, seen = 0.0, -1
     total = float(ranked.agg(F.sum("source_size")).first()[0] or 0)
     while True:
@@ -99,14 +99,14 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     bucket = F.pmod(F.xxhash64(df[key], F.lit(7)), F.lit(BUCKETS)).cast("int")
     size = word_count(df[text])
     # Sizes are stored (a few bytes a row), so that the words are counted once for the three sums.
-    sizes = stored(df.select(df[source].alias("source"), _source_key(df[source]).alias("sk"), size.alias("size"), bucket.alias("bucket")))
+    sizes = settled(df.select(df[source].alias("source"), _source_key(df[source]).alias("sk"), size.alias("size"), bucket.alias("bucket")))
     sized = sizes.withColumn("size_class", F.floor(F.log2(F.col("size") + 1)).cast("int"))
     rate = newton_rate(F.col("source_size").cast("double"), F.col("target"))
-    rates = stored(source_targets(sizes, weights, most).withColumn("rate", rate).withColumn("whole", F.least(F.floor(F.col("rate") + 1e-9), F.lit(int(most)))))
+    rates = settled(source_targets(sizes, weights, most).withColumn("rate", rate).withColumn("whole", F.least(F.floor(F.col("rate") + 1e-9), F.lit(int(most)))))
     rates = rates.withColumn("share", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0)))
     words = sized.groupBy("sk", "size_class", "bucket").agg(F.sum("size").alias("words"))
-    cuts = stored(words.join(_small(rates.select("sk", "share")), "sk").groupBy("sk").applyInPandas(_cuts, "sk string, size_class int, cut int"))
-    each = _small(stored(cuts.join(rates, "sk").select("sk", "size_class", "cut", "source_size", "target", "rate", "whole")))
+    cuts = settled(words.join(_small(rates.select("sk", "share")), "sk").groupBy("sk").applyInPandas(_cuts, "sk string, size_class int, cut int"))
+    each = _small(settled(cuts.join(rates, "sk").select("sk", "size_class", "cut", "source_size", "target", "rate", "whole")))
     rows = df.select(F.struct(*df.columns).alias("row"), _source_key(df[source]).alias("sk"), size.alias("size"), bucket.alias("bucket"))
     rows = rows.withColumn("size_class", F.floor(F.log2(F.col("size") + 1)).cast("int"))
     copies = F.least(F.col("whole") + F.when(F.col("bucket") < F.col("cut"), 1).otherwise(0), F.lit(int(most))).cast("long")

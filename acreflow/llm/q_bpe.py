@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from acreflow.llm import bpe
 from acreflow.llm.common import table
@@ -13,9 +12,7 @@ RANKS = "byte_bpe_50k.tiktoken"
 
 
 def coded(docs: DataFrame, path: str | None = None) -> DataFrame:
-    path, pattern = path or public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    both = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
-    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.coded(docs, path or public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acreflow.llm.common import slices, stored, strings
+from acreflow.llm.common import settled, slices, strings
 from acreflow.llm.stars import components
 
 #: Fingerprints that a shard holds. Each level of the upper tree copies about a third of what it splits, while the
@@ -196,8 +196,8 @@ def links(fps: DataFrame, radius: int = 3, shard: int = SHARD) -> DataFrame:
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, radius: int = 3, shard: int = SHARD) -> DataFrame:
     """(key, fingerprint, component_id): the fingerprint in hex and the least key reachable, itself included."""
-    made = stored(fingerprints(df, key, text, width))
-    fps = stored(made.groupBy("fp").agg(F.min("key").alias("least")))
+    made = settled(fingerprints(df, key, text, width))
+    fps = settled(made.groupBy("fp").agg(F.min("key").alias("least")))
     roots = components(links(fps, radius, shard))
     rooted = fps.join(roots, fps.fp == roots.u, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -211,7 +211,7 @@ def one_of_each(df: DataFrame, **options) -> DataFrame:
 
     Rows are told apart by a number that they get when they are stored, so neither repeated nor missing ids matter.
     What goes is joined away, the smaller set."""
-    rows = stored(df.withColumn("_row", F.monotonically_increasing_id()))
+    rows = settled(df.withColumn("_row", F.monotonically_increasing_id()))
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("_row").alias("row")).alias("_key")
     found = near_duplicates(rows.select(key, options.get("text", "text")), key="_key", **options).select("_key", "component_id")
     # Rows with an id come first in a component; those without one have a least one of their own.

@@ -1,14 +1,14 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Each step is a grouped minimum and a join, never a collected neighbourhood; edges stay linear in the nodes and
-each round is a table in the shared folder. Rounds grow with the logarithm of the longest chain."""
+each round is a table in the shared folder, dropped after the next. Rounds grow with the logarithm of the longest chain."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acreflow.llm.common import stored
+from acreflow.llm.common import dropped, settled
 
 
 def _to_least(edges: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(u, root) for every node of ``edges`` (columns u and v, any order, longs) but the roots themselves.
 
     No edges: no rows. Loops and repeated edges are harmless."""
-    now = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
+    now = settled(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
     sums = [F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
     before = None
     while True:
@@ -44,4 +44,5 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before or not state[0]:
             return now.select("u", F.col("v").alias("root"))
         before = state
-        now = stored(_small(_large(now)))
+        last, now = now, settled(_small(_large(now)))
+        dropped(last)

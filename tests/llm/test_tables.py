@@ -151,8 +151,11 @@ def test_store_and_read_back(spark):
     rows = [(i, "".join(r.choice("abcdefgh \n") for _ in range(r.randint(0, 9000))), "x") for i in range(40)]
     rows += [(100, None, "x"), (101, "", "x"), (102, long, "x"), (103, long, "x"), (103, long, "x"), (104, "new start " + long, "x"), (105, long * 2, "x"), (None, rows[0][1], "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, digest string").repartition(5)
-    stored = media.store(df)
-    assert stored.shared.count() == stored.shared.select("digest").distinct().count() > 0
+    stored = media.store(df, pack_bytes=20_000)
+    # Every distinct chunk is stored once, with its pack's data or as a shared one.
+    held = Counter(d for x in stored.collect() for d in x.digests + x.own)
+    assert set(held.values()) == {1} and stored.where("size(wanted) > 0").count() > 0
+    assert set(map(bytes, held)) == {d for _, text, _ in rows for d, _ in media.chunked([text or ""])[0][1]}
     got = defaultdict(list)
     for x in media.read_back(stored).collect():
         got[x.doc_id].append(x)
@@ -165,12 +168,27 @@ def test_store_and_read_back(spark):
     assert media.read_back(media.store(df.limit(0))).count() == 0
 
 
-def test_a_full_bit_table_changes_nothing(spark, monkeypatch):
-    rows = [(i, f"text {i} " * 300) for i in range(12)]
+def test_pack_size_changes_nothing(spark):
+    rows = [(i, f"text {i // 3} " * 300) for i in range(12)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    want = sorted(tuple(r) for r in media.read_back(media.store(df)).collect())
-    monkeypatch.setattr(media, "_table_of", lambda _: np.full(media.TABLE_BITS // 64, (1 << 64) - 1, np.uint64))
-    assert sorted(tuple(r) for r in media.read_back(media.store(df)).collect()) == want
+    found = [sorted(tuple(r) for r in media.read_back(media.store(df, pack_bytes=n)).collect()) for n in (1, 10_000, 1 << 20)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 12
+
+
+def test_media_query_against_plain_payloads(spark, tmp_path):
+    from acreflow.llm import q_media
+
+    rows = [*documents(60, 3), (None, "no id", "a", 0), (500, "é" * 40_000, "a", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, key string, pack long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = q_media.op8_media_chunks(spark, str(tmp_path)).collect()
+    told = lambda x: (x.doc_id, x.n_bytes, x.payload_bytes, x.payload_sha256, x.tail_crc32, x.media_bytes, x.media_sha256)
+    want = []
+    for doc_id, text, *_ in rows:
+        raw = (text or "").encode()
+        payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+        manifest = media.chunked([text or ""])[0][0]
+        want.append((doc_id, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(manifest + payload), hashlib.sha256(manifest + payload).hexdigest()))
+    assert Counter(map(told, got)) == Counter(want)
 
 
 # URL lists
