@@ -1,11 +1,12 @@
 """Media payloads in content-defined chunks, deduplicated by digest, rebuilt from ordered chunk lists and verified.
 
 A rolling gear hash over the last 32 bytes cuts each payload; a manifest lists its chunks' lengths and SHA-256
-digests in order. Documents are packed, about a MB of text each; a pack stages each of its distinct chunks once.
-Digests that several packs hold are found by a grouping of digests, joined back to the packs that hold them, and the
-first of these packs owns the chunk: the store keeps every distinct chunk once, compressed, either among a pack's own
-data or as a shared chunk of its owner. Reading back is local for documents without shared chunks of other packs;
-the other packs fetch theirs, each once, by a join on the digest. Nothing is broadcast, and no size changes the way.
+digests in order. Digests alone are counted first. Documents are then packed, about a MB of text each, and a pack holds
+each of its distinct chunks once. Documents whose chunks no other document has are done with that. Which documents may
+have shared chunks a bit table tells, of bounded size: a false hit only sends a document the longer way, so that no
+size changes the result. The packs of those documents are joined by digest: of the packs that hold a chunk the
+first owns it, and the store keeps every distinct chunk once. Reading back is local where a pack has all chunks of a
+document; other packs fetch theirs, each once, by a join on the digest.
 
 Every chunk read back is checked against its digest. media_bytes and media_sha256 are taken over what is read back of
 a medium: its chunk list, then its chunks in order.
@@ -20,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
@@ -37,6 +39,10 @@ UNIT, PAD = 576, 255
 LEAST, MOST, MASK_BITS = 256, 8192, 10
 #: Bytes of text of a pack, about.
 PACK_BYTES = 1 << 20
+#: Bits of the table of shared digests: 16 for each, within these bounds (128 KB and 64 MB).
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
+#: Bytes of a digest by which chunks are joined; the manifest has the whole digest, and what is read is checked by it.
+NAME = 16
 _MAGIC = b"GCL1"
 _GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 1) for b in range(256)], np.uint32)
 
@@ -126,110 +132,177 @@ def _told(keys: pa.Array, rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([keys, *(pa.array([r[n] for r in rows], t) for n, t in _FEATURES)], ["key", *(n for n, _ in _FEATURES)])
 
 
-def _split(raw: bytes, lengths: Iterable[int]) -> list[bytes]:
-    ends = [0, *accumulate(lengths)]
-    return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-
-
-def _lists(values: list, kind: pa.DataType) -> pa.Array:
+def _listed(values: list, kind: pa.DataType) -> pa.Array:
     """One list in one row."""
     return pa.array([values], pa.list_(kind))
 
 
-def _staged(rows: DataFrame, pack_bytes: int) -> DataFrame:
-    """(pack, keys, manifests, digests, lengths, data): data holds the pack's distinct chunks, in the order of digests."""
+def _named(manifests: Iterable[bytes]) -> dict[bytes, int]:
+    """The distinct chunks of manifests, in order of appearance: name and length."""
+    return {d[:NAME]: n for m in manifests for n, d in read_manifest(m)[2]}
+
+
+def _split(data: bytes, lengths: dict[bytes, int]) -> dict[bytes, bytes]:
+    """The chunks of compressed ``data``, by name."""
+    raw, ends = zstandard.decompress(data), [0, *accumulate(lengths.values())]
+    return {d: raw[a:b] for d, a, b in zip(lengths, ends, ends[1:], strict=False)}
+
+
+def _table_of(digests: DataFrame) -> np.ndarray:
+    """The bit table of digests: three bits each. Words are made by a grouping, at most MOST_BITS / 64 of them."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * digests.count()).bit_length()))
+    place = lambda i: F.conv(F.hex(F.substring("digest", 1 + 4 * i, 4)), 16, 10).cast("long") % bits
+    set_ = digests.select(F.explode(F.array(*map(place, range(3)))).alias("bit"))
+    words = set_.groupBy(F.shiftright("bit", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")).alias("mask"))
+    table = np.zeros(bits // 64, np.int64)
+    for r in words.toLocalIterator():
+        table[r.word] = r.mask
+    return table.view(np.uint64)
+
+
+def _hits(table: np.ndarray, names: list[bytes]) -> np.ndarray:
+    """Which chunks may be shared."""
+    p = np.frombuffer(b"".join(d[:12] for d in names), ">u4").reshape(-1, 3).astype(np.uint64) % np.uint64(64 * len(table))
+    return ((table[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1)).all(1)
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """(digest, n): names of the chunks of documents, and in how many documents they occur, by slices."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for part in slices(batch, 1):
+                n = Counter(d for _, named in chunked(strings(part, 1)) for d in {d[:NAME] for d, _ in named})
+                yield pa.RecordBatch.from_arrays([pa.array(n, pa.binary()), pa.array(n.values(), pa.int64())], ["digest", "n"])
+
+    return rows.mapInArrow(run, "digest binary, n long")
+
+
+def _packed(rows: DataFrame, table, shared: bool, pack_bytes: int) -> DataFrame:
+    """(pack, keys, manifests, data, hits) of the documents that may have shared chunks, or of the others. data: their
+    distinct chunks in order of appearance, compressed together; hits: the names of those that may be shared."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze, pack = zstandard.ZstdCompressor(level=6), TaskContext.get().partitionId() << 33
         for batch in it:
             for part in slices(batch, 1, pack_bytes):
                 made = chunked(strings(part, 1))
-                once = {d: x for _, named in made for d, x in named}
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([pack], pa.int64()), _lists(part.column(0).to_pylist(), part.column(0).type), _lists([m for m, _ in made], pa.binary()), _lists(list(once), pa.binary()),
-                    _lists(list(map(len, once.values())), pa.int32()), pa.array([squeeze.compress(b"".join(once.values()))], pa.binary()),
-                ], ["pack", "keys", "manifests", "digests", "lengths", "data"])
+                hit = dict(zip(names := list({d[:NAME]: 0 for _, named in made for d, _ in named}), _hits(table.value, names).tolist(), strict=True))
+                at = [i for i, (_, named) in enumerate(made) if any(hit[d[:NAME]] for d, _ in named) == shared]
+                if at:
+                    own = {d[:NAME]: x for i in at for d, x in made[i][1]}
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([pack], pa.int64()), _listed(part.column(0).take(pa.array(at)).to_pylist(), part.column(0).type), _listed([made[i][0] for i in at], pa.binary()),
+                        pa.array([squeeze.compress(b"".join(own.values()))], pa.binary()), _listed([d for d in own if hit[d]], pa.binary()),
+                    ], ["pack", "keys", "manifests", "data", "hits"])
                 pack += 1
 
-    return rows.mapInArrow(run, f"pack long, keys array<{dict(rows.dtypes)['key']}>, manifests array<binary>, digests array<binary>, lengths array<int>, data binary")
+    return rows.mapInArrow(run, f"pack long, keys array<{dict(rows.dtypes)['key']}>, manifests array<binary>, data binary, hits array<binary>")
+
+
+class Store:
+    """The stored chunks of one table of texts, as two tables.
 
+    single: (keys, manifests, data) of documents whose chunks no other document has.
+    shared: the others, a row a pack. keys, manifests: of documents whose chunks are all in the pack; open_keys,
+    open_manifests: of documents that need chunks of other packs, their names in wanted; own, own_data: chunks that
+    the pack owns and others need, each compressed; open_data: the other chunks of open documents; data: the rest."""
 
-def store(df: DataFrame, key: str = "doc_id", text: str = "text", pack_bytes: int = PACK_BYTES) -> DataFrame:
-    """The stored chunks of a table of texts, a row a pack:
+    def __init__(self, single: DataFrame, shared: DataFrame):
+        self.single, self.shared = single, shared
 
-    keys, manifests, data: of documents whose chunks are all in the pack, and these chunks, compressed together;
-    open_keys, open_manifests: of documents that need another pack's chunks; wanted: these chunks' digests;
-    own, own_data: shared chunks that the pack owns, each compressed; data holds the other chunks of open documents too.
-    digests, lengths: the chunks in data, in order."""
-    rows = df.select(df[key].alias("key"), df[text].alias("text"))
+
+_SHARED = ["pack", "keys", "manifests", "data", "open_keys", "open_manifests", "open_data", "own", "own_data", "wanted"]
+
+
+def _settle(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packs (pack, keys, manifests, data) with marks (name, whether it is the pack's own) as rows of Store.shared."""
+    squeeze = zstandard.ZstdCompressor(level=6)
+    for batch in it:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            keys, manifests, data, marks = (c[0].as_py() for c in row.columns[1:])
+            kind, marked = row.column(1).type.value_type, {x["digest"]: x["own"] for x in marks or ()}
+            away = {d for d, mine in marked.items() if not mine}
+            opened = [not away.isdisjoint(_named([m])) for m in manifests]
+            part = lambda values, want, opened=opened: [v for v, o in zip(values, opened, strict=True) if o == want]
+            chunks, waiting = _split(data, _named(manifests)), _named(part(manifests, True))
+            mine = [d for d, own in marked.items() if own]
+            joined = lambda names, chunks=chunks, marked=marked: pa.array([squeeze.compress(b"".join(chunks[d] for d in names if d not in marked))], pa.binary())
+            yield pa.RecordBatch.from_arrays([
+                row.column(0), _listed(part(keys, False), kind), _listed(part(manifests, False), pa.binary()), joined([d for d in _named(part(manifests, False)) if d not in waiting]),
+                _listed(part(keys, True), kind), _listed(part(manifests, True), pa.binary()), joined(waiting),
+                _listed(mine, pa.binary()), _listed([squeeze.compress(chunks[d]) for d in mine], pa.binary()), _listed(sorted(away), pa.binary()),
+            ], _SHARED)
+
+
+def store(df: DataFrame, key: str = "doc_id", text: str = "text", pack_bytes: int = PACK_BYTES) -> Store:
+    """Stores the texts, every distinct chunk once."""
+    spark, rows = df.sparkSession, df.select(df[key].alias("key"), df[text].alias("text"))
     key_type = dict(rows.dtypes)["key"]
-    with batches_of(df.sparkSession):
-        staged = settled(_staged(rows, pack_bytes))
-    held = staged.select("pack", F.explode("digests").alias("digest"))
-    shared = held.groupBy("digest").agg(F.min("pack").alias("owner"), F.count("*").alias("n")).where("n > 1").select("digest", "owner")
-    marks = held.join(shared, "digest").groupBy("pack").agg(F.collect_list(F.struct("digest", (F.col("owner") == F.col("pack")).alias("own"))).alias("marks"))
-
-    def settle(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=6)
-        for batch in it:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                pack, keys, manifests, digests, lengths, data, marks = (c[0].as_py() for c in row.columns)
-                own = {x["digest"]: x["own"] for x in marks or ()}
-                away = {d for d, mine in own.items() if not mine}
-                opened = [any(d in away for _, d in read_manifest(m)[2]) for m in manifests] if away else [False] * len(keys)
-                of = lambda values, want, kind, opened=opened: _lists([v for v, o in zip(values, opened, strict=True) if o == want], kind)
-                key_kind = row.column(1).type.value_type
-                if own:
-                    chunks = dict(zip(digests, _split(zstandard.decompress(data), lengths), strict=True))
-                    alone = {d: x for d, x in chunks.items() if d not in own}
-                    digests, lengths, data = list(alone), list(map(len, alone.values())), squeeze.compress(b"".join(alone.values()))
-                mine = [d for d, mine in own.items() if mine]
-                yield pa.RecordBatch.from_arrays([
-                    row.column(0), of(keys, False, key_kind), of(manifests, False, pa.binary()), of(keys, True, key_kind), of(manifests, True, pa.binary()), _lists(digests, pa.binary()), _lists(lengths, pa.int32()),
-                    pa.array([data], pa.binary()), _lists(mine, pa.binary()), _lists([squeeze.compress(chunks[d]) for d in mine], pa.binary()), _lists(sorted(away), pa.binary()),
-                ], ["pack", "keys", "manifests", "open_keys", "open_manifests", "digests", "lengths", "data", "own", "own_data", "wanted"])
-
-    blobs = ", ".join(f"{c} array<binary>" for c in ("own", "own_data", "wanted"))
-    schema = f"pack long, keys array<{key_type}>, manifests array<binary>, open_keys array<{key_type}>, open_manifests array<binary>, digests array<binary>, lengths array<int>, data binary, {blobs}"
-    with batches_of(df.sparkSession):
-        out = settled(staged.join(marks, "pack", "left").mapInArrow(settle, schema))
+    with batches_of(spark):
+        digests = settled(_counted(rows).groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1").select("digest"))
+        table = spark.sparkContext.broadcast(_table_of(digests))
+        dropped(digests)
+        single = settled(_packed(rows, table, False, pack_bytes).drop("pack", "hits"))
+        staged = settled(_packed(rows, table, True, pack_bytes))
+        held = staged.select("pack", F.explode("hits").alias("digest"))
+        owners = held.groupBy("digest").agg(F.min("pack").alias("owner"), F.count("*").alias("n")).where("n > 1").select("digest", "owner")
+        marks = held.join(owners, "digest").groupBy("pack").agg(F.collect_list(F.struct("digest", (F.col("owner") == F.col("pack")).alias("own"))).alias("marks"))
+        kinds = dict.fromkeys(_SHARED, "array<binary>") | {"pack": "long", "keys": f"array<{key_type}>", "open_keys": f"array<{key_type}>", "data": "binary", "open_data": "binary"}
+        shared = settled(staged.drop("hits").join(marks, "pack", "left").mapInArrow(_settle, ", ".join(f"{c} {kinds[c]}" for c in _SHARED)))
     dropped(staged)
-    return out
+    return Store(single, shared)
 
 
-def read_back(packs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, features) of every stored document, from the stored bytes."""
-    key_type = dict(packs.dtypes)["keys"][6:-1]
-    schema = f"key {key_type}, {FEATURES_SQL}"
-    here = ["digests", "lengths", "data", "own", "own_data"]
-
-    def chunks_of(digests: list, lengths: list, data: bytes, own: list, own_data: list) -> dict[bytes, bytes]:
-        found = dict(zip(digests, _split(zstandard.decompress(data), lengths), strict=True))
-        return found | dict(zip(own, map(zstandard.decompress, own_data), strict=True))
-
-    def rebuilt(keys: pa.Array, manifests: list[bytes], chunks: dict[bytes, bytes]) -> pa.RecordBatch:
-        known: dict[bytes, dict] = {}
-        for m in manifests:
-            if m not in known:
-                known[m] = features(m, [chunks[d] for _, d in read_manifest(m)[2]])
-        return _told(keys, [known[m] for m in manifests])
-
-    def closed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                yield rebuilt(row.column(0).flatten(), row.column(1)[0].as_py(), chunks_of(*(row.column(j)[0].as_py() for j in range(2, 7))))
+def _rebuilt(keys: pa.Array, manifests: list[bytes], chunks: dict[bytes, bytes]) -> pa.RecordBatch:
+    known: dict[bytes, dict] = {}
+    for m in manifests:
+        if m not in known:
+            known[m] = features(m, [chunks[d[:NAME]] for _, d in read_manifest(m)[2]])
+    return _told(keys, [known[m] for m in manifests])
 
-    def opened(group: pa.Table, fetched: pa.Table) -> pa.Table:
-        chunks = chunks_of(*(group.column(c)[0].as_py() for c in here))
-        chunks |= zip(fetched.column("digest").to_pylist(), map(zstandard.decompress, fetched.column("chunk").to_pylist()), strict=True)
-        return pa.Table.from_batches([rebuilt(group.column("open_keys").combine_chunks().flatten(), group.column("open_manifests")[0].as_py(), chunks)])
 
-    whole = packs.where(F.size("keys") > 0).select("keys", "manifests", *here).mapInArrow(closed, schema)
+def _read_single(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        for i in range(batch.num_rows):
+            manifests, data = (batch.column(j)[i].as_py() for j in (1, 2))
+            yield _rebuilt(batch.column(0).slice(i, 1).flatten(), manifests, _split(data, _named(manifests)))
+
+
+def _chunks_of(row: dict) -> dict[bytes, bytes]:
+    """The chunks that a row of Store.shared holds; ``data`` may be left out."""
+    own, waiting = dict(zip(row["own"], map(zstandard.decompress, row["own_data"]), strict=True)), _named(row["open_manifests"])
+    skip = set(own).union(row["wanted"])
+    found = own | _split(row["open_data"], {d: n for d, n in waiting.items() if d not in skip})
+    if "data" in row:
+        found |= _split(row["data"], {d: n for d, n in _named(row["manifests"]).items() if d not in skip and d not in waiting})
+    return found
+
+
+def _read_local(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            own = row.drop_columns(["keys"]).to_pylist()[0]
+            yield _rebuilt(row.column("keys").flatten(), own["manifests"], _chunks_of(own))
+
+
+def _read_open(group: pa.Table, fetched: pa.Table) -> pa.Table:
+    own = group.drop_columns(["open_keys"]).to_pylist()[0]
+    chunks = _chunks_of(own) | dict(zip(fetched.column("digest").to_pylist(), map(zstandard.decompress, fetched.column("chunk").to_pylist()), strict=True))
+    return pa.Table.from_batches([_rebuilt(group.column("open_keys").combine_chunks().flatten(), own["open_manifests"], chunks)])
+
+
+def read_back(media: Store, key: str = "doc_id") -> DataFrame:
+    """(key, features) of every stored document, from the stored bytes."""
+    packs = media.shared
+    schema = f"key {dict(packs.dtypes)['keys'][6:-1]}, {FEATURES_SQL}"
+    single = media.single.select("keys", "manifests", "data").mapInArrow(_read_single, schema)
+    local = packs.where(F.size("keys") > 0).drop("pack", "open_keys").mapInArrow(_read_local, schema)
     wanted = packs.select("pack", F.explode("wanted").alias("digest"))
     shared = packs.select(F.explode(F.arrays_zip("own", "own_data")).alias("x")).select(F.col("x.own").alias("digest"), F.col("x.own_data").alias("chunk"))
     fetched = wanted.join(shared, "digest").select(F.col("pack").alias("asking"), "digest", "chunk")
-    waiting = packs.where(F.size("open_keys") > 0).select("pack", "open_keys", "open_manifests", *here)
-    joined = waiting.groupBy("pack").cogroup(fetched.groupBy("asking")).applyInArrow(opened, schema)
-    return whole.unionByName(joined).withColumnRenamed("key", key)
+    waiting = packs.where(F.size("open_keys") > 0).select("pack", "open_keys", "open_manifests", "open_data", "own", "own_data", "wanted")
+    joined = waiting.groupBy("pack").cogroup(fetched.groupBy("asking")).applyInArrow(_read_open, schema)
+    return single.unionByName(local).unionByName(joined).withColumnRenamed("key", key)

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from acreflow.llm import media, mixing, quality, urls
@@ -153,9 +154,10 @@ def test_store_and_read_back(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, digest string").repartition(5)
     stored = media.store(df, pack_bytes=20_000)
     # Every distinct chunk is stored once, with its pack's data or as a shared one.
-    held = Counter(d for x in stored.collect() for d in x.digests + x.own)
-    assert set(held.values()) == {1} and stored.where("size(wanted) > 0").count() > 0
-    assert set(map(bytes, held)) == {d for _, text, _ in rows for d, _ in media.chunked([text or ""])[0][1]}
+    size = lambda blob: len(zstandard.decompress(blob))
+    held = sum(size(x.data) for x in stored.single.collect()) + sum(size(x.data) + size(x.open_data) + sum(map(size, x.own_data)) for x in stored.shared.collect())
+    assert held == sum(map(len, {d: x for _, text, _ in rows for d, x in media.chunked([text or ""])[0][1]}.values()))
+    assert stored.single.count() > 0 and stored.shared.where("size(wanted) > 0").count() > 0
     got = defaultdict(list)
     for x in media.read_back(stored).collect():
         got[x.doc_id].append(x)
@@ -168,11 +170,13 @@ def test_store_and_read_back(spark):
     assert media.read_back(media.store(df.limit(0))).count() == 0
 
 
-def test_pack_size_changes_nothing(spark):
+def test_packs_and_bit_table_change_nothing(spark, monkeypatch):
     rows = [(i, f"text {i // 3} " * 300) for i in range(12)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     found = [sorted(tuple(r) for r in media.read_back(media.store(df, pack_bytes=n)).collect()) for n in (1, 10_000, 1 << 20)]
     assert found[0] == found[1] == found[2] and len(found[0]) == 12
+    monkeypatch.setattr(media, "_table_of", lambda _: np.full(64, (1 << 64) - 1, np.uint64))  # every document may have shared chunks
+    assert sorted(tuple(r) for r in media.read_back(media.store(df, pack_bytes=10_000)).collect()) == found[0]
 
 
 def test_media_query_against_plain_payloads(spark, tmp_path):
