@@ -1,34 +1,45 @@
 """Mixing sources to target weights by entropy balancing.
 
-Rates r minimise the relative entropy sum(size * (r log r - r + 1)) under one token constraint a source,
-sum(size * r) = target. The dual is convex and separable by source: r = exp(lambda), and Newton's step is
-lambda += target / (size * exp(lambda)) - 1, taken for all sources at once on the table of their sums. Rates become
-copies: the whole part for each document, and one more for documents chosen by a hash of their id, class by class
-from long documents to short ones, each class taking up what the longer ones left over. The choice is made on a
-histogram of (source, length class, hash bucket) sums, so no source's documents ever meet in one task.
+Rates r of documents minimise the relative entropy sum(size * (r log r - r + 1)), 0 <= r <= most, under one token
+constraint a source, sum(size * r) = its target, and moments that all sources share: the mix keeps the corpus' mean
+and spread of document lengths (of length classes, weighed by size), as far as the targets leave room. So the rates
+are exponentially tilted, r = min(most, exp(lambda of the source + mu . moments of the length class)): long and short
+documents of a source are taken at different rates, where source weights alone would shift the lengths.
+
+The dual is convex. Newton's iterations run on mu: every iteration solves each source's lambda exactly and sums
+gradient and Hessian (Schur complement of the sources' block) over a table of one row a source, in Spark; only the
+sums come to the driver. A small ridge on mu keeps a solution where the moments can't be held; the sources' targets
+are met exactly. An iteration that doesn't converge raises.
+
+Rates become copies: the whole part for each document, and one more for documents chosen by a hash of their id, class
+by class from long documents to short ones, each class taking up what the longer ones left over. The choice is made on
+a histogram of (source, length class, hash bucket) sums, so no source's documents ever meet in one task.
 
 Targets: source i (by code point, null last) weighs weights[i mod 3]; all together they share the total size;
 none is above ``most`` times its source's size, the excess is reshared by weight.
 
 Defined results: a null text has size 0; a document of size 0 is taken 0 or more times with 0 words; a null source
 is a source of its own, the empty string another; rows with the same id share the choice; an empty table gives an
-empty result; clashing column names of the input don't matter, the rows travel in a struct.
+empty result; clashing column names of the input don't matter, the rows travel in a struct; names with dots are fine.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from acreflow.llm.common import settled
+from acreflow.llm.common import dropped, settled
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Hash buckets of a length class.
 BUCKETS = 256
-#: Newton steps; from 0 they pass log(target / size) down to e-20 with quadratic convergence at the end.
-STEPS = 40
+#: Newton iterations at most, the relative gradient at which they end, and the ridge on the shared multipliers, as a
+#: share of all tokens.
+ROUNDS, TOLERANCE, RIDGE = 60, 1e-9, 0.02
 #: Rows up to which the tables of sources are broadcast; beyond, Spark joins them by shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -62,20 +73,105 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     return ranked.select("sk", "source_size", F.least(F.lit(level) * F.col("weight"), F.col("cap")).alias("target"))
 
 
-def newton_rate(size: Column, target: Column, steps: int = STEPS) -> Column:
-    """exp(lambda) at the dual's optimum; 0 where the target or the size is 0."""
-    step = lambda x, _: x + target / (size * F.exp(x)) - 1.0
-    solved = F.exp(F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), step))
-    return F.when((target > 0) & (size > 0), solved).otherwise(0.0)
+def moments(size_class: np.ndarray) -> np.ndarray:
+    """The shared moments of length classes: log2 of the size about 8, and its square, scaled to be near 1."""
+    z = (size_class - 8.0) / 4.0
+    return np.stack([z, z * z], -1)
+
+
+def solve_source(words: np.ndarray, tilt: np.ndarray, target: float, most: float) -> tuple[float, np.ndarray]:
+    """lambda, such that the rates min(most, exp(lambda + tilt)) of classes with ``words`` words make up ``target``,
+    and the rates. Exact: classes reach the limit in the order of their tilts."""
+    if target <= 0 or words.sum() <= 0:
+        return 0.0, np.zeros(len(words))
+    order = np.argsort(-tilt, kind="stable")
+    w, t = words[order], tilt[order]
+    top = t.max()
+    free = np.append(np.cumsum((w * np.exp(t - top))[::-1])[::-1], 0.0)  # weight of the classes from k on
+    held = np.concatenate([[0.0], np.cumsum(w)]) * most  # tokens of the classes before k at the limit
+    for k in range(len(w)):
+        if free[k] > 0 and target > held[k]:
+            lam = np.log((target - held[k]) / free[k]) - top
+            if lam + t[k] <= np.log(most):
+                return lam, np.minimum(most, np.exp(lam + tilt))
+    return float(np.log(most) - t.min()), np.full(len(words), float(most))
+
+
+def _sums(table: DataFrame, mu: np.ndarray, most: float) -> np.ndarray:
+    """Over all sources: the moments' tokens, the Hessian of the reduced dual, and the dual's value."""
+    k = len(mu)
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(k + k * k + 1)
+        for rows in it:
+            for target, classes, words in zip(rows["target"], rows["classes"], rows["words"], strict=True):
+                x, w = moments(np.asarray(classes, float)), np.asarray(words, float)
+                lam, rate = solve_source(w, x @ mu, target, most)
+                tokens = w * rate
+                moving = tokens * (rate < most)
+                total[:k] += tokens @ x
+                hessian = x.T @ (moving[:, None] * x)
+                if moving.sum() > 0:
+                    pull = moving @ x
+                    hessian -= np.outer(pull, pull) / moving.sum()
+                total[k:-1] += hessian.ravel()
+                # The conjugate of the bounded entropy: exp below the limit, linear above it.
+                at = lam + x @ mu
+                total[-1] += lam * target - (w * np.where(at < np.log(most), np.exp(np.minimum(at, np.log(most))), most * (1 + at - np.log(most)))).sum()
+        yield pd.DataFrame([total], columns=[f"s{i}" for i in range(len(total))])
+
+    names = [f"s{i}" for i in range(k + k * k + 1)]
+    found = table.mapInPandas(run, ", ".join(f"{n} double" for n in names)).agg(*[F.sum(n).alias(n) for n in names]).first()
+    return np.array([x or 0.0 for x in found])
+
+
+def multipliers(table: DataFrame, wanted: np.ndarray, most: float, rounds: int = ROUNDS) -> np.ndarray:
+    """mu of the shared moments, for ``table`` (target, classes, words: a row a source) and tokens ``wanted`` of each
+    moment. Raises if Newton's iterations don't converge."""
+    k, total = len(wanted), float(table.agg(F.sum("target")).first()[0] or 0.0)
+    mu = np.zeros(k)
+    if total <= 0:
+        return mu
+    ridge = RIDGE * total
+    value = lambda sums, mu: float(wanted @ mu + sums[-1] - ridge * (mu @ mu) / 2)
+    sums = _sums(table, mu, most)
+    for _ in range(rounds):
+        gradient = wanted - sums[:k] - ridge * mu
+        if np.abs(gradient).max() <= TOLERANCE * total:
+            return mu
+        step = np.linalg.solve(sums[k:-1].reshape(k, k) + ridge * np.eye(k), gradient)
+        step *= min(1.0, 4.0 / np.abs(step).max())
+        now = value(sums, mu)
+        while True:
+            then = _sums(table, mu + step, most)
+            if value(then, mu + step) >= now + 1e-4 * float(gradient @ step) - 1e-12 * (abs(now) + total) or np.abs(step).max() < 1e-12:
+                break
+            step = step / 2
+        mu, sums = mu + step, then
+    raise ValueError(f"Newton's iterations haven't converged in {rounds} rounds")
+
+
+def _tilted(table: DataFrame, mu: np.ndarray, most: float) -> DataFrame:
+    """(sk, size_class, rate) of every class of every source."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in it:
+            out = [(sk, int(c), float(r)) for sk, target, classes, words in zip(rows["sk"], rows["target"], rows["classes"], rows["words"], strict=True)
+                   for c, r in zip(classes, solve_source(np.asarray(words, float), moments(np.asarray(classes, float)) @ mu, target, most)[1], strict=True)]
+            yield pd.DataFrame(out, columns=["sk", "size_class", "rate"])
+
+    return table.mapInPandas(run, "sk string, size_class int, rate double")
 
 
 def _cuts(group: pd.DataFrame) -> pd.DataFrame:
     """For one source: per length class, how many hash buckets get one copy more. Bounded by classes x BUCKETS rows."""
-    share = float(group["share"].iloc[0])
     out, carry = [], 0.0
     for size_class, rows in sorted(group.groupby("size_class"), key=lambda x: -x[0]):
+        if rows["full"].iloc[0]:  # at the limit of copies: what is left over goes on to shorter documents
+            out.append((group["sk"].iloc[0], size_class, 0))
+            continue
         rows = rows.sort_values("bucket")
-        wanted = share * float(rows["words"].sum()) + carry
+        wanted = float(rows["share"].iloc[0]) * float(rows["words"].sum()) + carry
         running, cut, taken = 0.0, 0, 0.0
         best = abs(wanted)
         for bucket, words in zip(rows["bucket"], rows["words"], strict=True):
@@ -101,16 +197,37 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     # Sizes are stored (a few bytes a row), so that the words are counted once for the three sums.
     sizes = settled(df.select(df[source].alias("source"), _source_key(df[source]).alias("sk"), size.alias("size"), bucket.alias("bucket")))
     sized = sizes.withColumn("size_class", F.floor(F.log2(F.col("size") + 1)).cast("int"))
-    rate = newton_rate(F.col("source_size").cast("double"), F.col("target"))
-    rates = settled(source_targets(sizes, weights, most).withColumn("rate", rate).withColumn("whole", F.least(F.floor(F.col("rate") + 1e-9), F.lit(int(most)))))
-    rates = rates.withColumn("share", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0)))
-    words = sized.groupBy("sk", "size_class", "bucket").agg(F.sum("size").alias("words"))
-    cuts = settled(words.join(_small(rates.select("sk", "share")), "sk").groupBy("sk").applyInPandas(_cuts, "sk string, size_class int, cut int"))
-    each = _small(settled(cuts.join(rates, "sk").select("sk", "size_class", "cut", "source_size", "target", "rate", "whole")))
-    rows = df.select(F.struct(*df.columns).alias("row"), _source_key(df[source]).alias("sk"), size.alias("size"), bucket.alias("bucket"))
+    words = settled(sized.groupBy("sk", "size_class", "bucket").agg(F.sum("size").alias("words")))
+    targets = settled(source_targets(sizes, weights, most))
+    dropped(sizes)
+    classes = words.groupBy("sk", "size_class").agg(F.sum("words").alias("words"))
+    # A row a source; its classes are at most the 64 of a long's logarithm.
+    listed = classes.groupBy("sk").agg(F.sort_array(F.collect_list(F.struct("size_class", "words"))).alias("c"))
+    solved = settled(listed.join(targets, "sk").select("sk", "target", F.col("c.size_class").alias("classes"), F.col("c.words").alias("words")))
+    mu = multipliers(solved, _wanted(solved), most)
+    rates = _tilted(solved, mu, most).withColumn("whole", F.least(F.floor(F.col("rate") + 1e-9), F.lit(int(most))))
+    rates = settled(rates.withColumn("share", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0))))
+    cuts = words.join(_small(rates.select("sk", "size_class", "share", (F.col("whole") >= int(most)).alias("full"))), ["sk", "size_class"]).groupBy("sk").applyInPandas(_cuts, "sk string, size_class int, cut int")
+    each = settled(cuts.join(rates, ["sk", "size_class"]).join(targets, "sk").select("sk", "size_class", "cut", "source_size", "target", "rate", "whole"))
+    dropped(words, targets, solved, rates)
+    rows = df.select(F.struct(*map(_quoted, df.columns)).alias("row"), _source_key(df[source]).alias("sk"), size.alias("size"), bucket.alias("bucket"))
     rows = rows.withColumn("size_class", F.floor(F.log2(F.col("size") + 1)).cast("int"))
     copies = F.least(F.col("whole") + F.when(F.col("bucket") < F.col("cut"), 1).otherwise(0), F.lit(int(most))).cast("long")
-    return rows.join(each, ["sk", "size_class"]).select("row", "size", "source_size", "target", "rate", copies.alias("copies"))
+    return rows.join(_small(each), ["sk", "size_class"]).select("row", "size", "source_size", "target", "rate", copies.alias("copies"))
+
+
+def _quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`").alias(name)
+
+
+def _wanted(solved: DataFrame) -> np.ndarray:
+    """Tokens of each moment in a mix of the targets' size with the corpus' own lengths."""
+    sums = solved.select(F.explode(F.arrays_zip("classes", "words")).alias("x")).groupBy("x.classes").agg(F.sum("x.words").alias("words")).collect()
+    size = float(sum(r.words for r in sums))
+    total = float(solved.agg(F.sum("target")).first()[0] or 0.0)
+    if not size:
+        return np.zeros(moments(np.zeros(1)).shape[1])
+    return total * sum(r.words * moments(np.array(float(r.classes))) for r in sums) / size
 
 
 def repeated(df: DataFrame, **options) -> DataFrame:
@@ -168,4 +285,6 @@ def balance(cells: DataFrame, targets: dict[str, dict[str, float]], size: str =
         while (then := dual(x + step)) < now - 1e-9 * abs(now) and np.abs(step).max() > 1e-12:
             step /= 2
         x, now = x + step, then
+    else:
+        raise ValueError(f"Newton's iterations haven't converged in {rounds} rounds")
     return {f: {v: float(x[place[f, v]]) for v in each} for f, each in targets.items()}

@@ -78,10 +78,70 @@ def test_mix_of_one_source_and_of_nothing(spark):
     assert [(r["size"], r.target) for r in mixing.mix(empty).collect()] == [(0, 0.0), (0, 0.0)]
 
 
-def test_newton_solves_the_dual(spark):
-    df = spark.createDataFrame([(10.0, 30.0), (1e9, 1.0), (5.0, 5.0), (7.0, 0.0), (0.0, 0.0)], "s double, t double")
-    rates = [r[0] for r in df.select(mixing.newton_rate(F.col("s"), F.col("t"))).collect()]
-    assert np.allclose(rates, [3, 1e-9, 1, 0, 0], rtol=1e-9)
+def test_a_source_is_solved_exactly():
+    r = np.random.default_rng(5)
+    for _ in range(300):
+        n = int(r.integers(1, 9))
+        words, tilt = r.integers(0, 50, n).astype(float), r.normal(0, 3, n)
+        target = float(r.uniform(0, 3.0)) * words.sum()
+        lam, rate = mixing.solve_source(words, tilt, target, 3.0)
+        assert abs((words * rate).sum() - target) <= 1e-9 * max(1, target) and (rate <= 3).all() and (rate >= 0).all()
+        if target > 0:
+            assert np.allclose(rate, np.minimum(3, np.exp(lam + tilt)))
+    assert np.allclose(mixing.solve_source(np.array([5.0, 7.0]), np.array([1.0, -1.0]), 36.0, 3.0)[1], 3)
+
+
+def test_rates_solve_the_balancing_problem(spark):
+    """Against a plain gradient ascent on the whole dual, and against rates that are one a source."""
+    table = [("a", 60.0, [3, 6, 9], [40, 50, 30]), ("b", 160.0, [3, 7], [60, 40]), ("c", 30.0, [6, 9, 11], [10, 0, 90]), ("d", 30.0, [4], [10])]
+    df = spark.createDataFrame(table, "sk string, target double, classes array<int>, words array<long>").repartition(3)
+    wanted = mixing._wanted(df)
+    mu = mixing.multipliers(df, wanted, 3.0)
+    rates = {(x.sk, x.size_class): x.rate for x in mixing._tilted(df, mu, 3.0).collect()}
+    x, lam, step = np.zeros(2), dict.fromkeys("abcd", 0.0), 0.5
+    for _ in range(20_000):
+        gradient = wanted - mixing.RIDGE * 280 * x
+        for sk, target, classes, words in table:
+            m, w = mixing.moments(np.array(classes, float)), np.array(words, float)
+            rate = np.minimum(3, np.exp(lam[sk] + m @ x))
+            gradient = gradient - (w * rate) @ m
+            lam[sk] += step * (target - (w * rate).sum()) / w.sum()
+        x = x + step * gradient / 280
+    for sk, target, classes, words in table:
+        m = mixing.moments(np.array(classes, float))
+        own = [rates[sk, c] for c in classes]
+        assert sum(w * r for w, r in zip(words, own, strict=True)) == pytest.approx(target, rel=1e-9)
+        if sk != "d":
+            assert np.allclose(own, np.minimum(3, np.exp(lam[sk] + m @ x)), atol=2e-3)
+    assert rates["d", 4] == pytest.approx(3) and len({round(rates["a", c], 6) for c in (3, 6, 9)}) == 3
+    lengths = lambda rate: sum(w * rate(sk, t, sum(ws), c) * mixing.moments(np.array(float(c))) for sk, t, cs, ws in table for c, w in zip(cs, ws, strict=True))
+    own, flat = lengths(lambda sk, t, n, c: rates[sk, c]), lengths(lambda sk, t, n, c: t / n)
+    assert np.abs(own - wanted).max() < 0.9 * np.abs(flat - wanted).max()
+    with pytest.raises(ValueError):
+        mixing.multipliers(df, wanted, 3.0, rounds=1)
+
+
+def test_mix_query_against_plain_rules(spark, tmp_path):
+    from acreflow.llm import q_mixing
+
+    rows = [*documents(400, 9), (None, "no id here", "b", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, `size.x` long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = q_mixing.op2_source_mix(spark, str(tmp_path)).collect()
+    size = lambda text: len(WORD.findall(text or ""))
+    sizes = Counter()
+    for _, text, source, _ in rows:
+        sizes[source] += size(text)
+    want, place = plain_targets(dict(sizes)), {(i, size(t), s) for i, t, s, _ in rows}
+    source_of = {i: s for i, _, s, _ in rows}
+    taken = Counter()
+    for x in got:
+        assert (x.doc_id, x["size"], source_of[x.doc_id]) in place and x.taken <= 3 * x["size"] and x.taken % max(1, x["size"]) == 0
+        assert x.source_size == sizes[source_of[x.doc_id]] and x.target == pytest.approx(want[source_of[x.doc_id]])
+        taken[source_of[x.doc_id]] += x.taken
+    assert Counter(x.doc_id for x in got) == Counter(i for i, *_ in rows)
+    assert all(abs(taken[s] - want[s]) <= max(3, 0.02 * want[s]) for s in sizes)
+    # Rates differ by document within a source.
+    assert max(len({round(x.rate, 6) for x in got if source_of[x.doc_id] == s}) for s in sizes) > 3
 
 
 # Quality
