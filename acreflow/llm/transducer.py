@@ -8,6 +8,9 @@ Byte-pair merging becomes a transducer over bytes. After each prefix of a pre-to
 a further byte picks the only vocabulary suffix that fits what stands before it, and moves the count by a number
 that the state fixes. A state holds the vocabulary prefixes that are open, and for each the token and the relative
 count before it: a subset construction, compiled as texts need it, every transition annotated with its counts.
+Long pre-tokens run in chunks side by side: the state before a chunk is guessed from the bytes before it, each chunk
+maps its entry state to its exit state and count, the maps compose in order, and a chunk whose true entry state isn't
+the guessed one is mapped again from that. The counts are those of the run byte by byte.
 
 Defined results: a null text is an empty one (0 bytes, 0 tokens); added special tokens inside a text count as one
 token each, as the library's default has it; repeated rows stay; other columns of the input are not read.
@@ -28,6 +31,8 @@ from acreflow.llm.common import Memo, slices, strings
 
 #: Characters of a chunk of the boundary automaton.
 CHUNK = 256
+#: Bytes of a chunk of a long pre-token, and bytes before it from which its entry state is guessed.
+PIECE, WARM = 128, 32
 #: Transitions that a worker keeps; beyond, it compiles afresh, with the same answers.
 EDGES = 1 << 20
 
@@ -220,21 +225,55 @@ class CountingTransducer:
         found = self.values[at]
         return found[:, 0].astype(np.int64), found[:, 1]
 
-    def count(self, data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Tokens of each pre-token data[begin : begin + length]."""
-        if self.used > self.most:
-            self._empty()
+    def walk(self, state: np.ndarray, data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States after data[begin : begin + length] from each ``state``, and the tokens on the way."""
         order = np.argsort(-length, kind="stable")
-        begin, length = begin[order], length[order]
-        state, counts = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
-        active = len(order)
-        # active[k] pre-tokens are longer than k
+        begin, length, state = begin[order], length[order], state[order]
+        counts = np.zeros(len(order), np.int64)
+        # longer[k] strings are longer than k
         longer = len(order) - np.searchsorted(length[::-1], np.arange(int(length[0]) if len(length) else 0), side="right")
         for k, active in enumerate(longer.tolist()):
             state[:active], moved = self.step(state[:active], data[begin[:active] + k].astype(np.int64))
             counts[:active] += moved
-        out = np.empty_like(counts)
-        out[order] = counts
+        exits, out = np.empty_like(state), np.empty_like(counts)
+        exits[order], out[order] = state, counts
+        return exits, out
+
+    def _count_long(self, data: np.ndarray, begin: int, length: int) -> int:
+        """Tokens of one pre-token, by chunks."""
+        at = np.arange(begin, begin + length, PIECE)
+        sizes = np.minimum(PIECE, begin + length - at)
+        raw = data[begin : begin + length].tobytes()
+        content = [raw[i : i + PIECE] for i in range(0, length, PIECE)]
+        guess, _ = self.walk(np.zeros(len(at) - 1, np.int64), data, at[1:] - WARM, np.full(len(at) - 1, WARM))
+        entry = [0, *guess.tolist()]
+        known: dict[tuple[bytes, int], tuple[int, int]] = {}  # the chunks' state maps, as far as they are needed
+        while True:
+            lacking = {key: i for i, key in enumerate(zip(content, entry, strict=True)) if key not in known}
+            some = np.fromiter(lacking.values(), np.int64, len(lacking))
+            exits, counts = self.walk(np.array(entry, np.int64)[some], data, at[some], sizes[some])
+            known |= zip(lacking, zip(exits.tolist(), counts.tolist(), strict=True), strict=True)
+            state, total, sure = 0, 0, True
+            for i, chunk in enumerate(content):
+                entry[i] = state
+                if (found := known.get((chunk, state))) is None:
+                    sure = False
+                    if i + 1 < len(content):
+                        state = entry[i + 1]  # go on from the guess
+                    continue
+                state, total = found[0], total + found[1]
+            if sure:
+                return total
+
+    def count(self, data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Tokens of each pre-token data[begin : begin + length]."""
+        if self.used > self.most:
+            self._empty()
+        long = length > 2 * PIECE
+        out = np.zeros(len(length), np.int64)
+        out[~long] = self.walk(np.zeros(int((~long).sum()), np.int64), data, begin[~long], length[~long])[1]
+        for i in np.flatnonzero(long).tolist():
+            out[i] = self._count_long(data, int(begin[i]), int(length[i]))
         return out
 
 
@@ -300,6 +339,8 @@ def read_tokenizer(path: str) -> Counter:
     model, pre = own["model"], own["pre_tokenizer"]
     if model["type"] != "BPE" or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or own["normalizer"] or model.get("ignore_merges"):
         raise ValueError("only plain byte-level BPE is compiled")
+    if not pre.get("use_regex", True) or any(t.get(k) for t in own["added_tokens"] for k in ("lstrip", "rstrip", "single_word")):
+        raise ValueError("only added tokens that stand anywhere as they are, and the pattern of the byte-level splitter, are compiled")
     alphabet = _bytes_of_characters()
     raw = lambda token: bytes(alphabet[c] for c in token)
     special = tuple(t["content"] for t in own["added_tokens"])
