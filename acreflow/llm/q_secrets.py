@@ -17,6 +17,8 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         *map(count, secrets.BASE),
         F.sha2(secrets.joined("spans", lambda s: s["base"]), 256).alias("base_sha256"),
         secrets.joined("spans").alias("spans"),
+        F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added"),
+        F.size(F.filter("spans", lambda s: s["linked"])).cast("long").alias("n_linked"),
     )
 
 

@@ -2,9 +2,10 @@
 
 Strong forms stand alone: assigned passwords and tokens, long access identifiers, long hexadecimal runs. Weak
 candidates (short identifiers, assigned client ids, random-looking strings, endpoints) are only parts of a
-credential. Each part opens an interval around itself, clipped to its scope (text between blank lines); identifiers,
-secrets and endpoints, however long, are joined where a part begins or ends in another's interval or spans it, and a weak one is reported only if its
-complement co-occurs: a secret with an identifier or an endpoint, an identifier with a secret, an endpoint with both.
+credential. Each part opens an interval: its scope (text between blank lines), or if a reach is given that much of the
+scope on both sides. Identifiers, secrets and endpoints, however long, are joined where one overlaps another's
+interval, and a weak one is reported only if its complement co-occurs: a secret with an identifier or an endpoint, an
+identifier with a secret, an endpoint with both. Strong forms take part in the join, and are marked where they link.
 
 Defined results: offsets count code points, ends are exclusive; a null text is an empty one without spans; spans
 are ordered by start, then kind; repeated rows stay; the input's other columns are kept only by ``redact``.
@@ -29,7 +30,8 @@ from acreflow.llm.common import slices, strings
 BASE = ("assign", "access", "hex")
 WEAK = ("ident", "secret", "endpoint")
 KINDS = BASE + WEAK
-#: Code points around a part within which its complement must reach.
+#: Code points around a part that its complement must touch, by default for single texts; tables are joined over whole
+#: scopes (None).
 REACH = 240
 
 _ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -78,60 +80,68 @@ def _covered(spans: list[tuple[str, int, int]], by: list[tuple[str, int, int]])
     return [s for s in spans if (i := bisect_left(ends, s[1] + 1)) == len(merged) or merged[i][0] >= s[2]]
 
 
-def linked_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Weak parts whose complements co-occur in their scope."""
+def linked_spans(text: str, base: list[tuple[str, int, int]], reach: int | None = REACH) -> tuple[list[tuple[str, int, int]], set[tuple[str, int, int]]]:
+    """Weak parts whose complements co-occur in their scope, and those of ``base`` that link."""
     has_id = "AKIA" in text or "ASIA" in text
     if not (has_id or "=" in text or ":" in text):
-        return []
+        return [], set()
     idents = _covered([("ident", *m.span()) for m in _IDENT.finditer(text)], base)
     ends = _covered([("endpoint", *m.span()) for m in _ENDPOINT.finditer(text)], base + idents)
-    if not (idents or ends or any(s[0] == "access" for s in base)):
-        return []
+    strong_ids = [s for s in base if s[0] == "access"]
+    if not (idents or ends or strong_ids):
+        return [], set()
     secrets = [("secret", *m.span()) for m in _TOKEN.finditer(text) if _random_looking(m[0])]
     secrets = _covered(secrets, base + idents + ends)
+    strong_secrets = [s for s in base if s[0] != "access"]
     scopes = [0, *(m.end() for m in _BLANK.finditer(text)), len(text) + 1]
 
-    def joined(spans: list, others: list[tuple[int, int]]) -> list:
-        """Those of ``spans`` whose interval, clipped to the scope, one of ``others`` reaches."""
+    def joined(spans: list, others: list) -> list:
+        """Those of ``spans`` whose interval one of ``others`` overlaps."""
+        others = sorted((a, b) for _, a, b in others)
         starts, out = [a for a, _ in others], []
         ends = list(accumulate((b for _, b in others), max))
         for kind, a, b in spans:
             scope = bisect_left(scopes, a + 1)
-            low, high = max(a - REACH, scopes[scope - 1]), min(b + REACH, scopes[scope])
+            low, high = scopes[scope - 1], scopes[scope]
+            if reach is not None:
+                low, high = max(a - reach, low), min(b + reach, high)
             i = bisect_left(starts, high)  # others that begin before the interval's end
             if i and ends[i - 1] > low:
                 out.append((kind, a, b))
         return out
 
-    of = lambda *groups: sorted((a, b) for g in groups for _, a, b in g)
-    known_ids = of(idents, [s for s in base if s[0] == "access"])
-    known_secrets = of(secrets, [s for s in base if s[0] != "access"])
-    out = joined(idents, known_secrets) + joined(secrets, of(idents, ends, [s for s in base if s[0] == "access"]))
-    return out + joined(joined(ends, known_ids), known_secrets)
+    all_ids, all_secrets = idents + strong_ids, secrets + strong_secrets
+    with_secret, with_place = joined(all_ids, all_secrets), joined(all_secrets, all_ids + ends)
+    found = set(with_secret + with_place + joined(joined(ends, all_ids), all_secrets))
+    return sorted(found.difference(base)), found.intersection(base)
 
 
-def scan_text(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+def _order(s: tuple[str, int, int]) -> tuple[int, int, int]:
+    return s[1], KINDS.index(s[0]), s[2]
+
+
+def scan_text(text: str, reach: int | None = REACH) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, added spans), each by start, then kind."""
-    order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     base = base_spans(text)
-    return sorted(base, key=order), sorted(linked_spans(text, base), key=order)
+    return sorted(base, key=_order), sorted(linked_spans(text, base, reach)[0], key=_order)
 
 
-_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
-_SPANS_SQL = "array<struct<kind: string, start: long, end: long, base: boolean>>"
+_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_()), ("linked", pa.bool_())]))
+_SPANS_SQL = "array<struct<kind: string, start: long, end: long, base: boolean, linked: boolean>>"
 
 
-def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, spans): every row's spans as structs of kind, start, end, base, by start, then kind."""
+def scan(df: DataFrame, key: str = "doc_id", text: str = "text", reach: int | None = None) -> DataFrame:
+    """(key, spans): every row's spans as structs of kind, start, end, base, linked, by start, then kind."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for part in slices(batch, 1):
                 rows = []
                 for x in strings(part, 1):
-                    base, added = scan_text(x)
-                    spans = [{"kind": k, "start": a, "end": b, "base": own} for own, group in ((True, base), (False, added)) for k, a, b in group]
-                    rows.append(sorted(spans, key=lambda s: (s["start"], KINDS.index(s["kind"]))) if added else spans)
+                    base = base_spans(x)
+                    added, strong = linked_spans(x, base, reach)
+                    found = [(s, True, s in strong) for s in base] + [(s, False, True) for s in added]
+                    rows.append([dict(zip(("kind", "start", "end", "base", "linked"), (*s, *marks), strict=True)) for s, *marks in sorted(found, key=lambda f: _order(f[0]))])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, _SPANS)], ["key", "spans"])
 
     rows = df.select(df[key].alias("key"), df[text].alias("text"))
@@ -144,14 +154,14 @@ def joined(spans, only=None):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
+def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]", reach: int | None = None) -> DataFrame:
     """``df`` with every reported span of ``text`` replaced by ``mark`` (overlapping spans: once). Null texts stay null."""
     at, names = df.columns.index(text), df.columns
 
     def clean(x: str | None) -> str | None:
         if not x:
             return x
-        base, added = scan_text(x)
+        base, added = scan_text(x, reach)
         out, done = [], 0
         for _, a, b in sorted(base + added, key=lambda s: s[1:]):
             if b <= done:
