@@ -5,8 +5,8 @@ they are veiled (spelled-out or bracketed separators, no plus sign, dotted group
 windows. A window is decoded on its own, without spans that touch an inner edge; a run of overlapping windows is
 decoded as a whole too, each place by the window in which it lies deepest, so a span may be of any length, and a run
 grows while a span touches its inner edge. All that is found is reconciled over the whole text: the set of spans
-without overlaps that weighs most. Decoding is constrained: a span holds a digit or an at sign (plain or bracketed);
-so runs start from windows with one.
+without overlaps that weighs most. Decoding is constrained: a span holds a digit, an at sign (plain or bracketed) or
+the word dot; so runs start from windows with one.
 
 Defined results: offsets count code points, ends are exclusive; a null text is an empty one; base spans always
 stay, and added ones never overlap them; repeated rows stay; other columns of the input are not read.
@@ -38,7 +38,7 @@ _IP = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_CUE = re.compile(r"[0-9@]|[\[(]at[\])]")
+_CUE = re.compile(r"[0-9@]|[\[(]at[\])]|(?<=\x20)dot(?=\x20)")
 
 Span = tuple[str, int, int]
 
@@ -102,7 +102,7 @@ def _example(r: random.Random, kind: str) -> str:
         user, host, top = r.choice((_word(r, 3), f"{_word(r, 2)}.{_word(r, 2)}", f"{_word(r, 3)}.{_digits(r, 2)}")), _word(r, 3), r.choice(("com", "org", "net", "example.com"))
         user = user.encode("ascii", "ignore").decode() or "x"
         host = host.encode("ascii", "ignore").decode() or "y"
-        return r.choice((f"{user}@{host}.{top}", f"{user} [at] {host}.{top}", f"{user}[at]{host}.{top}", f"{user} (at) {host}.{top}", f"{user}(at){host}[dot]{top}", f"{user} @ {host}.{top}"))
+        return r.choice((f"{user}@{host}.{top}", f"{user} [at] {host}.{top}", f"{user}[at]{host}.{top}", f"{user} (at) {host}.{top}", f"{user}(at){host}[dot]{top}", f"{user} @ {host}.{top}", f"{user} at {host} dot {top.replace('.', ' dot ')}"))
     if kind == "ip":
         parts = [str(r.randint(0, 255)) for _ in range(4)]
         return r.choice((".".join(parts), "[.]".join(parts), "(.)".join(parts), ":".join(f"{r.randint(0, 65535):x}" for _ in range(8))))
@@ -119,7 +119,7 @@ def _noise(r: random.Random) -> str:
     return r.choice((
         str(r.randint(1, 2100)), f"{r.randint(1, 9999)}.{r.randint(0, 99):02d}", f"{r.randint(1, 28)}.{r.randint(1, 12)}.{r.randint(1950, 2030)}", f"v{r.randint(0, 9)}.{r.randint(0, 20)}.{r.randint(0, 9)}",
         f"{r.randint(0, 23)}:{r.randint(0, 59):02d}", f"@{_word(r, 2)}", f"#{r.randint(1, 99999)}", "###", "$$$", "%%%", "&&&", f"{r.randint(1, 99)}%", _digits(r, r.randint(5, 24)), f'token = "{r.getrandbits(160):040x}"', f"password={r.getrandbits(72):018x}", f"AKIA{_word(r, 6).upper()}{_digits(r, 2)}",
-        f"{r.randint(2000, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}",
+        f"{r.randint(2000, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", f"at {_word(r)}", "dot", f"{_word(r)} dot {_word(r)}",
     ))
 
 
@@ -179,6 +179,8 @@ def plausible(kind: str, x: str) -> bool:
     """Exact check of an added span's content."""
     d = digits_of(x)
     if kind == "email":
+        if re.fullmatch(r"[A-Za-z0-9._%+-]+ at [A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)+", x):
+            return True
         return ("@" in x or re.search(r"[\[(]at[\])]", x) is not None) and re.search(r"[A-Za-z0-9](?:\.|[\[(]dot[\])])[A-Za-z]{2}", x) is not None and len(x) >= 6
     if kind == "ip":
         parts = re.split(r"[.:()\[\]]+", x.strip("[]()"))

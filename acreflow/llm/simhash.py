@@ -27,8 +27,11 @@ from acreflow.llm.stars import components
 #: Fingerprints that a shard holds. Each level of the upper tree copies about a third of what it splits, while the
 #: tree within a shard copies in memory only: so shards are large, and no deeper than memory and parallel work ask.
 SHARD = 65_536
-#: Fingerprints, chosen by hash, on which the upper tree is fitted: its splits get even, its links stay exact.
-SAMPLE = 8_192
+#: Fingerprints, chosen by hash, on which the upper tree is fitted: about so many for each shard, within these bounds
+#: (8 MB at most come to the driver). Its splits get even by them; its links are exact whatever the sample.
+SAMPLE, LEAST_SAMPLE, MOST_SAMPLE = 256, 8_192, 1 << 20
+#: A shard that turns out to hold more than so many times its size is split again, on a sample of its own.
+OVERSIZE = 4
 #: Fingerprints below which all pairs are compared.
 LEAF = 1_024
 
@@ -92,9 +95,15 @@ class UpperTree:
     """Splits fitted on a sample; every fingerprint goes to each shard that its ball can reach."""
 
     def __init__(self, sample: np.ndarray, total: int, radius: int, shard: int = SHARD):
-        self.radius, self.shards = radius, 0
+        self.radius, self.shards, self.split_again = radius, 0, {}
         self.root = self._grow(sample, total, shard)
 
+    def refine(self, leaf: int, sample: np.ndarray, total: int, shard: int) -> bool:
+        """Splits the shard ``leaf`` again, by a sample of it; False if nothing splits it (a dense ball)."""
+        node = self._grow(sample, total, shard)
+        self.split_again[leaf] = node
+        return not isinstance(node, int)
+
     def _grow(self, sample: np.ndarray, total: float, shard: int):
         split = _split(sample, self.radius) if total > shard and len(sample) >= 64 else None
         if split is None:
@@ -108,6 +117,8 @@ class UpperTree:
         rows, shards, open_ = [], [], [(self.root, np.arange(len(fps)))]
         while open_:
             node, at = open_.pop()
+            while isinstance(node, int) and node in self.split_again:
+                node = self.split_again[node]
             if isinstance(node, int):
                 rows.append(at)
                 shards.append(np.full(len(at), node, np.int32))
@@ -172,26 +183,57 @@ def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return moved, np.array([top(int(i)) for i in moved], np.int64)
 
 
+def _bound(wanted: int, rows: int) -> int:
+    """The 64-bit hash at or below which ``wanted`` of ``rows`` rows lie."""
+    return (1 << 64) * min(wanted, rows) // rows - (1 << 63) - 1
+
+
 def links(fps: DataFrame, radius: int = 3, shard: int = SHARD) -> DataFrame:
     """(u, v) longs: links that span the components of the distinct fingerprints ``fps`` (column fp, stored)."""
-    spark = fps.sparkSession
-    total = fps.count()
-    sample = np.array([r.fp for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    tree = spark.sparkContext.broadcast(UpperTree(sample, total, radius, shard))
-
-    def route(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            own = batch.column(0).to_numpy(zero_copy_only=False)
-            rows, shards = tree.value.route(own.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(shards), pa.array(own[rows])], ["shard", "fp"])
+    spark, total = fps.sparkSession, fps.count()
+
+    def sampled(df: DataFrame, rows: int, wanted: int) -> DataFrame:
+        """About ``wanted`` of the ``rows`` of ``df``, those of the least hashes."""
+        return df if rows <= wanted else df.where(F.xxhash64("fp") <= F.lit(_bound(wanted, rows)))
+
+    def collected(df: DataFrame) -> np.ndarray:
+        # In order of their hashes, so that pivots don't depend on partitions.
+        return np.array([r.fp for r in df.select("fp").orderBy(F.xxhash64("fp"), "fp").collect()], np.int64).view(np.uint64)
+
+    size = min(MOST_SAMPLE, max(LEAST_SAMPLE, SAMPLE * total // shard))
+    tree = UpperTree(collected(sampled(fps.select("fp"), total, size)), total, radius, shard)
+
+    def routed() -> DataFrame:
+        shared = spark.sparkContext.broadcast(tree)
+
+        def route(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in it:
+                own = batch.column(0).to_numpy(zero_copy_only=False)
+                rows, shards = shared.value.route(own.view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(shards), pa.array(own[rows])], ["shard", "fp"])
+
+        return fps.select("fp").mapInArrow(route, "shard int, fp long")
+
+    dense: set[int] = set()
+    while total > shard:
+        counts = {r["shard"]: r["count"] for r in routed().groupBy("shard").count().where(F.col("count") > OVERSIZE * shard).collect() if r["shard"] not in dense}
+        if not counts:
+            break
+        again = sorted(counts, key=lambda k: -counts[k])[: MOST_SAMPLE // LEAST_SAMPLE]  # the others in the next round
+        some = routed().where(F.col("shard").isin(again))
+        part = F.create_map(*[F.lit(x) for k in again for x in (k, _bound(LEAST_SAMPLE, counts[k]))])
+        rows = some.where(F.xxhash64("fp") <= F.element_at(part, F.col("shard"))).orderBy("shard", F.xxhash64("fp"), "fp").collect()
+        for k in again:
+            own = np.array([r.fp for r in rows if r["shard"] == k], np.int64).view(np.uint64)
+            if not tree.refine(k, own, counts[k], shard):
+                dense.add(tree.split_again[k])
 
     def link(batch: pa.Table) -> pa.Table:
         own = np.sort(batch.column("fp").to_numpy())
         u, v = forest(own.view(np.uint64), radius)
         return pa.table({"u": own[u], "v": own[v]})
 
-    routed = fps.select("fp").mapInArrow(route, "shard int, fp long")
-    return routed.groupBy("shard").applyInArrow(link, "u long, v long")
+    return routed().groupBy("shard").applyInArrow(link, "u long, v long")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, radius: int = 3, shard: int = SHARD) -> DataFrame:
