@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, WindowSpec
@@ -159,26 +160,60 @@ def from_mercator(x: Column, y: Column) -> tuple[Column, Column]:
     return F.degrees(x / RADIUS), F.degrees(F.atan(F.sinh(y / RADIUS)))
 
 
-def _albers_constants() -> tuple[float, float, float, float]:
-    p1, p2, p0, l0 = map(math.radians, _ALBERS)
-    n = (math.sin(p1) + math.sin(p2)) / 2
-    c = math.cos(p1) ** 2 + 2 * n * math.sin(p1)
-    return n, c, math.sqrt(c - 2 * n * math.sin(p0)) / n, l0
+@dataclass(frozen=True)
+class Albers:
+    """Conic equal-area projection of an ellipsoid: half axis, squared eccentricity, standard parallels, origin."""
+
+    axis: float = RADIUS
+    e2: float = 0.00669438002290  # fixed value: GRS80
+    parallels: tuple[float, float] = _ALBERS[:2]
+    origin: tuple[float, float] = _ALBERS[2:]
+
+    def _q(self, sine: float) -> float:
+        e = math.sqrt(self.e2)
+        return (1 - self.e2) * (sine / (1 - self.e2 * sine * sine) - math.log((1 - e * sine) / (1 + e * sine)) / (2 * e))
+
+    def constants(self) -> tuple[float, float, float, float]:
+        """n, C, rho of the origin over the half axis, and the origin's longitude."""
+        sines = [math.sin(math.radians(p)) for p in self.parallels]
+        m2 = [(1 - s * s) / (1 - self.e2 * s * s) for s in sines]
+        q = [self._q(s) for s in sines]
+        n = (m2[0] - m2[1]) / (q[1] - q[0])
+        c = m2[0] + n * q[0]
+        return n, c, math.sqrt(c - n * self._q(math.sin(math.radians(self.origin[0])))) / n, math.radians(self.origin[1])
+
+    def _q_of(self, sine: Column) -> Column:
+        e = math.sqrt(self.e2)
+        return (1 - self.e2) * (sine / (1 - self.e2 * sine * sine) - F.log((1 - e * sine) / (1 + e * sine)) / (2 * e))
+
+    def forward(self, lon: Column, lat: Column) -> tuple[Column, Column]:
+        """Metres of degrees."""
+        n, c, rho0, l0 = self.constants()
+        rho = F.sqrt(F.lit(c) - n * self._q_of(F.sin(F.radians(lat)))) / n
+        theta = (F.radians(lon) - l0) * n
+        return rho * F.sin(theta) * self.axis, (F.lit(rho0) - rho * F.cos(theta)) * self.axis
+
+    def inverse(self, x: Column, y: Column) -> tuple[Column, Column]:
+        """Degrees of metres: the series of the authalic latitude, then one Newton step."""
+        n, c, rho0, l0 = self.constants()
+        u, v = x / self.axis, F.lit(rho0) - y / self.axis
+        q = (F.lit(c) - (u * u + v * v) * n * n) / n
+        e2, e4, e6 = self.e2, self.e2**2, self.e2**3
+        beta = F.asin(F.greatest(F.least(q / self._q(1.0), F.lit(1.0)), F.lit(-1.0)))
+        phi = (beta + (e2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040) * F.sin(2 * beta) + (23 * e4 / 360 + 251 * e6 / 3780) * F.sin(4 * beta) + 761 * e6 / 45360 * F.sin(6 * beta))
+        sine = F.sin(phi)
+        w = 1 - e2 * sine * sine
+        phi = phi + F.coalesce(F.try_divide(w * w * (q - self._q_of(sine)), 2 * F.cos(phi) * (1 - e2)), F.lit(0.0))
+        return F.degrees(F.atan2(u, v) / n + l0), F.degrees(phi)
 
 
 def albers(lon: Column, lat: Column) -> tuple[Column, Column]:
-    """Conic equal-area metres of degrees, on the sphere."""
-    n, c, rho0, l0 = _albers_constants()
-    rho = F.sqrt(F.lit(c) - 2 * n * F.sin(F.radians(lat))) / n
-    theta = (F.radians(lon) - l0) * n
-    return rho * F.sin(theta) * RADIUS, (F.lit(rho0) - rho * F.cos(theta)) * RADIUS
+    """EPSG:5070 metres of degrees."""
+    return Albers().forward(lon, lat)
 
 
 def from_albers(x: Column, y: Column) -> tuple[Column, Column]:
-    n, c, rho0, l0 = _albers_constants()
-    u, v = x / RADIUS, F.lit(rho0) - y / RADIUS
-    rho2 = u * u + v * v
-    return F.degrees(F.atan2(u, v) / n + l0), F.degrees(F.asin((F.lit(c) - rho2 * n * n) / (2 * n)))
+    return Albers().inverse(x, y)
 
 
 def first_present(*xs: Column) -> Column:

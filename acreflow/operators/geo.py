@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +44,77 @@ def bilinear(target: DataFrame, source: DataFrame, row: Column, col: Column, key
     return asked.join(given, [*keys, "_r", "_c"]).groupBy(*keys, *cell).agg(F.try_divide(F.sum(F.col("_v") * F.col("_w")), F.sum("_w")).alias(value))
 
 
+def rings_of(wkb: bytes) -> list[np.ndarray]:
+    """The rings of a WKB polygon or multipolygon, as arrays of (x, y)."""
+
+    def read(at: int) -> tuple[list[np.ndarray], int]:
+        order = "<" if wkb[at] else ">"
+        kind, at = struct.unpack_from(order + "I", wkb, at + 1)[0], at + 5
+        size = 2 + bool(kind & 0x80000000 or kind % 10000 // 1000 in (1, 3)) + bool(kind & 0x40000000 or kind % 10000 // 1000 in (2, 3))
+        if kind & 0x20000000:
+            at += 4  # a reference system
+        n, at = struct.unpack_from(order + "I", wkb, at)[0], at + 4
+        out = []
+        if kind & 0xFF == 6 or kind % 1000 == 6:
+            for _ in range(n):
+                more, at = read(at)
+                out += more
+        elif kind & 0xFF == 3 or kind % 1000 == 3:
+            for _ in range(n):
+                m, at = struct.unpack_from(order + "I", wkb, at)[0], at + 4
+                out.append(np.frombuffer(wkb, order + "f8", m * size, at).reshape(m, size)[:, :2].astype(float))
+                at += 8 * m * size
+        else:
+            raise ValueError("only polygons and multipolygons become cells")
+        return out, at
+
+    return read(0)[0]
+
+
+def polygon_spans(rings: list[np.ndarray], n_rows: int, n_cols: int, touches: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, columns) of the cells of a polygon in grid units (x right, y down): those whose centre lies inside by the
+    even-odd rule, and with ``touches`` all that its boundary passes through, too."""
+    a = np.concatenate([r[:-1] if (r[0] == r[-1]).all() else r for r in rings])
+    b = np.concatenate([np.roll(r[:-1] if (r[0] == r[-1]).all() else r, -1, 0) for r in rings])
+    low, high = np.minimum(a[:, 1], b[:, 1]), np.maximum(a[:, 1], b[:, 1])
+    for row in range(max(0, int(np.floor(low.min()))), min(n_rows, int(np.floor(high.max())) + 1)):
+        y, hit = row + 0.5, np.zeros(n_cols + 1, np.int64)
+        at = np.flatnonzero((a[:, 1] <= y) != (b[:, 1] <= y))
+        cross = np.sort(a[at, 0] + (y - a[at, 1]) / (b[at, 1] - a[at, 1]) * (b[at, 0] - a[at, 0]))
+        np.add.at(hit, np.clip(np.ceil(cross[::2] - 0.5), 0, n_cols).astype(int), 1)
+        np.add.at(hit, np.clip(np.ceil(cross[1::2] - 0.5), 0, n_cols).astype(int), -1)
+        inside = hit.cumsum()[:-1] > 0
+        if touches:
+            at = np.flatnonzero((low < row + 1) & (high >= row))
+            rise = b[at, 1] - a[at, 1]
+            ends = [np.where(rise == 0, x, a[at, 0] + np.clip(np.divide(edge - a[at, 1], rise, out=np.zeros(len(at)), where=rise != 0), 0, 1) * (b[at, 0] - a[at, 0])) for edge, x in ((row, a[at, 0]), (row + 1, b[at, 0]))]
+            for first, last in zip(np.floor(np.minimum(*ends)).astype(int), np.floor(np.maximum(*ends)).astype(int), strict=True):
+                inside[max(0, first) : max(0, last + 1)] = True
+        if len(found := np.flatnonzero(inside)):
+            yield row, found
+
+
+def polygon_cells(layer: DataFrame, keys: list[str], x_min: float, y_max: float, res: float, n_rows: int, n_cols: int, touches: bool = False, geom: str = "geom") -> DataFrame:
+    """(keys, row, col): the cells of each polygon of ``layer`` (WKB in ``geom``, in the grid's coordinates; null: none),
+    a polygon at a time, emitted row by row. A narrow operator: polygons may lie in any number of partitions."""
+    rows = layer.select(*keys, geom)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for i in range(batch.num_rows):
+                wkb = batch.column(len(keys))[i].as_py()
+                if wkb is None:
+                    continue
+                rings = [np.stack([(r[:, 0] - x_min) / res, (y_max - r[:, 1]) / res], -1) for r in rings_of(wkb) if len(r)]
+                if not rings:
+                    continue
+                for row, cols in polygon_spans(rings, n_rows, n_cols, touches):
+                    own = [pa.array([batch.column(k)[i].as_py()] * len(cols), batch.schema.field(k).type) for k in range(len(keys))]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array([row] * len(cols), pa.int32()), pa.array(cols.astype(np.int32))], [*keys, "row", "col"])
+
+    return rows.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[:-1]) + ", row int, col int")
+
+
 def in_polygon(pixels: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
     """Cells of a polygon given as its cells."""
     return pixels.join(members.select(*keys).distinct(), keys, "left_semi")

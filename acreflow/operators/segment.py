@@ -5,19 +5,28 @@ A unit is its set of cells; areas are counted in cells and become hectares last,
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from acreflow.functions.columns import is_finite
+
 KEYS = ("county_id", "yr")
 CELL = ("cx", "cy")
 
 
-def label_components(x: np.ndarray, y: np.ndarray, width: int) -> np.ndarray:
-    """For each cell the least code x * width + y of its 4-neighbour component. Repeated cells are allowed.
+def label_components(x: np.ndarray, y: np.ndarray, width: int | None = None) -> np.ndarray:
+    """For each cell the least code x * width + y of its 4-neighbour component. Repeated cells are allowed; coordinates
+    are whole numbers from 0. ``width`` is above every y; by default the least such, plus one.
 
     Neighbours by binary search in the sorted codes; labels fall by hooking and pointer jumping, in a number of
     rounds that grows with the logarithm of a component's size."""
+    if len(x) and min(x.min(), y.min()) < 0:
+        raise ValueError("cells are numbered from 0")
+    highest = int(y.max()) if len(y) else 0
+    if width is not None and width <= highest:
+        raise ValueError(f"a raster of width {width} has no cell {highest}")
+    width = width or highest + 2
     code = x.astype(np.int64) * width + y
     cells, place = np.unique(code, return_inverse=True)
     pairs = []
@@ -38,26 +47,29 @@ def label_components(x: np.ndarray, y: np.ndarray, width: int) -> np.ndarray:
     return cells[root][place]
 
 
-def components(support: DataFrame, width: int) -> DataFrame:
-    """``support`` with patch: one group a county and year, whose raster is bounded by the county's extent."""
+def components(support: DataFrame, width: int | None = None) -> DataFrame:
+    """``support`` with patch: one group a county and year, whose raster is bounded by the county's extent. A county of
+    4 million cells (3,600 square km at 30 m) is a group of 130 MB of keys, cells and weights; only Arrow columns move."""
     names = support.columns
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        return group.assign(patch=label_components(group["cx"].to_numpy(), group["cy"].to_numpy(), width))[[*names, "patch"]]
+    def run(group: pa.Table) -> pa.Table:
+        patch = label_components(group.column("cx").to_numpy(), group.column("cy").to_numpy(), width)
+        return group.append_column("patch", pa.array(patch, pa.int64()))
 
-    return support.groupBy(*KEYS).applyInPandas(run, ", ".join(f"`{n}` {t}" for n, t in support.dtypes) + ", patch long")
+    return support.groupBy(*KEYS).applyInArrow(run, ", ".join(f"`{n}` {t}" for n, t in support.dtypes) + ", patch long").select(*names, "patch")
 
 
 def sieve(labelled: DataFrame, least: int = 50) -> DataFrame:
-    """Without components of fewer cells."""
-    n = F.count("*").over(Window.partitionBy(*KEYS, "patch"))
-    return labelled.withColumn("_n", n).where(F.col("_n") >= least).drop("_n")
+    """Without components of fewer cells. Counts combine before the shuffle and are joined back: no window holds a
+    component's rows, however large it is."""
+    kept = labelled.groupBy(*KEYS, "patch").count().where(F.col("count") >= least)
+    return labelled.join(kept.select(*KEYS, "patch"), [*KEYS, "patch"], "left_semi")
 
 
 def fields(labelled: DataFrame, weight: str = "w") -> DataFrame:
     """(county_id, yr, patch, area_cells, w_sum, w_density): zonal sums; fields without a finite weight drop."""
     sums = labelled.groupBy(*KEYS, "patch").agg(F.count("*").alias("area_cells"), F.sum(weight).alias("w_sum"))
-    kept = sums.where(F.col("w_sum").isNotNull() & ~F.isnan(F.col("w_sum").cast("double")))
+    kept = sums.where(is_finite(F.col("w_sum").cast("double")))
     return kept.withColumn("w_density", F.col("w_sum").cast("double") / F.col("area_cells"))
 
 
@@ -70,9 +82,9 @@ def tiles(labelled: DataFrame, most: int, side: int, partial: bool = False, touc
     """Cells of fields larger than ``most`` cells with their tile (tile_i, tile_j): squares of ``side`` cells from the
     field's lower corner. Only full tiles fit its bounding box unless ``partial``. With ``touches`` a cell on a tile's
     edge counts in both tiles."""
-    patch = Window.partitionBy(*KEYS, "patch")
-    box = labelled.withColumns({"_n": F.count("*").over(patch), "_x0": F.min("cx").over(patch), "_y0": F.min("cy").over(patch), "_x1": F.max("cx").over(patch), "_y1": F.max("cy").over(patch)})
-    giant = box.where(F.col("_n") > most)
+    extent = [f(c).alias(n) for f, c, n in ((F.min, "cx", "_x0"), (F.min, "cy", "_y0"), (F.max, "cx", "_x1"), (F.max, "cy", "_y1"))]
+    boxes = labelled.groupBy(*KEYS, "patch").agg(F.count("*").alias("_n"), *extent).where(F.col("_n") > most)
+    giant = labelled.join(boxes, [*KEYS, "patch"]).select(*labelled.columns, "_x0", "_y0", "_x1", "_y1")
 
     def index(c: str, low: str) -> Column:
         offset = F.col(c) - F.col(low)
@@ -84,14 +96,15 @@ def tiles(labelled: DataFrame, most: int, side: int, partial: bool = False, touc
     count = lambda low, high: F.floor((F.col(high) - F.col(low) + 1) / side)
     if not partial:
         found = found.where((F.col("tile_i") < count("_x0", "_x1")) & (F.col("tile_j") < count("_y0", "_y1")))
-    return found.drop("_n", "_x0", "_y0", "_x1", "_y1")
+    return found.drop("_x0", "_y0", "_x1", "_y1")
 
 
 def tile_units(tiled: DataFrame, weight: str = "w") -> DataFrame:
-    """(keys, patch_parent, unit_id, area_cells, w_sum): the tiles that have cells, numbered column by column."""
+    """(keys, patch_parent, unit_id, area_cells, w_sum, tile_i, tile_j, tile_id): the tiles that have cells, numbered
+    column by column; tile_id is that number within the field."""
     sums = tiled.groupBy(*KEYS, "patch", "tile_i", "tile_j").agg(F.count("*").alias("area_cells"), F.sum(weight).alias("w_sum"))
     number = F.row_number().over(Window.partitionBy(*KEYS, "patch").orderBy("tile_i", "tile_j"))
-    return sums.withColumn("_i", number).select(*KEYS, F.col("patch").alias("patch_parent"), F.concat_ws("_", F.col("patch").cast("string"), F.col("_i").cast("string")).alias("unit_id"), "area_cells", "w_sum", "tile_i", "tile_j")
+    return sums.withColumn("_i", number).select(*KEYS, F.col("patch").alias("patch_parent"), F.concat_ws("_", F.col("patch").cast("string"), F.col("_i").cast("string")).alias("unit_id"), "area_cells", "w_sum", "tile_i", "tile_j", F.col("_i").cast("long").alias("tile_id"))
 
 
 def ranked_units(small: DataFrame, tiled: DataFrame, least: int, most: int) -> DataFrame:
@@ -119,7 +132,7 @@ def units_of(labelled: DataFrame, most_field: int, side: int, least_unit: int, m
     return {"labelled": labelled, "fields": table, "tiles": cut, "pseudo_units": parts, "units": ranked_units(small, parts, least_unit, most_unit)}
 
 
-def segmented(support: DataFrame, width: int, least_patch: int = 50, most_field: int = 3333, side: int = 47, least_unit: int = 55, most_unit: int = 5555, weight: str = "w") -> dict[str, DataFrame]:
+def segmented(support: DataFrame, width: int | None = None, least_patch: int = 50, most_field: int = 3333, side: int = 47, least_unit: int = 55, most_unit: int = 5555, weight: str = "w") -> dict[str, DataFrame]:
     """Components to ranked units."""
     return units_of(sieve(components(support, width), least_patch), most_field, side, least_unit, most_unit, weight)
 

@@ -16,33 +16,64 @@ def _group():
     return Window.partitionBy(*KEYS)
 
 
+def _counts(cells: DataFrame, value: str) -> DataFrame:
+    """(keys, _v, _c): the distinct values of each group, and how many cells have them. Combines before the shuffle."""
+    return cells.where(F.col(value).isNotNull()).groupBy(*KEYS, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+
+
+def quantiles(counts: DataFrame, lowest: int, highest: int, step: int) -> DataFrame:
+    """(keys, _p, q): the interpolated quantiles (type 7) of the levels lowest, lowest + step, ... highest, in thousandths.
+
+    counts: distinct values with their counts. Cumulative counts over the sorted distinct values give the ranks that
+    each value holds; the levels between are found by arithmetic, so nothing holds a group's values at once."""
+    order = Window.partitionBy(*KEYS).orderBy("_v")
+    ranked = counts.withColumns({"_b": F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_next": F.lead("_v").over(order), "_n": F.sum("_c").over(_group())})
+    # Levels p with a <= (n - 1) p / 1000 < b lie at this value or between it and the next.
+    ceil = lambda rank: F.when(F.col("_n") > 1, F.ceil(rank * 1000 / (F.col("_n") - 1))).otherwise(F.when(rank > 0, F.lit(1001)).otherwise(0)).cast("long")
+    first = F.greatest(ceil(F.col("_b") - F.col("_c")), F.lit(lowest))
+    first = F.lit(lowest) + F.ceil((first - lowest) / step).cast("long") * step
+    last = F.least(ceil(F.col("_b")) - 1, F.lit(highest))
+    held = ranked.withColumns({"_first": first, "_last": last}).where("_first <= _last")
+    level = held.withColumn("_p", F.explode(F.sequence("_first", "_last", F.lit(step).cast("long"))))
+    place = (F.col("_n") - 1) * F.col("_p")
+    between = (F.pmod(place, F.lit(1000)) > 0) & (F.floor(place / 1000) + 1 >= F.col("_b"))
+    q = F.when(between, F.col("_v") + (F.col("_next") - F.col("_v")) * F.pmod(place, F.lit(1000)) / 1000).otherwise(F.col("_v"))
+    return level.select(*KEYS, F.col("_p").cast("int").alias("_p"), F.round(q, DECIMALS).alias("q"))
+
+
+def quantile(cells: DataFrame, value: str, level: float) -> DataFrame:
+    """(keys, <value>_q) at one level, to the thousandth."""
+    p = round(level * 1000)
+    return quantiles(_counts(cells, value), p, p, 1).select(*KEYS, F.col("q").alias(f"{value}_q"))
+
+
 def screen(pixels: DataFrame, value: str, level: float = 0.05) -> DataFrame:
     """Cells strictly above the group's quantile, taken over all of its cells, and that threshold as <value>_q."""
-    q = pixels.groupBy(*KEYS).agg(F.round(F.percentile(value, F.lit(level)), DECIMALS).alias(f"{value}_q"))
-    return pixels.join(q, list(KEYS)).where(F.col(value) > F.col(f"{value}_q"))
+    return pixels.join(quantile(pixels, value, level), list(KEYS)).where(F.col(value) > F.col(f"{value}_q"))
 
 
-def eligibility(cells: DataFrame, harvest: DataFrame, value: str = "ndvi", buffer: float = 0.0, high: int = 90, low: int = 10) -> DataFrame:
+def eligibility(cells: DataFrame, harvest: DataFrame, value: str = "ndvi", buffer: float = 0.0, high: int = 90, low: int = 10, step: int = 1) -> DataFrame:
     """(county_id, yr, level, threshold, eligible_cells): the highest of the quantile levels whose cells at or above it
     reach the harvested area with its buffer; the lowest level if none does; the median without a valid area.
 
-    harvest: (county_id, yr, harvested_cells). One pass computes all the levels; the count at or above each threshold
-    comes from one cumulative count over the distinct values, instead of cells times levels."""
-    levels = at_most_levels(high, low)
-    stats = cells.groupBy(*KEYS).agg(F.percentile(value, F.array(*map(F.lit, [*levels, 0.5]))).alias("_qs"), F.count(value).alias("_n"))
-    thresholds = stats.select(*KEYS, F.posexplode("_qs").alias("_i", "_q")).select(*KEYS, "_i", F.round("_q", DECIMALS).alias("threshold"))
+    harvest: (county_id, yr, harvested_cells). Levels run from high to low per cent by ``step``: 81 levels by one, 41 by
+    two. Thresholds and the counts at or above them come from cumulative counts over the distinct values."""
+    levels = len(at_most_levels(high, low)[::step])
+    lowest = high - (levels - 1) * step
+    counts = _counts(cells, value)
+    searched = quantiles(counts, 10 * lowest, 10 * high, 10 * step).select(*KEYS, ((F.lit(10 * high) - F.col("_p")) / (10 * step)).cast("int").alias("_i"), F.col("q").alias("threshold"))
+    middle = quantiles(counts, 500, 500, 1).select(*KEYS, F.lit(levels).alias("_i"), F.col("q").alias("threshold"))
     # Values and thresholds in one order: each threshold row counts the cells that stand at or after it.
-    counts = cells.where(F.col(value).isNotNull()).groupBy(*KEYS, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
-    both = counts.select(*KEYS, "_v", "_c", F.lit(None).cast("int").alias("_i")).union(thresholds.select(*KEYS, "threshold", F.lit(0).cast("long"), "_i"))
+    both = counts.select(*KEYS, "_v", "_c", F.lit(None).cast("int").alias("_i")).union(searched.union(middle).select(*KEYS, "threshold", F.lit(0).cast("long"), "_i"))
     above = Window.partitionBy(*KEYS).orderBy(F.col("_v").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     reached = both.withColumn("_above", F.sum("_c").over(above)).where("_i is not null").select(*KEYS, "_i", F.col("_v").alias("threshold"), F.col("_above").alias("eligible_cells"))
     wanted = harvest.select(*KEYS, F.col("harvested_cells").cast("double").alias("_h"))
     joined = reached.join(wanted, list(KEYS), "left")
     valid = is_finite(F.col("_h")) & (F.col("_h") > 0)
-    last = len(levels) - 1
+    last = levels - 1
     fits = F.when(~valid, F.col("_i") == last + 1).otherwise((F.col("_i") <= last) & ((F.col("eligible_cells") >= F.col("_h") * (1 + buffer)) | (F.col("_i") == last)))
     best = joined.where(fits).groupBy(*KEYS).agg(F.min(F.struct("_i", "threshold", "eligible_cells")).alias("_b")).select(*KEYS, "_b.*")
-    level = F.when(F.col("_i") == last + 1, 0.5).otherwise(F.lit(high / 100) - F.col("_i") / 100)
+    level = F.when(F.col("_i") == last + 1, 0.5).otherwise(F.lit(high / 100) - F.col("_i") * step / 100)
     return best.select(*KEYS, F.round(level, 2).alias("level"), "threshold", "eligible_cells")
 
 

@@ -2,96 +2,114 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ("county_id", "yr")
-#: Units within reach of each other up to which a full distance matrix is made (800 MB of doubles at 10,000).
-MOST_UNITS = 10_000
-
-
-def _within_reach(x: np.ndarray, y: np.ndarray, height: float) -> list[np.ndarray]:
-    """Single-linkage components at ``height``, as ascending places: units of different ones never share a zone."""
-    rest, found = np.arange(len(x)), []
-    while len(rest):
-        group, frontier, rest = [rest[:1]], rest[:1].tolist(), rest[1:]
-        while frontier and len(rest):
-            i = frontier.pop()
-            near = np.hypot(x[rest] - x[i], y[rest] - y[i]) <= height
-            group.append(rest[near])
-            frontier += rest[near].tolist()
-            rest = rest[~near]
-        found.append(np.sort(np.concatenate(group)))
-    return found
+#: Decimals to which distances are compared, so that ties don't hang on their last bits.
+DECIMALS = 6
+
+
+def _hull(x: np.ndarray, y: np.ndarray, at: list[int]) -> list[int]:
+    """Corners of the convex hull of the points ``at``: the farthest point of a set from anywhere is one of them."""
+    points = sorted({(x[i], y[i]): i for i in reversed(at)}.items())
+    if len(points) < 3:
+        return [i for _, i in points]
+    out: list[int] = []
+    for side in (points, points[::-1]):
+        chain: list = []
+        for p, i in side:
+            while len(chain) > 1 and (chain[-1][0][0] - chain[-2][0][0]) * (p[1] - chain[-2][0][1]) - (chain[-1][0][1] - chain[-2][0][1]) * (p[0] - chain[-2][0][0]) <= 0:
+                chain.pop()
+            chain.append((p, i))
+        out += [i for _, i in chain[:-1]]
+    return out
 
 
 def complete_linkage(x: np.ndarray, y: np.ndarray, height: float) -> np.ndarray:
-    """Zone numbers from 1, by first appearance: clusters merged while their largest distance is at most ``height``.
+    """Zone numbers from 1, by first appearance: the two clusters with the least largest distance merge as long as it is
+    at most ``height``; of equal ones those with the lowest first units.
 
-    Nearest-neighbour chains on the matrix of largest distances: O(n²) time and memory. Complete linkage is
-    reducible, so the chain's merges, taken by height, are those of the greedy order. Ties go to the lower index.
-    Above MOST_UNITS the components within reach are clustered on their own, with the same zones; only one component
-    above it is refused."""
+    Distances between clusters are taken between the corners of their hulls, in a window of ``height`` along x, when
+    they are needed; known ones only grow, so a heap of them gives the order. Memory is linear in the units, of which
+    there may be any number."""
     n = len(x)
-    if n > MOST_UNITS:
-        parts = _within_reach(x, y, height)
-        if (most := max(map(len, parts))) > MOST_UNITS:
-            raise ValueError(f"{most} units within reach of each other are too many for one distance matrix")
-        low = np.empty(n, np.int64)  # the first unit of each one's zone
-        for at in parts:
-            zone = complete_linkage(x[at], y[at], height)
-            _, first = np.unique(zone, return_index=True)
-            low[at] = at[first[zone - 1]]
-        return np.unique(low, return_inverse=True)[1] + 1
-    d = np.hypot(x[:, None] - x[None, :], y[:, None] - y[None, :])
-    np.fill_diagonal(d, np.inf)
-    alive, parent = np.ones(n, bool), np.arange(n)
-    chain: list[int] = []
-    while True:
-        if not chain:
-            open_ = np.flatnonzero(alive)
-            if len(open_) < 2:
-                break
-            chain = [int(open_[0])]
-        a = chain[-1]
-        b = int(np.argmin(d[a]))
-        if len(chain) > 1 and d[a, chain[-2]] <= d[a, b]:
-            b = chain[-2]
-        if not d[a, b] <= height:
-            # Nothing within reach: this cluster is final, and what waits on it in the chain is looked at again.
-            alive[a] = False
-            d[a, :] = d[:, a] = np.inf
-            chain = []
-        elif len(chain) > 1 and b == chain[-2]:
-            chain = chain[:-2]
-            low, high = min(a, b), max(a, b)
-            d[low] = np.maximum(d[low], d[high])
-            d[:, low] = d[low]
-            d[low, low] = np.inf
-            d[high, :] = d[:, high] = np.inf
-            alive[high], parent[high] = False, low
-        else:
-            chain.append(b)
+    if not n:
+        return np.zeros(0, np.int64)
+    label = np.arange(n)  # of corners: their cluster, named by its first unit; -1 within a hull
+    corners: dict[int, list[int]] = {i: [i] for i in range(n)}
+    parent, version = np.arange(n), [0] * n
+    by_x = np.argsort(x, kind="stable")
+    ordered, stale = x[by_x], 0
+    slack = height + 10.0**-DECIMALS
+
+    def near(a: int) -> tuple[float, int] | None:
+        """The nearest cluster behind ``a`` in order, if within the height."""
+        own = corners[a]
+        low, high = np.searchsorted(ordered, x[own].max() - slack), np.searchsorted(ordered, x[own].min() + slack, "right")
+        some = by_x[low:high]
+        some = some[label[some] > a]
+        if not len(some):
+            return None
+        d = np.hypot(x[some] - x[own[0]], y[some] - y[own[0]])
+        for i in own[1:]:
+            keep = d <= slack
+            some, d = some[keep], d[keep]
+            d = np.maximum(d, np.hypot(x[some] - x[i], y[some] - y[i]))
+        keep = d <= slack
+        some, d = some[keep], np.round(d[keep], DECIMALS)
+        if not len(some):
+            return None
+        groups, place, held = np.unique(label[some], return_inverse=True, return_counts=True)
+        far = np.zeros(len(groups))
+        np.maximum.at(far, place, d)
+        far[[h != len(corners[g]) for g, h in zip(groups.tolist(), held.tolist(), strict=True)]] = np.inf
+        best = int(np.argmin(far))
+        return (float(far[best]), int(groups[best])) if far[best] <= height else None
+
+    heap: list[tuple[float, int, int, int, int]] = []
+
+    def look(a: int) -> None:
+        if (found := near(a)) is not None:
+            heapq.heappush(heap, (found[0], a, found[1], version[a], version[found[1]]))
+
     for i in range(n):
-        while parent[i] != parent[parent[i]]:
-            parent[i] = parent[parent[i]]
-    _, first, inverse = np.unique(parent, return_index=True, return_inverse=True)
-    order = np.empty(len(first), np.int64)
-    order[np.argsort(first)] = np.arange(1, len(first) + 1)
-    return order[inverse]
+        look(i)
+    while heap:
+        _, a, b, mine, theirs = heapq.heappop(heap)
+        if parent[a] != a or version[a] != mine:
+            continue
+        if parent[b] != b or version[b] != theirs:
+            look(a)
+            continue
+        both = _hull(x, y, corners[a] + corners[b])
+        gone = set(corners[a] + corners.pop(b)).difference(both)
+        corners[a], parent[b] = both, a
+        label[both], label[list(gone)] = a, -1
+        version[a] += 1
+        look(a)
+        if (stale := stale + len(gone)) * 2 > len(by_x):
+            by_x = by_x[label[by_x] >= 0]
+            ordered, stale = x[by_x], 0
+    for i in range(n):  # parents come before their children
+        parent[i] = parent[parent[i]]
+    return np.unique(parent, return_inverse=True)[1] + 1
 
 
 def zoned(units: DataFrame, height: float = 10_000.0, x: str = "x", y: str = "y", keys: tuple[str, ...] = KEYS, order: str = "rn") -> DataFrame:
     """``units`` with cluster_id: one group a county and year, independent of beta. Units come in their weight order."""
     names = units.columns
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([order, "unit_id"], kind="stable")
-        return group.assign(cluster_id=complete_linkage(group[x].to_numpy(float), group[y].to_numpy(float), height))[[*names, "cluster_id"]]
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([(order, "ascending"), ("unit_id", "ascending")])
+        zone = complete_linkage(group.column(x).to_numpy(), group.column(y).to_numpy(), height)
+        return group.append_column("cluster_id", pa.array(zone, pa.int64()))
 
-    return units.groupBy(*keys).applyInPandas(run, ", ".join(f"`{n}` {t}" for n, t in units.dtypes) + ", cluster_id long")
+    return units.groupBy(*keys).applyInArrow(run, ", ".join(f"`{n}` {t}" for n, t in units.dtypes) + ", cluster_id long").select(*names, "cluster_id")
 
 
 def aggregate(units: DataFrame, keys: tuple[str, ...] = ("county_id", "yr", "beta"), x: str = "x", y: str = "y") -> DataFrame:
@@ -139,3 +157,8 @@ def merged_floors(zones: DataFrame, keep: int = 1, keys: tuple[str, ...] = ("cou
     t = t.withColumns({"cluster_area_ha": more("cluster_area_ha", "_a"), "cluster_prod_kg": more("cluster_prod_kg", "_p"), "n_units_merged": more("n_units", "_n")})
     redone = F.when(F.col("_a").isNotNull(), F.try_divide(F.col("cluster_prod_kg"), F.col("cluster_area_ha"))).otherwise(F.col("cluster_yield_kg_ha"))
     return t.withColumn("cluster_yield_kg_ha", redone).drop("_a", "_p", "_n")
+
+
+def by_yield(zones: DataFrame, keys: tuple[str, ...] = ("county_id", "yr", "beta")) -> DataFrame:
+    """The order of presentation: within county, year and beta by falling yield. A range-partitioned sort."""
+    return zones.orderBy(*keys, F.col("cluster_yield_kg_ha").desc_nulls_last(), "cluster_id")

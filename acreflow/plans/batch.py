@@ -5,6 +5,7 @@ afterwards. Rules that skip a county and year become a table with reasons, never
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -40,7 +41,7 @@ SINGLE = WeightOptions(lower=0.6, upper=2.0, buffer=0.05)
 class DisaggOptions:
     """Sizes in cells; at 0.09 ha a cell 3333 cells are 300 ha and a side of 47 cells is that of a 200 ha tile."""
 
-    width: int = 24
+    width: int | None = None  # of the raster; by default from each county's cells
     least_patch: int = 50
     most_field: int = 3333
     side: int = 47
@@ -72,7 +73,7 @@ def skipped(targets: DataFrame, stats: DataFrame, rasters: DataFrame, areas: Dat
     return t.withColumn("reason", reason).where("reason is not null").select(*KEYS, "reason")
 
 
-def weights_batch(pixels: DataFrame, stats: DataFrame, options: WeightOptions = SINGLE) -> dict[str, DataFrame]:
+def weights_batch(pixels: DataFrame, stats: DataFrame, options: WeightOptions = WeightOptions()) -> dict[str, DataFrame]:
     """{weights, mask, decisions, eligibility, diagnostics, skipped} for every county and year with statistics.
 
     pixels: (county_id, yr, cx, cy, ndvi, et, cdl); stats: (county_id, yr, harvested_cells, yield_kg_ha[, planted_cells])."""
@@ -86,8 +87,8 @@ def weights_batch(pixels: DataFrame, stats: DataFrame, options: WeightOptions =
     mask = cells.where("chosen").select(*KEYS, "cx", "cy")
     inside = settled(pixels.join(mask, [*KEYS, "cx", "cy"]).select(*KEYS, "cx", "cy", "ndvi", "et"))
     chosen = settled(weights.eligibility(inside, targets, buffer=options.buffer))
-    q = pixels.groupBy(*KEYS).agg(*[F.round(F.percentile(c, F.lit(options.screen_level)), weights.DECIMALS).alias(f"q_{c}") for c in ("ndvi", "et")])
-    q = settled(q)
+    q = [weights.quantile(pixels, c, options.screen_level).withColumnRenamed(f"{c}_q", f"q_{c}") for c in ("ndvi", "et")]
+    q = settled(q[0].join(q[1], list(KEYS), "full"))
     fit = weights.eligible(inside, chosen).join(q, list(KEYS)).where((F.col("ndvi") > F.col("q_ndvi")) & (F.col("et") > F.col("q_et")))
     surface = weights.surface(fit.select(*KEYS, "cx", "cy", "ndvi", "et"), options.a_et, options.a_ndvi, F.col("yr") <= 1999 if options.first == 2008 else None)
     return {
@@ -96,41 +97,79 @@ def weights_batch(pixels: DataFrame, stats: DataFrame, options: WeightOptions =
     }
 
 
-def county_units(support: DataFrame, stats: DataFrame, options: DisaggOptions, weight: str = "w") -> dict[str, DataFrame]:
+class Outputs(Mapping):
+    """Named results of a batch, each made when it is asked for first: what isn't asked for costs nothing."""
+
+    def __init__(self, **make):
+        self._make, self._made = make, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._make[name](self)
+        return self._made[name]
+
+    def __iter__(self):
+        return iter(self._make)
+
+    def __len__(self) -> int:
+        return len(self._make)
+
+
+def county_units(support: DataFrame, stats: DataFrame, options: DisaggOptions, weight: str = "w") -> Outputs:
     """The beta-free part: segments, harvest prefix, pruning, centres and zones of units."""
-    labelled = settled(segment.sieve(segment.components(support, options.width), options.least_patch))
-    parts = segment.units_of(labelled, options.most_field, options.side, options.least_unit, options.most_unit, weight)
-    units = parts["units"].join(stats.select(*KEYS, "harvested_cells", "yield_kg_ha"), list(KEYS))
-    harvest = selection.harvest_prefix(units)
-    pruned = settled(selection.prune(harvest, options.keep_weight, options.min_units))
-    members = segment.membership(parts["labelled"], parts["tiles"], parts["pseudo_units"])
-    x, y = (F.col("cx") + 0.5) * options.cell_m, (F.col("cy") + 0.5) * options.cell_m
-    centres = geo.unit_centres(members.join(pruned.select(*KEYS, "unit_id"), [*KEYS, "unit_id"], "left_semi"), [*KEYS, "unit_id"], x, y)
-    placed = pruned.join(centres, [*KEYS, "unit_id"])
-    return parts | {"harvest": harvest, "pruned": pruned, "placed": settled(zones.zoned(placed, options.cluster_dist_m))}
-
-
-def disagg_batch(support: DataFrame, stats: DataFrame, options: DisaggOptions = DisaggOptions()) -> dict[str, DataFrame]:
-    """{units, check, zones, merged, qa, skipped, ...} for all counties, years and betas.
-
-    support: weight cells (county_id, yr, cx, cy, w)."""
+
+    def placed(o: Outputs) -> DataFrame:
+        members = segment.membership(o["labelled"], o["tiles"], o["pseudo_units"])
+        x, y = (F.col("cx") + 0.5) * options.cell_m, (F.col("cy") + 0.5) * options.cell_m
+        own = members.join(o["pruned"].select(*KEYS, "unit_id"), [*KEYS, "unit_id"], "left_semi")
+        centres = geo.unit_centres(own, [*KEYS, "unit_id"], x, y)
+        return settled(zones.zoned(o["pruned"].join(centres, [*KEYS, "unit_id"]), options.cluster_dist_m))
+
+    def part(name: str):
+        return lambda o: o["_parts"][name]
+
+    return Outputs(
+        labelled=lambda o: settled(segment.sieve(segment.components(support, options.width), options.least_patch)),
+        _parts=lambda o: segment.units_of(o["labelled"], options.most_field, options.side, options.least_unit, options.most_unit, weight),
+        fields=part("fields"), tiles=part("tiles"), pseudo_units=part("pseudo_units"), all_units=part("units"),
+        harvest=lambda o: selection.harvest_prefix(o["all_units"].join(stats.select(*KEYS, "harvested_cells", "yield_kg_ha"), list(KEYS))),
+        pruned=lambda o: settled(selection.prune(o["harvest"], options.keep_weight, options.min_units)),
+        placed=placed,
+    )
+
+
+def disagg_batch(support: DataFrame, stats: DataFrame, options: DisaggOptions = DisaggOptions()) -> Outputs:
+    """{yields, units, check, zones, merged, qa, skipped, ...} for all counties, years and betas, made as they are asked for.
+
+    support: weight cells (county_id, yr, cx, cy, w). yields are the units without their places and zones, which need
+    no geometry; units have both. Units are settled once, since check, zones and merge read them."""
     require_columns(support, [*KEYS, "cx", "cy", "w"], "weights")
     require_positive(cluster_dist_m=options.cluster_dist_m, cell_ha=options.cell_ha)
     out = skipped(stats, stats, support)
-    stats = settled(stats.join(out, list(KEYS), "left_anti"))
+    stats = stats.join(out, list(KEYS), "left_anti")
     parts = county_units(support, stats, options)
-    spark = support.sparkSession
-    betas = F.broadcast(spark.createDataFrame([(float(b),) for b in options.betas], "beta double"))  # a handful
-    rows = parts["placed"].withColumns({"area_ha": F.col("area_cells") * F.lit(options.cell_ha), "county_area_ha": F.col("harvested_cells") * F.lit(options.cell_ha), "county_yield": F.col("yield_kg_ha").cast("double")}).drop("yield_kg_ha")
-    capped = allocate.with_caps(rows.crossJoin(betas), F.lit(options.crop))
-    units = settled(allocate.allocate(capped, min_frac=options.min_frac, max_frac=options.max_frac))
     group = (*KEYS, "beta")
-    zone = zones.aggregate(units, group)
-    floors = units.groupBy(*group).agg(zones.dynamic_floor(F.first("county_yield")).alias("floor"))
-    zone = settled(geo.zone_degrees(zone).join(floors, list(group)))
-    merged = geo.zone_degrees(zones.merged_floors(zone, options.keep_floor, group))
-    check = allocate.check(units, group)
-    qa = zones.floor_counts(zone, group).withColumnsRenamed({"n_floor": "floor_before", "n_zones": "zones_before"}).join(
-        zones.floor_counts(merged, group).withColumnsRenamed({"n_floor": "floor_after", "n_zones": "zones_after"}), list(group)
-    )
-    return parts | {"units": units, "check": check, "zones": zone, "merged": merged, "qa": qa, "skipped": out}
+
+    def allocated(units: DataFrame) -> DataFrame:
+        betas = F.broadcast(support.sparkSession.createDataFrame([(float(b),) for b in options.betas], "beta double"))  # a handful
+        rows = units.withColumns({"area_ha": F.col("area_cells") * F.lit(options.cell_ha), "county_area_ha": F.col("harvested_cells") * F.lit(options.cell_ha), "county_yield": F.col("yield_kg_ha").cast("double")}).drop("yield_kg_ha")
+        return allocate.allocate(allocate.with_caps(rows.crossJoin(betas), F.lit(options.crop)), min_frac=options.min_frac, max_frac=options.max_frac)
+
+    def zone(o: Outputs) -> DataFrame:
+        floors = o["units"].groupBy(*group).agg(zones.dynamic_floor(F.first("county_yield")).alias("floor"))
+        return settled(geo.zone_degrees(zones.aggregate(o["units"], group)).join(floors, list(group)))
+
+    def qa(o: Outputs) -> DataFrame:
+        before, after = zones.floor_counts(o["zones"], group), zones.floor_counts(o["merged"], group)
+        return before.withColumnsRenamed({"n_floor": "floor_before", "n_zones": "zones_before"}).join(after.withColumnsRenamed({"n_floor": "floor_after", "n_zones": "zones_after"}), list(group))
+
+    return Outputs(
+        **{name: lambda o, name=name: parts[name] for name in parts},
+        skipped=lambda o: out,
+        yields=lambda o: allocated(parts["pruned"]),
+        units=lambda o: settled(allocated(parts["placed"])),
+        check=lambda o: allocate.check(o["units"], group),
+        zones=zone,
+        merged=lambda o: geo.zone_degrees(zones.merged_floors(o["zones"], options.keep_floor, group)),
+        qa=qa,
+    )

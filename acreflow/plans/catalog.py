@@ -4,6 +4,7 @@ Sums of doubles are rounded at the end, areas stay in whole cells until then, in
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -70,11 +71,11 @@ def sanitize_id(spark, sf_dir):
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'NA' ELSE format('{:,.1f}', (c_custkey * 137) / 2e0) END ha,
-  CASE WHEN c_custkey % 7 = 0 THEN 'NA' ELSE printf('%.1f%%', c_custkey / 4e0) END pct FROM customer WHERE c_custkey % 2 = 0""")
+  CASE WHEN c_custkey % 7 = 0 THEN 'NA' ELSE printf('%.1f%%', c_custkey / 2e0) END pct FROM customer""")
 def number_formats(spark, sf_dir):
-    c = X.table(spark, sf_dir, "customer").where("c_custkey % 2 = 0")
+    c = X.table(spark, sf_dir, "customer")
     known = F.when(F.col("c_custkey") % 7 != 0, F.col("c_custkey"))
-    return c.select("c_custkey", C.fmt_ha(known * 137 / 2).alias("ha"), C.fmt_pct(known / 4).alias("pct"))
+    return c.select("c_custkey", C.fmt_ha(known * 137 / 2).alias("ha"), C.fmt_pct(known / 2).alias("pct"))
 
 
 @query(_with(ST, """SELECT DISTINCT yr, CASE WHEN yr >= 2008 THEN 'FULL' WHEN yr >= 2000 THEN 'ET_NDVI_2008mask' ELSE 'NDVI_ONLY_2008mask' END AS mode,
@@ -149,6 +150,11 @@ def modis_median(spark, sf_dir):
     return _round(found, "ndvi", digits=9)
 
 
+@query(_with(ST, "SELECT DISTINCT yr + 28 AS year, CASE WHEN yr + 28 >= 2023 THEN 'MYD13Q1' ELSE 'MOD13Q1' END product FROM st"))
+def modis_product(spark, sf_dir):
+    return X.stats(spark, sf_dir).select((F.col("yr") + 28).alias("year")).distinct().withColumn("product", composite.modis_collection(F.col("year")))
+
+
 @query(_with(SC, "SELECT pixel, round(sum(floor(value) * CASE WHEN k % 2 = 0 THEN 0.5 ELSE 0.25 END), 6) et FROM sc WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' GROUP BY pixel"))
 def et_season_sum(spark, sf_dir):
     s = X.scenes(spark, sf_dir).withColumns({"et": F.floor("value").cast("double"), "scale_factor_et": F.when(F.col("k") % 2 == 0, 0.5).otherwise(0.25)})
@@ -163,10 +169,10 @@ def empty_season_zero(spark, sf_dir):
     return _round(composite.on_grid(some, s, ["pixel"]), "ndvi")
 
 
-@query(_with(SC, "SELECT pixel, count(*) n_scenes, round(max(value), 6) top FROM sc WHERE pixel IN (SELECT user_id FROM events WHERE event_type = 'purchase') AND pixel % 3 = 0 AND ts >= TIMESTAMP '2024-01-10' GROUP BY pixel"))
+@query(_with(SC, "SELECT pixel, count(*) n_scenes, round(max(value), 6) top FROM sc WHERE pixel IN (SELECT user_id FROM events WHERE event_type = 'purchase') AND ts >= TIMESTAMP '2024-01-10' GROUP BY pixel"))
 def scenes_in_area(spark, sf_dir):
     s = X.scenes(spark, sf_dir)
-    area = s.where("kind = 'purchase' and pixel % 3 = 0").select("pixel")
+    area = s.where("kind = 'purchase'").select("pixel")
     inside = composite.in_area(composite.in_season(s, "2024-01-10", "2024-12-31"), area, ["pixel"])
     return _round(inside.groupBy("pixel").agg(F.count("*").alias("n_scenes"), F.max("value").alias("top")), "top")
 
@@ -179,7 +185,8 @@ def sensor_scales(spark, sf_dir):
 # Crop masks -----------------------------------------------------------------------------------------------------
 
 _FIRST = 1996
-_CROP = f"""cr AS (SELECT county_id, yr f, cx, cy FROM px WHERE cdl = 1),
+def _crop_sql(lower: str, upper: str) -> str:
+    return f"""cr AS (SELECT county_id, yr f, cx, cy FROM px WHERE cdl = 1),
 fl AS (SELECT DISTINCT yr f FROM px),
 wn AS (SELECT DISTINCT county_id, yr, greatest(w, {_FIRST}) f FROM (SELECT county_id, yr, unnest(CASE WHEN yr < {_FIRST} THEN [{_FIRST}, {_FIRST + 1}, {_FIRST + 2}] ELSE [yr - 1, yr, yr + 1] END) w FROM st)),
 av AS (SELECT county_id, yr, count(*) n_files, bool_or(wn.f = yr AND yr >= {_FIRST}) has_exact FROM wn JOIN fl ON wn.f = fl.f GROUP BY 1, 2),
@@ -187,10 +194,13 @@ cl AS (SELECT wn.county_id, wn.yr, cx, cy, bool_or(wn.f = wn.yr AND wn.yr >= {_F
 ar AS (SELECT county_id, yr, count(*) FILTER (exact) e, count(*) u, count(*) FILTER (n_years = n_files) b FROM cl JOIN av USING (county_id, yr) GROUP BY 1, 2),
 de AS (SELECT st.county_id, st.yr, harvested_cells planted, coalesce(e, 0) e, coalesce(u, 0) u, coalesce(b, 0) b, coalesce(n_files, 0) n_files, coalesce(has_exact, FALSE) has_exact,
   CASE WHEN has_exact THEN coalesce(e, 0) / CAST(harvested_cells AS DOUBLE) END ratio FROM st LEFT JOIN av USING (county_id, yr) LEFT JOIN ar USING (county_id, yr)),
-kd AS (SELECT *, CASE WHEN n_files = 0 THEN 'failed' WHEN NOT has_exact THEN 'union' WHEN ratio < 0.6 THEN 'union' WHEN ratio >= 2.0 THEN 'intersect' ELSE 'exact' END kind FROM de),
+kd AS (SELECT *, CASE WHEN n_files = 0 THEN 'failed' WHEN NOT has_exact THEN 'union' WHEN ratio < {lower} THEN 'union' WHEN ratio >= {upper} THEN 'intersect' ELSE 'exact' END kind FROM de),
 mk AS (SELECT cl.* FROM cl JOIN kd USING (county_id, yr) WHERE kind = 'union' OR kind = 'exact' AND exact OR kind = 'intersect' AND n_years = n_files)"""
 
 
+_CROP = _crop_sql("0.6", "2.0")
+
+
 def _masks(spark, sf_dir):
     return cropmask.masks(X.stats(spark, sf_dir).withColumn("planted_cells", F.col("harvested_cells")), X.pixels(spark, sf_dir), 1, first=_FIRST)
 
@@ -230,12 +240,13 @@ def q05_screen(spark, sf_dir):
     return weights.screen(X.pixels(spark, sf_dir), "et").select(*KEYS, *CELL, "et", "et_q")
 
 
-def _eligible_sql(cells: str, buffer: str) -> str:
-    return f"""lv AS (SELECT unnest(range(0, 81)) i),
-qs AS (SELECT county_id, yr, quantile_cont(ndvi, [{', '.join(str(v / 100) for v in range(90, 9, -1))}]) q FROM {cells} GROUP BY 1, 2),
+def _eligible_sql(cells: str, buffer: str, step: int = 1) -> str:
+    levels = range(90, 9, -step)
+    return f"""lv AS (SELECT unnest(range(0, {len(levels)})) i),
+qs AS (SELECT county_id, yr, quantile_cont(ndvi, [{', '.join(str(v / 100) for v in levels)}]) q FROM {cells} GROUP BY 1, 2),
 th AS (SELECT county_id, yr, i, round(q[i + 1], 9) threshold FROM qs CROSS JOIN lv),
 ct AS (SELECT t.county_id, t.yr, i, threshold, count(*) n FROM th t JOIN {cells} c ON c.county_id = t.county_id AND c.yr = t.yr AND c.ndvi >= threshold GROUP BY 1, 2, 3, 4),
-el AS (SELECT c.county_id, c.yr, min(i) i, arg_min(threshold, i) threshold, arg_min(n, i) eligible_cells FROM ct c JOIN st USING (county_id, yr) WHERE n >= harvested_cells * {buffer} OR i = 80 GROUP BY 1, 2)"""
+el AS (SELECT c.county_id, c.yr, min(i) i, arg_min(threshold, i) threshold, arg_min(n, i) eligible_cells FROM ct c JOIN st USING (county_id, yr) WHERE n >= harvested_cells * {buffer} OR i = {len(levels) - 1} GROUP BY 1, 2)"""
 
 
 @query(_with(PX, ST, _eligible_sql("px", "1"), "SELECT county_id, yr, round(0.9 - i / 100, 2) AS level, threshold, eligible_cells FROM el"))
@@ -244,6 +255,13 @@ def ndvi_eligibility(spark, sf_dir):
     return weights.eligibility(px.join(st.select(*KEYS), KEYS, "left_semi"), st)
 
 
+@query(_with(PX, ST, _eligible_sql("px", "1.05e0", 2), "SELECT county_id, yr, round(0.9 - i * 2 / 100, 2) AS level, threshold, eligible_cells FROM el"))
+def ndvi_eligibility_41(spark, sf_dir):
+    """The search's own default: 41 levels, by two per cent."""
+    px, st = X.pixels(spark, sf_dir), X.stats(spark, sf_dir)
+    return weights.eligibility(px.join(st.select(*KEYS), KEYS, "left_semi"), st, buffer=0.05, step=2)
+
+
 @query(_with(PX, "m AS (SELECT *, min(et) OVER w a, max(et) OVER w b FROM px WINDOW w AS (PARTITION BY county_id, yr))", "SELECT county_id, yr, cx, cy, CASE WHEN b > a THEN round(0.01e0 + (et - a) / (b - a) * (1e0 - 0.01e0), 9) END w_et FROM m"))
 def minmax_weight(spark, sf_dir):
     w = Window.partitionBy(*KEYS)
@@ -257,11 +275,13 @@ def blend_weight(spark, sf_dir):
     return _round(weights.surface(X.pixels(spark, sf_dir)).select(*KEYS, *CELL, "weight", "w_norm"), "weight", "w_norm", digits=8)
 
 
-_WEIGHTS = [PX, ST, _CROP, "ins AS (SELECT px.* FROM px JOIN mk USING (county_id, yr, cx, cy))", _eligible_sql("ins", "1.05e0"),
-    """q AS (SELECT county_id, yr, round(quantile_cont(ndvi, 0.05), 9) qn, round(quantile_cont(et, 0.05), 9) qe FROM px GROUP BY 1, 2),
+_SURFACE = """q AS (SELECT county_id, yr, round(quantile_cont(ndvi, 0.05), 9) qn, round(quantile_cont(et, 0.05), 9) qe FROM px GROUP BY 1, 2),
 fit AS (SELECT ins.* FROM ins JOIN el USING (county_id, yr) JOIN q USING (county_id, yr) WHERE ndvi >= threshold AND ndvi > qn AND et > qe),
 m AS (SELECT *, min(et) OVER w a, max(et) OVER w b, min(ndvi) OVER w c, max(ndvi) OVER w d FROM fit WINDOW w AS (PARTITION BY county_id, yr)),
-s AS (SELECT county_id, yr, cx, cy, CASE WHEN NOT d > c THEN 0.01e0 + (et - a) / (b - a) * 0.99e0 ELSE 0.3e0 * (0.01e0 + (et - a) / nullif(b - a, 0) * 0.99e0) + 0.7e0 * (0.01e0 + (ndvi - c) / (d - c) * 0.99e0) END weight FROM m WHERE b > a)"""]
+s AS (SELECT county_id, yr, cx, cy, CASE WHEN NOT d > c THEN 0.01e0 + (et - a) / (b - a) * 0.99e0 ELSE 0.3e0 * (0.01e0 + (et - a) / nullif(b - a, 0) * 0.99e0) + 0.7e0 * (0.01e0 + (ndvi - c) / (d - c) * 0.99e0) END weight FROM m WHERE b > a)"""
+_INSIDE = "ins AS (SELECT px.* FROM px JOIN mk USING (county_id, yr, cx, cy))"
+_WEIGHTS = [PX, ST, _CROP, _INSIDE, _eligible_sql("ins", "1.05e0"), _SURFACE]
+_BATCH_WEIGHTS = [PX, ST, _crop_sql("0.5", "3.5"), _INSIDE, _eligible_sql("ins", "1.2e0"), _SURFACE]
 _SINGLE = batch.WeightOptions(lower=0.6, upper=2.0, buffer=0.05, first=_FIRST)
 
 
@@ -276,6 +296,13 @@ def weight_surface(spark, sf_dir):
     return _round(out.select(*KEYS, *CELL, "weight", "w_norm"), "weight", "w_norm", digits=8)
 
 
+@query(_with(*_BATCH_WEIGHTS, "SELECT county_id, yr, cx, cy, round(weight, 8) weight, round(weight / sum(weight) OVER (PARTITION BY county_id, yr), 8) w_norm FROM s"))
+def weight_surface_batch(spark, sf_dir):
+    """With the batch's own thresholds."""
+    out = batch.weights_batch(*_rasters(spark, sf_dir), batch.WeightOptions(first=_FIRST))["weights"]
+    return _round(out.select(*KEYS, *CELL, "weight", "w_norm"), "weight", "w_norm", digits=8)
+
+
 @query(_with(*_WEIGHTS, """SELECT kd.county_id, kd.yr, CASE kind WHEN 'failed' THEN 'failed_to_build_mask' WHEN 'exact' THEN 'exact_' || kd.yr ELSE kind || '_' || CASE WHEN kd.yr < 1996 THEN '1996_1997_1998' ELSE (kd.yr - 1) || '_' || kd.yr || '_' || (kd.yr + 1) END END strategy,
   round(planted * 0.09e0, 6) harvest_area_ha, round(CASE kind WHEN 'exact' THEN e WHEN 'union' THEN u ELSE b END * 0.09e0, 6) mask_area_ha, round(eligible_cells * 0.09e0, 6) eligible_area_ha,
   round(CASE kind WHEN 'exact' THEN e WHEN 'union' THEN u ELSE b END / CAST(planted AS DOUBLE), 9) mask_over_harvest, round(eligible_cells / CAST(planted AS DOUBLE), 9) eligible_over_harvest, threshold ndvi_threshold, qn q_ndvi, qe q_et
@@ -337,7 +364,7 @@ def split_fields(spark, sf_dir):
     return f.groupBy(*KEYS).agg(F.count_if(~giant).alias("n_small"), F.count_if(giant).alias("n_giant"), F.coalesce(F.sum(F.when(giant, F.col("area_cells"))), F.lit(0)).alias("giant_cells"))
 
 
-@query(_with(PX, _SUPPORT, _LABELS, _UNITS, "SELECT county_id, yr, patch patch_parent, unit_id, area_cells, w_sum, tile_i, tile_j FROM tu", recursive=True))
+@query(_with(PX, _SUPPORT, _LABELS, _UNITS, "SELECT county_id, yr, patch patch_parent, unit_id, area_cells, w_sum, tile_i, tile_j, CAST(split_part(unit_id, '_', 2) AS BIGINT) tile_id FROM tu", recursive=True))
 def fishnet_tiles(spark, sf_dir):
     return _segmented(spark, sf_dir)["pseudo_units"]
 
@@ -515,9 +542,27 @@ def floor_counts(spark, sf_dir):
     return zones.floor_counts(_zones(spark, sf_dir), (*KEYS, "beta"))
 
 
-@query()
+_LINKED = f"""u AS (SELECT county_id, yr, unit_id, area_cells a, w_sum w FROM un),
+{_PREFIX},
+{_PRUNE},
+mem AS (SELECT county_id, yr, CAST(patch AS VARCHAR) unit_id, cx, cy FROM sv UNION ALL
+  SELECT bx.county_id, bx.yr, unit_id, cx, cy FROM bx JOIN tu ON tu.county_id = bx.county_id AND tu.yr = bx.yr AND tu.patch = bx.patch AND tile_i = (cx - x0) // {_SIDE} AND tile_j = (cy - y0) // {_SIDE}),
+pl AS (SELECT pn.*, x, yy FROM pn JOIN (SELECT county_id, yr, unit_id, avg((cx + 0.5e0) * 30) x, avg((cy + 0.5e0) * 30) yy FROM mem GROUP BY 1, 2, 3) USING (county_id, yr, unit_id)),
+hc(step, county_id, yr, rn, x, yy, cl) AS (
+  SELECT 0, county_id, yr, rn, x, yy, rn FROM pl
+  UNION ALL
+  SELECT step + 1, hc.county_id, hc.yr, rn, x, yy, CASE WHEN cl = c2 THEN c1 ELSE cl END FROM hc JOIN (
+    SELECT county_id, yr, c1, c2 FROM (
+      SELECT county_id, yr, c1, c2, row_number() OVER (PARTITION BY county_id, yr ORDER BY d, c1, c2) o FROM (
+        SELECT p.county_id, p.yr, p.cl c1, q.cl c2, max(round(sqrt((p.x - q.x) * (p.x - q.x) + (p.yy - q.yy) * (p.yy - q.yy)), 6)) d
+        FROM hc p JOIN hc q ON p.county_id = q.county_id AND p.yr = q.yr AND p.cl < q.cl GROUP BY 1, 2, 3, 4) WHERE d <= {_OPTIONS.cluster_dist_m!r}e0)
+    WHERE o = 1) m ON m.county_id = hc.county_id AND m.yr = hc.yr),
+lk AS (SELECT pl.*, CAST(dense_rank() OVER (PARTITION BY county_id, yr ORDER BY cl) AS BIGINT) cluster_id FROM pl JOIN (SELECT county_id, yr, rn, arg_max(cl, step) cl FROM hc GROUP BY 1, 2, 3) USING (county_id, yr, rn))"""
+
+
+@query(_with(PX, ST, _SUPPORT, _LABELS, _UNITS, _LINKED, "SELECT county_id, yr, unit_id, a area_cells, cluster_id FROM lk", recursive=True))
 def zone_linkage(spark, sf_dir):
-    """Complete linkage has no SQL form; tests hold it against a greedy reference."""
+    """Complete linkage; the SQL merges one pair of clusters of each county and year in each step."""
     o = _OPTIONS
     return batch.county_units(_support(spark, sf_dir), X.stats(spark, sf_dir), o)["placed"].select(*KEYS, "unit_id", "area_cells", "cluster_id")
 
@@ -557,11 +602,20 @@ def mercator_points(spark, sf_dir):
     return X.pixels(spark, sf_dir).select(*CELL).distinct().select(*CELL, F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
 
 
-_N, _C, _RHO0, _L0 = C._albers_constants()
-_ALB = f"sqrt({_C!r}e0 - 2 * {_N!r}e0 * sin(radians(cy + 20e0))) / {_N!r}e0"
+def _q_sql(sine: str) -> str:
+    """The equal-area function of a latitude's sine on the ellipsoid of which ``e2`` is the squared eccentricity."""
+    return f"((1 - e2) * (({sine}) / (1 - e2 * ({sine}) * ({sine})) - ln((1 - sqrt(e2) * ({sine})) / (1 + sqrt(e2) * ({sine}))) / (2 * sqrt(e2))))"
+
+
+# EPSG:5070: GRS80, parallels 29.5 and 45.5, origin 23 N 96 W.
+_ALBERS_SQL = f"""el0 AS (SELECT 0.00669438002290e0 e2),
+el1 AS (SELECT e2, (1 - pow(sin(radians(29.5e0)), 2)) / (1 - e2 * pow(sin(radians(29.5e0)), 2)) m1, (1 - pow(sin(radians(45.5e0)), 2)) / (1 - e2 * pow(sin(radians(45.5e0)), 2)) m2,
+  {_q_sql("sin(radians(29.5e0))")} q1, {_q_sql("sin(radians(45.5e0))")} q2, {_q_sql("sin(radians(23e0))")} q0, {_q_sql("1e0")} qp FROM el0),
+alb AS (SELECT e2, qp, (m1 - m2) / (q2 - q1) n, m1 + (m1 - m2) / (q2 - q1) * q1 c, sqrt(m1 + (m1 - m2) / (q2 - q1) * (q1 - q0)) / ((m1 - m2) / (q2 - q1)) r0 FROM el1)"""
 
 
-@query(_with(PX, f"SELECT DISTINCT cx, cy, round({_ALB} * sin((radians(cx - 100e0) - ({_L0!r}e0)) * {_N!r}e0) * 6378137e0, 3) x, round(({_RHO0!r}e0 - {_ALB} * cos((radians(cx - 100e0) - ({_L0!r}e0)) * {_N!r}e0)) * 6378137e0, 3) y, cx - 100e0 lon, cy + 20e0 lat FROM px"))
+@query(_with(PX, _ALBERS_SQL, f"""SELECT DISTINCT cx, cy, round(sqrt(c - n * {_q_sql("sin(radians(cy + 20e0))")}) / n * sin(radians(cx - 100e0 + 96) * n) * 6378137e0, 3) x,
+  round((r0 - sqrt(c - n * {_q_sql("sin(radians(cy + 20e0))")}) / n * cos(radians(cx - 100e0 + 96) * n)) * 6378137e0, 3) y, cx - 100e0 lon, cy + 20e0 lat FROM px, alb"""))
 def albers_points(spark, sf_dir):
     x, y = C.albers(F.col("cx") - 100.0, F.col("cy") + 20.0)
     lon, lat = C.from_albers(F.col("_x"), F.col("_y"))
@@ -609,21 +663,82 @@ def trial_sites_within(spark, sf_dir):
 @query(_with(PX, ST, _SUPPORT, _LABELS, _UNITS, "u AS (SELECT county_id, yr, unit_id, area_cells a, w_sum w FROM un)", _PREFIX, _PRUNE, _allocated_sql("pn", _BETAS),
     """SELECT county_id, yr, beta, count(*) n_units, round(sum(sa), 5) area_ha, round(sum(yl * sa) / sum(sa), 5) mean_yield_kg_ha, round(max(yl), 5) top_yield_kg_ha FROM al GROUP BY 1, 2, 3""", recursive=True))
 def pipeline_summary(spark, sf_dir):
-    out = batch.disagg_batch(_support(spark, sf_dir), X.stats(spark, sf_dir), _OPTIONS)["units"]
+    out = batch.disagg_batch(_support(spark, sf_dir), X.stats(spark, sf_dir), _OPTIONS)["yields"]
     t = out.groupBy(*KEYS, "beta").agg(F.count("*").alias("n_units"), F.sum("area_ha_scaled").alias("area_ha"), F.try_divide(F.sum("prod_kg"), F.sum("area_ha_scaled")).alias("mean_yield_kg_ha"), F.max("yield_kg_ha").alias("top_yield_kg_ha"))
     return _round(t, "area_ha", "mean_yield_kg_ha", "top_yield_kg_ha", digits=5)
 
 
-@query()
+_BATCH_ZONES = """zu AS (SELECT al.*, cluster_id, x, yy FROM al JOIN (SELECT county_id, yr, unit_id, cluster_id, x, yy FROM lk) USING (county_id, yr, unit_id)),
+zn AS (SELECT county_id, yr, beta, cluster_id, sum(x * sa) / sum(sa) x, sum(yy * sa) / sum(sa) yy, sum(sa) area, sum(yl * sa) prod, count(*) n, sum(yl * sa) / sum(sa) zy, greatest(80e0, 0.2e0 * max(y)) fl FROM zu GROUP BY 1, 2, 3, 4)"""
+# Latitude by the series of the authalic latitude and two Newton steps.
+_BACK_SQL = f"""g0 AS (SELECT mg.*, x, yy, atan2(x / 6378137e0, r0 - yy / 6378137e0) / n lam, (c - (pow(x / 6378137e0, 2) + pow(r0 - yy / 6378137e0, 2)) * n * n) / n q, alb.e2 e2, alb.qp qp
+  FROM mg JOIN (SELECT county_id, yr, beta, cluster_id, x, yy FROM zn) USING (county_id, yr, beta, cluster_id), alb),
+g1 AS (SELECT *, asin(q / qp) + (e2 / 3 + 31 * e2 * e2 / 180) * sin(2 * asin(q / qp)) f FROM g0),
+g2 AS (SELECT * EXCLUDE (f), f + pow(1 - e2 * sin(f) * sin(f), 2) * (q - {_q_sql("sin(f)")}) / (2 * cos(f) * (1 - e2)) f FROM g1),
+g3 AS (SELECT * EXCLUDE (f), f + pow(1 - e2 * sin(f) * sin(f), 2) * (q - {_q_sql("sin(f)")}) / (2 * cos(f) * (1 - e2)) f FROM g2)"""
+_BATCH_SQL = (PX, ST, _SUPPORT, _LABELS, _UNITS, _LINKED, _allocated_sql("pn", _BETAS), _BATCH_ZONES, _MERGE)
+
+
+@query(_with(*_BATCH_SQL, _ALBERS_SQL, _BACK_SQL, """SELECT g.county_id, g.yr, beta, cluster_id, round(degrees(lam) - 96, 7) lon, round(degrees(f), 7) lat, round(area, 8) cluster_area_ha, round(prod, 3) cluster_prod_kg, round(zy, 5) cluster_yield_kg_ha, n_units,
+  round(harvested_cells * 0.09e0, 6) nass_area_ha, CAST(yield_kg_ha AS DOUBLE) nass_yield_kg_ha FROM g3 g JOIN st ON st.county_id = g.county_id AND st.yr = g.yr""", recursive=True))
 def pipeline_zones(spark, sf_dir):
-    """The batch's table: zones of every county, year and beta after the floor merge. Linkage has no SQL form."""
+    """The batch's table: zones of every county, year and beta after the floor merge."""
     out = batch.disagg_batch(_support(spark, sf_dir), X.stats(spark, sf_dir), _OPTIONS)
     county = out["check"].select(*KEYS, "beta", "nass_area_ha", "nass_yield_kg_ha")
     t = out["merged"].join(county, [*KEYS, "beta"])
-    return t.select(*KEYS, "beta", "cluster_id", "lon", "lat", "cluster_area_ha", "cluster_prod_kg", "cluster_yield_kg_ha", "n_units", "nass_area_ha", "nass_yield_kg_ha")
+    t = t.select(*KEYS, "beta", "cluster_id", "lon", "lat", "cluster_area_ha", "cluster_prod_kg", "cluster_yield_kg_ha", "n_units", "nass_area_ha", "nass_yield_kg_ha")
+    return _round(_round(_round(_round(_round(t, "lon", "lat", digits=7), "cluster_area_ha", digits=8), "cluster_yield_kg_ha", digits=5), "cluster_prod_kg", digits=3), "nass_area_ha")
 
 
-@query()
+@query(_with(*_BATCH_SQL, """fc AS (SELECT county_id, yr, beta, count(*) FILTER (round(zy, 6) <= round(fl, 6) + 1e-6) floor_before, count(*) zones_before FROM zn GROUP BY 1, 2, 3),
+fa AS (SELECT county_id, yr, beta, count(*) FILTER (round(zy, 6) <= round(fl, 6) + 1e-6) floor_after, count(*) zones_after FROM mg GROUP BY 1, 2, 3)""", "SELECT * FROM fc JOIN fa USING (county_id, yr, beta)", recursive=True))
 def pipeline_floor_counts(spark, sf_dir):
     """Zones at the floor before and after the merge."""
     return batch.disagg_batch(_support(spark, sf_dir), X.stats(spark, sf_dir), _OPTIONS)["qa"]
+
+
+# Polygons, extents, first rows ----------------------------------------------------------------------------------
+
+
+def _triangles(spark, sf_dir) -> DataFrame:
+    """A triangle for each nation, as WKB: (1.13, 1.31), (22.27, 2.43 + k mod 5), (3.37 + k mod 7, 21.19) from the upper left
+    corner, which is (0, 24). No centre of a cell lies on an edge."""
+    ring = lambda k: ((1.13, 22.69), (22.27, 21.57 - k % 5), (3.37 + k % 7, 2.81), (1.13, 22.69))
+    keys = [r.n_nationkey for r in X.table(spark, sf_dir, "nation").select("n_nationkey").collect()]  # a layer of counties
+    return spark.createDataFrame([(k, struct.pack("<BIII8d", 1, 3, 1, 4, *(v for p in ring(k) for v in p))) for k in keys], "county_id long, geom binary")
+
+
+_TRIANGLE_SQL = """t AS (SELECT n_nationkey county_id, n_nationkey % 5 p, n_nationkey % 7 s FROM nation),
+e AS (SELECT county_id, unnest([struct_pack(ax := 1.13e0, ay := 1.31e0, bx := 22.27e0, bt := 2.43e0 + p), struct_pack(ax := 22.27e0, ay := 2.43e0 + p, bx := 3.37e0 + s, bt := 21.19e0), struct_pack(ax := 3.37e0 + s, ay := 21.19e0, bx := 1.13e0, bt := 1.31e0)]) g FROM t),
+c AS (SELECT x.i row, y.i col FROM range(0, 24) x(i), range(0, 24) y(i))"""
+
+
+@query(_with(_TRIANGLE_SQL, "SELECT county_id, CAST(row AS INT) AS row, CAST(col AS INT) AS col FROM e, c GROUP BY ALL HAVING bool_and((g.bx - g.ax) * (row + 0.5 - g.ay) - (g.bt - g.ay) * (col + 0.5 - g.ax) > 0)"))
+def polygon_cells(spark, sf_dir):
+    return geo.polygon_cells(_triangles(spark, sf_dir), ["county_id"], 0.0, 24.0, 1.0, 24, 24)
+
+
+@query(_with(PX, _TRIANGLE_SQL, "m AS (SELECT county_id, row, col FROM e, c GROUP BY ALL HAVING bool_and((g.bx - g.ax) * (row + 0.5 - g.ay) - (g.bt - g.ay) * (col + 0.5 - g.ax) > 0))", "SELECT px.county_id, yr, cx, cy, ndvi FROM px JOIN m ON m.county_id = px.county_id AND row = cx AND col = cy"))
+def pixels_in_polygons(spark, sf_dir):
+    """The raster of each county masked by its polygon."""
+    members = geo.polygon_cells(_triangles(spark, sf_dir), ["county_id"], 0.0, 24.0, 1.0, 24, 24).withColumnsRenamed({"row": "cx", "col": "cy"})
+    return geo.in_polygon(X.pixels(spark, sf_dir), members, ["county_id", *CELL]).select(*KEYS, *CELL, "ndvi")
+
+
+@query(_with(PX, "SELECT county_id, yr, cx, cy, ndvi FROM px WHERE cx BETWEEN 3 AND 9 AND cy BETWEEN 5 AND 20"))
+def cells_in_extent(spark, sf_dir):
+    return geo.in_box(X.pixels(spark, sf_dir), (3, 9), (5, 20), "cx", "cy").select(*KEYS, *CELL, "ndvi")
+
+
+@query("""SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY county_id, yr ORDER BY report) n FROM (
+  SELECT c_nationkey county_id, CAST(year(o_orderdate) AS INT) yr, o_orderpriority report, count(*) harvested_cells, max(o_orderkey) last_key FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3)) WHERE n = 1""")
+def first_report(spark, sf_dir):
+    return geo.first_of(X.stats_rows(spark, sf_dir), KEYS, ["report"])
+
+
+@query(_with(PX, ST, _PLAIN, _PREFIX, _PRUNE, _allocated_sql("pn", _BETAS), _ZONES, "SELECT county_id, yr, beta, cluster_id, CAST(row_number() OVER (ORDER BY county_id, yr, beta, round(zy, 6) DESC, cluster_id) AS BIGINT) place FROM zn"))
+def zones_in_order(spark, sf_dir):
+    """Zones by falling yield, numbered as they come."""
+    ordered = zones.by_yield(_round(_zones(spark, sf_dir), "cluster_yield_kg_ha"))
+    numbered = ordered.select(*KEYS, "beta", "cluster_id").rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))
+    return spark.createDataFrame(numbered, "county_id long, yr int, beta double, cluster_id long, place long")

@@ -39,7 +39,7 @@ def read_pixels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decode_tiffs(spark: SparkSession, path: str, decode, schema: str) -> DataFrame:
-    """Pixel rows of raster files that ``decode(bytes)`` turns into Arrow batches; a decoder isn't bundled."""
+    """Pixel rows of raster files that ``decode(bytes)`` turns into Arrow batches, as ``geotiff.pixels`` does."""
     files = spark.read.format("binaryFile").load(path).select("content")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,14 +51,22 @@ def decode_tiffs(spark: SparkSession, path: str, decode, schema: str) -> DataFra
 
 
 def read_geopackage(spark: SparkSession, path: str, layer: str, columns: list[str]) -> DataFrame:
-    """A local GeoPackage layer (an SQLite table); geometries stay as WKB behind their header. Layers of counties are
-    small by nature: one row a county."""
+    """A local GeoPackage layer (an SQLite table), its geometries as WKB. Layers of counties are small by nature: one row
+    a county."""
     quoted = lambda x: '"' + x.replace('"', '""') + '"'
     with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
         rows = db.execute(f"SELECT {', '.join(map(quoted, columns))}, geom FROM {quoted(layer)}").fetchall()
+    rows = [(*r[:-1], _wkb(r[-1])) for r in rows]
     return spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in columns) + ", geom binary")
 
 
+def _wkb(blob: bytes | None) -> bytes | None:
+    """A GeoPackage geometry without its header; other blobs stay."""
+    if blob is None or len(blob) < 8 or blob[:2] != b"GP":
+        return blob
+    return bytes(blob[8 + (0, 32, 48, 48, 64)[blob[3] >> 1 & 7] :])
+
+
 def county_layer(df: DataFrame) -> DataFrame:
     """A layer with COUNTY as given, and county normalised."""
     return require_columns(df, ["COUNTY"], "the county layer").withColumn("county_name", norm_county(F.col("COUNTY")))

@@ -101,3 +101,16 @@ def test_geopackage_layer(spark, tmp_path):
         db.execute("INSERT INTO counties VALUES ('Gaines County', x'4750')")
     rows = tables.county_layer(tables.read_geopackage(spark, str(tmp_path / "c.gpkg"), "counties", ["COUNTY"])).collect()
     assert [(r.COUNTY, r.county_name, bytes(r.geom)) for r in rows] == [("Gaines County", "GAINES", b"GP")]
+
+
+def test_albers_of_published_points(spark):
+    """The worked example of the projection manual (Clarke's ellipsoid of 1866): 35 N, 75 W."""
+    df = spark.createDataFrame([(-75.0, 35.0)], "lon double, lat double")
+    clarke = C.Albers(axis=6378206.4, e2=0.00676866)
+    x, y = clarke.forward(F.col("lon"), F.col("lat"))
+    lon, lat = clarke.inverse(F.col("x"), F.col("y"))
+    got = df.withColumns({"x": x, "y": y}).select("x", "y", lon, lat).first()
+    assert abs(got[0] - 1_885_472.7) < 0.2 and abs(got[1] - 1_535_925.0) < 0.2
+    assert abs(got[2] + 75) < 1e-10 and abs(got[3] - 35) < 1e-10
+    n, c, rho0, _ = clarke.constants()
+    assert abs(n - 0.6029035) < 1e-6 and abs(c - 1.3491594) < 1e-6 and abs(rho0 * 6378206.4 - 9_929_079.6) < 0.2

@@ -1,5 +1,9 @@
 """Golden micro-cases and properties of the operators."""
 
+import os
+import struct
+import zlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -8,6 +12,7 @@ from pyspark.sql import functions as F
 from acreflow.operators import allocate, composite, cropmask, geo, segment, selection, weights, zones
 from acreflow.plans import batch
 from acreflow.schemas import require_columns
+from acreflow.sources import geotiff, tables
 
 
 def units(spark, rows, target):
@@ -142,17 +147,143 @@ def test_complete_linkage_equals_the_greedy_order(h):
         at = np.flatnonzero(got == z)
         assert np.hypot(x[at][:, None] - x[at], y[at][:, None] - y[at]).max() <= h
     assert zones.complete_linkage(x[:1], y[:1], h).tolist() == [1]
-    with pytest.raises(ValueError):
-        zones.complete_linkage(np.zeros(zones.MOST_UNITS + 1), np.zeros(zones.MOST_UNITS + 1), h)
+    assert set(zones.complete_linkage(np.zeros(3_000), np.zeros(3_000), h)) == {1}
 
 
-@pytest.mark.parametrize("h", [0.0, 3.0, 8.0])
-def test_units_above_the_matrix_are_clustered_by_components(h, monkeypatch):
+@pytest.mark.parametrize("h", [0.0, 1.0, 3.0, 8.0, 40.0, 500.0])
+def test_linkage_with_ties(h):
+    """On whole coordinates many distances are equal, and units coincide."""
     r = np.random.default_rng(9)
-    x, y = np.round(r.random(120) * 100), np.round(r.random(120) * 100)
-    whole = zones.complete_linkage(x, y, h)
-    monkeypatch.setattr(zones, "MOST_UNITS", 100)
-    assert zones.complete_linkage(x, y, h).tolist() == whole.tolist() == greedy_linkage(x, y, h)
+    x, y = np.round(r.random(90) * 12), np.round(r.random(90) * 12)
+    assert zones.complete_linkage(x, y, h).tolist() == greedy_linkage(x, y, h)
+
+
+def test_linkage_of_many_units():
+    r = np.random.default_rng(10)
+    x, y = r.random(12_000) * 3e5, r.random(12_000) * 3e5
+    zone = zones.complete_linkage(x, y, 10_000.0)
+    _, first = np.unique(zone, return_index=True)
+    assert (np.diff(first) > 0).all()
+    for z in np.unique(zone)[:50]:
+        at = np.flatnonzero(zone == z)
+        assert np.hypot(x[at][:, None] - x[at], y[at][:, None] - y[at]).max() <= 10_000.0
+
+
+@pytest.mark.parametrize("width, height", [(7, 60), (60, 7), (30, 30)])
+def test_components_of_any_raster(spark, width, height):
+    r = np.random.default_rng(width)
+    cells = [(int(x), int(y)) for x in range(width) for y in range(height) if r.random() < 0.55]
+    df = spark.createDataFrame([(1, 2000, x, y, 1.0) for x, y in cells], "county_id int, yr int, cx int, cy int, w double")
+    groups = {}
+    for c in segment.components(df).collect():
+        groups.setdefault(c.patch, set()).add((c.cx, c.cy))
+    want = {}
+    for c, label in flood(cells).items():
+        want.setdefault(label, set()).add(c)
+    assert {frozenset(g) for g in groups.values()} == {frozenset(g) for g in want.values()}
+    with pytest.raises(ValueError):
+        segment.label_components(np.array([0, 1]), np.array([24, 0]), 24)
+
+
+def test_fields_need_a_finite_weight(spark):
+    rows = [(1, 2000, 1, float("inf")), (1, 2000, 2, float("nan")), (1, 2000, 3, 1.5), (1, 2000, 4, None)]
+    df = spark.createDataFrame(rows, "county_id int, yr int, patch long, w double")
+    assert [r.patch for r in segment.fields(df).collect()] == [3]
+
+
+def test_quantiles_equal_numpys(spark):
+    r = np.random.default_rng(3)
+    data = {1: r.integers(0, 9, 50) / 4.0, 2: r.random(101), 3: np.array([2.5]), 4: np.array([1.0, 1.0, 1.0]), 5: np.array([1.0, 2.0])}
+    df = spark.createDataFrame([(k, 2000, float(v)) for k, x in data.items() for v in x] + [(1, 2000, None), (6, 2000, None)], "county_id int, yr int, v double")
+    for low, high, step in ((0, 1000, 25), (50, 50, 1), (100, 900, 10)):
+        got = weights.quantiles(weights._counts(df, "v"), low, high, step).collect()
+        assert len(got) == len(data) * len(range(low, high + 1, step))
+        assert all(abs(x.q - np.quantile(data[x.county_id], x["_p"] / 1000)) < 1e-9 for x in got)
+
+
+def test_no_window_holds_a_field(spark):
+    support = grid(spark, 5, 5)
+    parts = segment.segmented(support, least_patch=2, most_field=4, side=2, least_unit=1, most_unit=50)
+    for name in ("labelled", "tiles"):
+        assert "Window" not in parts[name]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def square(x, y, size):
+    ring = ((x, y), (x + size, y), (x + size, y + size), (x, y + size), (x, y))
+    return struct.pack("<II", 1, 5)[4:] + b"".join(struct.pack("<2d", *p) for p in ring)
+
+
+def test_polygons_become_cells(spark):
+    hole = struct.pack("<BII", 1, 3, 2) + square(1.0, 1.0, 6.0) + square(3.0, 3.0, 2.0)
+    two = struct.pack("<BII", 1, 6, 2) + (struct.pack("<BII", 1, 3, 1) + square(0.2, 0.2, 0.5)) + (struct.pack("<BII", 1, 3, 1) + square(5.6, 5.6, 9.0))
+    big = struct.pack(">BII", 0, 3, 1) + struct.pack(">I", 5) + struct.pack(">10d", 2.0, 2.0, 4.0, 2.0, 4.0, 4.0, 2.0, 4.0, 2.0, 2.0)
+    df = spark.createDataFrame([(1, hole), (2, two), (3, None), (4, big)], "k int, geom binary")
+    cells = lambda touches: {(r.k, r.row, r.col) for r in geo.polygon_cells(df, ["k"], 0.0, 8.0, 1.0, 8, 8, touches).collect()}
+    inside = {(1, 7 - y, x) for x in range(1, 7) for y in range(1, 7) if not (3 <= x < 5 and 3 <= y < 5)} | {(2, 7, 0)} | {(2, 7 - y, x) for x in (6, 7) for y in (6, 7)} | {(4, 7 - y, x) for x in (2, 3) for y in (2, 3)}
+    assert cells(False) == inside
+    touching = cells(True)
+    assert inside < touching and {(2, 7 - 5, 5), (2, 7 - 5, 7), (2, 7 - 7, 5)} <= touching
+    with pytest.raises(ValueError):
+        geo.rings_of(struct.pack("<BI2d", 1, 1, 0.0, 0.0))
+
+
+def lzw(data):
+    """Codes of single bytes, cleared before they get longer."""
+    bits = "".join(f"{c:09b}" for i in range(0, len(data), 200) for c in (256, *data[i : i + 200])) + f"{257:09b}"
+    return bytes(int(bits[i : i + 8].ljust(8, "0"), 2) for i in range(0, len(bits), 8))
+
+
+def tiff(values, compression, predictor=1, order="<"):
+    """A raster in tiles of 16 x 16."""
+    h, w = values.shape
+    blocks = []
+    for r in range(0, h, 16):
+        for c in range(0, w, 16):
+            tile = np.zeros((16, 16), values.dtype)
+            part = values[r : r + 16, c : c + 16]
+            tile[: part.shape[0], : part.shape[1]] = part
+            if predictor == 2:
+                tile[:, 1:] -= tile[:, :-1].copy()
+            raw = tile.astype(values.dtype.newbyteorder(order)).tobytes()
+            blocks.append({1: raw, 5: lzw(raw), 8: zlib.compress(raw)}[compression])
+    at = 8 + sum(map(len, blocks))
+    offsets = np.cumsum([8, *map(len, blocks)])[:-1].tolist()
+    tags = [(256, 4, [w]), (257, 4, [h]), (258, 3, [values.dtype.itemsize * 8]), (259, 3, [compression]), (317, 3, [predictor]), (322, 4, [16]), (323, 4, [16]), (324, 4, offsets), (325, 4, list(map(len, blocks))), (339, 3, [{"u": 1, "i": 2, "f": 3}[values.dtype.kind]])]
+    head, extra = struct.pack(order + "H", len(tags)), b""
+    for tag, kind, held in tags:
+        raw = struct.pack(order + ("H" if kind == 3 else "I") * len(held), *held)
+        if len(raw) > 4:
+            raw, extra = struct.pack(order + "I", at + 6 + 12 * len(tags) + len(extra)), extra + raw
+        head += struct.pack(order + "HHI", tag, kind, len(held)) + raw.ljust(4, b"\0")
+    return (b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, at) + b"".join(blocks) + head + b"\0" * 4 + extra
+
+
+@pytest.mark.parametrize("compression, predictor, order", [(1, 1, "<"), (5, 1, "<"), (8, 2, "<"), (5, 2, ">"), (1, 2, ">")])
+def test_rasters_of_other_writers(compression, predictor, order):
+    r = np.random.default_rng(compression)
+    for kind in ("u1", "i2", "u4"):
+        values = r.integers(0, 100, (37, 20)).astype(kind)
+        assert (geotiff.read(tiff(values, compression, predictor, order)).values == values).all()
+
+
+def test_rasters_round_trip(spark, tmp_path):
+    values = np.arange(150 * 33, dtype=np.float32).reshape(150, 33)
+    values[3, 4] = np.nan
+    (tmp_path / "a.tif").write_bytes(geotiff.write(geotiff.Raster(values, -1000.5, 2000.0, 30.0, epsg=5070)))
+    back = geotiff.read((tmp_path / "a.tif").read_bytes())
+    assert np.array_equal(back.values, values, equal_nan=True) and (back.x_min, back.y_max, back.res, back.epsg) == (-1000.5, 2000.0, 30.0, 5070)
+    got = {(r.row, r.col): r.value for r in tables.decode_tiffs(spark, str(tmp_path / "a.tif"), geotiff.pixels, geotiff.PIXELS).collect()}
+    assert got == {(i, j): float(values[i, j]) for i in range(150) for j in range(33) if (i, j) != (3, 4)}
+    with pytest.raises(ValueError):
+        geotiff.read(b"no raster at all")
+
+
+def test_settled_tables_are_dropped(spark):
+    out = tables.settled(spark.range(5))
+    path = out._settled_at
+    assert out.count() == 5
+    tables.dropped(out)
+    assert not os.path.exists(path.removeprefix("file:"))
 
 
 def zone_rows(spark, rows):
