@@ -6,11 +6,12 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from acreflow.sources.tables import dropped, settled
 
-__all__ = ["BATCH_BYTES", "Memo", "batches_of", "dropped", "settled", "slices", "strings", "table"]
+__all__ = ["BATCH_BYTES", "Memo", "batches_of", "dropped", "settled", "slices", "strings", "table", "whole_row"]
 
 #: Arrow batches are cut to about this many bytes of text before Python objects are made of them.
 BATCH_BYTES = 4 << 20
@@ -32,6 +33,11 @@ def batches_of(spark: SparkSession, size: str = "4m") -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as a struct named row, whatever their names."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`").alias(c) for c in df.columns]).alias("row")
+
+
 def slices(batch: pa.RecordBatch, column: int, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Row slices of ``batch`` that hold about ``limit`` bytes in ``column``; one row at least."""
     n = batch.num_rows

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from acreflow.llm.common import dropped, settled
+from acreflow.llm.common import dropped, settled, whole_row
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Hash buckets of a length class.
@@ -210,16 +210,12 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     cuts = words.join(_small(rates.select("sk", "size_class", "share", (F.col("whole") >= int(most)).alias("full"))), ["sk", "size_class"]).groupBy("sk").applyInPandas(_cuts, "sk string, size_class int, cut int")
     each = settled(cuts.join(rates, ["sk", "size_class"]).join(targets, "sk").select("sk", "size_class", "cut", "source_size", "target", "rate", "whole"))
     dropped(words, targets, solved, rates)
-    rows = df.select(F.struct(*map(_quoted, df.columns)).alias("row"), _source_key(df[source]).alias("sk"), size.alias("size"), bucket.alias("bucket"))
+    rows = df.select(whole_row(df), _source_key(df[source]).alias("sk"), size.alias("size"), bucket.alias("bucket"))
     rows = rows.withColumn("size_class", F.floor(F.log2(F.col("size") + 1)).cast("int"))
     copies = F.least(F.col("whole") + F.when(F.col("bucket") < F.col("cut"), 1).otherwise(0), F.lit(int(most))).cast("long")
     return rows.join(_small(each), ["sk", "size_class"]).select("row", "size", "source_size", "target", "rate", copies.alias("copies"))
 
 
-def _quoted(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`").alias(name)
-
-
 def _wanted(solved: DataFrame) -> np.ndarray:
     """Tokens of each moment in a mix of the targets' size with the corpus' own lengths."""
     sums = solved.select(F.explode(F.arrays_zip("classes", "words")).alias("x")).groupBy("x.classes").agg(F.sum("x.words").alias("words")).collect()

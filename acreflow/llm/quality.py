@@ -18,6 +18,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from acreflow.llm.common import whole_row
+
 #: Labelled rows, chosen by a hash of their id, on which the list is learned.
 LABELLED_ROWS = 6_000
 #: Words of the windows whose repeats count.
@@ -66,7 +68,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 def counted(df: DataFrame, text: str = "text") -> DataFrame:
     """(row struct of df's columns, COUNTS longs) for every row."""
     whole = F.coalesce(df[text], F.lit(""))
-    rows = df.select(F.struct(*df.columns).alias("row"), whole.alias("whole"), F.array_remove(F.split(whole, _SPACE), "").alias("words"))
+    rows = df.select(whole_row(df), whole.alias("whole"), F.array_remove(F.split(whole, _SPACE), "").alias("words"))
     rows = rows.withColumn("lines", F.filter(F.split("whole", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     rows = rows.withColumn("n", F.size("words"))
     counts = F.struct(
@@ -173,10 +175,13 @@ def learn(values: dict[str, np.ndarray], low: np.ndarray) -> list[Rule]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", most: int = LABELLED_ROWS) -> list[Rule]:
-    """Learns from at most ``most`` labelled rows (labels: key, quality 0 or 1); those rows' counts come to the driver."""
+    """Learns from at most ``most`` labelled rows (labels: key, quality 0 or 1); those rows' counts come to the driver.
+
+    A labelled row is a label with a text: of a key with several texts or labels each pair is one. The bound holds for
+    the labels first, so that few texts are counted, and for the pairs after."""
     some = labels.where("quality is not null").select(F.col(key).alias("label_key"), "quality").orderBy(F.xxhash64("label_key"), "label_key", "quality").limit(most)
     texts = docs.select(F.col(key).alias("label_key"), F.col(text).alias("text")).join(F.broadcast(some), "label_key")
-    found = counted(texts.repartition(12, "label_key")).select("row.label_key", "row.quality", *[feature(f).alias(f) for f in FEATURES]).orderBy(F.xxhash64("label_key"), "label_key", *FEATURES).limit(2 * most).collect()
+    found = counted(texts.repartition(12, "label_key")).select("row.label_key", "row.quality", *[feature(f).alias(f) for f in FEATURES]).orderBy(F.xxhash64("label_key"), "label_key", "quality", *FEATURES).limit(most).collect()
     low = np.array([r.quality == 0 for r in found], bool)
     if not len(low) or low.all() or not low.any():
         return []
