@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acreflow.llm.common import settled, slices, strings
+from acreflow.llm.common import dropped, settled, slices, strings
 from acreflow.llm.stars import components
 
 #: Fingerprints that a shard holds. Each level of the upper tree copies about a third of what it splits, while the
@@ -214,26 +214,29 @@ def links(fps: DataFrame, radius: int = 3, shard: int = SHARD) -> DataFrame:
 
         return fps.select("fp").mapInArrow(route, "shard int, fp long")
 
-    dense: set[int] = set()
+    # Routed once, stored as numbers, for the shards' counts and their links; again only if a shard is split.
+    shards, dense = (settled(routed()) if total > shard else routed()), set()
     while total > shard:
-        counts = {r["shard"]: r["count"] for r in routed().groupBy("shard").count().where(F.col("count") > OVERSIZE * shard).collect() if r["shard"] not in dense}
+        counts = {r["shard"]: r["count"] for r in shards.groupBy("shard").count().where(F.col("count") > OVERSIZE * shard).collect() if r["shard"] not in dense}
         if not counts:
             break
         again = sorted(counts, key=lambda k: -counts[k])[: MOST_SAMPLE // LEAST_SAMPLE]  # the others in the next round
-        some = routed().where(F.col("shard").isin(again))
         part = F.create_map(*[F.lit(x) for k in again for x in (k, _bound(LEAST_SAMPLE, counts[k]))])
-        rows = some.where(F.xxhash64("fp") <= F.element_at(part, F.col("shard"))).orderBy("shard", F.xxhash64("fp"), "fp").collect()
+        some = shards.where(F.col("shard").isin(again)).where(F.xxhash64("fp") <= F.element_at(part, F.col("shard")))
+        rows = some.orderBy("shard", F.xxhash64("fp"), "fp").collect()
         for k in again:
             own = np.array([r.fp for r in rows if r["shard"] == k], np.int64).view(np.uint64)
             if not tree.refine(k, own, counts[k], shard):
                 dense.add(tree.split_again[k])
+        dropped(shards)
+        shards = settled(routed())
 
     def link(batch: pa.Table) -> pa.Table:
         own = np.sort(batch.column("fp").to_numpy())
         u, v = forest(own.view(np.uint64), radius)
         return pa.table({"u": own[u], "v": own[v]})
 
-    return routed().groupBy("shard").applyInArrow(link, "u long, v long")
+    return shards.groupBy("shard").applyInArrow(link, "u long, v long")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, radius: int = 3, shard: int = SHARD) -> DataFrame:
