@@ -21,7 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acreflow.llm.common import dropped, settled, slices, strings
+from acreflow.llm import resemblance
+from acreflow.llm.common import batches_of, dropped, settled, slices, strings
 from acreflow.llm.stars import components
 
 #: Fingerprints that a shard holds. Each level of the upper tree copies about a third of what it splits, while the
@@ -239,15 +240,20 @@ def links(fps: DataFrame, radius: int = 3, shard: int = SHARD) -> DataFrame:
     return shards.groupBy("shard").applyInArrow(link, "u long, v long")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, radius: int = 3, shard: int = SHARD) -> DataFrame:
-    """(key, fingerprint, component_id): the fingerprint in hex and the least key reachable, itself included."""
-    made = settled(fingerprints(df, key, text, width))
+def _grouped(made: DataFrame, radius: int, shard: int) -> DataFrame:
+    """(key, fp, component_id) for the stored rows ``made`` (key, fp)."""
     fps = settled(made.groupBy("fp").agg(F.min("key").alias("least")))
     roots = components(links(fps, radius, shard))
     rooted = fps.join(roots, fps.fp == roots.u, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     found = rooted.join(least, "root").select("fp", "component_id")
-    return made.join(found, "fp").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return made.select("key", "fp").join(found, "fp").select("key", "fp", "component_id")
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, radius: int = 3, shard: int = SHARD) -> DataFrame:
+    """(key, fingerprint, component_id): the fingerprint in hex and the least key reachable, itself included."""
+    found = _grouped(settled(fingerprints(df, key, text, width)), radius, shard)
+    return found.select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(df: DataFrame, **options) -> DataFrame:
@@ -266,3 +272,21 @@ def one_of_each(df: DataFrame, **options) -> DataFrame:
     bare = bare.join(least, "component_id").where("_key != _least")
     gone = named.union(bare.select("_key", "component_id")).select("_key.row")
     return rows.join(gone, rows._row == gone.row, "left_anti").select(df.columns)
+
+
+def one_of_similar(df: DataFrame, text: str = "text", width: int = 3, radius: int = 3, shard: int = SHARD) -> DataFrame:
+    """Like ``one_of_each``, and texts of similar five-word shingles (``resemblance``) are linked as well; a group is
+    what links of either kind reach. Equal sequences of words travel once."""
+    rows = settled(df.withColumn("_row", F.monotonically_increasing_id()))
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("_row").alias("row"))
+    texts = rows.select(F.col("_row").alias("row"), F.col(text).alias("text"))
+    with batches_of(df.sparkSession):
+        sketched = settled(resemblance.sketches(texts, lambda x: fingerprint(x, width)))
+    reps = settled(sketched.groupBy("digest").agg(F.min("row").alias("key"), *[F.first(c).alias(c) for c in ("fp", "size", "bands")]))
+    near = _grouped(reps.select("key", "fp"), radius, shard).where("key != component_id").select(F.col("key").alias("u"), F.col("component_id").alias("v"))
+    roots = resemblance.joined(reps, texts, settled(near))
+    rooted = reps.join(roots, reps.key == roots.u, "left").select("digest", F.coalesce("root", "key").alias("root"))
+    keys = rows.select("_row", key.alias("_key")).join(sketched.select("row", "digest").join(rooted, "digest"), F.col("_row") == F.col("row")).select("_key", "root")
+    least = keys.groupBy("root", "_key.no_id").agg(F.min("_key").alias("_least"))
+    gone = keys.select("*", "_key.no_id").join(least, ["root", "no_id"]).where("_key != _least").select("_key.row")
+    return rows.join(gone, rows._row == gone.row, "left_anti").select(df.columns)
