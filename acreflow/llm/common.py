@@ -11,10 +11,16 @@ from pyspark.sql import functions as F
 
 from acreflow.sources.tables import dropped, settled
 
-__all__ = ["BATCH_BYTES", "Memo", "batches_of", "dropped", "settled", "slices", "strings", "table", "whole_row"]
+__all__ = ["BATCH_BYTES", "PLAIN", "SPACED", "Memo", "batches_of", "dropped", "raw_strings", "settled", "slices", "strings", "table", "whole_row", "word_lists"]
 
 #: Arrow batches are cut to about this many bytes of text before Python objects are made of them.
 BATCH_BYTES = 4 << 20
+#: Bytes of a text of which words are made at a time, at least.
+PIECE_BYTES = 1 << 20
+#: Tables for ``word_lists``: words are what stands between ASCII white space, as it is; or they are letters and digits
+#: and all beyond ASCII, with A to Z lowered.
+SPACED = bytes(32 if 9 <= b <= 13 else b for b in range(256))
+PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +59,22 @@ def strings(batch: pa.RecordBatch, column: int) -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
+def raw_strings(batch: pa.RecordBatch, column: int) -> list[bytes]:
+    """The column's texts as UTF-8, null as empty."""
+    return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
+
+
+def word_lists(data: bytes, table: bytes) -> Iterator[list[bytes]]:
+    """The words of a UTF-8 text, some at a time: ``table`` maps each byte, separators to a space. A word is never cut."""
+    data, at = data.translate(table), 0
+    while at < len(data):
+        end = data.find(b" ", at + PIECE_BYTES)
+        end = len(data) if end < 0 else end
+        if words := data[at:end].split():
+            yield words
+        at = end
+
+
 class Memo(dict):
     """A dict that is emptied when it would pass ``most`` entries: bounded memory, same answers."""
 

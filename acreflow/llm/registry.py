@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("q_bpe", "q_counts", "q_licenses", "q_media", "q_mixing", "q_pii", "q_quality", "q_secrets", "q_simhash", "q_urls")
+MODULES = ("q_bpe", "q_counts", "q_decontaminate", "q_importance", "q_licenses", "q_media", "q_mixing", "q_periodic", "q_pii", "q_quality", "q_secrets", "q_simhash", "q_urls")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
