@@ -147,19 +147,6 @@ def cell_ha(res: Column | float, crs: int = 5070, y: Column | None = None) -> Co
     return planar / F.pow(F.cosh(y / RADIUS), F.lit(2.0))
 
 
-def tile_side_m(tile_ha: float) -> float:
-    return math.sqrt(tile_ha * 1e4)
-
-
-def mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
-    """Web Mercator metres of degrees."""
-    return F.radians(lon) * RADIUS, F.log(F.tan(F.lit(math.pi / 4) + F.radians(lat) / 2)) * RADIUS
-
-
-def from_mercator(x: Column, y: Column) -> tuple[Column, Column]:
-    return F.degrees(x / RADIUS), F.degrees(F.atan(F.sinh(y / RADIUS)))
-
-
 @dataclass(frozen=True)
 class Albers:
     """Conic equal-area projection of an ellipsoid: half axis, squared eccentricity, standard parallels, origin."""
@@ -182,29 +169,32 @@ class Albers:
         c = m2[0] + n * q[0]
         return n, c, math.sqrt(c - n * self._q(math.sin(math.radians(self.origin[0])))) / n, math.radians(self.origin[1])
 
-    def _q_of(self, sine: Column) -> Column:
+    def _q_of(self, sine, m):
         e = math.sqrt(self.e2)
-        return (1 - self.e2) * (sine / (1 - self.e2 * sine * sine) - F.log((1 - e * sine) / (1 + e * sine)) / (2 * e))
+        return (1 - self.e2) * (sine / (1 - self.e2 * sine * sine) - m.log((1 - e * sine) / (1 + e * sine)) / (2 * e))
 
-    def forward(self, lon: Column, lat: Column) -> tuple[Column, Column]:
-        """Metres of degrees."""
+    def forward(self, lon, lat, m=F):
+        """Metres of degrees. Columns, or arrays where ``m`` is numpy."""
         n, c, rho0, l0 = self.constants()
-        rho = F.sqrt(F.lit(c) - n * self._q_of(F.sin(F.radians(lat)))) / n
-        theta = (F.radians(lon) - l0) * n
-        return rho * F.sin(theta) * self.axis, (F.lit(rho0) - rho * F.cos(theta)) * self.axis
+        rho = m.sqrt(c - n * self._q_of(m.sin(m.radians(lat)), m)) / n
+        theta = (m.radians(lon) - l0) * n
+        return rho * m.sin(theta) * self.axis, (rho0 - rho * m.cos(theta)) * self.axis
 
-    def inverse(self, x: Column, y: Column) -> tuple[Column, Column]:
-        """Degrees of metres: the series of the authalic latitude, then one Newton step."""
+    def inverse(self, x, y, m=F):
+        """Degrees of metres: the series of the authalic latitude, then one Newton step. Columns, or arrays where ``m``
+        is numpy. At a pole, where the step has no slope, the series stands."""
         n, c, rho0, l0 = self.constants()
-        u, v = x / self.axis, F.lit(rho0) - y / self.axis
-        q = (F.lit(c) - (u * u + v * v) * n * n) / n
+        u, v = x / self.axis, rho0 - y / self.axis
+        q = (c - (u * u + v * v) * n * n) / n
         e2, e4, e6 = self.e2, self.e2**2, self.e2**3
-        beta = F.asin(F.greatest(F.least(q / self._q(1.0), F.lit(1.0)), F.lit(-1.0)))
-        phi = (beta + (e2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040) * F.sin(2 * beta) + (23 * e4 / 360 + 251 * e6 / 3780) * F.sin(4 * beta) + 761 * e6 / 45360 * F.sin(6 * beta))
-        sine = F.sin(phi)
+        sine = q / self._q(1.0)
+        beta = m.asin(m.greatest(m.least(sine, m.lit(1.0)), m.lit(-1.0)) if m is F else m.clip(sine, -1.0, 1.0))
+        phi = beta + (e2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040) * m.sin(2 * beta) + (23 * e4 / 360 + 251 * e6 / 3780) * m.sin(4 * beta) + 761 * e6 / 45360 * m.sin(6 * beta)
+        sine = m.sin(phi)
         w = 1 - e2 * sine * sine
-        phi = phi + F.coalesce(F.try_divide(w * w * (q - self._q_of(sine)), 2 * F.cos(phi) * (1 - e2)), F.lit(0.0))
-        return F.degrees(F.atan2(u, v) / n + l0), F.degrees(phi)
+        rise, slope = w * w * (q - self._q_of(sine, m)), 2 * m.cos(phi) * (1 - e2)
+        step = F.coalesce(F.try_divide(rise, slope), F.lit(0.0)) if m is F else m.divide(rise, slope, out=m.zeros_like(slope), where=slope != 0)
+        return m.degrees(m.atan2(u, v) / n + l0), m.degrees(phi + step)
 
 
 def albers(lon: Column, lat: Column) -> tuple[Column, Column]:
@@ -216,5 +206,49 @@ def from_albers(x: Column, y: Column) -> tuple[Column, Column]:
     return Albers().inverse(x, y)
 
 
-def first_present(*xs: Column) -> Column:
-    return reduce(lambda a, b: F.coalesce(a, b), xs)
+def mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """Web Mercator metres of degrees."""
+    return from_degrees(lon, lat, MERCATOR)
+
+
+def from_mercator(x: Column, y: Column) -> tuple[Column, Column]:
+    return to_degrees(x, y, MERCATOR)
+
+
+#: EPSG codes that coordinates may have: degrees (the datums are taken as one), Web Mercator, conic equal-area metres.
+DEGREES, MERCATOR, ALBERS = (4326, 4269), 3857, 5070
+
+
+def to_degrees(x, y, crs: int, m=F):
+    """Longitude and latitude of coordinates in the system ``crs``. Columns, or arrays where ``m`` is numpy."""
+    if crs in DEGREES:
+        return x, y
+    if crs == MERCATOR:
+        return m.degrees(x / RADIUS), m.degrees(m.atan(m.sinh(y / RADIUS)))
+    if crs == ALBERS:
+        return Albers().inverse(x, y, m)
+    raise ValueError(f"no projection for EPSG:{crs}")
+
+
+def from_degrees(lon, lat, crs: int, m=F):
+    if crs in DEGREES:
+        return lon, lat
+    if crs == MERCATOR:
+        return m.radians(lon) * RADIUS, m.log(m.tan(math.pi / 4 + m.radians(lat) / 2)) * RADIUS
+    if crs == ALBERS:
+        return Albers().forward(lon, lat, m)
+    raise ValueError(f"no projection for EPSG:{crs}")
+
+
+def project(x, y, source: int, target: int, m=F):
+    """Coordinates of the system ``source`` in the system ``target``."""
+    if source == target or (source in DEGREES and target in DEGREES):
+        return x, y
+    return from_degrees(*to_degrees(x, y, source, m), target, m)
+
+
+def project_by(x: Column, y: Column, crs: Column, target: int) -> tuple[Column, Column]:
+    """The same for a column of codes; a code without a projection gives null."""
+    known = [(code, project(x, y, code, target)) for code in (*DEGREES, MERCATOR, ALBERS)]
+    pick = lambda i: reduce(lambda rest, k: F.when(crs == k[0], k[1][i]).otherwise(rest), known, F.lit(None).cast("double"))
+    return pick(0), pick(1)

@@ -85,3 +85,11 @@ def ndvi_composite(scenes: DataFrame, sensor: str, start, end, keys: list[str])
 
 def et_composite(scenes: DataFrame, start, end, keys: list[str]) -> tuple[DataFrame, int]:
     return season_sum(in_season(scenes, start, end), keys), ET_SCALE
+
+
+def with_scale(df: DataFrame, name: Column) -> DataFrame:
+    """``df`` with sensor (MODIS, LANDSAT or SENTINEL2 of any spelling; null for others) and scale_m, its native metres."""
+    plain = F.regexp_replace(F.upper(name), "[^A-Z0-9]", "")
+    known = F.when(plain.isin(*SCALES), plain)
+    metres = F.create_map(*(F.lit(x) for item in SCALES.items() for x in item))
+    return df.withColumns({"sensor": known, "scale_m": F.when(known.isNotNull(), metres[known])})

@@ -4,13 +4,40 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from acreflow.functions.columns import from_albers
+from acreflow.functions.columns import ALBERS, from_albers, norm_county, project, project_by
+from acreflow.schemas import require_columns
+
+#: Columns of a table of grids, beside its keys.
+GRID = ("crs", "x_min", "y_max", "res")
+
+
+@dataclass(frozen=True)
+class Grid:
+    """A north-up grid of square cells: the system of its coordinates, the upper left corner, the cell size. The corner
+    and the size may be columns of the rows at hand."""
+
+    crs: int
+    x_min: float | Column
+    y_max: float | Column
+    res: float | Column
+
+    def centre(self, row: Column, col: Column) -> tuple[Column, Column]:
+        return centre(row, col, self.x_min, self.y_max, self.res)
+
+    def place(self, x: Column, y: Column) -> tuple[Column, Column]:
+        """(row, col) of a point, fractional, cell centres at whole numbers."""
+        return (F.lit(self.y_max) - y) / self.res - 0.5, (x - F.lit(self.x_min)) / self.res - 0.5
+
+    def place_of(self, row: Column, col: Column, grid: Grid) -> tuple[Column, Column]:
+        """Where the centre of another grid's cell lies on this one: the inverse way, from target to source."""
+        return self.place(*project(*grid.centre(row, col), grid.crs, self.crs))
 
 
 def centre(row: Column, col: Column, x_min: float, y_max: float, res: float) -> tuple[Column, Column]:
@@ -44,39 +71,103 @@ def bilinear(target: DataFrame, source: DataFrame, row: Column, col: Column, key
     return asked.join(given, [*keys, "_r", "_c"]).groupBy(*keys, *cell).agg(F.try_divide(F.sum(F.col("_v") * F.col("_w")), F.sum("_w")).alias(value))
 
 
-def rings_of(wkb: bytes) -> list[np.ndarray]:
-    """The rings of a WKB polygon or multipolygon, as arrays of (x, y)."""
+def resampled(target: DataFrame, source: DataFrame, to: Grid, of: Grid, keys: list[str], value: str = "value", method: str = "bilinear", cell: tuple[str, str] = ("row", "col")) -> DataFrame:
+    """(keys, cell, value): the cells of ``target``, on the grid ``to``, with the values of ``source`` (keys, row, col,
+    value), on the grid ``of`` and in any system of coordinates. Cells for which there is no value drop."""
+    row, col = of.place_of(F.col(cell[0]), F.col(cell[1]), to)
+    placed = target.select(*keys, *cell, row.alias("_pr"), col.alias("_pc"))
+    if method == "bilinear":
+        return bilinear(placed, source, F.col("_pr"), F.col("_pc"), keys, list(cell), value)
+    if method != "near":
+        raise ValueError(f"method must be bilinear or near, not {method}")
+    return nearest(placed, source, F.col("_pr"), F.col("_pc"), keys, value).select(*keys, *cell, value)
+
+
+# Polygons --------------------------------------------------------------------------------------------------------
+
+Ring = np.ndarray  # rows of (x, y), the first again at the end
 
-    def read(at: int) -> tuple[list[np.ndarray], int]:
+
+def polygons_of(wkb: bytes) -> list[list[Ring]]:
+    """The polygons of a WKB polygon or multipolygon, each as its rings, without heights and measures."""
+
+    def read(at: int) -> tuple[list[list[Ring]], int]:
         order = "<" if wkb[at] else ">"
         kind, at = struct.unpack_from(order + "I", wkb, at + 1)[0], at + 5
         size = 2 + bool(kind & 0x80000000 or kind % 10000 // 1000 in (1, 3)) + bool(kind & 0x40000000 or kind % 10000 // 1000 in (2, 3))
         if kind & 0x20000000:
             at += 4  # a reference system
         n, at = struct.unpack_from(order + "I", wkb, at)[0], at + 4
-        out = []
         if kind & 0xFF == 6 or kind % 1000 == 6:
+            out = []
             for _ in range(n):
                 more, at = read(at)
                 out += more
-        elif kind & 0xFF == 3 or kind % 1000 == 3:
-            for _ in range(n):
-                m, at = struct.unpack_from(order + "I", wkb, at)[0], at + 4
-                out.append(np.frombuffer(wkb, order + "f8", m * size, at).reshape(m, size)[:, :2].astype(float))
-                at += 8 * m * size
-        else:
-            raise ValueError("only polygons and multipolygons become cells")
-        return out, at
+            return out, at
+        if kind & 0xFF != 3 and kind % 1000 != 3:
+            raise ValueError("only polygons and multipolygons are read")
+        rings = []
+        for _ in range(n):
+            m, at = struct.unpack_from(order + "I", wkb, at)[0], at + 4
+            rings.append(np.frombuffer(wkb, order + "f8", m * size, at).reshape(m, size)[:, :2].astype(float))
+            at += 8 * m * size
+        return [rings], at
 
     return read(0)[0]
 
 
+def rings_of(wkb: bytes) -> list[Ring]:
+    """All rings of a WKB polygon or multipolygon."""
+    return [ring for polygon in polygons_of(wkb) for ring in polygon]
+
+
+def wkb_of(polygons: list[list[Ring]]) -> bytes:
+    """A WKB polygon, or a multipolygon of several or none."""
+    one = [struct.pack("<BII", 1, 3, len(rings)) + b"".join(struct.pack("<I", len(r)) + np.ascontiguousarray(r, "<f8").tobytes() for r in rings) for rings in polygons]
+    return one[0] if len(one) == 1 else struct.pack("<BII", 1, 6, len(one)) + b"".join(one)
+
+
+def densified(ring: Ring, longest: float) -> Ring:
+    """The ring with points between its own, so that no side is longer."""
+    step = np.diff(ring, axis=0)
+    parts = np.maximum(1, np.ceil(np.hypot(step[:, 0], step[:, 1]) / longest)).astype(int)
+    side = np.repeat(np.arange(len(step)), parts)
+    share = (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) / parts[side]
+    return np.concatenate([ring[side] + share[:, None] * step[side], ring[-1:]])
+
+
+def projected_wkb(wkb: bytes | None, source: int, target: int, longest: float | None = None) -> bytes | None:
+    """The geometry's vertices in another system. A straight side is a curve there: ``longest`` (in units of the source)
+    cuts sides before they are projected, so that the curve is followed."""
+    if wkb is None or source == target:
+        return wkb
+    move = lambda ring: np.stack(project(ring[:, 0], ring[:, 1], source, target, np), -1)
+    return wkb_of([[move(densified(r, longest) if longest and len(r) > 1 else r) if len(r) else r for r in rings] for rings in polygons_of(wkb)])
+
+
+def projected_layer(layer: DataFrame, source: int, target: int, geom: str = "geom", longest: float | None = None) -> DataFrame:
+    """``layer`` with its polygons (WKB in ``geom``) in another system of coordinates; null stays null. Narrow."""
+    at, names = layer.columns.index(geom), layer.columns
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            columns = list(batch.columns)
+            columns[at] = pa.array([projected_wkb(w, source, target, longest) for w in batch.column(at).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return layer.mapInArrow(run, layer.schema)
+
+
 def polygon_spans(rings: list[np.ndarray], n_rows: int, n_cols: int, touches: bool = False) -> Iterator[tuple[int, np.ndarray]]:
     """(row, columns) of the cells of a polygon in grid units (x right, y down): those whose centre lies inside by the
     even-odd rule, and with ``touches`` all that its boundary passes through, too."""
     a = np.concatenate([r[:-1] if (r[0] == r[-1]).all() else r for r in rings])
     b = np.concatenate([np.roll(r[:-1] if (r[0] == r[-1]).all() else r, -1, 0) for r in rings])
     low, high = np.minimum(a[:, 1], b[:, 1]), np.maximum(a[:, 1], b[:, 1])
+    # Columns are counted from the polygon's first: a wide raster costs a small polygon nothing.
+    first_col = int(np.clip(np.floor(a[:, 0].min()), 0, n_cols))
+    n_cols = int(np.clip(np.floor(a[:, 0].max()) + 1, first_col, n_cols)) - first_col
+    a, b = a - [first_col, 0], b - [first_col, 0]
     for row in range(max(0, int(np.floor(low.min()))), min(n_rows, int(np.floor(high.max())) + 1)):
         y, hit = row + 0.5, np.zeros(n_cols + 1, np.int64)
         at = np.flatnonzero((a[:, 1] <= y) != (b[:, 1] <= y))
@@ -91,28 +182,74 @@ def polygon_spans(rings: list[np.ndarray], n_rows: int, n_cols: int, touches: bo
             for first, last in zip(np.floor(np.minimum(*ends)).astype(int), np.floor(np.maximum(*ends)).astype(int), strict=True):
                 inside[max(0, first) : max(0, last + 1)] = True
         if len(found := np.flatnonzero(inside)):
-            yield row, found
+            yield row, found + first_col
 
 
-def polygon_cells(layer: DataFrame, keys: list[str], x_min: float, y_max: float, res: float, n_rows: int, n_cols: int, touches: bool = False, geom: str = "geom") -> DataFrame:
-    """(keys, row, col): the cells of each polygon of ``layer`` (WKB in ``geom``, in the grid's coordinates; null: none),
-    a polygon at a time, emitted row by row. A narrow operator: polygons may lie in any number of partitions."""
-    rows = layer.select(*keys, geom)
+#: Cells of polygons that are emitted at a time, about.
+_EMIT = 1 << 16
+
+
+def cells_on_grids(layer: DataFrame, keys: list[str], touches: bool = False, geom: str = "geom", source: int | None = None, longest: float | None = None) -> DataFrame:
+    """(keys, row, col): the cells of each polygon of ``layer`` (WKB in ``geom``; null: none) on the grid of its own row, which
+    the columns x_min, y_max, res, n_rows and n_cols describe. Where the polygons' system is given (``source``) and isn't
+    that of the row's grid (crs), they are brought there first, sides cut to ``longest``.
+
+    A narrow operator: a polygon at a time, its cells emitted as they come, so polygons may be large or many."""
+    frame = ["x_min", "y_max", "res", "n_rows", "n_cols", *(["crs"] if source else [])]
+    rows = layer.select(*keys, geom, *frame)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for i in range(batch.num_rows):
-                wkb = batch.column(len(keys))[i].as_py()
+            own = batch.select(keys)
+            whose: list[np.ndarray] = []
+            found: list[np.ndarray] = []
+
+            def emit() -> pa.RecordBatch:
+                at, cells = np.concatenate(whose), np.concatenate(found)
+                whose.clear()
+                found.clear()
+                return pa.RecordBatch.from_arrays([*own.take(pa.array(at)).columns, pa.array(cells[:, 0]), pa.array(cells[:, 1])], [*keys, "row", "col"])
+
+            held = 0
+            for i, (wkb, x_min, y_max, res, n_rows, n_cols, *crs) in enumerate(zip(*(c.to_pylist() for c in batch.columns[len(keys) :]), strict=True)):
                 if wkb is None:
                     continue
+                if crs:
+                    wkb = projected_wkb(wkb, source, crs[0], longest)
                 rings = [np.stack([(r[:, 0] - x_min) / res, (y_max - r[:, 1]) / res], -1) for r in rings_of(wkb) if len(r)]
                 if not rings:
                     continue
                 for row, cols in polygon_spans(rings, n_rows, n_cols, touches):
-                    own = [pa.array([batch.column(k)[i].as_py()] * len(cols), batch.schema.field(k).type) for k in range(len(keys))]
-                    yield pa.RecordBatch.from_arrays([*own, pa.array([row] * len(cols), pa.int32()), pa.array(cols.astype(np.int32))], [*keys, "row", "col"])
+                    whose.append(np.full(len(cols), i))
+                    found.append(np.stack([np.full(len(cols), row, np.int32), cols.astype(np.int32)], -1))
+                    held += len(cols)
+                    if held > _EMIT:
+                        yield emit()
+                        held = 0
+            if held:
+                yield emit()
+
+    return rows.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[: len(keys)]) + ", row int, col int")
+
+
+def polygon_cells(layer: DataFrame, keys: list[str], x_min: float, y_max: float, res: float, n_rows: int, n_cols: int, touches: bool = False, geom: str = "geom") -> DataFrame:
+    """(keys, row, col): the cells of each polygon of ``layer`` (WKB in ``geom``, in the grid's coordinates; null: none) on
+    one grid for all."""
+    one = {"x_min": F.lit(float(x_min)), "y_max": F.lit(float(y_max)), "res": F.lit(float(res)), "n_rows": F.lit(n_rows), "n_cols": F.lit(n_cols)}
+    return cells_on_grids(layer.select(*keys, geom).withColumns(one), keys, touches, geom)
 
-    return rows.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[:-1]) + ", row int, col int")
+
+def county_cells(layer: DataFrame, targets: DataFrame, keys: list[str], source: int = 4326, touches: bool = True, longest: float | None = None) -> DataFrame:
+    """(keys, row, col): each target's county as cells of its own grid.
+
+    layer: (COUNTY as given, geom in the system ``source``); targets: (keys, county, crs, x_min, y_max, res, n_rows,
+    n_cols). Names are normalised on both sides; a county of several polygons has the cells of all; one without any
+    has none. A layer has a row a county, so the join is as small as the targets."""
+    require_columns(layer, ["COUNTY", "geom"], "the county layer")
+    require_columns(targets, [*keys, "county", *GRID, "n_rows", "n_cols"], "targets")
+    named = layer.select(norm_county(F.col("COUNTY")).alias("_county"), "geom")
+    joined = targets.withColumn("_county", norm_county(F.col("county"))).join(named, "_county")
+    return cells_on_grids(joined, keys, touches, "geom", source, longest).distinct()
 
 
 def in_polygon(pixels: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
@@ -138,6 +275,19 @@ def unit_centres(cells: DataFrame, keys: list[str], x: Column, y: Column) -> Dat
     return cells.withColumns({"_x": x, "_y": y, "_lon": lon, "_lat": lat}).groupBy(*keys).agg(F.avg("_lon").alias("lon"), F.avg("_lat").alias("lat"), F.avg("_x").alias("x"), F.avg("_y").alias("y"))
 
 
+def on_plane(cells: DataFrame, grids: DataFrame, keys: list[str], x: str = "cx", y: str = "cy") -> DataFrame:
+    """``cells`` with the centre of each cell on the equal-area plane, as _x and _y in metres.
+
+    grids: (some of ``keys``, crs, x_min, y_max, res), a row a raster; x counts columns from the left edge, y rows from the
+    top. Cells of a raster without a grid have no place."""
+    own = [k for k in keys if k in grids.columns]
+    named = grids.select(*own, *[F.col(c).alias(f"_{c}") for c in GRID])
+    placed = cells.join(named, own, "left")
+    place = centre(F.col(y), F.col(x), F.col("_x_min"), F.col("_y_max"), F.col("_res"))
+    px, py = project_by(*place, F.col("_crs"), ALBERS)
+    return placed.withColumns({"_x": px, "_y": py}).drop(*[f"_{c}" for c in GRID])
+
+
 def zone_degrees(zones: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """lon and lat of zones: average on the plane, then transform."""
     lon, lat = from_albers(F.col(x), F.col(y))

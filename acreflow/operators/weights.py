@@ -1,24 +1,27 @@
-"""Eligibility by quantile search, and the weight surface of a county and year."""
+"""Eligibility by quantile search, and the weight surface of a county and year.
+
+NULL, NaN and infinities are cells without data throughout: no quantile counts them, no screen or threshold keeps them,
+and they take no part in a scale or a sum."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from acreflow.functions.columns import at_most_levels, is_finite, minmax_over, share_over
+from acreflow.functions.columns import at_most_levels, finite, is_finite
 
 KEYS = ("county_id", "yr")
 #: Decimals of quantile thresholds: engines differ in the last bit of an interpolation.
 DECIMALS = 9
 
 
-def _group():
-    return Window.partitionBy(*KEYS)
+def _finite(value: str) -> Column:
+    return finite(F.col(value).cast("double"))
 
 
 def _counts(cells: DataFrame, value: str) -> DataFrame:
     """(keys, _v, _c): the distinct values of each group, and how many cells have them. Combines before the shuffle."""
-    return cells.where(F.col(value).isNotNull()).groupBy(*KEYS, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    return cells.select(*KEYS, _finite(value).alias("_v")).where("_v is not null").groupBy(*KEYS, "_v").agg(F.count("*").alias("_c"))
 
 
 def quantiles(counts: DataFrame, lowest: int, highest: int, step: int) -> DataFrame:
@@ -27,7 +30,7 @@ def quantiles(counts: DataFrame, lowest: int, highest: int, step: int) -> DataFr
     counts: distinct values with their counts. Cumulative counts over the sorted distinct values give the ranks that
     each value holds; the levels between are found by arithmetic, so nothing holds a group's values at once."""
     order = Window.partitionBy(*KEYS).orderBy("_v")
-    ranked = counts.withColumns({"_b": F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_next": F.lead("_v").over(order), "_n": F.sum("_c").over(_group())})
+    ranked = counts.withColumns({"_b": F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_next": F.lead("_v").over(order), "_n": F.sum("_c").over(Window.partitionBy(*KEYS))})
     # Levels p with a <= (n - 1) p / 1000 < b lie at this value or between it and the next.
     ceil = lambda rank: F.when(F.col("_n") > 1, F.ceil(rank * 1000 / (F.col("_n") - 1))).otherwise(F.when(rank > 0, F.lit(1001)).otherwise(0)).cast("long")
     first = F.greatest(ceil(F.col("_b") - F.col("_c")), F.lit(lowest))
@@ -49,7 +52,7 @@ def quantile(cells: DataFrame, value: str, level: float) -> DataFrame:
 
 def screen(pixels: DataFrame, value: str, level: float = 0.05) -> DataFrame:
     """Cells strictly above the group's quantile, taken over all of its cells, and that threshold as <value>_q."""
-    return pixels.join(quantile(pixels, value, level), list(KEYS)).where(F.col(value) > F.col(f"{value}_q"))
+    return pixels.join(quantile(pixels, value, level), list(KEYS)).where(_finite(value) > F.col(f"{value}_q"))
 
 
 def eligibility(cells: DataFrame, harvest: DataFrame, value: str = "ndvi", buffer: float = 0.0, high: int = 90, low: int = 10, step: int = 1) -> DataFrame:
@@ -79,7 +82,7 @@ def eligibility(cells: DataFrame, harvest: DataFrame, value: str = "ndvi", buffe
 
 def eligible(cells: DataFrame, chosen: DataFrame, value: str = "ndvi") -> DataFrame:
     """The cells at or above their group's threshold."""
-    return cells.join(chosen.select(*KEYS, "threshold"), list(KEYS)).where(F.col(value) >= F.col("threshold")).drop("threshold")
+    return cells.join(chosen.select(*KEYS, "threshold"), list(KEYS)).where(_finite(value) >= F.col("threshold")).drop("threshold")
 
 
 def blend(et: Column, ndvi: Column, a_et: float, a_ndvi: float, ndvi_only: Column | None = None) -> Column:
@@ -88,16 +91,26 @@ def blend(et: Column, ndvi: Column, a_et: float, a_ndvi: float, ndvi_only: Colum
     return both if ndvi_only is None else F.when(ndvi_only, ndvi).otherwise(both)
 
 
-def surface(cells: DataFrame, a_et: float = 0.3, a_ndvi: float = 0.7, ndvi_only: Column | None = None) -> DataFrame:
-    """Adds w_ndvi and w_et (scaled to [0.01, 1] within the group), weight, and w_norm, whose sum is 1.
+def surface(cells: DataFrame, a_et: float = 0.3, a_ndvi: float = 0.7, ndvi_only: Column | None = None, low: float = 0.01, high: float = 1.0) -> DataFrame:
+    """Adds w_ndvi and w_et (scaled to [low, high] within the group; missing where the group has one value), weight, and
+    w_norm, whose sum is 1.
+
+    cells: eligible cells with ndvi and et; where both are wanted and one is missing the cell drops. The ranges and the sum
+    of a group are groupings, which combine before the shuffle, joined back as a row a group: no task holds a county."""
+    ends = [f(_finite(c)).alias(f"_{n}_{c}") for c in ("ndvi", "et") for n, f in (("min", F.min), ("max", F.max))]
+    ranged = cells.join(cells.groupBy(*KEYS).agg(*ends), list(KEYS))
+
+    def scaled(c: str) -> Column:
+        a, b = F.col(f"_min_{c}"), F.col(f"_max_{c}")
+        return F.when(b > a, F.lit(low) + (_finite(c) - a) / (b - a) * (high - low))
 
-    cells: eligible cells with ndvi and et; where both are wanted and one is missing the cell drops. All windows have
-    one partitioning, so there is one exchange."""
-    scaled = cells.withColumn("w_ndvi", minmax_over(F.col("ndvi"), _group())).withColumn("w_et", minmax_over(F.col("et"), _group()))
+    scales = ranged.withColumns({"w_ndvi": scaled("ndvi"), "w_et": scaled("et")})
     # The missing signal of a group is left out instead of making every weight missing.
-    only_et = F.count("w_ndvi").over(_group()) == 0
-    weight = F.when(only_et, F.col("w_et")).otherwise(blend(F.col("w_et"), F.col("w_ndvi"), a_et, a_ndvi, ndvi_only))
-    return scaled.withColumn("weight", weight).where("weight is not null").withColumn("w_norm", share_over(F.col("weight"), _group()))
+    only_et = ~F.coalesce(F.col("_max_ndvi") > F.col("_min_ndvi"), F.lit(False))
+    weight = F.when(only_et, F.col("w_et")).when(F.col("_max_et").isNull(), F.col("w_ndvi")).otherwise(blend(F.col("w_et"), F.col("w_ndvi"), a_et, a_ndvi, ndvi_only))
+    weighed = scales.withColumn("weight", weight).where("weight is not null").select(*cells.columns, "w_ndvi", "w_et", "weight")
+    total = weighed.groupBy(*KEYS).agg(F.sum("weight").alias("_sum"))
+    return weighed.join(total, list(KEYS)).withColumn("w_norm", F.try_divide("weight", F.col("_sum"))).select(*weighed.columns, "w_norm")
 
 
 def diagnostics(decisions: DataFrame, chosen: DataFrame, screens: DataFrame, harvest: DataFrame, cell_ha: float) -> DataFrame:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from acreflow.sources.tables import settled
+
 KEYS = ("county_id", "yr")
 #: Decimals to which distances are compared, so that ties don't hang on their last bits.
 DECIMALS = 6
@@ -162,3 +164,12 @@ def merged_floors(zones: DataFrame, keep: int = 1, keys: tuple[str, ...] = ("cou
 def by_yield(zones: DataFrame, keys: tuple[str, ...] = ("county_id", "yr", "beta")) -> DataFrame:
     """The order of presentation: within county, year and beta by falling yield. A range-partitioned sort."""
     return zones.orderBy(*keys, F.col("cluster_yield_kg_ha").desc_nulls_last(), "cluster_id")
+
+
+def numbered(ordered: DataFrame, out: str) -> DataFrame:
+    """``ordered`` with the place of each row from 1: rows are numbered within their range, and each range adds the rows
+    before it, a row a range."""
+    ranges = settled(ordered.withColumn("_id", F.monotonically_increasing_id()).withColumns({"_range": F.shiftright("_id", 33), "_place": F.col("_id").bitwiseAND((1 << 33) - 1)}))
+    counts = ranges.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return ranges.join(before, "_range").select(*ordered.columns, (F.col("_before") + F.col("_place") + 1).alias(out))

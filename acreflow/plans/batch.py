@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acreflow.functions.columns import is_finite
+from acreflow.functions.columns import finite, is_finite
 from acreflow.operators import allocate, cropmask, geo, segment, selection, weights, zones
 from acreflow.schemas import require_columns, require_positive
 from acreflow.sources.tables import settled
@@ -34,9 +34,6 @@ class WeightOptions:
     screen_level: float = 0.05
 
 
-SINGLE = WeightOptions(lower=0.6, upper=2.0, buffer=0.05)
-
-
 @dataclass(frozen=True)
 class DisaggOptions:
     """Sizes in cells; at 0.09 ha a cell 3333 cells are 300 ha and a side of 47 cells is that of a 200 ha tile."""
@@ -73,30 +70,6 @@ def skipped(targets: DataFrame, stats: DataFrame, rasters: DataFrame, areas: Dat
     return t.withColumn("reason", reason).where("reason is not null").select(*KEYS, "reason")
 
 
-def weights_batch(pixels: DataFrame, stats: DataFrame, options: WeightOptions = WeightOptions()) -> dict[str, DataFrame]:
-    """{weights, mask, decisions, eligibility, diagnostics, skipped} for every county and year with statistics.
-
-    pixels: (county_id, yr, cx, cy, ndvi, et, cdl); stats: (county_id, yr, harvested_cells, yield_kg_ha[, planted_cells])."""
-    require_columns(pixels, [*KEYS, "cx", "cy", "ndvi", "et", "cdl"], "pixels")
-    require_columns(stats, [*KEYS, "harvested_cells", "yield_kg_ha"], "statistics")
-    out = skipped(pixels.select(*KEYS).distinct().unionByName(stats.select(*KEYS)).distinct(), stats, pixels)
-    planted = "planted_cells" if "planted_cells" in stats.columns else "harvested_cells"
-    targets = stats.join(out, list(KEYS), "left_anti").select(*KEYS, "harvested_cells", F.col(planted).alias("planted_cells"))
-    cells, decisions = cropmask.masks(targets, pixels, options.code, options.lower, options.upper, first=options.first)
-    decisions = settled(decisions)
-    mask = cells.where("chosen").select(*KEYS, "cx", "cy")
-    inside = settled(pixels.join(mask, [*KEYS, "cx", "cy"]).select(*KEYS, "cx", "cy", "ndvi", "et"))
-    chosen = settled(weights.eligibility(inside, targets, buffer=options.buffer))
-    q = [weights.quantile(pixels, c, options.screen_level).withColumnRenamed(f"{c}_q", f"q_{c}") for c in ("ndvi", "et")]
-    q = settled(q[0].join(q[1], list(KEYS), "full"))
-    fit = weights.eligible(inside, chosen).join(q, list(KEYS)).where((F.col("ndvi") > F.col("q_ndvi")) & (F.col("et") > F.col("q_et")))
-    surface = weights.surface(fit.select(*KEYS, "cx", "cy", "ndvi", "et"), options.a_et, options.a_ndvi, F.col("yr") <= 1999 if options.first == 2008 else None)
-    return {
-        "weights": surface, "mask": inside.select(*KEYS, "cx", "cy"), "decisions": decisions, "eligibility": chosen, "skipped": out,
-        "diagnostics": weights.diagnostics(decisions, chosen, q, targets, options.cell_ha),
-    }
-
-
 class Outputs(Mapping):
     """Named results of a batch, each made when it is asked for first: what isn't asked for costs nothing."""
 
@@ -115,14 +88,53 @@ class Outputs(Mapping):
         return len(self._make)
 
 
-def county_units(support: DataFrame, stats: DataFrame, options: DisaggOptions, weight: str = "w") -> Outputs:
-    """The beta-free part: segments, harvest prefix, pruning, centres and zones of units."""
+def weights_batch(pixels: DataFrame, stats: DataFrame, options: WeightOptions = WeightOptions(), cached: DataFrame | None = None) -> Outputs:
+    """{weights, mask, decisions, eligibility, diagnostics, skipped} for every county and year with statistics, made as they
+    are asked for.
+
+    pixels: (county_id, yr, cx, cy, ndvi, et, cdl); stats: (county_id, yr, harvested_cells, yield_kg_ha[, planted_cells]);
+    cached: the keys that a cache has already, which are skipped. The cells of the mask are settled once, since
+    thresholds, ranges and sums read them; tables of a row a county and year are as well."""
+    require_columns(pixels, [*KEYS, "cx", "cy", "ndvi", "et", "cdl"], "pixels")
+    require_columns(stats, [*KEYS, "harvested_cells", "yield_kg_ha"], "statistics")
+    out = skipped(pixels.select(*KEYS).distinct().unionByName(stats.select(*KEYS)).distinct(), stats, pixels, cached=cached)
+    planted = "planted_cells" if "planted_cells" in stats.columns else "harvested_cells"
+    targets = stats.join(out, list(KEYS), "left_anti").select(*KEYS, "harvested_cells", F.col(planted).alias("planted_cells"))
+
+    def screens(o: Outputs) -> DataFrame:
+        q = [weights.quantile(pixels, c, options.screen_level).withColumnRenamed(f"{c}_q", f"q_{c}") for c in ("ndvi", "et")]
+        return settled(q[0].join(q[1], list(KEYS), "full"))
+
+    def surface(o: Outputs) -> DataFrame:
+        signal = lambda c: finite(F.col(c).cast("double"))
+        fit = weights.eligible(o["_inside"], o["eligibility"]).join(o["_screens"], list(KEYS)).where((signal("ndvi") > F.col("q_ndvi")) & (F.col("q_et").isNull() | (signal("et") > F.col("q_et"))))
+        return weights.surface(settled(fit.select(*KEYS, "cx", "cy", "ndvi", "et")), options.a_et, options.a_ndvi, F.col("yr") <= 1999 if options.first == 2008 else None)
+
+    return Outputs(
+        _masks=lambda o: cropmask.masks(targets, pixels, options.code, options.lower, options.upper, first=options.first),
+        _inside=lambda o: settled(pixels.join(o["_masks"][0].where("chosen").select(*KEYS, "cx", "cy"), [*KEYS, "cx", "cy"]).select(*KEYS, "cx", "cy", "ndvi", "et")),
+        _screens=screens,
+        weights=surface,
+        mask=lambda o: o["_inside"].select(*KEYS, "cx", "cy"),
+        decisions=lambda o: settled(o["_masks"][1]),
+        eligibility=lambda o: settled(weights.eligibility(o["_inside"], targets, buffer=options.buffer)),
+        diagnostics=lambda o: weights.diagnostics(o["decisions"], o["eligibility"], o["_screens"], targets, options.cell_ha),
+        skipped=lambda o: out,
+    )
+
+
+def county_units(support: DataFrame, stats: DataFrame, options: DisaggOptions, weight: str = "w", grids: DataFrame | None = None) -> Outputs:
+    """The beta-free part: segments, harvest prefix, pruning, centres and zones of units. With ``grids`` (see
+    ``geo.on_plane``) units have their place on the ground; without, one on their own raster, and no degrees."""
 
     def placed(o: Outputs) -> DataFrame:
         members = segment.membership(o["labelled"], o["tiles"], o["pseudo_units"])
-        x, y = (F.col("cx") + 0.5) * options.cell_m, (F.col("cy") + 0.5) * options.cell_m
         own = members.join(o["pruned"].select(*KEYS, "unit_id"), [*KEYS, "unit_id"], "left_semi")
-        centres = geo.unit_centres(own, [*KEYS, "unit_id"], x, y)
+        if grids is None:
+            local = own.withColumns({"_x": (F.col("cx") + 0.5) * options.cell_m, "_y": -(F.col("cy") + 0.5) * options.cell_m})
+            centres = geo.unit_centres(local, [*KEYS, "unit_id"], F.col("_x"), F.col("_y")).withColumns({"lon": F.lit(None).cast("double"), "lat": F.lit(None).cast("double")})
+        else:
+            centres = geo.unit_centres(geo.on_plane(own, grids, list(KEYS)), [*KEYS, "unit_id"], F.col("_x"), F.col("_y"))
         return settled(zones.zoned(o["pruned"].join(centres, [*KEYS, "unit_id"]), options.cluster_dist_m))
 
     def part(name: str):
@@ -138,16 +150,24 @@ def county_units(support: DataFrame, stats: DataFrame, options: DisaggOptions, w
     )
 
 
-def disagg_batch(support: DataFrame, stats: DataFrame, options: DisaggOptions = DisaggOptions()) -> Outputs:
+def disagg_batch(support: DataFrame, stats: DataFrame, options: DisaggOptions = DisaggOptions(), grids: DataFrame | None = None) -> Outputs:
     """{yields, units, check, zones, merged, qa, skipped, ...} for all counties, years and betas, made as they are asked for.
 
-    support: weight cells (county_id, yr, cx, cy, w). yields are the units without their places and zones, which need
-    no geometry; units have both. Units are settled once, since check, zones and merge read them."""
+    support: weight cells (county_id, yr, cx, cy, w). grids: where each raster lies (county_id[, yr], crs, x_min, y_max,
+    res); without them lon and lat are null, since a cell's number tells no place; a county that they lack has its
+    reason in skipped. yields are the units without their places and zones, which need no geometry; units have both.
+    Units are settled once, since check, zones and merge read them."""
     require_columns(support, [*KEYS, "cx", "cy", "w"], "weights")
     require_positive(cluster_dist_m=options.cluster_dist_m, cell_ha=options.cell_ha)
     out = skipped(stats, stats, support)
+    if grids is not None:
+        require_columns(grids, ["county_id", *geo.GRID], "grids")
+        own = [k for k in KEYS if k in grids.columns]
+        lost = stats.join(grids, own, "left_anti").select(*KEYS, F.lit("no grid").alias("reason"))
+        out = out.unionByName(lost.join(out, list(KEYS), "left_anti"))
     stats = stats.join(out, list(KEYS), "left_anti")
-    parts = county_units(support, stats, options)
+    parts = county_units(support, stats, options, grids=grids)
+    degrees = geo.zone_degrees if grids is not None else lambda z: z.withColumns({"lon": F.lit(None).cast("double"), "lat": F.lit(None).cast("double")})
     group = (*KEYS, "beta")
 
     def allocated(units: DataFrame) -> DataFrame:
@@ -157,7 +177,7 @@ def disagg_batch(support: DataFrame, stats: DataFrame, options: DisaggOptions =
 
     def zone(o: Outputs) -> DataFrame:
         floors = o["units"].groupBy(*group).agg(zones.dynamic_floor(F.first("county_yield")).alias("floor"))
-        return settled(geo.zone_degrees(zones.aggregate(o["units"], group)).join(floors, list(group)))
+        return settled(degrees(zones.aggregate(o["units"], group)).join(floors, list(group)))
 
     def qa(o: Outputs) -> DataFrame:
         before, after = zones.floor_counts(o["zones"], group), zones.floor_counts(o["merged"], group)
@@ -170,6 +190,6 @@ def disagg_batch(support: DataFrame, stats: DataFrame, options: DisaggOptions =
         units=lambda o: settled(allocated(parts["placed"])),
         check=lambda o: allocate.check(o["units"], group),
         zones=zone,
-        merged=lambda o: geo.zone_degrees(zones.merged_floors(o["zones"], options.keep_floor, group)),
+        merged=lambda o: degrees(zones.merged_floors(o["zones"], options.keep_floor, group)),
         qa=qa,
     )

@@ -7,6 +7,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -101,6 +102,43 @@ def class_file_year(spark, sf_dir):
     return found.withColumn("file_year", F.coalesce("file_year", F.lit(-1)))
 
 
+# Coordinates ------------------------------------------------------------------------------------------------------
+
+
+def _q_sql(sine: str) -> str:
+    """The equal-area function of a latitude's sine on the ellipsoid of which ``e2`` is the squared eccentricity."""
+    return f"((1 - e2) * (({sine}) / (1 - e2 * ({sine}) * ({sine})) - ln((1 - sqrt(e2) * ({sine})) / (1 + sqrt(e2) * ({sine}))) / (2 * sqrt(e2))))"
+
+
+# EPSG:5070: GRS80, parallels 29.5 and 45.5, origin 23 N 96 W.
+_ALBERS_SQL = f"""el0 AS (SELECT 0.00669438002290e0 e2),
+el1 AS (SELECT e2, (1 - pow(sin(radians(29.5e0)), 2)) / (1 - e2 * pow(sin(radians(29.5e0)), 2)) m1, (1 - pow(sin(radians(45.5e0)), 2)) / (1 - e2 * pow(sin(radians(45.5e0)), 2)) m2,
+  {_q_sql("sin(radians(29.5e0))")} q1, {_q_sql("sin(radians(45.5e0))")} q2, {_q_sql("sin(radians(23e0))")} q0, {_q_sql("1e0")} qp FROM el0),
+alb AS (SELECT e2, qp, (m1 - m2) / (q2 - q1) n, m1 + (m1 - m2) / (q2 - q1) * q1 c, sqrt(m1 + (m1 - m2) / (q2 - q1) * (q1 - q0)) / ((m1 - m2) / (q2 - q1)) r0 FROM el1)"""
+
+
+def _forward_sql(lon: str, lat: str) -> tuple[str, str]:
+    """x and y on the equal-area plane, beside a row of ``alb``."""
+    rho, theta = f"(sqrt(c - n * {_q_sql(f'sin(radians({lat}))')}) / n)", f"(radians({lon} + 96) * n)"
+    return f"{rho} * sin({theta}) * 6378137e0", f"(r0 - {rho} * cos({theta})) * 6378137e0"
+
+
+def _degrees_sql(source: str, name: str) -> str:
+    """``name``: the rows of ``source`` with lon and lat of their x and yy, by the series of the authalic latitude and two
+    Newton steps."""
+    step = lambda k: f"{name}{k + 1} AS (SELECT * EXCLUDE (_f), _f + pow(1 - _e * sin(_f) * sin(_f), 2) * (_q - {_q_sql('sin(_f)').replace('e2', '_e')}) / (2 * cos(_f) * (1 - _e)) _f FROM {name}{k})"
+    return f"""{name}0 AS (SELECT s.*, atan2(x / 6378137e0, alb.r0 - yy / 6378137e0) / alb.n _l, (alb.c - (pow(x / 6378137e0, 2) + pow(alb.r0 - yy / 6378137e0, 2)) * alb.n * alb.n) / alb.n _q, alb.e2 _e, alb.qp _p FROM {source} s, alb),
+{name}1 AS (SELECT *, asin(_q / _p) + (_e / 3 + 31 * _e * _e / 180) * sin(2 * asin(_q / _p)) _f FROM {name}0),
+{step(1)},
+{step(2)},
+{name} AS (SELECT * EXCLUDE (_l, _q, _e, _p, _f), degrees(_l) - 96 lon, degrees(_f) lat FROM {name}3)"""
+
+
+_X0, _Y0 = _forward_sql("lon0", "lat0")
+_GRIDS_SQL = f"""co AS (SELECT n_nationkey county_id, n_name || ' County' "COUNTY", n_nationkey * 0.5e0 - 104 lon0, 44e0 - n_nationkey * 0.375e0 lat0 FROM nation),
+gd AS (SELECT co.*, round(({_X0}) / 30) * 30 x_min, round(({_Y0}) / 30) * 30 y_max FROM co, alb)"""
+
+
 # Scenes and composites ------------------------------------------------------------------------------------------
 
 
@@ -110,10 +148,10 @@ def qa_mask_landsat(spark, sf_dir):
     return X.scenes(spark, sf_dir).select("event_id", clear.alias("clear"), F.when(clear, F.round(C.landsat_reflectance(F.col("value") * 100), 9)).alias("reflectance"))
 
 
-@query(_with(SC, """SELECT event_id, (k * 64) & 3072 = 0 clear, CASE WHEN (k * 64) & 3072 = 0 THEN round(value * 100 * 1e-4, 9) END reflectance FROM sc WHERE k < 70"""))
+@query(_with(SC, """SELECT event_id, (k * 64) & 3072 = 0 clear, CASE WHEN (k * 64) & 3072 = 0 THEN round(value * 100 * 1e-4, 9) END reflectance FROM sc"""))
 def qa_mask_sentinel2(spark, sf_dir):
     clear = C.sentinel2_clear(F.col("k") * 64)
-    return X.scenes(spark, sf_dir).where("k < 70").select("event_id", clear.alias("clear"), F.when(clear, F.round(C.scaled_1e4(F.col("value") * 100), 9)).alias("reflectance"))
+    return X.scenes(spark, sf_dir).select("event_id", clear.alias("clear"), F.when(clear, F.round(C.scaled_1e4(F.col("value") * 100), 9)).alias("reflectance"))
 
 
 _SENSORS = "CASE event_id % 4 WHEN 0 THEN 'LT05' WHEN 1 THEN 'LE07' WHEN 2 THEN 'LC08' ELSE 'LC09' END"
@@ -162,10 +200,11 @@ def et_season_sum(spark, sf_dir):
     return _round(found, "et")
 
 
-@query(_with(SC, "SELECT g.pixel, round(coalesce(m.v, 0), 6) ndvi FROM (SELECT DISTINCT pixel FROM sc) g LEFT JOIN (SELECT pixel, max(value) v FROM sc WHERE k >= 95 AND kind = 'view' GROUP BY 1) m ON m.pixel = g.pixel"))
+@query(_with(SC, "SELECT pixel, round(coalesce(max(value) FILTER (ts >= TIMESTAMP '2024-01-30 20:00:00'), 0), 6) ndvi FROM sc GROUP BY pixel"))
 def empty_season_zero(spark, sf_dir):
+    """A short season: pixels without a scene in it get zero."""
     s = X.scenes(spark, sf_dir)
-    some = s.where("k >= 95 and kind = 'view'").groupBy("pixel").agg(F.max("value").alias("ndvi"))
+    some = s.where(F.col("ts") >= F.to_timestamp(F.lit("2024-01-30 20:00:00"))).groupBy("pixel").agg(F.max("value").alias("ndvi"))
     return _round(composite.on_grid(some, s, ["pixel"]), "ndvi")
 
 
@@ -177,9 +216,12 @@ def scenes_in_area(spark, sf_dir):
     return _round(inside.groupBy("pixel").agg(F.count("*").alias("n_scenes"), F.max("value").alias("top")), "top")
 
 
-@query("SELECT * FROM (VALUES ('LANDSAT', 30), ('MODIS', 250), ('SENTINEL2', 10)) t(sensor, scale_m)")
+@query(_with(SC, "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'LANDSAT' WHEN 1 THEN 'MODIS' ELSE 'SENTINEL2' END sensor, CASE event_id % 3 WHEN 0 THEN 30 WHEN 1 THEN 250 ELSE 10 END scale_m FROM sc"))
 def sensor_scales(spark, sf_dir):
-    return spark.createDataFrame([(composite.sensor_name(s), composite.SCALES[composite.sensor_name(s)]) for s in ("Landsat", "MODIS", "Sentinel-2")], "sensor string, scale_m int")
+    """The sensor of each scene, named in many ways, and its scale."""
+    names = ["Landsat", "modis", "Sentinel-2"]
+    s = X.scenes(spark, sf_dir).select("event_id", F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % 3 + 1).cast("int")).alias("_name"))
+    return composite.with_scale(s, F.col("_name")).drop("_name")
 
 
 # Crop masks -----------------------------------------------------------------------------------------------------
@@ -275,6 +317,31 @@ def blend_weight(spark, sf_dir):
     return _round(weights.surface(X.pixels(spark, sf_dir)).select(*KEYS, *CELL, "weight", "w_norm"), "weight", "w_norm", digits=8)
 
 
+# Cells without a number: NaN where 7 divides 5 cx + cy, infinite where 11 divides cx + cy; none of them counts.
+_GAPS = "gp AS (SELECT county_id, yr, cx, cy, CASE WHEN (5 * cx + cy) % 7 > 0 THEN ndvi END ndvi, CASE WHEN (cx + cy) % 11 > 0 THEN et END et FROM px)"
+
+
+def _gaps(spark, sf_dir) -> DataFrame:
+    nan, infinite = (5 * F.col("cx") + F.col("cy")) % 7 == 0, (F.col("cx") + F.col("cy")) % 11 == 0
+    sign = F.when(F.col("cx") % 2 == 0, float("inf")).otherwise(float("-inf"))
+    return X.pixels(spark, sf_dir).withColumns({"ndvi": F.when(nan, float("nan")).otherwise(F.col("ndvi")), "et": F.when(infinite, sign).otherwise(F.col("et"))})
+
+
+@query(_with(PX, ST, _GAPS, _eligible_sql("gp", "1"), "SELECT county_id, yr, round(0.9 - i / 100, 2) AS level, threshold, eligible_cells FROM el"))
+def eligibility_with_gaps(spark, sf_dir):
+    st = X.stats(spark, sf_dir)
+    return weights.eligibility(_gaps(spark, sf_dir).join(st.select(*KEYS), KEYS, "left_semi"), st)
+
+
+@query(_with(PX, _GAPS, "t AS (SELECT county_id, yr, round(quantile_cont(et, 0.05), 9) t FROM gp GROUP BY 1, 2)", """m AS (SELECT gp.*, min(et) OVER w a, max(et) OVER w b, min(ndvi) OVER w c, max(ndvi) OVER w d FROM gp JOIN t USING (county_id, yr) WHERE et > t WINDOW w AS (PARTITION BY county_id, yr)),
+s AS (SELECT county_id, yr, cx, cy, 0.3e0 * (0.01e0 + (et - a) / nullif(b - a, 0) * 0.99e0) + 0.7e0 * (0.01e0 + (ndvi - c) / nullif(d - c, 0) * 0.99e0) weight FROM m WHERE b > a AND d > c)""",
+    "SELECT county_id, yr, cx, cy, round(weight, 8) weight, round(weight / sum(weight) OVER (PARTITION BY county_id, yr), 8) w_norm FROM s WHERE weight IS NOT NULL"))
+def surface_with_gaps(spark, sf_dir):
+    """Screened and weighed."""
+    screened = weights.screen(_gaps(spark, sf_dir), "et").select(*KEYS, *CELL, "ndvi", "et")
+    return _round(weights.surface(screened).select(*KEYS, *CELL, "weight", "w_norm"), "weight", "w_norm", digits=8)
+
+
 _SURFACE = """q AS (SELECT county_id, yr, round(quantile_cont(ndvi, 0.05), 9) qn, round(quantile_cont(et, 0.05), 9) qe FROM px GROUP BY 1, 2),
 fit AS (SELECT ins.* FROM ins JOIN el USING (county_id, yr) JOIN q USING (county_id, yr) WHERE ndvi >= threshold AND ndvi > qn AND et > qe),
 m AS (SELECT *, min(et) OVER w a, max(et) OVER w b, min(ndvi) OVER w c, max(ndvi) OVER w d FROM fit WINDOW w AS (PARTITION BY county_id, yr)),
@@ -602,18 +669,6 @@ def mercator_points(spark, sf_dir):
     return X.pixels(spark, sf_dir).select(*CELL).distinct().select(*CELL, F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
 
 
-def _q_sql(sine: str) -> str:
-    """The equal-area function of a latitude's sine on the ellipsoid of which ``e2`` is the squared eccentricity."""
-    return f"((1 - e2) * (({sine}) / (1 - e2 * ({sine}) * ({sine})) - ln((1 - sqrt(e2) * ({sine})) / (1 + sqrt(e2) * ({sine}))) / (2 * sqrt(e2))))"
-
-
-# EPSG:5070: GRS80, parallels 29.5 and 45.5, origin 23 N 96 W.
-_ALBERS_SQL = f"""el0 AS (SELECT 0.00669438002290e0 e2),
-el1 AS (SELECT e2, (1 - pow(sin(radians(29.5e0)), 2)) / (1 - e2 * pow(sin(radians(29.5e0)), 2)) m1, (1 - pow(sin(radians(45.5e0)), 2)) / (1 - e2 * pow(sin(radians(45.5e0)), 2)) m2,
-  {_q_sql("sin(radians(29.5e0))")} q1, {_q_sql("sin(radians(45.5e0))")} q2, {_q_sql("sin(radians(23e0))")} q0, {_q_sql("1e0")} qp FROM el0),
-alb AS (SELECT e2, qp, (m1 - m2) / (q2 - q1) n, m1 + (m1 - m2) / (q2 - q1) * q1 c, sqrt(m1 + (m1 - m2) / (q2 - q1) * (q1 - q0)) / ((m1 - m2) / (q2 - q1)) r0 FROM el1)"""
-
-
 @query(_with(PX, _ALBERS_SQL, f"""SELECT DISTINCT cx, cy, round(sqrt(c - n * {_q_sql("sin(radians(cy + 20e0))")}) / n * sin(radians(cx - 100e0 + 96) * n) * 6378137e0, 3) x,
   round((r0 - sqrt(c - n * {_q_sql("sin(radians(cy + 20e0))")}) / n * cos(radians(cx - 100e0 + 96) * n)) * 6378137e0, 3) y, cx - 100e0 lon, cy + 20e0 lat FROM px, alb"""))
 def albers_points(spark, sf_dir):
@@ -670,20 +725,16 @@ def pipeline_summary(spark, sf_dir):
 
 _BATCH_ZONES = """zu AS (SELECT al.*, cluster_id, x, yy FROM al JOIN (SELECT county_id, yr, unit_id, cluster_id, x, yy FROM lk) USING (county_id, yr, unit_id)),
 zn AS (SELECT county_id, yr, beta, cluster_id, sum(x * sa) / sum(sa) x, sum(yy * sa) / sum(sa) yy, sum(sa) area, sum(yl * sa) prod, count(*) n, sum(yl * sa) / sum(sa) zy, greatest(80e0, 0.2e0 * max(y)) fl FROM zu GROUP BY 1, 2, 3, 4)"""
-# Latitude by the series of the authalic latitude and two Newton steps.
-_BACK_SQL = f"""g0 AS (SELECT mg.*, x, yy, atan2(x / 6378137e0, r0 - yy / 6378137e0) / n lam, (c - (pow(x / 6378137e0, 2) + pow(r0 - yy / 6378137e0, 2)) * n * n) / n q, alb.e2 e2, alb.qp qp
-  FROM mg JOIN (SELECT county_id, yr, beta, cluster_id, x, yy FROM zn) USING (county_id, yr, beta, cluster_id), alb),
-g1 AS (SELECT *, asin(q / qp) + (e2 / 3 + 31 * e2 * e2 / 180) * sin(2 * asin(q / qp)) f FROM g0),
-g2 AS (SELECT * EXCLUDE (f), f + pow(1 - e2 * sin(f) * sin(f), 2) * (q - {_q_sql("sin(f)")}) / (2 * cos(f) * (1 - e2)) f FROM g1),
-g3 AS (SELECT * EXCLUDE (f), f + pow(1 - e2 * sin(f) * sin(f), 2) * (q - {_q_sql("sin(f)")}) / (2 * cos(f) * (1 - e2)) f FROM g2)"""
+# Zones' centres on their county's grid: x grows to the right from its left edge, y falls from its top.
+_BACK_SQL = "zp AS (SELECT mg.*, x_min + zn.x x, y_max - zn.yy yy FROM mg JOIN zn USING (county_id, yr, beta, cluster_id) JOIN gd USING (county_id)),\n" + _degrees_sql("zp", "g")
 _BATCH_SQL = (PX, ST, _SUPPORT, _LABELS, _UNITS, _LINKED, _allocated_sql("pn", _BETAS), _BATCH_ZONES, _MERGE)
 
 
-@query(_with(*_BATCH_SQL, _ALBERS_SQL, _BACK_SQL, """SELECT g.county_id, g.yr, beta, cluster_id, round(degrees(lam) - 96, 7) lon, round(degrees(f), 7) lat, round(area, 8) cluster_area_ha, round(prod, 3) cluster_prod_kg, round(zy, 5) cluster_yield_kg_ha, n_units,
-  round(harvested_cells * 0.09e0, 6) nass_area_ha, CAST(yield_kg_ha AS DOUBLE) nass_yield_kg_ha FROM g3 g JOIN st ON st.county_id = g.county_id AND st.yr = g.yr""", recursive=True))
+@query(_with(*_BATCH_SQL, _ALBERS_SQL, _GRIDS_SQL, _BACK_SQL, """SELECT g.county_id, g.yr, beta, cluster_id, round(lon, 7) lon, round(lat, 7) lat, round(area, 8) cluster_area_ha, round(prod, 3) cluster_prod_kg, round(zy, 5) cluster_yield_kg_ha, n_units,
+  round(harvested_cells * 0.09e0, 6) nass_area_ha, CAST(yield_kg_ha AS DOUBLE) nass_yield_kg_ha FROM g JOIN st ON st.county_id = g.county_id AND st.yr = g.yr""", recursive=True))
 def pipeline_zones(spark, sf_dir):
-    """The batch's table: zones of every county, year and beta after the floor merge."""
-    out = batch.disagg_batch(_support(spark, sf_dir), X.stats(spark, sf_dir), _OPTIONS)
+    """The batch's table: zones of every county, year and beta after the floor merge, at their place on the ground."""
+    out = batch.disagg_batch(_support(spark, sf_dir), X.stats(spark, sf_dir), _OPTIONS, X.grids(spark, sf_dir))
     county = out["check"].select(*KEYS, "beta", "nass_area_ha", "nass_yield_kg_ha")
     t = out["merged"].join(county, [*KEYS, "beta"])
     t = t.select(*KEYS, "beta", "cluster_id", "lon", "lat", "cluster_area_ha", "cluster_prod_kg", "cluster_yield_kg_ha", "n_units", "nass_area_ha", "nass_yield_kg_ha")
@@ -725,6 +776,88 @@ def pixels_in_polygons(spark, sf_dir):
     return geo.in_polygon(X.pixels(spark, sf_dir), members, ["county_id", *CELL]).select(*KEYS, *CELL, "ndvi")
 
 
+# Layers and rasters in degrees ----------------------------------------------------------------------------------
+
+# A triangle in degrees for each county, in rings of (right, down) from its corner, in 1e-4 degrees.
+_CORNERS = ((4, 3, 0, 1), (68, 12, 5, 1), (20, 61, 7, 3))  # right, down, modulus, step: right grows by step * (id mod modulus)
+
+
+def _county_layer(spark, sf_dir) -> DataFrame:
+    """(COUNTY, geom): the counties' triangles as WKB, packed where their rows are."""
+
+    def packed(it):
+        for batch in it:
+            out = []
+            for k, lon, lat in zip(*(batch.column(i).to_pylist() for i in range(1, 4)), strict=True):
+                ring = [(lon + 1e-4 * (right + step * (k % mod if mod else 0)), lat - 1e-4 * down) for right, down, mod, step in _CORNERS]
+                out.append(struct.pack("<BIII8d", 1, 3, 1, 4, *(v for p in (*ring, ring[0]) for v in p)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["COUNTY", "geom"])
+
+    return X.corners(spark, sf_dir).select("COUNTY", "county_id", "lon0", "lat0").mapInArrow(packed, "COUNTY string, geom binary")
+
+
+# The straight sides in degrees, as ends (ax, ay), (bx, bt); which cells' centres lie to the same side of all three.
+_LAYER_SQL = """cn AS (SELECT county_id, """ + ", ".join(f"lon0 + 1e-4 * ({r} + {s} * {f'(county_id % {m})' if m else '0'}) p{i}, lat0 - 1e-4 * {d} q{i}" for i, (r, d, m, s) in enumerate(_CORNERS)) + """ FROM gd),
+lc AS (SELECT gd.county_id, r.i row, c.i col, x_min + (c.i + 0.5e0) * 30 x, y_max - (r.i + 0.5e0) * 30 yy FROM gd, range(0, 24) r(i), range(0, 24) c(i)),
+""" + _degrees_sql("lc", "ld") + """,
+lm AS (SELECT county_id, CAST(row AS INT) AS row, CAST(col AS INT) AS col FROM ld JOIN cn USING (county_id)
+  WHERE (p1 - p0) * (lat - q0) < (q1 - q0) * (lon - p0) AND (p2 - p1) * (lat - q1) < (q2 - q1) * (lon - p1) AND (p0 - p2) * (lat - q2) < (q0 - q2) * (lon - p2))"""
+
+
+@query(_with(_ALBERS_SQL, _GRIDS_SQL, _LAYER_SQL, "SELECT * FROM lm"))
+def layer_in_degrees(spark, sf_dir):
+    """Counties given in degrees, found by name, as cells of their metric grids; the SQL brings the cells to degrees."""
+    g = X.grids(spark, sf_dir).select("county_id", F.regexp_replace("COUNTY", " County", "").alias("county"), "crs", "x_min", "y_max", "res", "n_rows", "n_cols")
+    return geo.county_cells(_county_layer(spark, sf_dir), g, ["county_id"], 4326, touches=False, longest=0.001)
+
+
+@query(_with(PX, _ALBERS_SQL, _GRIDS_SQL, _LAYER_SQL, "SELECT px.county_id, yr, cx, cy, ndvi FROM px JOIN lm ON lm.county_id = px.county_id AND col = cx AND row = cy"))
+def pixels_in_layer(spark, sf_dir):
+    """Every raster cut to its county, whose polygon comes in degrees."""
+    members = layer_in_degrees(spark, sf_dir).select("county_id", F.col("col").alias("cx"), F.col("row").alias("cy"))
+    return geo.in_polygon(X.pixels(spark, sf_dir), members, ["county_id", *CELL]).select(*KEYS, *CELL, "ndvi")
+
+
+# The rasters of signals as if in degrees: cells of 0.0004 degrees from 0.0002 beyond each county's corner.
+_IN_DEGREES = """tc AS (SELECT DISTINCT px.county_id, yr, r.i row, c.i col, x_min + (c.i + 0.5e0) * 30 x, y_max - (r.i + 0.5e0) * 30 yy, lon0 - 0.0002e0 sx, lat0 + 0.0002e0 sy FROM px JOIN gd USING (county_id), range(0, 24, 3) r(i), range(0, 24, 3) c(i)),
+""" + _degrees_sql("tc", "td") + """,
+tp AS (SELECT county_id, yr, CAST(row AS INT) AS row, CAST(col AS INT) AS col, (sy - lat) / 0.0004e0 - 0.5e0 fr, (lon - sx) / 0.0004e0 - 0.5e0 fc FROM td)"""
+
+
+def _resampled(spark, sf_dir, value: str, method: str) -> DataFrame:
+    """Each raster, in degrees, on every third cell each way of its county's metric template."""
+    px, g = X.pixels(spark, sf_dir), X.grids(spark, sf_dir).select("county_id", "x_min", "y_max", "lon0", "lat0")
+    steps = lambda: F.explode(F.sequence(F.lit(0), F.lit(X.WIDTH - 1), F.lit(3)))
+    template = px.select(*KEYS).distinct().withColumn("row", steps()).withColumn("col", steps()).join(g, "county_id")
+    source = px.select(*KEYS, F.col("cy").alias("row"), F.col("cx").alias("col"), F.col(value).cast("double").alias(value))
+    to = geo.Grid(5070, F.col("x_min"), F.col("y_max"), X.CELL_M)
+    of = geo.Grid(4326, F.col("lon0") - 0.0002, F.col("lat0") + 0.0002, 0.0004)
+    return geo.resampled(template, source, to, of, KEYS, value, method)
+
+
+@query(_with(PX, _ALBERS_SQL, _GRIDS_SQL, _IN_DEGREES, """SELECT tp.county_id, tp.yr, tp.row, tp.col, round(sum(q * w) / sum(w), 3) q FROM (
+  SELECT county_id, yr, row, col, floor(fr) + a r, floor(fc) + b c, (CASE a WHEN 0 THEN 1 - (fr - floor(fr)) ELSE fr - floor(fr) END) * (CASE b WHEN 0 THEN 1 - (fc - floor(fc)) ELSE fc - floor(fc) END) w
+  FROM tp CROSS JOIN (VALUES (0), (1)) p(a) CROSS JOIN (VALUES (0), (1)) q(b)) tp JOIN px ON px.county_id = tp.county_id AND px.yr = tp.yr AND cy = r AND cx = c WHERE w > 0 GROUP BY ALL"""))
+def raster_in_degrees(spark, sf_dir):
+    """Bilinear, through the inverse projection of every target cell."""
+    return _round(_resampled(spark, sf_dir, "q", "bilinear"), "q", digits=3)
+
+
+@query(_with(PX, _ALBERS_SQL, _GRIDS_SQL, _IN_DEGREES, "SELECT tp.county_id, tp.yr, tp.row, tp.col, cdl FROM tp JOIN px ON px.county_id = tp.county_id AND px.yr = tp.yr AND cy = floor(fr + 0.5) AND cx = floor(fc + 0.5)"))
+def classes_in_degrees(spark, sf_dir):
+    """Nearest, as crop classes need it."""
+    return _resampled(spark, sf_dir, "cdl", "near").withColumn("cdl", F.col("cdl").cast("int"))
+
+
+@query(_with(PX, _SUPPORT, _LABELS, _ALBERS_SQL, _GRIDS_SQL, "up AS (SELECT sv.*, x_min + (cx + 0.5e0) * 30 x, y_max - (cy + 0.5e0) * 30 yy FROM sv JOIN gd USING (county_id))", _degrees_sql("up", "ud"),
+    "SELECT county_id, yr, patch, round(avg(x), 4) x, round(avg(yy), 4) y, round(avg(lon), 8) lon, round(avg(lat), 8) lat FROM ud GROUP BY 1, 2, 3", recursive=True))
+def unit_places(spark, sf_dir):
+    """Fields' centres on the ground, both ways: on the plane, and as means of their cells' degrees."""
+    cells = geo.on_plane(_segmented(spark, sf_dir)["labelled"], X.grids(spark, sf_dir), KEYS)
+    out = geo.unit_centres(cells, [*KEYS, "patch"], F.col("_x"), F.col("_y"))
+    return _round(_round(out, "x", "y", digits=4), "lon", "lat", digits=8)
+
+
 @query(_with(PX, "SELECT county_id, yr, cx, cy, ndvi FROM px WHERE cx BETWEEN 3 AND 9 AND cy BETWEEN 5 AND 20"))
 def cells_in_extent(spark, sf_dir):
     return geo.in_box(X.pixels(spark, sf_dir), (3, 9), (5, 20), "cx", "cy").select(*KEYS, *CELL, "ndvi")
@@ -740,5 +873,4 @@ def first_report(spark, sf_dir):
 def zones_in_order(spark, sf_dir):
     """Zones by falling yield, numbered as they come."""
     ordered = zones.by_yield(_round(_zones(spark, sf_dir), "cluster_yield_kg_ha"))
-    numbered = ordered.select(*KEYS, "beta", "cluster_id").rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))
-    return spark.createDataFrame(numbered, "county_id long, yr int, beta double, cluster_id long, place long")
+    return zones.numbered(ordered.select(*KEYS, "beta", "cluster_id"), "place")

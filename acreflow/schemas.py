@@ -18,7 +18,8 @@ _S, _I, _L, _D = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType()
 STATS = _of(county=_S, year=_I, area_planted_ha=_D, area_harvested_ha=_D, yield_kg_ha=_D)
 #: Sparse rasters: an absent row is a cell without data.
 PIXELS = _of(county=_S, year=_I, row=_I, col=_I, value=_D)
-GRID = _of(crs=_I, x_min=_D, y_max=_D, res=_D, n_rows=_I, n_cols=_I)
+#: Where the rasters of a county and year lie: the system of coordinates, the upper left corner, the cell size.
+GRIDS = _of(county_id=_L, crs=_I, x_min=_D, y_max=_D, res=_D)
 FIELDS = _of(patch=_L, area_ha=_D, w_sum=_D, w_density=_D)
 UNITS = _of(unit_id=_S, unit_area_ha=_D, unit_w_sum=_D, unit_w_density=_D, cum_area=_D)
 UNITS_WITH_YIELD = _of(unit_id=_S, county=_S, year=_I, lon=_D, lat=_D, area_ha_scaled=_D, yield_kg_ha=_D, prod_kg=_D, unit_area_ha=_D, unit_w_sum=_D)

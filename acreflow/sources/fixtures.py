@@ -7,8 +7,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from acreflow.functions.columns import albers
+
 WIDTH = 24
 CELL_HA = 0.09
+CELL_M = 30.0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +52,19 @@ def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("event_id", F.col("user_id").alias("pixel"), "ts", F.col("event_type").alias("kind"), "value", k.alias("k"))
 
 
+def corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(county_id, COUNTY, lon0, lat0): a name and a place for each nation's county."""
+    n, k = table(spark, sf_dir, "nation"), F.col("n_nationkey")
+    return n.select(k.alias("county_id"), F.concat("n_name", F.lit(" County")).alias("COUNTY"), (k * 0.5 - 104.0).alias("lon0"), (F.lit(44.0) - k * 0.375).alias("lat0"))
+
+
+def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(county_id, COUNTY, lon0, lat0, crs, x_min, y_max, res, n_rows, n_cols): each county's raster lies at its place."""
+    x, y = albers(F.col("lon0"), F.col("lat0"))
+    snapped = lambda v: F.round(v / CELL_M) * CELL_M
+    return corners(spark, sf_dir).withColumns({"crs": F.lit(5070), "x_min": snapped(x), "y_max": snapped(y), "res": F.lit(CELL_M), "n_rows": F.lit(WIDTH), "n_cols": F.lit(WIDTH)})
+
+
 PX_SQL = f"""px AS (
   SELECT s_nationkey county_id, CAST(year(l_shipdate) AS INT) yr, CAST(l_partkey % {WIDTH} AS INT) cx, CAST(l_orderkey % {WIDTH} AS INT) cy,
     max(l_quantity) / 50e0 ndvi, max(l_discount) et, CAST(min(l_linenumber) % 3 AS INT) cdl, CAST(max(l_quantity) AS BIGINT) q
