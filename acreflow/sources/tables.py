@@ -5,7 +5,8 @@ from __future__ import annotations
 import sqlite3
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -140,11 +141,36 @@ def _file_system(spark: SparkSession, path: str):
     return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), there
 
 
+#: Tables made within ``released``, innermost last.
+_OPEN: list[list[DataFrame]] = []
+
+
+@contextmanager
+def released() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Within, ``settled`` tables are noted; at the end they are deleted, but for those that the given function kept, which
+    are the caller's from then on. For steps whose result is settled: what they stored on the way goes with them."""
+    kept: list[DataFrame] = []
+    _OPEN.append([])
+
+    def keep(df: DataFrame) -> DataFrame:
+        out = df if hasattr(df, "_settled_at") else settled(df)
+        kept.append(out)
+        return out
+
+    try:
+        yield keep
+    finally:
+        places = {df._settled_at for df in kept}
+        dropped(*(df for df in _OPEN.pop() if df._settled_at not in places))
+        if _OPEN:
+            _OPEN[-1].extend(kept)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """Writes a result that is read several times, once, as a table in the shared folder, and reads it back.
 
     Plans stay small, nothing is computed twice, and lost executors take nothing with them. The table goes with
-    ``dropped``, or else when the session ends."""
+    ``dropped`` or ``released``, or else when the session ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -152,11 +178,13 @@ def settled(df: DataFrame) -> DataFrame:
     system.deleteOnExit(there)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_at = path
+    if _OPEN:
+        _OPEN[-1].append(out)
     return out
 
 
 def dropped(*frames: DataFrame) -> None:
-    """Deletes the tables of ``frames``, which ``settled`` returned and nothing reads any more."""
+    """Deletes the tables of ``frames``, which ``settled`` returned and nothing reads any more. Twice is once."""
     for df in frames:
         system, there = _file_system(df.sparkSession, df._settled_at)
         system.delete(there, True)
