@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acreflow.sources.tables import dropped, settled
+from acreflow.sources.tables import dropped, released, settled
 
-__all__ = ["BATCH_BYTES", "PLAIN", "SPACED", "Memo", "batches_of", "dropped", "raw_strings", "settled", "slices", "strings", "table", "whole_row", "word_lists"]
+__all__ = ["BATCH_BYTES", "PLAIN", "SPACED", "Memo", "batches_of", "dropped", "raw_strings", "released", "settled", "slices", "strings", "table", "whole_row", "word_lists"]
 
 #: Arrow batches are cut to about this many bytes of text before Python objects are made of them.
 BATCH_BYTES = 4 << 20

@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acreflow.llm import resemblance
-from acreflow.llm.common import batches_of, dropped, settled, slices, strings
+from acreflow.llm.common import batches_of, dropped, released, settled, slices, strings
 from acreflow.llm.stars import components
 
 #: Fingerprints that a shard holds. Each level of the upper tree copies about a third of what it splits, while the
 #: tree within a shard copies in memory only: so shards are large, and no deeper than memory and parallel work ask.
 SHARD = 65_536
 #: Fingerprints, chosen by hash, on which the upper tree is fitted: about so many for each shard, within these bounds
-#: (8 MB at most come to the driver). Its splits get even by them; its links are exact whatever the sample.
+#: (8 MB at most come to the driver, as numbers). Its splits get even by them; its links are exact whatever the sample.
 SAMPLE, LEAST_SAMPLE, MOST_SAMPLE = 256, 8_192, 1 << 20
 #: A shard that turns out to hold more than so many times its size is split again, on a sample of its own.
 OVERSIZE = 4
@@ -199,7 +199,7 @@ def links(fps: DataFrame, radius: int = 3, shard: int = SHARD) -> DataFrame:
 
     def collected(df: DataFrame) -> np.ndarray:
         # In order of their hashes, so that pivots don't depend on partitions.
-        return np.array([r.fp for r in df.select("fp").orderBy(F.xxhash64("fp"), "fp").collect()], np.int64).view(np.uint64)
+        return df.select("fp").orderBy(F.xxhash64("fp"), "fp").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64)
 
     size = min(MOST_SAMPLE, max(LEAST_SAMPLE, SAMPLE * total // shard))
     tree = UpperTree(collected(sampled(fps.select("fp"), total, size)), total, radius, shard)
@@ -224,9 +224,10 @@ def links(fps: DataFrame, radius: int = 3, shard: int = SHARD) -> DataFrame:
         again = sorted(counts, key=lambda k: -counts[k])[: MOST_SAMPLE // LEAST_SAMPLE]  # the others in the next round
         part = F.create_map(*[F.lit(x) for k in again for x in (k, _bound(LEAST_SAMPLE, counts[k]))])
         some = shards.where(F.col("shard").isin(again)).where(F.xxhash64("fp") <= F.element_at(part, F.col("shard")))
-        rows = some.orderBy("shard", F.xxhash64("fp"), "fp").collect()
+        rows = some.select("shard", "fp").orderBy("shard", F.xxhash64("fp"), "fp").toArrow()
+        whose, held = (rows.column(i).to_numpy() for i in (0, 1))
         for k in again:
-            own = np.array([r.fp for r in rows if r["shard"] == k], np.int64).view(np.uint64)
+            own = held[slice(*np.searchsorted(whose, [k, k + 1]))].astype(np.int64).view(np.uint64)
             if not tree.refine(k, own, counts[k], shard):
                 dense.add(tree.split_again[k])
         dropped(shards)
@@ -278,15 +279,16 @@ def one_of_similar(df: DataFrame, text: str = "text", width: int = 3, radius: in
     """Like ``one_of_each``, and texts of similar five-word shingles (``resemblance``) are linked as well; a group is
     what links of either kind reach. Equal sequences of words travel once."""
     rows = settled(df.withColumn("_row", F.monotonically_increasing_id()))
-    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("_row").alias("row"))
-    texts = rows.select(F.col("_row").alias("row"), F.col(text).alias("text"))
-    with batches_of(df.sparkSession):
-        sketched = settled(resemblance.sketches(texts, lambda x: fingerprint(x, width)))
-    reps = settled(sketched.groupBy("digest").agg(F.min("row").alias("key"), *[F.first(c).alias(c) for c in ("fp", "size", "bands")]))
-    near = _grouped(reps.select("key", "fp"), radius, shard).where("key != component_id").select(F.col("key").alias("u"), F.col("component_id").alias("v"))
-    roots = resemblance.joined(reps, texts, settled(near))
-    rooted = reps.join(roots, reps.key == roots.u, "left").select("digest", F.coalesce("root", "key").alias("root"))
-    keys = rows.select("_row", key.alias("_key")).join(sketched.select("row", "digest").join(rooted, "digest"), F.col("_row") == F.col("row")).select("_key", "root")
-    least = keys.groupBy("root", "_key.no_id").agg(F.min("_key").alias("_least"))
-    gone = keys.select("*", "_key.no_id").join(least, ["root", "no_id"]).where("_key != _least").select("_key.row")
+    with released() as keep:
+        key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("_row").alias("row"))
+        texts = rows.select(F.col("_row").alias("row"), F.col(text).alias("text"))
+        with batches_of(df.sparkSession):
+            sketched = settled(resemblance.sketches(texts, lambda x: fingerprint(x, width)))
+        reps = settled(sketched.groupBy("digest").agg(F.min("row").alias("key"), *[F.first(c).alias(c) for c in ("fp", "size", "bands")]))
+        near = _grouped(reps.select("key", "fp"), radius, shard).where("key != component_id").select(F.col("key").alias("u"), F.col("component_id").alias("v"))
+        roots = resemblance.joined(reps, texts, settled(near))
+        rooted = reps.join(roots, reps.key == roots.u, "left").select("digest", F.coalesce("root", "key").alias("root"))
+        keys = rows.select("_row", key.alias("_key")).join(sketched.select("row", "digest").join(rooted, "digest"), F.col("_row") == F.col("row")).select("_key", "root")
+        least = keys.groupBy("root", "_key.no_id").agg(F.min("_key").alias("_least"))
+        gone = keep(keys.select("*", "_key.no_id").join(least, ["root", "no_id"]).where("_key != _least").select("_key.row"))
     return rows.join(gone, rows._row == gone.row, "left_anti").select(df.columns)

@@ -97,3 +97,21 @@ def test_of_an_empty_table_and_of_hot_copies(spark):
     base = [f"w{i * 7919 % 997}" for i in range(200)]
     rows = [(i, " ".join(base[: 100 + i % 3] + [f"z{i % 50}"] + base[100 + i % 3 :])) for i in range(400)] + [(1000 + i, " ".join(reversed(base))) for i in range(300)]
     assert {x.doc_id for x in simhash.one_of_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0, 1000}
+
+
+def test_keys_of_many_groups_lose_no_link(spark):
+    """Every text under the same few keys: pivots alone would miss most pairs."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8)))
+    texts = []
+    for _ in range(25):
+        base = [word() for _ in range(60)]
+        texts += [" ".join(base), " ".join([*base[:-1], word()])]
+    r.shuffle(texts)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row long, text string")
+    own = [resemblance.shingles(t.encode().split()) for t in texts]
+    reps = spark.createDataFrame([(i, len(x), [0, 1, 2]) for i, x in enumerate(own)], "key long, size long, bands array<long>")
+    roots = {x.u: x.root for x in resemblance.joined(reps, df, spark.createDataFrame([], "u long, v long")).collect()}
+    sets = [plain_shingles(t) for t in texts]
+    want = groups([(i, j) for i in range(50) for j in range(i) if plain_similarity(sets[i], sets[j]) >= 0.8], 50)
+    assert [roots.get(i, i) for i in range(50)] == want and len(set(want)) == 25
