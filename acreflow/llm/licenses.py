@@ -1,27 +1,32 @@
 """License scans by conditional compression.
 
-Lines up to a blank one make a paragraph, read as words: line breaks and comment marks don't count. Where the words
-that name a template (title, version) stand in order, its wording is aligned with the words around them, and its
-license holds if few words differ and no word before denies it. A place names one license: of notices whose naming words overlap the one with the
-least difference stands, then the one whose text zstandard, with the template's wordings as a raw dictionary, saves
-most. SPDX tags are read by their own form, with every license of the expression.
-
-A block is the lines of a confirmed notice, or a line that holds a licensing cue outside of them. It has as many
+Lines up to a blank one make a paragraph, read as words: line breaks and comment marks don't count. The words around
+each licensing cue are a candidate block. Every block is compressed with every template, zstandard with the template's
+wordings as a raw dictionary, and the templates are ranked by the bytes that this saves. All are then confirmed in that
+order, by the exact differences of their wordings from the words of the block: where the words that name a template
+(title, version) stand in order and few words differ, the license holds, unless a word of its clause denies it. Short
+names count as titles, after "licensed under" and the like, and after "License:"; so do addresses of license texts. A
+place names one license, that of the highest rank. A name that several licenses share ("BSD License") confirms the one
+that ranks clearly above the others, and none where none does. SPDX tags are read by their own form, with every license of the
+expression.
+
+A reported block is the lines of a confirmed notice, or a line that holds a licensing cue outside of them. It has as many
 entries as licenses.
 
 Defined results: offsets count code points, ends are exclusive; a null text is an empty one without blocks; a block
 without a confirmed license has one entry without; repeated blocks count each; a notice whose lines hold no cue
-doesn't count; ties rank by name; the input's other columns are not read. Memory is one text, and a bounded memo of
-paragraphs.
+doesn't count; ties rank by difference, then by name; the input's other columns are not read. Memory is one text, and
+bounded memos of paragraphs, blocks and differences.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -77,16 +82,58 @@ MORE: dict[str, str] = {
     "GPL-3.0": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "MIT": 'including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED',
 }
-#: Words that deny a notice, among so many words before it in its sentence.
-DENIALS, BEFORE = ("not", "never", "neither", "nor", "cannot", "isn"), 4
-CUES = ("permission to use", "licen", "copyright", "creative commons", "cc by", "cc0", "public domain", "permission is hereby", "redistribution and use", "spdx")
+_GNU_NOTICE = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {} for more details."
+MORE |= {"GPL-2.0": MORE["GPL-3.0"], "LGPL-3.0": _GNU_NOTICE.format("GNU Lesser General Public License"), "AGPL-3.0": _GNU_NOTICE.format("GNU Affero General Public License")}
+MORE["BSD-2-Clause"] = MORE["BSD-3-Clause"].split(" Neither the name")[0]
+
+
+def _gnu(title: str, short: str, version: str) -> tuple[str, ...]:
+    """The ways to write a GNU license's name with its version."""
+    forms = [f"version {version}", f"v{version}", f"v{version}.0", version, f"{version}.0"]
+    return tuple(f"{name} {form}" for name in (title, f"gnu {short}", short) for form in forms) + (f"{short}v{version}", f"gnu {short}v{version}", f"{short}-{version}.0", f"{short}{version}")
+
+
+def _creative(long: str, short: str) -> tuple[str, ...]:
+    return (f"creative commons {long} 4.0 international license", f"creative commons {long} 4.0 international", f"creative commons {long} 4.0", f"cc {short} 4.0", f"cc-{short} 4.0", f"cc-{short}-4.0")
+
+
+# Short names, in words.
+NAMES: dict[str, tuple[str, ...]] = {
+    "MIT": ("mit license", "mit"),
+    "Apache-2.0": ("apache license version 2.0", "apache license 2.0", "apache license v2.0", "apache software license 2.0", "apache-2.0", "apache 2.0", "apache 2"),
+    "BSD-2-Clause": ("bsd 2-clause license", "2-clause bsd license", "bsd-2-clause license", "bsd-2-clause", "bsd 2-clause", "simplified bsd license"),
+    "BSD-3-Clause": ("bsd 3-clause license", "3-clause bsd license", "bsd-3-clause license", "bsd-3-clause", "bsd 3-clause", "new bsd license", "modified bsd license"),
+    "CC-BY-4.0": _creative("attribution", "by"), "CC-BY-SA-4.0": _creative("attribution-sharealike", "by-sa"), "CC-BY-NC-4.0": _creative("attribution-noncommercial", "by-nc"),
+    "CC0-1.0": ("cc0 1.0 universal", "cc0 1.0", "cc0-1.0", "cc0"),
+    "GPL-2.0": _gnu("gnu general public license", "gpl", "2"), "GPL-3.0": _gnu("gnu general public license", "gpl", "3"),
+    "LGPL-3.0": _gnu("gnu lesser general public license", "lgpl", "3"), "AGPL-3.0": _gnu("gnu affero general public license", "agpl", "3"),
+    "ISC": ("isc license", "isc"), "MPL-2.0": ("mozilla public license version 2.0", "mozilla public license 2.0", "mozilla public license v 2.0", "mpl 2.0", "mpl-2.0"), "Unlicense": ("unlicense",),
+}
+# Names that licenses share, and addresses of their texts.
+FAMILIES: dict[str, tuple[str, ...]] = {"bsd license": ("BSD-2-Clause", "BSD-3-Clause"), "gnu general public license": ("GPL-2.0", "GPL-3.0"), "gnu gpl": ("GPL-2.0", "GPL-3.0"), "gpl": ("GPL-2.0", "GPL-3.0")}
+ADDRESSES: dict[str, str] = {
+    "creativecommons.org/licenses/by/4.0": "CC-BY-4.0", "creativecommons.org/licenses/by-sa/4.0": "CC-BY-SA-4.0", "creativecommons.org/licenses/by-nc/4.0": "CC-BY-NC-4.0", "creativecommons.org/publicdomain/zero/1.0": "CC0-1.0",
+    "opensource.org/licenses/mit": "MIT", "opensource.org/license/mit": "MIT", "opensource.org/licenses/isc": "ISC", "opensource.org/licenses/bsd-2-clause": "BSD-2-Clause", "opensource.org/licenses/bsd-3-clause": "BSD-3-Clause",
+    "apache.org/licenses/license-2.0": "Apache-2.0", "gnu.org/licenses/gpl-3.0": "GPL-3.0", "gnu.org/licenses/lgpl-3.0": "LGPL-3.0", "gnu.org/licenses/agpl-3.0": "AGPL-3.0", "mozilla.org/mpl/2.0": "MPL-2.0", "unlicense.org": "Unlicense",
+}
+#: Words that put a text under what follows, what may stand between, and what may follow a title in its line.
+UNDER, BETWEEN = ("licensed", "licenced", "relicensed", "dual-licensed", "released", "distributed", "redistributed", "available", "published", "provided", "offered", "shared"), ("the", "a", "an", "terms", "and", "conditions", "of")
+AFTER_TITLE = re.compile(r"[0-9]+|january|february|march|april|may|june|july|august|september|october|november|december|mit|isc|bsd|mpl|[al]?gpl(?:v[0-9])?")
+#: Words that deny a notice, before it in its clause.
+DENIALS = ("not", "never", "neither", "nor", "cannot", "isn", "nothing", "none", "nobody", "no")
+CUES = ("permission to use", "licen", "copyright", "creative commons", "creativecommons", "cc by", "cc0", "public domain", "permission is hereby", "redistribution and use", "spdx", "mozilla.org/mpl")
 #: Share of a wording's words that may lack, and words that a block may add between its own.
 LACKING, ADDED = 0.34, 6
-#: Distinct paragraphs whose answers a worker keeps.
-MEMO_BLOCKS = 50_000
+#: Bytes by which one license must save more than the others that share its name.
+MARGIN = 16
+#: Words of a candidate block before and after its cue: more than the longest wording.
+BEFORE, AFTER = 16, 72
+#: Distinct paragraphs, and blocks and stretches of words, whose answers a worker keeps.
+MEMO_BLOCKS, MEMO_PARTS = 50_000, 100_000
 
 _WORD = re.compile(r"[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*")
-_SENTENCE = re.compile(r"[.!?;:](?:\s|$)")
+_CLAUSE = re.compile(r"[.!?;:,](?:\s|$)|\n[^\S\n]*[-*][^\S\n]")
+_TAGGED = re.compile(r"[\"'`*_\])>]*\s*[:=]")
 _LINE = re.compile(r"[^\n]+")
 _PARAGRAPH = re.compile(r"[^\n]+(?:\n[^\n]*[^\s][^\n]*)*")
 # On lowered text; the blanks of a cue may be line breaks with comment marks after them.
@@ -94,13 +141,14 @@ _CUE = re.compile("|".join(re.escape(c).replace("\\ ", r"(?:\x20|[^\S\n]*\n[\s#*
 _SPDX = re.compile(r"SPDX-License-Identifier:[^\S\n]*(\(*[A-Z0-9.+-]+\)*(?:[^\S\n]+(?:AND|OR|WITH)[^\S\n]+\(*[A-Z0-9.+-]+\)*)*)", re.IGNORECASE | re.ASCII)
 _SPDX_ID = re.compile(r"[A-Za-z0-9.+-]+")
 _SPDX_NAMES = {name.lower(): name for name in TEMPLATES}
+_ADDRESS = re.compile("|".join(re.escape(x) for x in sorted(ADDRESSES, key=len, reverse=True)))
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 @dataclass(frozen=True)
 class Match:
     license: str
-    saved: int  # per cent of the notice's compressed size that the dictionary saves
+    saved: int  # bytes of the compressed block that the template's dictionary saves
     lacking: int  # words of the wording that the notice lacks
     added: int  # words of the notice that the wording lacks
 
@@ -160,30 +208,79 @@ def difference(block: list[str], place: int, wording: list[str], named: tuple[st
     return best
 
 
-def denied(low: str, at: list[tuple[int, int]], own: list[str], first: int, place: int) -> bool:
-    """Whether a word that denies stands before the notice's first naming word (the word at ``place``), in its sentence."""
-    for i in range(place - 1, max(0, first - BEFORE) - 1, -1):
-        if _SENTENCE.search(low, at[i][1], at[i + 1][0]):
-            return False
-        if own[i] in DENIALS:
-            return True
-    return False
+def denied(low: str, at: list[tuple[int, int]], own: list[str]) -> list[bool]:
+    """For each word whether one that denies stands before it in its clause."""
+    out, denies = [], False
+    for i, w in enumerate(own):
+        if i and _CLAUSE.search(low, at[i - 1][1], at[i][0]):
+            denies = False
+        out.append(denies)
+        denies = denies or w in DENIALS
+    return out
+
+
+def _spelled() -> dict[str, list[tuple[tuple[str, ...], tuple[str, ...]]]]:
+    """By first word: the words of each short name and its licenses, longer names first."""
+    out: dict[str, list] = {}
+    every = [(tuple(n.split()), (name,)) for name, names in NAMES.items() for n in names] + [(tuple(n.split()), names) for n, names in FAMILIES.items()]
+    for words, names in sorted(every, key=lambda x: (-len(x[0]), x)):
+        out.setdefault(words[0], []).append((words, names))
+    return out
 
 
 class Scanner:
     def __init__(self):
-        self._plain = zstandard.ZstdCompressor(level=19, write_content_size=False, write_checksum=False)
+        self._plain = zstandard.ZstdCompressor(level=9, write_content_size=False, write_checksum=False)
         self._given = {}
         for name, wordings in sorted(TEMPLATES.items()):
-            raw = zstandard.ZstdCompressionDict("\n".join([*(w for w, _ in wordings), MORE.get(name, "")]).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self._given[name] = zstandard.ZstdCompressor(level=19, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False)
-        self._wordings = [(name, _WORD.findall(w.lower()), named) for name, each in sorted(TEMPLATES.items()) for w, named in each]
-        self._memo: Memo = Memo(MEMO_BLOCKS)
-
-    def _saved(self, notice: str, name: str) -> int:
-        raw = notice.encode()
+            spelled = [w for w, _ in wordings] + list(NAMES[name][:1]) + [x for x, n in ADDRESSES.items() if n == name] + [MORE.get(name, "")]
+            raw = zstandard.ZstdCompressionDict("\n".join(spelled).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            self._given[name] = zstandard.ZstdCompressor(level=9, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False)
+        self._wordings = {name: [(_WORD.findall(w.lower()), named) for w, named in each] for name, each in TEMPLATES.items()}
+        self._spelled = _spelled()
+        self._order = {name: i for i, name in enumerate(sorted(TEMPLATES))}
+        self._memo, self._ranks, self._differences = Memo(MEMO_BLOCKS), Memo(MEMO_PARTS), Memo(MEMO_PARTS)
+
+    def saved(self, block: str) -> np.ndarray:
+        """Bytes that the dictionary of each template, by name, saves of the compressed block."""
+        if (known := self._ranks.get(block)) is not None:
+            return known
+        raw = block.encode()
         alone = len(self._plain.compress(raw))
-        return 100 * (alone - len(self._given[name].compress(raw))) // alone
+        return self._ranks.put(block, np.array([alone - len(self._given[name].compress(raw)) for name in self._order], np.int32))
+
+    def _difference(self, own: list[str], place: int, which: tuple[str, int]) -> tuple[int, int, int, int, int] | None:
+        """``difference`` by the words around ``place`` alone, so that repeated ones are compared once."""
+        wording, named = self._wordings[which[0]][which[1]]
+        first = max(0, place - wording.index(named[0]) - ADDED)
+        near = tuple(own[first : place + len(wording) + ADDED])
+        key = (which, place - first, near)
+        if key not in self._differences:
+            self._differences.put(key, difference(list(near), place - first, wording, named))
+        d = self._differences[key]
+        return None if d is None else (d[0], d[1], *(x + first for x in d[2:]))
+
+    def _names(self, text: str, low: str, at: list[tuple[int, int]], own: list[str]) -> Iterator[tuple[tuple[str, ...], int, int]]:
+        """(licenses, first word, last word) of the short names that stand as titles or put the text under them."""
+        starts = {i for i in range(len(at)) if not i or "\n" in text[at[i - 1][1] : at[i][0]]}
+        for i, w in enumerate(own):
+            for words, names in self._spelled.get(w, ()):
+                end = i + len(words)
+                if tuple(own[i:end]) != words:
+                    continue
+                k = i - 1
+                while k >= 0 and own[k] in BETWEEN:
+                    k -= 1
+                under = k > 0 and own[k] == "under" and own[k - 1] in UNDER
+                tagged = i > 0 and own[i - 1] in ("license", "licence", "licensed") and _TAGGED.match(low, at[i - 1][1], at[i][0]) is not None
+                last = end
+                while last < len(own) and AFTER_TITLE.fullmatch(own[last]) and last not in starts:
+                    last += 1
+                # A title fills its line, but for an article before it, and isn't the end of a sentence.
+                title = text[at[last - 1][1] : at[last - 1][1] + 1] != "." and (i in starts or i - 1 in starts and own[i - 1] == "the") and (last == len(own) or last in starts) and (len(words) > 1 or words[0] == "unlicense")
+                if under or tagged or title:
+                    yield names, i, end - 1
+                    break
 
     def _notices(self, text: str, low: str) -> list[tuple[int, int, Match]]:
         """(start, end, match) of the words of each notice of a paragraph."""
@@ -192,28 +289,46 @@ class Scanner:
         places: dict[str, list[int]] = {}
         for i, w in enumerate(own):
             places.setdefault(w, []).append(i)
+        # Each candidate block, compressed with every template; of the blocks that hold a word the most bytes saved.
+        starts, none = [a for a, _ in at], np.iinfo(np.int32).min
+        most = np.full((len(own), len(self._order)), none, np.int32)
+        for m in _CUE.finditer(low):
+            cue = max(0, bisect_right(starts, m.start()) - 1)
+            first, end = max(0, cue - BEFORE), min(len(own), cue + AFTER)
+            if first < end:
+                np.maximum(most[first:end], self.saved(text[at[first][0] : at[end - 1][1]]), out=most[first:end])
+        saved = lambda place, name: int(most[place, self._order[name]])
+        near, denies = (most > none).any(axis=1).tolist(), denied(low, at, own)
         found = []
-        for name, wording, named in self._wordings:
-            if not all(w in places for w in named):
-                continue
-            for place in places[named[0]]:
-                if (d := difference(own, place, wording, named)) is not None:
-                    lacking, added, first, end, last = d
-                    a, b = at[first][0], at[end - 1][1]
-                    if denied(low, at, own, first, place):
-                        continue
-                    saved = self._saved(text[a:b], name)
-                    found.append((lacking + added, -saved, -len(wording), name, place, last, a, b, Match(name, saved, lacking, added)))
-        out, taken = [], []
-        for *_, place, last, a, b, match in sorted(found, key=lambda x: x[:5]):
-            if all(last < x or y < place for x, y in taken):
-                taken.append((place, last))
-                out.append((a, b, match))
+        for name in sorted(TEMPLATES):
+            for k, (wording, named) in enumerate(self._wordings[name]):
+                if not all(w in places for w in named):
+                    continue
+                for place in places[named[0]]:
+                    if near[place] and not denies[place] and (d := self._difference(own, place, (name, k))) is not None:
+                        lacking, added, first, end, last = d
+                        found.append((-saved(place, name), lacking + added, -len(wording), name, place, last, at[first][0], at[end - 1][1], lacking, added))
+        for names, first, last in self._names(text, low, at, own):
+            if near[first] and not denies[first]:
+                ranked = sorted(((saved(first, n), n) for n in names), reverse=True)
+                if len(ranked) == 1 or ranked[0][0] >= ranked[1][0] + MARGIN:
+                    found.append((-ranked[0][0], 0, first - last - 1, ranked[0][1], first, last, at[first][0], at[last][1], 0, 0))
+        out = []
+        held = [False] * len(own)
+        for less, _, _, name, place, last, a, b, lacking, added in sorted(found):
+            if not any(held[place : last + 1]):
+                held[place : last + 1] = [True] * (last + 1 - place)
+                out.append((a, b, Match(name, -less, lacking, added)))
+        for m in _ADDRESS.finditer(low):
+            i = bisect_right(starts, m.start()) - 1
+            if i >= 0 and near[i] and not held[i] and not denies[i]:
+                name = ADDRESSES[m[0]]
+                out.append((*m.span(), Match(name, saved(i, name), 0, 0)))
         for m in _SPDX.finditer(text):
             for x in _SPDX_ID.findall(m[1]):
                 name = _SPDX_NAMES.get(re.sub(r"(?:-only|-or-later|\+)$", "", x.lower()))
                 if name:
-                    out.append((*m.span(), Match(name, self._saved(m[0], name), 0, 0)))
+                    out.append((*m.span(), Match(name, int(self.saved(m[0])[self._order[name]]), 0, 0)))
         return out
 
     def _blocks(self, text: str) -> list[tuple[int, int, Match | None]]:
@@ -228,16 +343,20 @@ class Scanner:
         best: dict[tuple[int, int, str], Match] = {}
         for a, b, match in self._notices(text, low):
             first, last = line(a), line(b - 1)
-            if any(first <= c <= last for c in cues):
+            if (k := bisect_left(cues, first)) < len(cues) and cues[k] <= last:
                 key = (first, last, match.license)
-                best[key] = min(best.get(key, match), match, key=lambda m: (m.lacking + m.added, -m.saved))
+                best[key] = min(best.get(key, match), match, key=lambda m: (-m.saved, m.lacking + m.added))
         out = [(lines[i][0], lines[j][1], m) for (i, j, _), m in best.items()]
-        out += [(*lines[c], None) for c in cues if not any(i <= c <= j for i, j, _ in best)]
+        covered, reach = set(), -1
+        for i, j, _ in sorted(best):
+            covered.update(range(max(i, reach + 1), j + 1))
+            reach = max(reach, j)
+        out += [(*lines[c], None) for c in cues if c not in covered]
         return self._memo.put(text, sorted(out, key=lambda x: (x[0], x[1], x[2].license if x[2] else "")))
 
     def match(self, block: str) -> Match | None:
-        """The license of ``block`` with the least difference."""
-        return min((m for _, _, m in self.scan(block) if m), key=lambda m: (m.lacking + m.added, -m.saved, m.license), default=None)
+        """The license of ``block`` that ranks highest."""
+        return min((m for _, _, m in self.scan(block) if m), key=lambda m: (-m.saved, m.lacking + m.added, m.license), default=None)
 
     def scan(self, text: str) -> list[tuple[int, int, Match | None]]:
         """(start, end, match) of each block and license."""
