@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -145,6 +146,28 @@ def projected_wkb(wkb: bytes | None, source: int, target: int, longest: float |
     return wkb_of([[move(densified(r, longest) if longest and len(r) > 1 else r) if len(r) else r for r in rings] for rings in polygons_of(wkb)])
 
 
+def measures(geom: Column) -> tuple[Column, Column]:
+    """Area (holes out) and length of border of WKB polygons, in the units of their coordinates; null of null."""
+
+    @F.pandas_udf("area double, border double")
+    def measured(wkb: pd.Series) -> pd.DataFrame:
+        def one(raw: bytes | None) -> tuple[float | None, float | None]:
+            if raw is None:
+                return None, None
+            area = border = 0.0
+            for polygon in polygons_of(raw):
+                for i, r in enumerate(polygon):
+                    (x, y), (u, v) = (r[:-1] - r[0]).T, (r[1:] - r[0]).T
+                    area += abs(float((x * v - u * y).sum()) / 2) * (-1 if i else 1)
+                    border += float(np.hypot(u - x, v - y).sum())
+            return area, border
+
+        return pd.DataFrame([one(w) for w in wkb], columns=["area", "border"])
+
+    found = measured(geom)
+    return found["area"], found["border"]
+
+
 def projected_layer(layer: DataFrame, source: int, target: int, geom: str = "geom", longest: float | None = None) -> DataFrame:
     """``layer`` with its polygons (WKB in ``geom``) in another system of coordinates; null stays null. Narrow."""
     at, names = layer.columns.index(geom), layer.columns

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from acreflow.functions.columns import share_over
+from acreflow.functions.columns import finite, share_over
 
 KEYS = ("county_id", "yr")
 
@@ -31,6 +31,26 @@ def renormalized(units: DataFrame, weight: str = "w_sum", out: str = "w_share")
     return units.withColumn(out, share_over(F.col(weight).cast("double"), Window.partitionBy(*KEYS)))
 
 
+#: How far a selection's outline reaches beyond its cells.
+TOUCHING = {"none": ((0, 0),), "sides": ((0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)), "corners": tuple((i, j) for i in (-1, 0, 1) for j in (-1, 0, 1))}
+
+
+def capped_surface(weights: DataFrame, members: DataFrame, weight: str = "w", touching: str = "sides") -> DataFrame:
+    """(keys, cx, cy, w_cap): the weight cells that the selected units cover or touch, their sum 1.
+
+    members: (keys, cx, cy) of the selected units, which may overlap. A polygon of whole cells touches those beyond its
+    sides ("sides") or its corners as well ("corners"): each cell is put next to itself and met by an equality join, once
+    however many units touch it. Cells without a weight take no part."""
+    if touching not in TOUCHING:
+        raise ValueError(f"touching must be one of {', '.join(TOUCHING)}, not {touching}")
+    types = dict(members.dtypes)
+    around = F.array(*[F.struct((F.col("cx") + i).cast(types["cx"]).alias("cx"), (F.col("cy") + j).cast(types["cy"]).alias("cy")) for i, j in TOUCHING[touching]])
+    near = members.select(*KEYS, "cx", "cy").distinct().select(*KEYS, F.inline(around)).distinct()
+    own = weights.select(*KEYS, "cx", "cy", finite(F.col(weight).cast("double")).alias("_w")).where("_w is not null").join(near, [*KEYS, "cx", "cy"], "left_semi")
+    total = own.groupBy(*KEYS).agg(F.sum("_w").alias("_sum"))
+    return own.join(total, list(KEYS)).select(*KEYS, "cx", "cy", F.when(F.col("_sum") > 0, F.col("_w") / F.col("_sum")).otherwise(F.col("_w")).alias("w_cap"))
+
+
 def prune(units: DataFrame, keep: float = 0.95, least: int = 2, weight: str = "w_sum") -> DataFrame:
     """Units up to and with the one whose cumulative share reaches ``keep``, at least ``least``; then shares anew.
 

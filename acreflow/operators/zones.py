@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from acreflow.operators import stars
 from acreflow.sources.tables import settled
 
 KEYS = ("county_id", "yr")
@@ -32,46 +33,80 @@ def _hull(x: np.ndarray, y: np.ndarray, at: list[int]) -> list[int]:
     return out
 
 
+class _Near:
+    """Points in squares, which are merged into larger ones as points go: those around a place without a look at others."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, height: float):
+        self.x, self.y, self.height = x - x.min(), y - y.min(), max(height, 1e-9)
+        self.build(np.arange(len(x)))
+
+    def build(self, at: np.ndarray) -> None:
+        span = max(float(self.x[at].max(initial=0.0)), float(self.y[at].max(initial=0.0)), 1e-9)
+        # About two points a square, but none larger than the height or too small to number.
+        self.size = min(self.height, max(span / max(1.0, (len(at) / 2) ** 0.5), span / 1e6))
+        self.across = int(span / self.size) + 2
+        code = (self.x[at] / self.size).astype(np.int64) * self.across + (self.y[at] / self.size).astype(np.int64)
+        order = np.argsort(code, kind="stable")
+        self.at, self.code = at[order], code[order]
+
+    def around(self, i: int, radius: float) -> np.ndarray:
+        """The points of all squares that a circle around point ``i`` may meet."""
+        low = np.maximum(((self.x[i] - radius) / self.size, (self.y[i] - radius) / self.size), 0).astype(np.int64)
+        high = np.minimum(((self.x[i] + radius) / self.size, (self.y[i] + radius) / self.size), self.across - 1).astype(np.int64)
+        columns = np.arange(low[0], high[0] + 1) * self.across
+        first, last = np.searchsorted(self.code, columns + low[1]), np.searchsorted(self.code, columns + high[1], "right")
+        held = last - first
+        if not (n := int(held.sum())):
+            return self.at[:0]
+        return self.at[np.arange(n) + np.repeat(first - (np.cumsum(held) - held), held)]
+
+
 def complete_linkage(x: np.ndarray, y: np.ndarray, height: float) -> np.ndarray:
     """Zone numbers from 1, by first appearance: the two clusters with the least largest distance merge as long as it is
     at most ``height``; of equal ones those with the lowest first units.
 
-    Distances between clusters are taken between the corners of their hulls, in a window of ``height`` along x, when
-    they are needed; known ones only grow, so a heap of them gives the order. Memory is linear in the units, of which
-    there may be any number."""
+    Distances between clusters are taken between the corners of their hulls when they are needed; known ones only grow,
+    so a heap of them gives the order. A cluster's nearest is sought in growing circles, whose points come from a grid:
+    all corners of a cluster at a distance d lie within d of each other's. Memory is linear in the units, of which there
+    may be any number."""
     n = len(x)
     if not n:
         return np.zeros(0, np.int64)
     label = np.arange(n)  # of corners: their cluster, named by its first unit; -1 within a hull
     corners: dict[int, list[int]] = {i: [i] for i in range(n)}
+    sizes = np.ones(n, np.int64)  # corners of each cluster
     parent, version = np.arange(n), [0] * n
-    by_x = np.argsort(x, kind="stable")
-    ordered, stale = x[by_x], 0
-    slack = height + 10.0**-DECIMALS
+    slack, live, stale = height + 10.0**-DECIMALS, n, 0
+    index = _Near(x, y, height)
 
     def near(a: int) -> tuple[float, int] | None:
         """The nearest cluster behind ``a`` in order, if within the height."""
         own = corners[a]
-        low, high = np.searchsorted(ordered, x[own].max() - slack), np.searchsorted(ordered, x[own].min() + slack, "right")
-        some = by_x[low:high]
-        some = some[label[some] > a]
-        if not len(some):
-            return None
-        d = np.hypot(x[some] - x[own[0]], y[some] - y[own[0]])
-        for i in own[1:]:
-            keep = d <= slack
-            some, d = some[keep], d[keep]
-            d = np.maximum(d, np.hypot(x[some] - x[i], y[some] - y[i]))
-        keep = d <= slack
-        some, d = some[keep], np.round(d[keep], DECIMALS)
-        if not len(some):
-            return None
-        groups, place, held = np.unique(label[some], return_inverse=True, return_counts=True)
-        far = np.zeros(len(groups))
-        np.maximum.at(far, place, d)
-        far[[h != len(corners[g]) for g, h in zip(groups.tolist(), held.tolist(), strict=True)]] = np.inf
-        best = int(np.argmin(far))
-        return (float(far[best]), int(groups[best])) if far[best] <= height else None
+        radius = min(slack, 2 * index.size)
+        while True:
+            some = index.around(own[0], radius)
+            some = some[label[some] > a]
+            d = np.hypot(x[some] - x[own[0]], y[some] - y[own[0]])
+            for i in own[1:]:
+                keep = d <= radius
+                some, d = some[keep], d[keep]
+                if not len(some):
+                    break
+                d = np.maximum(d, np.hypot(x[some] - x[i], y[some] - y[i]))
+            keep = d <= radius
+            some, d = some[keep], np.round(d[keep], DECIMALS)
+            if len(some):
+                groups, place, held = np.unique(label[some], return_inverse=True, return_counts=True)
+                far = np.zeros(len(groups))
+                np.maximum.at(far, place, d)
+                far[held != sizes[groups]] = np.inf
+                best = int(np.argmin(far))
+                # Others may lie as near only if their distance rounds to the circle's edge.
+                if far[best] <= min(height, radius - 10.0**-DECIMALS if radius < slack else height):
+                    return float(far[best]), int(groups[best])
+            if radius >= slack:
+                return None
+            radius = min(slack, 2 * radius)
 
     heap: list[tuple[float, int, int, int, int]] = []
 
@@ -90,28 +125,63 @@ def complete_linkage(x: np.ndarray, y: np.ndarray, height: float) -> np.ndarray:
             continue
         both = _hull(x, y, corners[a] + corners[b])
         gone = set(corners[a] + corners.pop(b)).difference(both)
-        corners[a], parent[b] = both, a
+        corners[a], parent[b], sizes[a] = both, a, len(both)
         label[both], label[list(gone)] = a, -1
         version[a] += 1
+        stale += len(gone)
+        if stale * 2 > live:
+            left = np.flatnonzero(label >= 0)
+            index.build(left)
+            live, stale = len(left), 0
         look(a)
-        if (stale := stale + len(gone)) * 2 > len(by_x):
-            by_x = by_x[label[by_x] >= 0]
-            ordered, stale = x[by_x], 0
     for i in range(n):  # parents come before their children
         parent[i] = parent[parent[i]]
     return np.unique(parent, return_inverse=True)[1] + 1
 
 
-def zoned(units: DataFrame, height: float = 10_000.0, x: str = "x", y: str = "y", keys: tuple[str, ...] = KEYS, order: str = "rn") -> DataFrame:
-    """``units`` with cluster_id: one group a county and year, independent of beta. Units come in their weight order."""
+#: Units of a county from which on it is split into parts that no zone joins, where it has such.
+SPLIT = 20_000
+
+
+def _parts(units: DataFrame, height: float, x: str, y: str, keys: tuple[str, ...]) -> DataFrame:
+    """``units`` with _part: two units within the height of each other are in one part. Squares of the height that hold units
+    are joined with their neighbours, so what moves is a row a square."""
+    at = lambda c: F.floor(F.col(c) / F.lit(float(height))).cast("long")
+    placed = units.withColumns({"_gx": at(x), "_gy": at(y)})
+    squares = settled(placed.select(*keys, "_gx", "_gy").distinct())
+    node = lambda: F.struct(*keys, "_gx", "_gy")
+    beside = F.array(*[F.struct((F.col("_gx") + i).alias("_gx"), (F.col("_gy") + j).alias("_gy")) for i, j in ((0, 1), (1, -1), (1, 0), (1, 1))])
+    moved = squares.select(*keys, node().alias("u"), F.inline(beside))
+    roots = stars.components(moved.join(squares.select(*keys, "_gx", "_gy", node().alias("v")), [*keys, "_gx", "_gy"]).select("u", "v"))
+    named = roots.select("u.*", F.col("root").alias("_root"))
+    return placed.join(named, [*keys, "_gx", "_gy"], "left").withColumn("_part", F.coalesce("_root", node())).drop("_gx", "_gy", "_root")
+
+
+def zoned(units: DataFrame, height: float = 10_000.0, x: str = "x", y: str = "y", keys: tuple[str, ...] = KEYS, order: str = "rn", split: bool = False) -> DataFrame:
+    """``units`` with cluster_id: one group a county and year, independent of beta. Units come in their weight order.
+
+    With ``split`` a group is a part of a county: units further apart than the height, directly and through others, never
+    share a zone. The zones are the same; they are numbered over the whole county by their first units."""
     names = units.columns
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([(order, "ascending"), ("unit_id", "ascending")])
         zone = complete_linkage(group.column(x).to_numpy(), group.column(y).to_numpy(), height)
+        if split:
+            _, first = np.unique(zone, return_index=True)  # zones are named by their first units until all are known
+            lead = group.select([order, "unit_id"]).take(pa.array(first[zone - 1]))
+            return group.select(names).append_column("_order", lead.column(0)).append_column("_unit", lead.column(1))
         return group.append_column("cluster_id", pa.array(zone, pa.int64()))
 
-    return units.groupBy(*keys).applyInArrow(run, ", ".join(f"`{n}` {t}" for n, t in units.dtypes) + ", cluster_id long").select(*names, "cluster_id")
+    types = dict(units.dtypes)
+    schema = ", ".join(f"`{n}` {t}" for n, t in units.dtypes)
+    if not split:
+        return units.groupBy(*keys).applyInArrow(run, f"{schema}, cluster_id long").select(*names, "cluster_id")
+    parts = _parts(units, height, x, y, keys)
+    led = settled(parts.groupBy(*keys, "_part").applyInArrow(run, f"{schema}, _order {types[order]}, _unit {types['unit_id']}"))
+    # One row a zone, which are far fewer than units.
+    number = led.select(*keys, "_order", "_unit").distinct().withColumn("cluster_id", F.row_number().over(Window.partitionBy(*keys).orderBy("_order", "_unit")).cast("long"))
+    return led.join(number, [*keys, "_order", "_unit"]).select(*names, "cluster_id")
 
 
 def aggregate(units: DataFrame, keys: tuple[str, ...] = ("county_id", "yr", "beta"), x: str = "x", y: str = "y") -> DataFrame:

@@ -8,13 +8,13 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acreflow.functions.columns import finite, is_finite
 from acreflow.operators import allocate, cropmask, geo, segment, selection, weights, zones
 from acreflow.schemas import require_columns, require_positive
-from acreflow.sources.tables import settled
+from acreflow.sources.tables import exists, settled
 
 KEYS = ("county_id", "yr")
 
@@ -102,7 +102,8 @@ def weights_batch(pixels: DataFrame, stats: DataFrame, options: WeightOptions =
     targets = stats.join(out, list(KEYS), "left_anti").select(*KEYS, "harvested_cells", F.col(planted).alias("planted_cells"))
 
     def screens(o: Outputs) -> DataFrame:
-        q = [weights.quantile(pixels, c, options.screen_level).withColumnRenamed(f"{c}_q", f"q_{c}") for c in ("ndvi", "et")]
+        own = pixels.join(targets.select(*KEYS), list(KEYS), "left_semi")
+        q = [weights.quantile(own, c, options.screen_level).withColumnRenamed(f"{c}_q", f"q_{c}") for c in ("ndvi", "et")]
         return settled(q[0].join(q[1], list(KEYS), "full"))
 
     def surface(o: Outputs) -> DataFrame:
@@ -111,6 +112,7 @@ def weights_batch(pixels: DataFrame, stats: DataFrame, options: WeightOptions =
         return weights.surface(settled(fit.select(*KEYS, "cx", "cy", "ndvi", "et")), options.a_et, options.a_ndvi, F.col("yr") <= 1999 if options.first == 2008 else None)
 
     return Outputs(
+        _targets=lambda o: targets.select(*KEYS),
         _masks=lambda o: cropmask.masks(targets, pixels, options.code, options.lower, options.upper, first=options.first),
         _inside=lambda o: settled(pixels.join(o["_masks"][0].where("chosen").select(*KEYS, "cx", "cy"), [*KEYS, "cx", "cy"]).select(*KEYS, "cx", "cy", "ndvi", "et")),
         _screens=screens,
@@ -123,6 +125,64 @@ def weights_batch(pixels: DataFrame, stats: DataFrame, options: WeightOptions =
     )
 
 
+# The batch that writes, skips and resumes -----------------------------------------------------------------------
+
+
+def _stored(spark: SparkSession, path: str, crop: str, sensor: str) -> DataFrame | None:
+    """What is stored of a crop and sensor, if anything is."""
+    if not exists(spark, path):
+        return None
+    # An empty name of a partition comes back as null.
+    return spark.read.parquet(path).where((F.col("crop") == crop) & (F.coalesce("sensor", F.lit("")) == sensor)).drop("crop", "sensor")
+
+
+def finished(spark: SparkSession, path: str, crop: str, sensor: str = "") -> DataFrame:
+    """(county_id, yr, n_cells) of the counties and years that the cache at ``path`` has whole: marked as finished, and
+    their weights there, where there are any."""
+    marks, held = _stored(spark, f"{path}/finished", crop, sensor), _stored(spark, f"{path}/weights", crop, sensor)
+    if marks is None:
+        return spark.createDataFrame([], "county_id long, yr int, n_cells long")
+    there = F.lit(False) if held is None else F.col("_there")
+    joined = marks if held is None else marks.join(held.select(*KEYS).distinct().withColumn("_there", F.lit(True)), list(KEYS), "left")
+    return joined.where((F.col("n_cells") == 0) | there).select(F.col("county_id").cast("long").alias("county_id"), F.col("yr").cast("int").alias("yr"), "n_cells")
+
+
+def read_weights(spark: SparkSession, path: str, crop: str, sensor: str = "") -> DataFrame | None:
+    """(county_id, yr, cx, cy, ndvi, et, weight, w_norm) of the finished counties and years; None if none is stored."""
+    held = _stored(spark, f"{path}/weights", crop, sensor)
+    return held if held is None else held.join(finished(spark, path, crop, sensor).select(*KEYS), list(KEYS), "left_semi")
+
+
+def resume_weights(pixels: DataFrame, stats: DataFrame, path: str, crop: str, sensor: str = "", options: WeightOptions = WeightOptions()) -> DataFrame:
+    """Computes and stores the weights of every county and year that the cache at ``path`` lacks, and returns what was skipped
+    (county_id, yr, reason), finished ones included.
+
+    Weights are written first, each county and year over its own partition; then their marks. A run that dies in between
+    leaves unmarked partitions, which the next run replaces, so it takes up where the last one ended. Nothing is
+    computed where nothing is lacking; where a partition or its mark was deleted, that county and year alone is. A county and
+    year without eligible cells is marked with none."""
+    spark = pixels.sparkSession
+    out = weights_batch(pixels, stats, options, settled(finished(spark, path, crop, sensor).select(*KEYS)))
+    skips = settled(out["skipped"])
+    targets = settled(out["_targets"])
+    if targets.isEmpty():
+        return skips
+    parts = ("crop", "sensor", "yr", "county_id")
+
+    def store(rows: DataFrame, name: str) -> None:
+        named = rows.withColumns({"crop": F.lit(crop), "sensor": F.lit(sensor)})
+        named.repartition(*KEYS).sortWithinPartitions(*KEYS, *(c for c in ("cy", "cx") if c in rows.columns)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(f"{path}/{name}")
+
+    kept = out["weights"].select(*KEYS, "cx", "cy", "ndvi", "et", "weight", "w_norm")
+    store(kept, "weights")
+    held = _stored(spark, f"{path}/weights", crop, sensor)
+    counts = targets.withColumn("n_cells", F.lit(0).cast("long"))
+    if held is not None:
+        counts = targets.join(held.groupBy(*KEYS).agg(F.count("*").alias("n_cells")), list(KEYS), "left").withColumn("n_cells", F.coalesce("n_cells", F.lit(0)))
+    store(counts, "finished")
+    return skips
+
+
 def county_units(support: DataFrame, stats: DataFrame, options: DisaggOptions, weight: str = "w", grids: DataFrame | None = None) -> Outputs:
     """The beta-free part: segments, harvest prefix, pruning, centres and zones of units. With ``grids`` (see
     ``geo.on_plane``) units have their place on the ground; without, one on their own raster, and no degrees."""
@@ -135,7 +195,8 @@ def county_units(support: DataFrame, stats: DataFrame, options: DisaggOptions, w
             centres = geo.unit_centres(local, [*KEYS, "unit_id"], F.col("_x"), F.col("_y")).withColumns({"lon": F.lit(None).cast("double"), "lat": F.lit(None).cast("double")})
         else:
             centres = geo.unit_centres(geo.on_plane(own, grids, list(KEYS)), [*KEYS, "unit_id"], F.col("_x"), F.col("_y"))
-        return settled(zones.zoned(o["pruned"].join(centres, [*KEYS, "unit_id"]), options.cluster_dist_m))
+        most = o["pruned"].groupBy(*KEYS).count().agg(F.max("count")).first()[0]
+        return settled(zones.zoned(o["pruned"].join(centres, [*KEYS, "unit_id"]), options.cluster_dist_m, split=(most or 0) > zones.SPLIT))
 
     def part(name: str):
         return lambda o: o["_parts"][name]

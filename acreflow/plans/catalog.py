@@ -5,6 +5,7 @@ Sums of doubles are rounded at the end, areas stay in whole cells until then, in
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -370,6 +371,17 @@ def weight_surface_batch(spark, sf_dir):
     return _round(out.select(*KEYS, *CELL, "weight", "w_norm"), "weight", "w_norm", digits=8)
 
 
+@query(_with(*_BATCH_WEIGHTS, "SELECT county_id, yr, cx, cy, round(weight / sum(weight) OVER (PARTITION BY county_id, yr), 8) w_norm FROM s"))
+def weights_resumed(spark, sf_dir):
+    """A batch that stops after the early years and is taken up again."""
+    px, st = _rasters(spark, sf_dir)
+    path, options = f"{tables.shared_folder(spark)}/weights-{uuid.uuid4().hex}", batch.WeightOptions(first=_FIRST)
+    batch.resume_weights(px, st.where("yr < 1996"), path, "cotton", options=options)
+    batch.resume_weights(px, st, path, "cotton", options=options)
+    out = batch.read_weights(spark, path, "cotton").select(*[F.col(c).cast(t).alias(c) for c, t in px.select(*KEYS).dtypes], *CELL, "w_norm")
+    return _round(out, "w_norm", digits=8)
+
+
 @query(_with(*_WEIGHTS, """SELECT kd.county_id, kd.yr, CASE kind WHEN 'failed' THEN 'failed_to_build_mask' WHEN 'exact' THEN 'exact_' || kd.yr ELSE kind || '_' || CASE WHEN kd.yr < 1996 THEN '1996_1997_1998' ELSE (kd.yr - 1) || '_' || kd.yr || '_' || (kd.yr + 1) END END strategy,
   round(planted * 0.09e0, 6) harvest_area_ha, round(CASE kind WHEN 'exact' THEN e WHEN 'union' THEN u ELSE b END * 0.09e0, 6) mask_area_ha, round(eligible_cells * 0.09e0, 6) eligible_area_ha,
   round(CASE kind WHEN 'exact' THEN e WHEN 'union' THEN u ELSE b END / CAST(planted AS DOUBLE), 9) mask_over_harvest, round(eligible_cells / CAST(planted AS DOUBLE), 9) eligible_over_harvest, threshold ndvi_threshold, qn q_ndvi, qe q_et
@@ -455,6 +467,56 @@ def segment_areas(spark, sf_dir):
     return _round(out, *(f"{n}_ha" for n in ("support", "components", "fields", "tiles", "units")))
 
 
+# Regions of equal class, sieved into their largest neighbour.
+_REGIONS = f"""rg(county_id, yr, cx, cy, cdl, root) AS (
+  SELECT county_id, yr, cx, cy, cdl, cx * {X.WIDTH} + cy FROM px
+  UNION
+  SELECT b.county_id, b.yr, b.cx, b.cy, b.cdl, l.root FROM rg l JOIN px b ON b.county_id = l.county_id AND b.yr = l.yr AND b.cdl = l.cdl AND abs(b.cx - l.cx) + abs(b.cy - l.cy) = 1 WHERE l.root < b.cx * {X.WIDTH} + b.cy),
+rr AS (SELECT county_id, yr, cx, cy, cdl, CAST(min(root) AS BIGINT) patch FROM rg GROUP BY ALL),
+rz AS (SELECT county_id, yr, patch, any_value(cdl) cdl, count(*) n FROM rr GROUP BY 1, 2, 3),
+ra AS (SELECT a.county_id, a.yr, a.patch, b.patch other, count(*) border FROM rr a JOIN rr b ON b.county_id = a.county_id AND b.yr = a.yr AND abs(b.cx - a.cx) + abs(b.cy - a.cy) = 1 AND b.patch <> a.patch GROUP BY 1, 2, 3, 4)"""
+_SIEVED = f"""rb AS (SELECT ra.county_id, ra.yr, ra.patch, other, z.n >= {_SIEVE + 1} ends FROM ra JOIN rz z ON z.county_id = ra.county_id AND z.yr = ra.yr AND z.patch = other
+  QUALIFY row_number() OVER (PARTITION BY ra.county_id, ra.yr, ra.patch ORDER BY z.n DESC, other) = 1),
+rc(county_id, yr, patch, reach, ends, step) AS (
+  SELECT rb.county_id, rb.yr, rb.patch, other, ends, 1 FROM rb JOIN rz USING (county_id, yr, patch) WHERE n < {_SIEVE + 1}
+  UNION ALL
+  SELECT rc.county_id, rc.yr, rc.patch, rb.other, rb.ends, step + 1 FROM rc JOIN rb ON rb.county_id = rc.county_id AND rb.yr = rc.yr AND rb.patch = rc.reach WHERE NOT rc.ends AND step < 60)"""
+
+
+def _regions(spark, sf_dir) -> DataFrame:
+    return segment.components(X.pixels(spark, sf_dir).select(*KEYS, *CELL, "cdl"), X.WIDTH, by="cdl")
+
+
+@query(_with(PX, _REGIONS, "SELECT * FROM ra", recursive=True))
+def region_borders(spark, sf_dir):
+    """Which regions of a class raster touch, and along how many cells."""
+    return segment.adjacency(_regions(spark, sf_dir))
+
+
+@query(_with(PX, _REGIONS, _SIEVED, """SELECT rr.county_id, rr.yr, cx, cy, coalesce(z.cdl, rr.cdl) cdl, coalesce(reach, rr.patch) patch
+  FROM rr LEFT JOIN rc ON rc.county_id = rr.county_id AND rc.yr = rr.yr AND rc.patch = rr.patch AND rc.ends LEFT JOIN rz z ON z.county_id = rr.county_id AND z.yr = rr.yr AND z.patch = reach""", recursive=True))
+def sieve_merged(spark, sf_dir):
+    """Regions of three cells or fewer join their largest neighbour."""
+    return segment.sieve_into(tables.settled(_regions(spark, sf_dir)), "cdl", _SIEVE + 1)
+
+
+@query(_with(PX, _SUPPORT, _LABELS, "SELECT county_id, yr, patch, cx, cy FROM sv", recursive=True))
+def field_outlines(spark, sf_dir):
+    """Fields dissolved to polygons, and the cells of those polygons again."""
+    rings = segment.outlines(_segmented(spark, sf_dir)["labelled"], [*KEYS, "patch"], 5000.0, 9000.0, X.CELL_M)
+    cells = geo.polygon_cells(rings, [*KEYS, "patch"], 5000.0, 9000.0, X.CELL_M, X.WIDTH, X.WIDTH)
+    return cells.withColumnsRenamed({"row": "cy", "col": "cx"})
+
+
+@query(_with(PX, _SUPPORT, _LABELS, """pr AS (SELECT a.county_id, a.yr, a.patch, count(*) n FROM sv a JOIN sv b ON b.county_id = a.county_id AND b.yr = a.yr AND b.patch = a.patch AND (b.cx - a.cx, b.cy - a.cy) IN ((1, 0), (0, 1)) GROUP BY 1, 2, 3)""",
+    """SELECT county_id, yr, patch, round(any_value(sv.n) * 0.09e0, 6) area_ha, CAST((4 * any_value(sv.n) - 2 * coalesce(any_value(pr.n), 0)) * 30 AS DOUBLE) border_m FROM sv LEFT JOIN pr USING (county_id, yr, patch) GROUP BY 1, 2, 3""", recursive=True))
+def field_polygons(spark, sf_dir):
+    """Area and length of border of each field's polygon."""
+    rings = segment.outlines(_segmented(spark, sf_dir)["labelled"], [*KEYS, "patch"], res=X.CELL_M)
+    area, border = geo.measures(F.col("geom"))
+    return rings.select(*KEYS, "patch", F.round(area / 1e4, 6).alias("area_ha"), F.round(border, 6).alias("border_m"))
+
+
 # Selection ------------------------------------------------------------------------------------------------------
 
 _PLAIN = "u AS (SELECT county_id, yr, CAST(cx AS VARCHAR) unit_id, count(*) a, CAST(sum(q) AS BIGINT) w FROM px GROUP BY 1, 2, 3)"
@@ -483,6 +545,16 @@ def harvest_renorm(spark, sf_dir):
     return _round(out.select(*KEYS, "unit_id", "w_share"), "w_share", digits=9)
 
 
+@query(_with(PX, ST, _PLAIN, _PREFIX, """mc AS (SELECT DISTINCT px.county_id, px.yr, px.cx + d cx, px.cy + e cy FROM px JOIN s ON s.county_id = px.county_id AND s.yr = px.yr AND unit_id = CAST(px.cx AS VARCHAR) CROSS JOIN (VALUES (0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)) v(d, e))""",
+    "SELECT county_id, yr, cx, cy, round(q / sum(q) OVER (PARTITION BY county_id, yr), 9) w_cap FROM px JOIN mc USING (county_id, yr, cx, cy)"))
+def capped_surface(spark, sf_dir):
+    """The weights under the harvested units and along their sides."""
+    units = selection.harvest_prefix(_plain_units(spark, sf_dir)).select(*KEYS, F.col("unit_id").cast("int").alias("cx"))
+    px = X.pixels(spark, sf_dir).select(*KEYS, *CELL, "q")
+    members = px.join(units, [*KEYS, "cx"], "left_semi")
+    return _round(selection.capped_surface(px, members, "q"), "w_cap", digits=9)
+
+
 @query(_with(PX, ST, _PLAIN, _PREFIX, _PRUNE, "SELECT county_id, yr, unit_id, round(cumw, 9) cumw, round(sh, 9) w_share FROM pn"))
 def prune_cumw(spark, sf_dir):
     out = selection.prune(selection.harvest_prefix(_plain_units(spark, sf_dir)))

@@ -141,6 +141,12 @@ def _file_system(spark: SparkSession, path: str):
     return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), there
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in any store that Spark reads."""
+    system, there = _file_system(spark, path)
+    return system.exists(there)
+
+
 #: Tables made within ``released``, innermost last.
 _OPEN: list[list[DataFrame]] = []
 
