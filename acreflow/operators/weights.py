@@ -28,9 +28,13 @@ def _counts(cells: DataFrame, value: str) -> DataFrame:
 LARGE, DRAWN, PARTS = 1 << 14, 1024, 64
 
 
-def _parted(counts: DataFrame) -> DataFrame:
+def _parted(counts: DataFrame) -> DataFrame | None:
     """(keys, _cuts): for groups of many distinct values some of them in order, about evenly spread. They are drawn by hash
-    and then thinned, so every run draws the same, and a lost task too. Other groups have none."""
+    and then thinned, so every run draws the same, and a lost task too. Other groups have none; None if no group is large,
+    where one window a group ranks alike with fewer shuffles."""
+    most = counts.groupBy(*KEYS).count().agg(F.max("count")).first()[0]
+    if (most or 0) <= LARGE:
+        return None
     sizes = counts.groupBy(*KEYS).agg(F.count("*").alias("_d")).where(F.col("_d") > LARGE)
     drawn = (F.xxhash64("_v") / F.lit(2.0**64) + 0.5) * F.col("_d") < DRAWN
     some = counts.join(sizes, list(KEYS)).where(drawn).groupBy(*KEYS).agg(F.sort_array(F.collect_list("_v")).alias("_drawn"))  # about DRAWN
@@ -53,28 +57,34 @@ def _heads(parted: DataFrame) -> DataFrame:
     return parts.withColumns({"_before": before, "_n": n, "_low": F.lead("_first").over(order)}).select(*KEYS, "_k", "_before", (F.col("_n") - F.col("_before") - F.col("_own")).alias("_after"), "_n", "_low")
 
 
-def _ranked(counts: DataFrame) -> DataFrame:
+def _ranked(counts: DataFrame, cuts: DataFrame | None) -> DataFrame:
     """(keys, _v, _c, _b, _next, _n): distinct values with the cells up to and with them, the next value, and all cells.
 
     Ranks are running counts within a part of a group's values, plus the cells of the parts before: no task sorts a large
     group's values."""
-    parted = _in_parts(counts, _parted(counts))
+    if cuts is None:
+        order = Window.partitionBy(*KEYS).orderBy("_v")
+        return counts.withColumns({"_b": F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_next": F.lead("_v").over(order), "_n": F.sum("_c").over(Window.partitionBy(*KEYS))})
+    parted = _in_parts(counts, cuts)
     own = Window.partitionBy(*KEYS, "_k").orderBy("_v")
     ranked = parted.withColumns({"_run": F.sum("_c").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_lead": F.lead("_v").over(own)})
     return ranked.join(_heads(parted), [*KEYS, "_k"]).select(*KEYS, "_v", "_c", (F.col("_run") + F.col("_before")).alias("_b"), F.coalesce("_lead", "_low").alias("_next"), "_n")
 
 
-def _reaching(counts: DataFrame, thresholds: DataFrame) -> DataFrame:
+def _reaching(counts: DataFrame, thresholds: DataFrame, cuts: DataFrame | None) -> DataFrame:
     """``thresholds`` (keys, _v and others) with _above, the cells at or above each. Values and thresholds stand in one order
     within a part; the parts after it count whole."""
-    cuts = _parted(counts)
-    parted = _in_parts(counts, cuts)
-    own = _in_parts(thresholds, cuts)
+    if cuts is None:
+        parted, own = (x.withColumn("_k", F.lit(0)) for x in (counts, thresholds))
+    else:
+        parted, own = _in_parts(counts, cuts), _in_parts(thresholds, cuts)
     extra = [c for c in thresholds.columns if c not in (*KEYS, "_v")]
     both = parted.select(*KEYS, "_k", "_v", "_c", *[F.lit(None).cast(t).alias(n) for n, t in thresholds.dtypes if n in extra], F.lit(False).alias("_asked"))
     both = both.unionByName(own.select(*KEYS, "_k", "_v", F.lit(0).cast("long").alias("_c"), *extra, F.lit(True).alias("_asked")))
     order = Window.partitionBy(*KEYS, "_k").orderBy(F.col("_v").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     found = both.withColumn("_run", F.sum("_c").over(order)).where("_asked")
+    if cuts is None:
+        return found.select(*KEYS, "_v", *extra, F.col("_run").alias("_above"))
     # A threshold may lie in a part without values of its own: what is after it is found by the parts' order.
     parts = parted.groupBy(*KEYS, "_k").agg(F.sum("_c").alias("_own"))
     after = F.coalesce(F.sum(F.when(F.col("_later") > F.col("_k"), F.col("_own"))), F.lit(0))
@@ -83,12 +93,13 @@ def _reaching(counts: DataFrame, thresholds: DataFrame) -> DataFrame:
     return found.join(tail, [*KEYS, "_k"]).select(*KEYS, "_v", *extra, (F.col("_run") + F.col("_after")).alias("_above"))
 
 
-def quantiles(counts: DataFrame, lowest: int, highest: int, step: int) -> DataFrame:
+def quantiles(counts: DataFrame, lowest: int, highest: int, step: int, cuts: DataFrame | bool | None = True) -> DataFrame:
     """(keys, _p, q): the interpolated quantiles (type 7) of the levels lowest, lowest + step, ... highest, in thousandths.
 
     counts: distinct values with their counts. Cumulative counts over the distinct values give the ranks that each value
-    holds; the levels between are found by arithmetic, so nothing holds a group's values at once."""
-    ranked = _ranked(counts)
+    holds; the levels between are found by arithmetic, so nothing holds a group's values at once. cuts: from ``_parted``,
+    where it was asked before."""
+    ranked = _ranked(counts, _parted(counts) if cuts is True else cuts)
     # Levels p with a <= (n - 1) p / 1000 < b lie at this value or between it and the next.
     ceil = lambda rank: F.when(F.col("_n") > 1, F.ceil(rank * 1000 / (F.col("_n") - 1))).otherwise(F.when(rank > 0, F.lit(1001)).otherwise(0)).cast("long")
     first = F.greatest(ceil(F.col("_b") - F.col("_c")), F.lit(lowest))
@@ -122,9 +133,10 @@ def eligibility(cells: DataFrame, harvest: DataFrame, value: str = "ndvi", buffe
     levels = len(at_most_levels(high, low)[::step])
     lowest = high - (levels - 1) * step
     counts = _counts(cells, value)
-    searched = quantiles(counts, 10 * lowest, 10 * high, 10 * step).select(*KEYS, ((F.lit(10 * high) - F.col("_p")) / (10 * step)).cast("int").alias("_i"), F.col("q").alias("threshold"))
-    middle = quantiles(counts, 500, 500, 1).select(*KEYS, F.lit(levels).alias("_i"), F.col("q").alias("threshold"))
-    reached = _reaching(counts, searched.union(middle).select(*KEYS, F.col("threshold").alias("_v"), "_i")).select(*KEYS, "_i", F.col("_v").alias("threshold"), F.col("_above").alias("eligible_cells"))
+    cuts = _parted(counts)
+    searched = quantiles(counts, 10 * lowest, 10 * high, 10 * step, cuts).select(*KEYS, ((F.lit(10 * high) - F.col("_p")) / (10 * step)).cast("int").alias("_i"), F.col("q").alias("threshold"))
+    middle = quantiles(counts, 500, 500, 1, cuts).select(*KEYS, F.lit(levels).alias("_i"), F.col("q").alias("threshold"))
+    reached = _reaching(counts, searched.union(middle).select(*KEYS, F.col("threshold").alias("_v"), "_i"), cuts).select(*KEYS, "_i", F.col("_v").alias("threshold"), F.col("_above").alias("eligible_cells"))
     wanted = harvest.select(*KEYS, F.col("harvested_cells").cast("double").alias("_h"))
     joined = reached.join(wanted, list(KEYS), "left")
     valid = is_finite(F.col("_h")) & (F.col("_h") > 0)

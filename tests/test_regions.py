@@ -208,7 +208,7 @@ def test_ranks_in_parts(spark, monkeypatch, large):
         assert q == pytest.approx(np.quantile(data[k], p / 1000), rel=1e-12, abs=1e-9)
     asked = [(k, float(t)) for k, x in data.items() for t in (*np.quantile(x, [0.1, 0.5, 0.77]), x.min() - 1, x.max() + 1, x[0])]
     thresholds = spark.createDataFrame([(k, 2000, t, i) for i, (k, t) in enumerate(asked)], "county_id int, yr int, _v double, i int")
-    above = {x.i: x._above for x in weights._reaching(counts, thresholds).collect()}
+    above = {x.i: x._above for x in weights._reaching(counts, thresholds, weights._parted(counts)).collect()}
     assert above == {i: int((data[k] >= t).sum()) for i, (k, t) in enumerate(asked)}
 
 
