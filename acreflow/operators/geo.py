@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from acreflow.functions.columns import ALBERS, from_albers, norm_county, project, project_by
 from acreflow.schemas import require_columns
+from acreflow.sources.tables import settled
 
 #: Columns of a table of grids, beside its keys.
 GRID = ("crs", "x_min", "y_max", "res")
@@ -317,16 +318,32 @@ def zone_degrees(zones: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     return zones.withColumns({"lon": lon, "lat": lat})
 
 
+#: Rows of a side of a cell that meet at a time, and pairs of a task, about.
+_CHUNK, _PAIRS = 1 << 10, 1 << 22
+
+
 def within(points: DataFrame, sites: DataFrame, radius: float, keys: list[str]) -> DataFrame:
     """Pairs of a point (point_id, x, y) and a site (site_id, sx, sy) of the same keys at most ``radius`` apart.
 
     A range join on a grid of radius-sized cells: each site stands in the nine cells around it, so the join is an
-    equality and no pair meets twice."""
+    equality and no pair meets twice. Pairs may be many where rows are few, so tasks are made by pairs, not by bytes:
+    both sides of a cell are cut into chunks by hash, each chunk meets each of the other side, and there is a partition
+    for about _PAIRS pairs. Cells are counted first, for that."""
     g = lambda c: F.floor(F.col(c) / radius)
     near = F.array(*[F.struct((g("sx") + i).alias("_gx"), (g("sy") + j).alias("_gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    spread = sites.select("*", F.inline(near))
-    found = points.withColumns({"_gx": g("x"), "_gy": g("y")}).join(spread, [*keys, "_gx", "_gy"])
-    return found.withColumn("distance", F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy"))).where(F.col("distance") <= radius).drop("_gx", "_gy")
+    cell = [*keys, "_gx", "_gy"]
+    sides = points.withColumns({"_gx": g("x"), "_gy": g("y")}), sites.select("*", F.inline(near))
+    counts = [side.groupBy(*cell).agg(F.count("*").alias(n)) for side, n in zip(sides, ("_np", "_ns"), strict=True)]
+    both = settled(counts[0].join(counts[1], cell))
+    n = int(both.agg(F.coalesce(F.sum(F.col("_np").cast("double") * F.col("_ns")), F.lit(0.0))).first()[0] // _PAIRS) + 1
+    chunks = lambda c: F.ceil(F.col(c) / _CHUNK).cast("int")
+    own = lambda df, c: F.pmod(F.xxhash64(*df.columns), chunks(c)).cast("int")
+    others = lambda c: F.explode(F.sequence(F.lit(0), chunks(c) - 1))
+    p = sides[0].join(both, cell).withColumn("_p", own(sides[0], "_np")).withColumn("_s", others("_ns")).drop("_np", "_ns")
+    s = sides[1].join(both, cell).withColumn("_s", own(sides[1], "_ns")).withColumn("_p", others("_np")).drop("_np", "_ns")
+    on = [*cell, "_p", "_s"]
+    found = p.repartition(n, *on).join(s.repartition(n, *on), on)
+    return found.withColumn("distance", F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy"))).where(F.col("distance") <= radius).drop("_gx", "_gy", "_p", "_s")
 
 
 def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -163,3 +163,19 @@ def test_no_window_holds_a_county(spark):
 def test_wkb_of_other_byte_orders_and_heights():
     raw = struct.pack(">BII", 0, 1003, 1) + struct.pack(">I", 4) + struct.pack(">12d", *(v for p in ((0, 0, 7), (2, 0, 7), (2, 2, 7), (0, 0, 7)) for v in p))
     assert geo.polygons_of(raw)[0][0].tolist() == [[0, 0], [2, 0], [2, 2], [0, 0]]
+
+
+def test_a_cell_of_many_pairs_is_cut(spark, monkeypatch):
+    """Few rows, many pairs: more tasks than the bytes ask for, and each pair once."""
+    monkeypatch.setattr(geo, "_CHUNK", 16)
+    monkeypatch.setattr(geo, "_PAIRS", 4_000)
+    r = np.random.default_rng(4)
+    p, s = ([(i, i % 2, *map(float, r.random(2) * 30)) for i in range(n)] for n in (150, 400))
+    points, sites = spark.createDataFrame(p, "point_id long, k long, x double, y double"), spark.createDataFrame(s, "site_id long, k long, sx double, sy double")
+    found = geo.within(points, sites, 10.0, ["k"])
+    want = sorted((a[0], b[0]) for a in p for b in s if a[1] == b[1] and math.hypot(a[2] - b[2], a[3] - b[3]) <= 10)
+    assert sorted((x.point_id, x.site_id) for x in found.collect()) == want and len(want) > 5_000
+    assert set(found.columns) == {"k", "point_id", "x", "y", "site_id", "sx", "sy", "distance"}
+    sizes = found.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= 5 and max(x["count"] for x in sizes) < len(want) / 2
+    assert geo.within(points.limit(0), sites, 10.0, ["k"]).count() == 0
