@@ -129,8 +129,9 @@ def weights_batch(pixels: DataFrame, stats: DataFrame, options: WeightOptions =
 
 
 def _stored(spark: SparkSession, path: str, crop: str, sensor: str) -> DataFrame | None:
-    """What is stored of a crop and sensor, if anything is."""
-    if not exists(spark, path):
+    """What is stored of a crop and sensor, if anything is. A folder that was written without rows holds no partition, and
+    no schema either."""
+    if not exists(spark, path, "crop=*"):
         return None
     # An empty name of a partition comes back as null.
     return spark.read.parquet(path).where((F.col("crop") == crop) & (F.coalesce("sensor", F.lit("")) == sensor)).drop("crop", "sensor")

@@ -378,7 +378,10 @@ def weights_resumed(spark, sf_dir):
     path, options = f"{tables.shared_folder(spark)}/weights-{uuid.uuid4().hex}", batch.WeightOptions(first=_FIRST)
     batch.resume_weights(px, st.where("yr < 1996"), path, "cotton", options=options)
     batch.resume_weights(px, st, path, "cotton", options=options)
-    out = batch.read_weights(spark, path, "cotton").select(*[F.col(c).cast(t).alias(c) for c, t in px.select(*KEYS).dtypes], *CELL, "w_norm")
+    out = batch.read_weights(spark, path, "cotton")
+    if out is None:  # no county has an eligible cell
+        out = px.select(*KEYS, *CELL, F.lit(None).cast("double").alias("w_norm")).limit(0)
+    out = out.select(*[F.col(c).cast(t).alias(c) for c, t in px.select(*KEYS).dtypes], *CELL, "w_norm")
     return _round(out, "w_norm", digits=8)
 
 

@@ -141,10 +141,12 @@ def _file_system(spark: SparkSession, path: str):
     return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), there
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether there is a file or folder, in any store that Spark reads."""
+def exists(spark: SparkSession, path: str, inside: str | None = None) -> bool:
+    """Whether there is a file or folder, in any store that Spark reads; with ``inside``, one that holds such names."""
     system, there = _file_system(spark, path)
-    return system.exists(there)
+    if not inside or not system.exists(there):
+        return system.exists(there)
+    return len(system.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(there, inside))) > 0
 
 
 #: Tables made within ``released``, innermost last.

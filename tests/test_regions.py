@@ -273,3 +273,19 @@ def test_tables_of_a_step_go_with_it(spark):
     assert (there(a), there(c), there(kept), there(d)) == (False, False, True, True) and kept.count() == 4
     tables.dropped(kept, d, d)
     assert not there(kept)
+
+
+def test_weights_without_an_eligible_cell_are_resumed(spark, tmp_path):
+    """Equal signals: nothing lies above the screen, so the first run stores no row; a later one adds to it."""
+    rows = lambda year, signal: [(1, year, x, 0, signal(x), signal(x), 1) for x in range(10)]
+    schema = "county_id long, yr int, cx int, cy int, ndvi double, et double, cdl int"
+    stats = lambda *years: spark.createDataFrame([(1, y, 10, 700) for y in years], "county_id long, yr int, harvested_cells long, yield_kg_ha long")
+    path, options = str(tmp_path / "cache"), batch.WeightOptions(first=1999)
+    flat = rows(2000, lambda x: 0.5)
+    for _ in range(2):
+        batch.resume_weights(spark.createDataFrame(flat, schema), stats(2000), path, "cotton", options=options)
+        assert batch.read_weights(spark, path, "cotton") is None
+        assert [tuple(r) for r in batch.finished(spark, path, "cotton").collect()] == [(1, 2000, 0)]
+    both = spark.createDataFrame(flat + rows(2001, lambda x: x / 10), schema)
+    batch.resume_weights(both, stats(2000, 2001), path, "cotton", options=options)
+    assert {r.yr for r in batch.read_weights(spark, path, "cotton").collect()} == {2001}
