@@ -7,13 +7,13 @@ key in common are candidates. A key's texts are compared with three pivots among
 candidate is confirmed on both texts' whole shingle sets (as 64-bit hashes). Candidates that confirmed links join
 already aren't compared.
 
-At a similarity of 0.8 a pair shares a key with probability 1 - (1 - 0.8^6)^28 = 0.9998, more above. Two texts may be
-similar to each other and to no pivot. So the texts of a key that are still in several components are looked at again
-under pairs of keys, the key and each other one of theirs: a pair at 0.8 shares two keys with probability 0.998, while
-texts that only have a passage in common rarely do. About PIVOTS texts of each pair of keys, by hash, are compared with
-all others of it, which is all pairs of most. What can be lost is a link between two texts that share one key only, or
-a pair of keys with many others, and that are similar to no pivot nor to a chain of such texts; comparing all pairs of
-such groups would grow with their square. The README has the share that was lost where it was measured.
+At a similarity of 0.8 a pair shares a key with probability 1 - (1 - 0.8^6)^28 = 0.9998, more above, and two texts may be
+similar to each other and to no pivot. So an exact join follows, over what the keys' links leave in several components
+(``prefixed``): two texts of a and b shingles are similar only if they have o = 4/9 (a + b) in common, so in any order of
+all shingles the first one in common is among the first a - o + 1 of the one and b - o + 1 of the other. Rare shingles
+come first in that order, hence a passage that many texts have brings none of them together unless it makes up nearly
+all of them. The order's frequencies come from a bounded sample; whatever it holds, no pair is lost but by equal 64-bit
+hashes of different shingles.
 
 Defined results: words are as in simhash; a text of fewer words than a shingle is similar to equal sequences only; a
 null text is empty; an empty table gives no links.
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acreflow.llm.common import batches_of, settled, slices, strings
+from acreflow.llm.common import batches_of, dropped, settled, slices, strings
 from acreflow.llm.stars import components
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -134,8 +134,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         return settled(drawn.mapInArrow(run, "u long, v long"))
 
 
-#: Texts of a key that its three pivots compare with each other: none is left out among so many. Pivots of a pair of keys.
-COMPARED, PIVOTS = 4, 16
+#: Texts by which shingles are ranked, chosen by hash, and shingles that are known as frequent (2 MB).
+RANKED, FREQUENT = 1 << 13, 1 << 17
 
 
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -148,29 +148,75 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     return settled(moved.select("u", F.coalesce("_to", "root").alias("root")).union(more.select("u", "root")))
 
 
-def _again(reps: DataFrame, roots: DataFrame) -> DataFrame:
-    """(u, v): what is left to compare of keys whose texts are in several components, under pairs of keys. Stored."""
-    banded = _banded(reps)
-    large = banded.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > COMPARED).select("band")
-    topped = banded.join(large, "band").join(roots, F.col("own.key") == roots["u"], "left").select("band", "own", F.coalesce("root", "own.key").alias("top"))
-    topped = settled(topped)
-    mixed = topped.groupBy("band").agg(F.min("top").alias("a"), F.max("top").alias("b")).where("a != b").select("band")
-    both = topped.join(mixed, "band").join(reps.select("key", F.explode("bands").alias("other")), F.col("own.key") == F.col("key")).where("band != other")
-    under = settled(both.select(F.xxhash64(F.least("band", "other"), F.greatest("band", "other")).alias("band"), "own", "top").distinct())
-    sizes = under.groupBy("band").agg(F.count("*").alias("n"), F.min("top").alias("a"), F.max("top").alias("b")).where("a != b").select("band", "n")
-    members = under.join(sizes, "band")
-    # About PIVOTS of n, by their hashes: all where there are no more.
-    chosen = members.where((F.col("own.order") / F.lit(2.0**64) + 0.5) * F.col("n") < PIVOTS).select("band", F.col("own").alias("pivot"), F.col("top").alias("pivot_top"))
-    fits = F.least("own.size", "pivot.size") >= SIMILARITY * F.greatest("own.size", "pivot.size")
-    more = members.join(chosen, "band").where(F.col("top") != F.col("pivot_top")).where(fits)
-    return settled(more.select(F.greatest("own.key", "pivot.key").alias("u"), F.least("own.key", "pivot.key").alias("v")).distinct())
+def _frequent(reps: DataFrame, texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a sample have, ascending, and how many: the most frequent ones."""
+    total = max(1, reps.count())
+    bound = (1 << 64) * min(RANKED, total) // total - (1 << 63) - 1
+    chosen = reps.where(F.xxhash64("key") <= F.lit(bound)).select(F.col("key").alias("row"))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for part in slices(batch, 0):
+                found = [shingles(x.encode().lower().split()) for x in strings(part, 0)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["token"])
+
+    tokens = texts.join(chosen, "row", "left_semi").select("text").mapInArrow(run, "token long")
+    most = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
+    known, n = (most.column(i).to_numpy().astype(np.int64) for i in (0, 1))
+    order = np.argsort(known.view(np.uint64))
+    return known.view(np.uint64)[order], n[order]
+
+
+def ranked(found: np.ndarray, known: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The first shingles of ``found`` in the order of frequency, then number: all by which a similar text may be met."""
+    count = np.zeros(len(found), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+        count = np.where(known[at] == found, n[at], 0)
+    return found[np.argsort(count, kind="stable")[: len(found) + 1 + (-4 * len(found) // 5)]]
+
+
+def prefixed(reps: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFrame:
+    """(u, v): all pairs of texts of different components (``roots``: u, root) that may be similar by their numbers of
+    shingles and the place of a common one in the order. Stored.
+
+    ``rest`` counts a text's shingles from that one on. Of a shingle's texts those of its largest component meet the
+    others only, not each other."""
+    shared = reps.sparkSession.sparkContext.broadcast(_frequent(reps, texts))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for part in slices(batch, 2):
+                found = [shingles(x.encode().lower().split()) for x in strings(part, 2)]
+                first = [ranked(x, *shared.value) for x in found]
+                held = np.array([len(x) for x in first])
+                sizes = np.repeat([len(x) for x in found], held)
+                rest = sizes - np.concatenate([np.arange(k) for k in held])
+                whose = pa.array(np.repeat(np.arange(len(held)), held))
+                columns = [pa.array(np.concatenate(first).view(np.int64)), *(part.column(i).take(whose) for i in (0, 1)), pa.array(sizes.astype(np.int32)), pa.array(rest.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["token", "key", "top", "size", "rest"])
+
+    own = texts.join(reps.where("size > 0").select(F.col("key").alias("row")), "row", "left_semi").join(roots, F.col("row") == F.col("u"), "left")
+    with batches_of(reps.sparkSession):
+        places = settled(own.select("row", F.coalesce("root", "row").alias("top"), "text").mapInArrow(run, "token long, key long, top long, size int, rest int"))
+    mixed = places.groupBy("token").agg(F.min("top").alias("a"), F.max("top").alias("b")).where("a != b").select("token")
+    members = settled(places.join(mixed, "token"))
+    dropped(places)
+    main = members.groupBy("token", "top").agg(F.count("*").alias("n")).groupBy("token").agg(F.max(F.struct("n", "top")).alias("most")).select("token", F.col("most.top").alias("main"))
+    some = members.join(main, "token").where("top != main").select("token", "main", *[F.col(c).alias(f"_{c}") for c in ("key", "top", "size", "rest")])
+    near = 4 * (F.col("size") + F.col("_size")) <= 9 * F.least("rest", "_rest")
+    once = (F.col("top") == F.col("main")) | (F.col("key") < F.col("_key"))
+    pairs = settled(members.join(some, "token").where((F.col("top") != F.col("_top")) & once & near).select(F.greatest("key", "_key").alias("u"), F.least("key", "_key").alias("v")).distinct())
+    dropped(members)
+    return pairs
 
 
 def joined(reps: DataFrame, texts: DataFrame, edges: DataFrame) -> DataFrame:
     """(u, root) of the components of the stored ``edges`` (u, v), of which each u is there once and no v is a u, and of the
     links between similar texts.
 
-    Each text is compared with the one of most shared keys first, then with those that it isn't joined to yet."""
+    Each text is compared with the one of most shared keys first, then with those that it isn't joined to yet; then the exact
+    join finds what keys have missed."""
     pairs = settled(candidates(reps))
     first = settled(pairs.groupBy("u").agg(F.max(F.struct("shared", (-F.col("v")).alias("v"))).alias("best")).select("u", (-F.col("best.v")).alias("v")))
     roots = _merged(edges.select("u", F.col("v").alias("root")), confirmed(first, texts))
@@ -178,5 +224,5 @@ def joined(reps: DataFrame, texts: DataFrame, edges: DataFrame) -> DataFrame:
     left = pairs.join(first, ["u", "v"], "left_anti").join(top("u"), "u", "left").join(top("v"), "v", "left")
     left = settled(left.where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v"))
     roots = _merged(roots, confirmed(left, texts))
-    more = _again(reps, roots)
+    more = prefixed(reps, texts, roots)
     return roots if more.isEmpty() else _merged(roots, confirmed(more, texts))

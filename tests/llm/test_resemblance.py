@@ -115,3 +115,17 @@ def test_keys_of_many_groups_lose_no_link(spark):
     sets = [plain_shingles(t) for t in texts]
     want = groups([(i, j) for i in range(14) for j in range(i) if plain_similarity(sets[i], sets[j]) >= 0.8], 14)
     assert [roots.get(i, i) for i in range(14)] == want and len(set(want)) == 7
+
+
+@pytest.mark.parametrize("frequent", [0, 50, 1 << 17])
+def test_pairs_without_a_common_key_are_linked(spark, monkeypatch, frequent):
+    """No text has a key in common with another, so all links come from the exact join, whatever the sample knows."""
+    monkeypatch.setattr(resemblance, "FREQUENT", frequent)
+    texts = list(dict.fromkeys(corpus(7, 60, 150)))
+    own = [resemblance.shingles(t.encode().split()) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    reps = spark.createDataFrame([(i, len(x), [i]) for i, x in enumerate(own)], "key long, size long, bands array<long>")
+    roots = {x.u: x.root for x in resemblance.joined(reps, df, spark.createDataFrame([], "u long, v long")).collect()}
+    sets, n = [plain_shingles(t) for t in texts], len(texts)
+    want = groups([(i, j) for i in range(n) for j in range(i) if plain_similarity(sets[i], sets[j]) >= 0.8], n)
+    assert [roots.get(i, i) for i in range(n)] == want and len(set(want)) < n - 40
