@@ -131,7 +131,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     drawn = pairs.select("u", "v").join(own.select(F.col("row").alias("u"), F.col("text").alias("a")), "u")
     drawn = drawn.join(own.select(F.col("row").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "a", "b")
     with batches_of(pairs.sparkSession):
-        return settled(drawn.mapInArrow(run, "u long, v long"))
+        found = settled(drawn.mapInArrow(run, "u long, v long"))
+    dropped(asked, own)
+    return found
 
 
 #: Texts by which shingles are ranked, chosen by hash, and shingles that are known as frequent (2 MB).
@@ -199,7 +201,8 @@ def prefixed(reps: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFrame:
     own = texts.join(reps.where("size > 0").select(F.col("key").alias("row")), "row", "left_semi").join(roots, F.col("row") == F.col("u"), "left")
     with batches_of(reps.sparkSession):
         places = settled(own.select("row", F.coalesce("root", "row").alias("top"), "text").mapInArrow(run, "token long, key long, top long, size int, rest int"))
-    mixed = places.groupBy("token").agg(F.min("top").alias("a"), F.max("top").alias("b")).where("a != b").select("token")
+    # Stored, so that its size is known: where it is small the places aren't shuffled for it.
+    mixed = settled(places.groupBy("token").agg(F.min("top").alias("a"), F.max("top").alias("b")).where("a != b").select("token"))
     members = settled(places.join(mixed, "token"))
     dropped(places)
     main = members.groupBy("token", "top").agg(F.count("*").alias("n")).groupBy("token").agg(F.max(F.struct("n", "top")).alias("most")).select("token", F.col("most.top").alias("main"))
