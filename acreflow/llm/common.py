@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from acreflow.sources.tables import dropped, released, settled
 
-__all__ = ["BATCH_BYTES", "PLAIN", "SPACED", "Memo", "batches_of", "dropped", "raw_strings", "released", "settled", "slices", "strings", "table", "whole_row", "word_lists"]
+__all__ = ["BATCH_BYTES", "PLAIN", "SPACED", "Memo", "batches_of", "cleaned_up", "dropped", "raw_strings", "released", "settled", "slices", "strings", "table", "whole_row", "word_lists"]
 
 #: Arrow batches are cut to about this many bytes of text before Python objects are made of them.
 BATCH_BYTES = 4 << 20
@@ -28,17 +28,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 @contextmanager
-def batches_of(spark: SparkSession, size: str = "4m") -> Iterator[None]:
-    """For jobs started within: Arrow batches to Python of at most ``size``. The session's own setting returns."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     before = spark.conf.get(name, None)
-    spark.conf.set(name, size)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+def batches_of(spark: SparkSession, size: str = "4m") -> AbstractContextManager[None]:
+    """For jobs started within: Arrow batches to Python of at most ``size``. The session's own setting returns."""
+    return _setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def cleaned_up(spark: SparkSession) -> AbstractContextManager[None]:
+    """For jobs started within: what they shuffled is deleted when they end, not when the driver's memory happens to be
+    collected. For steps that store what they read again."""
+    return _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def whole_row(df: DataFrame) -> Column:
     """All columns of ``df`` as a struct named row, whatever their names."""
     return F.struct(*[F.col("`" + c.replace("`", "``") + "`").alias(c) for c in df.columns]).alias("row")

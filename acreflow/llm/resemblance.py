@@ -22,6 +22,7 @@ null text is empty; an empty table gives no links.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -136,8 +137,12 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return found
 
 
-#: Texts by which shingles are ranked, chosen by hash, and shingles that are known as frequent (2 MB).
-RANKED, FREQUENT = 1 << 13, 1 << 17
+#: Texts by which shingles are ranked at first, chosen by hash, and shingles that are known as frequent (4 MB).
+RANKED, FREQUENT = 1 << 13, 1 << 18
+#: Texts from which on a shingle is put back in the order, if it would bring components together.
+OFTEN = 4
+#: Parts of the shingles, by number, that the exact join takes one after the other: what it shuffles at once is one part.
+PARTS = 4
 
 
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -178,39 +183,80 @@ def ranked(found: np.ndarray, known: np.ndarray, n: np.ndarray) -> np.ndarray:
     return found[np.argsort(count, kind="stable")[: len(found) + 1 + (-4 * len(found) // 5)]]
 
 
-def prefixed(reps: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFrame:
-    """(u, v): all pairs of texts of different components (``roots``: u, root) that may be similar by their numbers of
-    shingles and the place of a common one in the order. Stored.
+def _firsts(texts: DataFrame, tops: DataFrame, known: np.ndarray, n: np.ndarray) -> DataFrame:
+    """(key, top, size, tokens) for each text of ``tops`` (key, top): its first shingles in the order. Stored.
 
-    ``rest`` counts a text's shingles from that one on. Of a shingle's texts those of its largest component meet the
-    others only, not each other."""
-    shared = reps.sparkSession.sparkContext.broadcast(_frequent(reps, texts))
+    They are made where the texts are, since they take a third of a text's room."""
+    shared = texts.sparkSession.sparkContext.broadcast((known, n))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for part in slices(batch, 2):
-                found = [shingles(x.encode().lower().split()) for x in strings(part, 2)]
+            for part in slices(batch, 1):
+                found = [shingles(x.encode().lower().split()) for x in strings(part, 1)]
                 first = [ranked(x, *shared.value) for x in found]
-                held = np.array([len(x) for x in first])
-                sizes = np.repeat([len(x) for x in found], held)
-                rest = sizes - np.concatenate([np.arange(k) for k in held])
-                whose = pa.array(np.repeat(np.arange(len(held)), held))
-                columns = [pa.array(np.concatenate(first).view(np.int64)), *(part.column(i).take(whose) for i in (0, 1)), pa.array(sizes.astype(np.int32)), pa.array(rest.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["token", "key", "top", "size", "rest"])
-
-    own = texts.join(reps.where("size > 0").select(F.col("key").alias("row")), "row", "left_semi").join(roots, F.col("row") == F.col("u"), "left")
-    with batches_of(reps.sparkSession):
-        places = settled(own.select("row", F.coalesce("root", "row").alias("top"), "text").mapInArrow(run, "token long, key long, top long, size int, rest int"))
-    # Stored, so that its size is known: where it is small the places aren't shuffled for it.
-    mixed = settled(places.groupBy("token").agg(F.min("top").alias("a"), F.max("top").alias("b")).where("a != b").select("token"))
-    members = settled(places.join(mixed, "token"))
-    dropped(places)
-    main = members.groupBy("token", "top").agg(F.count("*").alias("n")).groupBy("token").agg(F.max(F.struct("n", "top")).alias("most")).select("token", F.col("most.top").alias("main"))
-    some = members.join(main, "token").where("top != main").select("token", "main", *[F.col(c).alias(f"_{c}") for c in ("key", "top", "size", "rest")])
+                ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
+                tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(first).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in found], pa.int32()), tokens], ["row", "size", "tokens"])
+
+    with batches_of(texts.sparkSession):
+        made = texts.select("row", "text").mapInArrow(run, "row long, size int, tokens array<long>")
+        return settled(made.join(tops, F.col("row") == F.col("key")).select("key", "top", "size", "tokens"))
+
+
+def _places(firsts: DataFrame, part: int) -> DataFrame:
+    """(token, key, top, size, rest) for the tokens of one part; ``rest`` counts a text's shingles from that one on."""
+    every = firsts.select("key", "top", "size", F.posexplode("tokens").alias("at", "token"))
+    return every.where(F.pmod("token", F.lit(PARTS)) == part).select("token", "key", "top", "size", (F.col("size") - F.col("at")).alias("rest"))
+
+
+def _between(places: DataFrame) -> DataFrame:
+    """(token, n): tokens of several components, and in how many texts they are among the first."""
+    seen = places.groupBy("token").agg(F.count("*").alias("n"), F.min("top").alias("a"), F.max("top").alias("b"))
+    return seen.where("a != b").select("token", "n")
+
+
+def _put_back(firsts: DataFrame, known: np.ndarray, n: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
+    """The order that the sample gave (``n`` of ``scale`` times as many texts), and in it those shingles that many texts
+    have among their first, counted over all texts: the sample doesn't see what few of its texts have, and of more
+    texts more have it."""
+    parts = []
+    for part in range(PARTS):
+        often = _between(_places(firsts, part)).where(F.col("n") >= OFTEN)
+        most = often.orderBy(F.desc("n"), "token").limit(FREQUENT // PARTS).toArrow()
+        parts.append([most.column(i).to_numpy().astype(np.int64) for i in (0, 1)])
+    tokens = np.concatenate([known, *(x[0].view(np.uint64) for x in parts)])
+    counts = np.concatenate([np.rint(n * scale).astype(np.int64), *(x[1] for x in parts)])
+    order = np.lexsort((-counts, tokens))
+    tokens, first = np.unique(tokens[order], return_index=True)
+    return tokens, counts[order][first]
+
+
+def prefixed(reps: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFrame:
+    """(u, v): all pairs of texts of different components (``roots``: u, root) that may be similar by their numbers of
+    shingles and the place of a common one in the order. Stored.
+
+    Of a shingle's texts those of its largest component meet the others only, not each other."""
+    tops = settled(reps.where("size > 0").join(roots, F.col("key") == F.col("u"), "left").select("key", F.coalesce("root", "key").alias("top")))
+    known, n = _frequent(reps, texts)
+    firsts = _firsts(texts, tops, known, n)
+    known, n = _put_back(firsts, known, n, max(1.0, reps.count() / RANKED))
+    dropped(firsts)
+    firsts, found = _firsts(texts, tops, known, n), []
     near = 4 * (F.col("size") + F.col("_size")) <= 9 * F.least("rest", "_rest")
     once = (F.col("top") == F.col("main")) | (F.col("key") < F.col("_key"))
-    pairs = settled(members.join(some, "token").where((F.col("top") != F.col("_top")) & once & near).select(F.greatest("key", "_key").alias("u"), F.least("key", "_key").alias("v")).distinct())
-    dropped(members)
+    for part in range(PARTS):
+        places = _places(firsts, part)
+        mixed = settled(_between(places).select("token"))
+        # Merged at any size, lest what is shuffled grow by a step where the tokens become too many to send around.
+        members = settled(places.join(mixed.hint("merge"), "token"))
+        main = members.groupBy("token", "top").agg(F.count("*").alias("n")).groupBy("token").agg(F.max(F.struct("n", "top")).alias("most")).select("token", F.col("most.top").alias("main"))
+        some = members.join(main, "token").where("top != main").select("token", "main", *[F.col(c).alias(f"_{c}") for c in ("key", "top", "size", "rest")])
+        met = members.join(some, "token").where((F.col("top") != F.col("_top")) & once & near)
+        found.append(settled(met.select(F.greatest("key", "_key").alias("u"), F.least("key", "_key").alias("v")).distinct()))
+        dropped(mixed, members)
+    dropped(firsts, tops)
+    pairs = settled(reduce(DataFrame.union, found).distinct())
+    dropped(*found)
     return pairs
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acreflow.llm import resemblance
-from acreflow.llm.common import batches_of, dropped, released, settled, slices, strings
+from acreflow.llm.common import batches_of, cleaned_up, dropped, released, settled, slices, strings
 from acreflow.llm.stars import components
 
 #: Fingerprints that a shard holds. Each level of the upper tree copies about a third of what it splits, while the
@@ -279,7 +279,7 @@ def one_of_similar(df: DataFrame, text: str = "text", width: int = 3, radius: in
     """Like ``one_of_each``, and texts of similar five-word shingles (``resemblance``) are linked as well; a group is
     what links of either kind reach. Equal sequences of words travel once."""
     rows = settled(df.withColumn("_row", F.monotonically_increasing_id()))
-    with released() as keep:
+    with released() as keep, cleaned_up(df.sparkSession):
         key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("_row").alias("row"))
         texts = rows.select(F.col("_row").alias("row"), F.col(text).alias("text"))
         with batches_of(df.sparkSession):

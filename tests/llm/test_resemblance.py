@@ -129,3 +129,29 @@ def test_pairs_without_a_common_key_are_linked(spark, monkeypatch, frequent):
     sets, n = [plain_shingles(t) for t in texts], len(texts)
     want = groups([(i, j) for i in range(n) for j in range(i) if plain_similarity(sets[i], sets[j]) >= 0.8], n)
     assert [roots.get(i, i) for i in range(n)] == want and len(set(want)) < n - 40
+
+
+def test_passages_that_the_sample_misses_bring_no_pairs(spark, monkeypatch):
+    """Forty texts with one passage of theirs: four sampled texts don't show it, so it must be found among all."""
+    monkeypatch.setattr(resemblance, "RANKED", 4)
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(8))
+    passages = [[word() for _ in range(40)] for _ in range(6)]
+    texts = [[*passages[i % 6], *(word() for _ in range(60))] for i in range(240)]
+    texts = [" ".join(x) for x in [*texts, texts[7][:-2], texts[100][1:]]]
+    df = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    reps = spark.createDataFrame([(i, len(plain_shingles(t)), [i]) for i, t in enumerate(texts)], "key long, size long, bands array<long>")
+    pairs = {(x.u, x.v) for x in resemblance.prefixed(reps, df, spark.createDataFrame([], "u long, root long")).collect()}
+    assert pairs >= {(240, 7), (241, 100)} and len(pairs) < 100
+
+
+def test_what_was_shuffled_is_deleted(spark, tmp_path):
+    from pathlib import Path
+
+    held = lambda: sum(p.stat().st_size for b in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs() for p in Path(b.getPath()).rglob("shuffle_*"))
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    df = spark.createDataFrame(list(enumerate(corpus(9, 60, 150))), "doc_id long, text string")
+    before, setting = held(), spark.conf.get(name)
+    kept = simhash.one_of_similar(df)
+    assert held() <= before and spark.conf.get(name) == setting
+    assert 0 < kept.count() < df.count()
