@@ -27,7 +27,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from acreflow.llm.common import batches_of, dropped, settled, slices, strings
@@ -143,6 +143,8 @@ RANKED, FREQUENT = 1 << 13, 1 << 18
 OFTEN = 4
 #: Parts of the shingles, by number, that the exact join takes one after the other: what it shuffles at once is one part.
 PARTS = 4
+#: Shared shingles before one's own by which two texts are known to have met already.
+BEFORE = 8
 
 
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -231,28 +233,36 @@ def _put_back(firsts: DataFrame, known: np.ndarray, n: np.ndarray, scale: float)
     return tokens, counts[order][first]
 
 
+def _met(members: DataFrame) -> DataFrame:
+    """(u, v) of texts that meet at a shingle, from ``members`` (token, key, top, size, rest, before).
+
+    Of a shingle's texts those of its largest component meet the others only, not each other. Texts that have many shingles in
+    common meet at the first one of a part: it allows what later ones allow, since ``rest`` only falls, so a pair goes
+    where one of the shingles just before is common as well."""
+    main = members.groupBy("token", "top").agg(F.count("*").alias("n")).groupBy("token").agg(F.max(F.struct("n", "top")).alias("most")).select("token", F.col("most.top").alias("main"))
+    some = members.join(main, "token").where("top != main").select("token", "main", *[F.col(c).alias(f"_{c}") for c in ("key", "top", "size", "rest", "before")])
+    near = 4 * (F.col("size") + F.col("_size")) <= 9 * F.least("rest", "_rest")
+    once = (F.col("top") == F.col("main")) | (F.col("key") < F.col("_key"))
+    met = members.join(some, "token").where((F.col("top") != F.col("_top")) & once & near & ~F.arrays_overlap("before", "_before"))
+    return met.select(F.greatest("key", "_key").alias("u"), F.least("key", "_key").alias("v"))
+
+
 def prefixed(reps: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFrame:
     """(u, v): all pairs of texts of different components (``roots``: u, root) that may be similar by their numbers of
-    shingles and the place of a common one in the order. Stored.
-
-    Of a shingle's texts those of its largest component meet the others only, not each other."""
+    shingles and the place of a common one in the order. Stored."""
     tops = settled(reps.where("size > 0").join(roots, F.col("key") == F.col("u"), "left").select("key", F.coalesce("root", "key").alias("top")))
     known, n = _frequent(reps, texts)
     firsts = _firsts(texts, tops, known, n)
     known, n = _put_back(firsts, known, n, max(1.0, reps.count() / RANKED))
     dropped(firsts)
     firsts, found = _firsts(texts, tops, known, n), []
-    near = 4 * (F.col("size") + F.col("_size")) <= 9 * F.least("rest", "_rest")
-    once = (F.col("top") == F.col("main")) | (F.col("key") < F.col("_key"))
     for part in range(PARTS):
         places = _places(firsts, part)
         mixed = settled(_between(places).select("token"))
         # Merged at any size, lest what is shuffled grow by a step where the tokens become too many to send around.
-        members = settled(places.join(mixed.hint("merge"), "token"))
-        main = members.groupBy("token", "top").agg(F.count("*").alias("n")).groupBy("token").agg(F.max(F.struct("n", "top")).alias("most")).select("token", F.col("most.top").alias("main"))
-        some = members.join(main, "token").where("top != main").select("token", "main", *[F.col(c).alias(f"_{c}") for c in ("key", "top", "size", "rest")])
-        met = members.join(some, "token").where((F.col("top") != F.col("_top")) & once & near)
-        found.append(settled(met.select(F.greatest("key", "_key").alias("u"), F.least("key", "_key").alias("v")).distinct()))
+        before = Window.partitionBy("key").orderBy(F.desc("rest")).rowsBetween(-BEFORE, -1)
+        members = settled(places.join(mixed.hint("merge"), "token").withColumn("before", F.collect_list("token").over(before)))
+        found.append(settled(_met(members).distinct()))
         dropped(mixed, members)
     dropped(firsts, tops)
     pairs = settled(reduce(DataFrame.union, found).distinct())

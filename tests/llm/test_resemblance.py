@@ -155,3 +155,23 @@ def test_what_was_shuffled_is_deleted(spark, tmp_path):
     kept = simhash.one_of_similar(df)
     assert held() <= before and spark.conf.get(name) == setting
     assert 0 < kept.count() < df.count()
+
+
+def test_texts_of_many_common_shingles_meet_once_a_part(spark, monkeypatch):
+    """Twenty texts that share three quarters of their words: each pair meets in every part, not at every shingle."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(8))
+    base = [word() for _ in range(120)]
+    texts = [" ".join([*base, *(word() for _ in range(10))]) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    reps = spark.createDataFrame([(i, len(plain_shingles(t)), [i]) for i, t in enumerate(texts)], "key long, size long, bands array<long>")
+    rows, met = [], resemblance._met
+
+    def counted(members):
+        rows.append(met(members).count())
+        return met(members)
+
+    monkeypatch.setattr(resemblance, "_met", counted)
+    pairs = {(x.u, x.v) for x in resemblance.prefixed(reps, df, spark.createDataFrame([], "u long, root long")).collect()}
+    assert pairs == {(i, j) for i in range(20) for j in range(i)}
+    assert len(rows) == resemblance.PARTS and max(rows) <= 190
