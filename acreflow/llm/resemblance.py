@@ -12,7 +12,8 @@ similar to each other and to no pivot. So an exact join follows, over what the k
 (``prefixed``): two texts of a and b shingles are similar only if they have o = 4/9 (a + b) in common, so in any order of
 all shingles the first one in common is among the first a - o + 1 of the one and b - o + 1 of the other. Rare shingles
 come first in that order, hence a passage that many texts have brings none of them together unless it makes up nearly
-all of them. The order's frequencies come from a bounded sample; whatever it holds, no pair is lost but by equal 64-bit
+all of them. The order's frequencies come from a bounded
+sample and from counts of what is first by it; whatever they hold, no pair is lost but by equal 64-bit
 hashes of different shingles.
 
 Defined results: words are as in simhash; a text of fewer words than a shingle is similar to equal sequences only; a
